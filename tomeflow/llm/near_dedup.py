@@ -1 +1,219 @@
-"""Near-duplicate documents (being written)."""
+"""Near-duplicate documents by bottom-k sketches of one hash function.
+
+A document's sketch holds the smallest hashes of its word-shingle set. Inverted
+lists of the retained values that are rarest in the corpus yield candidates, the
+union sketch estimates their similarity, and pairs near or over the threshold
+are verified on full shingle sets. Equal sets are collapsed first.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tomeflow.llm.common import materialize, small_batches
+from tomeflow.llm.exact_dedup import LOWER
+from tomeflow.llm.linking import link
+
+_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_WHITE = np.zeros(256, bool)
+_WHITE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijective scramble of unsigned 64-bit values."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64))
+_PLACE = [mix(np.array([101 + j], np.uint64))[0] | np.uint64(1) for j in range(64)]
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    p = np.full(n, base, np.uint64)
+    p[:1] = 1
+    return np.multiply.accumulate(p)
+
+
+class Shingler:
+    """Sets of ``width``-word shingles of lower-cased byte texts, as sorted arrays
+    of signed 64-bit hashes. Fewer words than ``width`` make one shingle, none
+    make an empty set."""
+
+    def __init__(self, width: int = 5) -> None:
+        self.width, self.up, self.down = width, _powers(_BASE, 1 << 16), _powers(_INVERSE, 1 << 16)
+
+    def __call__(self, bodies: list[bytes]) -> list[np.ndarray]:
+        buf = np.frombuffer(b"\n".join(bodies) + b"\n", np.uint8)
+        if len(buf) >= len(self.up):
+            self.up, self.down = _powers(_BASE, 2 * len(buf)), _powers(_INVERSE, 2 * len(buf))
+        # word hashes from differences of a prefix polynomial
+        prefix = np.zeros(len(buf) + 1, np.uint64)
+        np.cumsum(_BYTE[buf] * self.up[: len(buf)], out=prefix[1:])
+        white = _WHITE[buf]
+        edge = np.flatnonzero(np.diff(np.concatenate(([True], white)).astype(np.int8)))
+        starts, ends = edge[0::2], edge[1::2]
+        words = mix((prefix[ends] - prefix[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
+        # first word of each document
+        at = np.searchsorted(starts, np.cumsum([0, *(len(b) + 1 for b in bodies)]))
+        w, n = self.width, len(words)
+        full = np.zeros(max(0, n - w + 1), np.uint64)
+        for j in range(w):
+            full += words[j : n - w + 1 + j] * _PLACE[j] if n >= w else 0
+        full = mix(full).view(np.int64)
+        out = []
+        for s, e in zip(at, at[1:]):
+            if e - s >= w:
+                out.append(np.unique(full[s : e - w + 1]))
+            elif e > s:
+                short = np.array([e - s], np.uint64)
+                for j in range(e - s):
+                    short = short + words[s + j : s + j + 1] * _PLACE[j + w]
+                out.append(mix(short).view(np.int64))
+            else:
+                out.append(np.zeros(0, np.int64))
+        return out
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"))
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[tuple[list, list[bytes]]]:
+    """(ids, lower-cased bodies) of about ``most`` bytes."""
+    for b in batches:
+        ids, bodies, held = [], [], 0
+        for i, body in zip(b.column(0).to_pylist(), b.column(1)):
+            ids.append(i)
+            bodies.append(body.as_py().translate(LOWER))
+            held += len(bodies[-1])
+            if held >= most:
+                yield ids, bodies
+                ids, bodies, held = [], [], 0
+        if ids:
+            yield ids, bodies
+
+
+def _lists(sets: list[np.ndarray]) -> pa.Array:
+    at = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))
+
+
+def fingerprint(s: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set of hashes, for telling equal sets."""
+    m = mix(s.view(np.uint64))
+    return int(m.sum(dtype=np.uint64).astype(np.int64)), int(np.bitwise_xor.reduce(mix(m + _BASE)).astype(np.int64)) if len(m) else 0
+
+
+def sketches(docs: DataFrame, k: int, width: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, n, f1, f2, sketch): set size, fingerprint and k smallest hashes."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(width)
+        for ids, bodies in _chunks(batches):
+            sets = shingler(bodies)
+            prints = [fingerprint(s) for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([p[0] for p in prints], pa.int64()),
+                 pa.array([p[1] for p in prints], pa.int64()), _lists([s[:k] for s in sets])],
+                names=["id", "n", "f1", "f2", "sketch"],
+            )
+
+    return _rows(docs, id_col, text_col).mapInArrow(of, "id long, n long, f1 long, f2 long, sketch array<long>")
+
+
+def full_sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """(node, n, set) of the classes ``wanted`` (node, min_id, f1, f2, n)."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(width)
+        for ids, bodies in _chunks(batches):
+            sets = shingler(bodies)
+            prints = [fingerprint(s) for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), _lists(sets)],
+                names=["id", "f1", "f2", "set"],
+            )
+
+    named = wanted.select(F.col("min_id").alias("__min")).distinct()
+    rows = _rows(docs, id_col, text_col)
+    rows = rows.join(named, F.col("id").eqNullSafe(F.col("__min")), "left_semi").mapInArrow(of, "id long, f1 long, f2 long, set array<long>")
+    # an id can be repeated with other texts: the fingerprint tells which is meant
+    found = rows.join(wanted.select("node", F.col("f1").alias("w1"), F.col("f2").alias("w2")), (F.col("f1") == F.col("w1")) & (F.col("f2") == F.col("w2")))
+    return found.dropDuplicates(["node"]).select("node", "set")
+
+
+def _estimate(a: Column, b: Column, k: int) -> Column:
+    """Share of the k smallest values of the union that both sketches hold."""
+    union = F.slice(F.array_sort(F.array_union(a, b)), 1, k)
+    return F.size(F.array_intersect(F.array_intersect(a, b), union)) / F.size(union)
+
+
+def near_dedup(docs: DataFrame, threshold: int = 80, width: int = 5, k: int = 64, listed: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: (id, n_shingles, component_id, kept).
+
+    Documents are linked when 100 * |A & B| >= threshold * |A | B| over sets of
+    ``width``-word shingles (words split at ASCII white space, A-Z lower-cased);
+    fewer words form one shingle; null, empty and blank texts are linked with
+    nothing. ``component_id`` is the smallest id reachable (null if there is none),
+    and a row is kept if that is its own id, so repeated rows of one id are kept
+    together. Empty tables give empty results; other columns are ignored.
+
+    The first ``listed`` retained values are looked up. Two sets at the threshold
+    share fewer than ``listed * threshold / 200`` of them with a chance of about
+    one in a million; this many may be skipped, the most frequent ones are.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    share = threshold / 100
+    rows = materialize(sketches(docs, k, width, id_col, text_col), "sketches")
+    classes = rows.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("id").alias("min_id"), F.first("sketch").alias("sketch"))
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+
+    # lists of the rarest retained values; a value of one document has no partner
+    head = classes.select("node", F.slice("sketch", 1, listed).alias("head"))
+    values = head.select("node", F.size("head").alias("m"), F.explode("head").alias("key"))
+    often = values.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    need = F.greatest(F.lit(1), F.floor(F.first("m") * (share / 2)))
+    by_rarity = values.join(often, "key").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("v"), need.cast("int").alias("t"))
+    prefix = by_rarity.where(F.size("v") >= F.col("t")).select("node", F.array_sort(F.slice(F.col("v.key"), 1, F.size("v") - F.col("t") + 1)).alias("keys"))
+    prefix = materialize(prefix, "prefix")
+    lists = prefix.select(F.explode("keys").alias("key"), "node")
+    sizes = classes.select("node", "n", "sketch")
+    payload = prefix.join(sizes, "node").select("node", "n", "keys", F.slice("sketch", 1, listed).alias("head"))
+
+    def near(na: Column, nb: Column) -> Column:
+        return F.least(na, nb) * 100 >= F.greatest(na, nb) * threshold
+
+    def match(left: str, right: str) -> Column:
+        a, b = (lambda c, side=side: F.col(f"{side}.{c}") for side in (left, right))
+        common = F.array_intersect(a("head"), b("head"))
+        need = F.floor(F.least(F.size(a("head")), F.size(b("head"))) * (share / 2))
+        return near(a("n"), b("n")) & (F.size(common) >= need) & (F.array_min(F.array_intersect(a("keys"), b("keys"))) == a("key"))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        s = lambda x: sizes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+        joined = pairs.join(s("a"), "a").where("true").join(s("b"), "b").where(near(F.col("na"), F.col("nb")))
+        est = _estimate(F.col("sa"), F.col("sb"), k)
+        margin = 4.5 * F.sqrt(F.lit(share * (1 - share)) / F.least(F.lit(k), F.greatest("na", "nb")))
+        likely = materialize(joined.where(est >= share - margin).select("a", "b", "na", "nb"), "likely")
+        nodes = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        sets = materialize(full_sets(docs, classes.drop("sketch").join(nodes, "node", "left_semi"), width, id_col, text_col), "sets")
+        x = lambda c: sets.select(F.col("node").alias(c), F.col("set").alias(f"x{c}"))
+        both = likely.join(x("a"), "a").join(x("b"), "b").withColumn("i", F.size(F.array_intersect("xa", "xb")))
+        return both.where(F.col("i") * 100 >= (F.col("na") + F.col("nb") - F.col("i")) * threshold)
+
+    labels = link(lists, payload, verify, match)
+    named = classes.join(labels, "node", "left").select("f1", "f2", "n", "min_id", F.coalesce("root", "node").alias("root"))
+    least = named.groupBy("root").agg(F.min("min_id").alias("component_id"))
+    final = named.join(least, "root").select("f1", "f2", "n", "component_id")
+    out = rows.drop("sketch").join(final, ["f1", "f2", "n"], "left")
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
