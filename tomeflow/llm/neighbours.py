@@ -76,7 +76,7 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.where(F.forall("v", good) & F.exists("v", lambda x: x != 0))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, trees: int = 40, bits: int = 32, share: float = 1.0, block: int = 8192, query_block: int = 1024, seed: int = 29, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, trees: int = 40, bits: int = 32, share: float = 0.6, block: int = 8192, query_block: int = 1024, seed: int = 29, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """The ``k`` nearest found of each query: (query_id, rank, id, score).
 
     ``score`` is the Euclidean distance of the original vectors in double

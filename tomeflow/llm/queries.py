@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomeflow.llm import exact_dedup, mixing, near_dedup, packing, quality, sharding, suffix_dedup, warc
+from tomeflow.llm import exact_dedup, mixing, near_dedup, neighbours, packing, quality, sharding, suffix_dedup, warc
 from tomeflow.llm.common import read_table
 
 #: Fixed by the contract of op8: labels are learnt where this remainder is not 0.
@@ -37,6 +37,11 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(read_table(spark, sf_dir, "documents"), threshold=85)
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_round_trip(spark, read_table(spark, sf_dir, "pages"), least=0)
 
@@ -63,7 +68,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_best_fit_packing, op3_exact_dedup, op4_sharding, op5_near_dedup, op7_warc, op8_quality_classifier, op9_suffix_dedup, op10_mixing)
+    f.__name__: f for f in (op2_best_fit_packing, op3_exact_dedup, op4_sharding, op5_near_dedup, op6_neighbours, op7_warc, op8_quality_classifier, op9_suffix_dedup, op10_mixing)
 }
 
 ORACLE: dict[str, str] = {
