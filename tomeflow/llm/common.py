@@ -66,6 +66,18 @@ def uniform(*cols, seed: int = 0):
     return (F.shiftrightunsigned(h, 11).cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))
 
 
+#: Up to so many keys (of a few numbers each) are broadcast to filter a large table.
+BROADCAST_KEYS = 400_000
+
+
+def only(big: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """Rows of ``big`` whose ``on`` columns occur in ``keys``: by a broadcast of
+    counted keys up to a bound, else by a shuffled semi join."""
+    keys = materialize(keys.select(*on).distinct(), "keys")
+    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    return big.join(F.broadcast(keys) if few else keys, on, "left_semi")
+
+
 def gapless(df: DataFrame, order_key: str, ties: list[str], out: str, group: list[str] | None = None, buckets: int | None = None) -> DataFrame:
     """Add ``out``: position from 0 without gaps, per ``group``, in order of the
     unsigned 64-bit ``order_key`` then ``ties``.

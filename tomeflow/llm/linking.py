@@ -20,13 +20,16 @@ from tomeflow.llm.common import components, materialize
 Verify = Callable[[DataFrame], DataFrame]
 
 
-def star_pairs(lists: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b, of each node with two pivots of each of its lists."""
-    pivots = lists.groupBy("key").agg(
-        F.min("node").alias("p0"), F.min_by("node", F.xxhash64(F.lit(7), "node")).alias("p1"), F.count(F.lit(1)).alias("__n")
-    )
-    joined = lists.join(pivots.where("__n > 1").drop("__n"), "key")
-    pair = joined.select("node", F.explode(F.array_distinct(F.array("p0", "p1"))).alias("p")).where("p <> node")
+def shared_lists(lists: DataFrame) -> DataFrame:
+    """(key, node, p0, p1): lists of two nodes or more, with two pivots each. The
+    pivots are minima and maxima, so a hot key is combined before any shuffle."""
+    pivots = lists.groupBy("key").agg(F.min("node").alias("p0"), F.max("node").alias("p1")).where("p0 <> p1")
+    return materialize(lists.join(pivots, "key"), "lists")
+
+
+def star_pairs(shared: DataFrame) -> DataFrame:
+    """Distinct (a, b), a < b, of each node with the pivots of each of its lists."""
+    pair = shared.select("node", F.explode(F.array("p0", "p1")).alias("p")).where("p <> node")
     return pair.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
 
 
@@ -51,9 +54,10 @@ def cross_pairs(lists: DataFrame, labels: DataFrame, payload: DataFrame, match:
 def link(lists: DataFrame, payload: DataFrame, verify: Verify, match: Callable[[str, str], Column]) -> DataFrame:
     """(node, root) of every node with a verified link. ``verify`` gets distinct
     pairs (a, b) and returns the true links among them."""
-    first = materialize(verify(star_pairs(lists)).select("a", "b"), "links")
+    shared = shared_lists(lists)
+    first = materialize(verify(star_pairs(shared)).select("a", "b"), "links")
     labels = components(first)
-    second = materialize(verify(cross_pairs(lists, labels, payload, match)).select("a", "b"), "links")
+    second = materialize(verify(cross_pairs(shared.select("key", "node"), labels, payload, match)).select("a", "b"), "links")
     if second.isEmpty():
         return labels
     # links between components: contract them alone, then relabel

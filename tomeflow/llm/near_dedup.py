@@ -15,10 +15,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tomeflow.llm.common import materialize, small_batches
+from tomeflow.llm.common import materialize, only, small_batches
 from tomeflow.llm.exact_dedup import LOWER
 from tomeflow.llm.linking import link
 
+#: Stands for a null id.
+NULL = -(1 << 63)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _WHITE = np.zeros(256, bool)
@@ -142,9 +144,10 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_
                 names=["id", "f1", "f2", "set"],
             )
 
-    named = wanted.select(F.col("min_id").alias("__min")).distinct()
-    rows = _rows(docs, id_col, text_col)
-    rows = rows.join(named, F.col("id").eqNullSafe(F.col("__min")), "left_semi").mapInArrow(of, "id long, f1 long, f2 long, set array<long>")
+    # a null id never is the least of a class that has another, so it is coded
+    named = wanted.select(F.coalesce("min_id", F.lit(NULL)).alias("id"))
+    rows = _rows(docs, id_col, text_col).withColumn("id", F.coalesce("id", F.lit(NULL)))
+    rows = only(rows, named, ["id"]).select("id", "body").mapInArrow(of, "id long, f1 long, f2 long, set array<long>")
     # an id can be repeated with other texts: the fingerprint tells which is meant
     found = rows.join(wanted.select("node", F.col("f1").alias("w1"), F.col("f2").alias("w2")), (F.col("f1") == F.col("w1")) & (F.col("f2") == F.col("w2")))
     return found.dropDuplicates(["node"]).select("node", "set")
@@ -200,7 +203,7 @@ def near_dedup(docs: DataFrame, threshold: int = 80, width: int = 5, k: int = 64
 
     def verify(pairs: DataFrame) -> DataFrame:
         s = lambda x: sizes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-        joined = pairs.join(s("a"), "a").where("true").join(s("b"), "b").where(near(F.col("na"), F.col("nb")))
+        joined = pairs.join(s("a"), "a").join(s("b"), "b").where(near(F.col("na"), F.col("nb")))
         est = _estimate(F.col("sa"), F.col("sb"), k)
         margin = 4.5 * F.sqrt(F.lit(share * (1 - share)) / F.least(F.lit(k), F.greatest("na", "nb")))
         likely = materialize(joined.where(est >= share - margin).select("a", "b", "na", "nb"), "likely")

@@ -23,10 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tomeflow.llm.common import materialize, small_batches
-from tomeflow.llm.near_dedup import _BASE, _BYTE, _INVERSE, _powers, mix
+from tomeflow.llm.near_dedup import _BASE, _BYTE, _INVERSE, NULL, _powers, mix
 
-#: Stands for a null id, which comes before all others.
-NULL = -(1 << 63)
 BLOB = "kind int, bucket long, blob binary"
 _BLOB = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("blob", pa.binary())])
 #: Least bits of a position in a part of a task's texts; longer texts take more.
