@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomeflow.llm import exact_dedup, mixing, near_dedup, neighbours, packing, quality, sharding, suffix_dedup, warc
+from tomeflow.llm import exact_dedup, line_dedup, mixing, near_dedup, neighbours, packing, quality, sharding, suffix_dedup, warc
 from tomeflow.llm.common import read_table
 
 #: Fixed by the contract of op8: labels are learnt where this remainder is not 0.
@@ -16,6 +16,10 @@ HELD_OUT = 5
 TRAINING_ROWS = 12_000
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(read_table(spark, sf_dir, "documents"), threshold=0.8, width=8)
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
@@ -68,7 +72,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_best_fit_packing, op3_exact_dedup, op4_sharding, op5_near_dedup, op6_neighbours, op7_warc, op8_quality_classifier, op9_suffix_dedup, op10_mixing)
+    f.__name__: f for f in (op1_line_dedup, op2_best_fit_packing, op3_exact_dedup, op4_sharding, op5_near_dedup, op6_neighbours, op7_warc, op8_quality_classifier, op9_suffix_dedup, op10_mixing)
 }
 
 ORACLE: dict[str, str] = {
