@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tomeflow.core import materialize
-from tomeflow.functions.strings import collapse_whitespace, reindent
+from tomeflow.functions.strings import collapse_whitespace, reindent, strip
 
 # Comment commands and the doc section each starts.
 COMMANDS = {
@@ -37,10 +37,10 @@ def doc_commands(comments: DataFrame, key: list[str], body: str = "body") -> Dat
     command = F.regexp_extract("part", rf"^\s*[@\\]({names})\b", 1)
     section = F.try_element_at(F.create_map(*[F.lit(x) for kv in COMMANDS.items() for x in kv]), command)
     head = rf"(?s)^\s*[@\\](?:{names})\b(?:\s*\[([^\]]*)\])?[ \t]*"
-    rest = F.trim(F.regexp_replace("part", head, ""))
+    rest = strip(F.regexp_replace("part", head, ""))
     named = section.isin("params", "tparams", "exceptions", "relates", "copybrief", "copydetails", "copydoc", "ref")
     argument = F.when(named, F.regexp_extract(rest, r"^(\S+(?:\s*,\s*[^\s,]+)*)", 1))
-    literal = F.when(named, F.trim(F.regexp_replace(rest, r"^\S+(?:\s*,\s*[^\s,]+)*\s*", ""))).otherwise(rest)
+    literal = F.when(named, strip(F.regexp_replace(rest, r"^\S+(?:\s*,\s*[^\s,]+)*\s*", ""))).otherwise(rest)
     spec = F.regexp_replace(F.lower(F.regexp_extract("part", head, 1)), r"[\s,]+", "")
     direction = F.when(section == "params", F.when(spec.isin("inout", "outin"), "inout").when(spec == "in", "in").when(spec == "out", "out").otherwise("none"))
     return each.select(*key, "pos", F.when(command == "", None).otherwise(command).alias("command"), F.coalesce(section, F.lit("paragraph")).alias("section"), argument.alias("argument"), direction.alias("direction"), collapse_whitespace(literal).alias("literal"))
@@ -160,13 +160,18 @@ def returns_from_brief(brief: Column) -> Column:
     return F.when(tail != "", F.concat(F.upper(F.substring(tail, 1, 1)), F.substring(tail, 2, 1 << 30)))
 
 
+def _fields(array: Column, names: list[str]) -> Column:
+    return F.transform(array, lambda x: F.struct(*[x[n].alias(n) for n in names]))
+
+
 def page_sections(symbols: DataFrame, sections: dict[str, DataFrame]) -> DataFrame:
     """One column of ordered structs per section (DataFrames symbol_id, pos, name,
     url, brief); null where a symbol has none."""
     out = symbols
     for name, rows in sections.items():
         cols = [c for c in rows.columns if c not in ("symbol_id", "pos")]
-        listed = rows.groupBy("symbol_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", *cols))), lambda x, cols=cols: F.struct(*[x[c].alias(c) for c in cols])).alias(name))
+        ordered = F.array_sort(F.collect_list(F.struct("pos", *cols)))
+        listed = rows.groupBy("symbol_id").agg(_fields(ordered, cols).alias(name))
         out = out.join(listed.withColumnRenamed("symbol_id", "__s"), F.col("id") == F.col("__s"), "left").drop("__s")
     return out
 

@@ -1,10 +1,4 @@
-"""Registered queries over the given tables, with their SQL."""
+"""All registered queries and their SQL."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from tomeflow.plans import functions, io, merging, scopes, texts  # noqa: F401  (they register)
+from tomeflow.plans.registry import ORACLE, QUERIES  # noqa: F401
