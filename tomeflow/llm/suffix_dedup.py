@@ -47,15 +47,24 @@ def unpack_arrays(blob: bytes, kinds: list[type]) -> list[np.ndarray]:
     return out
 
 
+_TABLE: dict[str, np.ndarray] = {}
+
+
+def _power_table(name: str, base: np.uint64, n: int) -> np.ndarray:
+    """First ``n`` powers, kept for the next buffer."""
+    if name not in _TABLE or len(_TABLE[name]) < n:
+        _TABLE[name] = _powers(base, n)
+    return _TABLE[name]
+
+
 class Hashes:
     """Prefix polynomial hashes of a buffer."""
 
     def __init__(self, buf: np.ndarray) -> None:
         self.buf, n = buf, len(buf)
-        self.up = _powers(_BASE, n + 1)
         self.prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[buf] * self.up[:n], out=self.prefix[1:])
-        self.down = _powers(_INVERSE, n + 1)
+        np.cumsum(_BYTE[buf] * _power_table("up", _BASE, n + 1)[:n], out=self.prefix[1:])
+        self.down = _power_table("down", _INVERSE, n + 1)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self.prefix[end] - self.prefix[start]) * self.down[start]
@@ -211,6 +220,18 @@ def _spans(first: np.ndarray, count: np.ndarray, gone: np.ndarray, width: int) -
     return run[b], first[run[b]] + j[b], first[run[e]] + j[e] + width
 
 
+def same_runs(h: Hashes, first: np.ndarray, count: np.ndarray, offset: np.ndarray, width: int) -> np.ndarray:
+    """Runs (in document order) with the bytes and the anchor of an earlier one."""
+    end = first + count - 1 + width
+    content = mix(h.of(first, end) + count.astype(np.uint64) * _BASE + offset.astype(np.uint64))
+    _, one, back = np.unique(content, return_index=True, return_inverse=True)
+    own = one[back]
+    copy = np.flatnonzero(own != np.arange(len(first)))
+    raw = memoryview(h.buf)
+    true = [raw[a:b] == raw[c:d] for a, b, c, d in zip(first[copy].tolist(), end[copy].tolist(), first[own[copy]].tolist(), end[own[copy]].tolist())]
+    return copy[np.array(true, bool)]
+
+
 def doc_bucket(doc: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(doc.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
@@ -228,7 +249,7 @@ _ANCHOR = [np.uint64, np.int64, np.uint32, np.int64, np.uint8, np.uint8]  # hash
 _SPAN = [np.int64, np.uint32, np.int64, np.int64]  # doc, tie, start, end
 
 
-def remove_repeats(docs: DataFrame, width: int = 100, gram: int = 24, per_bucket: int = 6 << 20, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 100, gram: int = 24, per_bucket: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """Remove each byte covered by a ``width``-byte string that also starts earlier
     (smaller id, or same document, earlier start); strings are judged on the input.
 
@@ -256,14 +277,8 @@ def remove_repeats(docs: DataFrame, width: int = 100, gram: int = 24, per_bucket
             ids, ties = np.array([r[0] for r in part], np.int64), np.array([r[1] for r in part], np.uint32)
             key = mix(h.of(anchor, anchor + gram))
             end = first + count - 1 + width
-            # runs with the bytes and anchor place of an earlier run of this task
-            content = mix(h.of(first, end) + count.astype(np.uint64) * _BASE + (anchor - first).astype(np.uint64))
-            _, one, back = np.unique(content, return_index=True, return_inverse=True)
-            own = one[back]
-            copy = np.flatnonzero(own != np.arange(len(first)))
-            raw = h.buf.tobytes()
-            true = [raw[first[i] : end[i]] == raw[first[own[i]] : end[own[i]]] for i in copy]
-            copy = copy[np.array(true, bool)] if len(copy) else copy
+            # settled here: runs equal to an earlier run of this task
+            copy = same_runs(h, first, count, anchor - first, width)
             d = doc[copy]
             yield from _by_bucket(1, doc_bucket(ids[d], buckets), [ids[d], ties[d], first[copy] - at[copy], end[copy] - at[copy]])
             left = np.ones(len(first), bool)
@@ -318,7 +333,13 @@ def remove_repeats(docs: DataFrame, width: int = 100, gram: int = 24, per_bucket
         place = np.cumsum(size) - size
         h = Hashes(np.frombuffer(b"".join(raws) + b"\0" * width, np.uint8))
         order = np.lexsort((first, ties, doc))
-        gone = repeated(h, key[order], offset[order], place[order], count[order], width)
+        key, offset, place, runs = key[order], offset[order], place[order], count[order]
+        # whole runs that came earlier need no sorting
+        copy = same_runs(h, place, runs, offset, width)
+        left = np.ones(len(runs), bool)
+        left[copy] = False
+        gone = np.ones(int(runs.sum()), bool)
+        gone[np.repeat(left, runs)] = repeated(h, key[left], offset[left], place[left], runs[left], width)
         run, start, end = _spans(first[order], count[order], gone, width)
         who = order[run]
         return pa.Table.from_pylist(list(_by_bucket(1, doc_bucket(doc[who], buckets), [doc[who], ties[who], start, end])), _BLOB)
@@ -367,7 +388,7 @@ def remove_repeats(docs: DataFrame, width: int = 100, gram: int = 24, per_bucket
     return final.select(ident, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if keep_text else []))
 
 
-def _parts(batches: Iterator[pa.RecordBatch], tie, most: int = 4 << 20) -> Iterator[list[tuple[int, int, bytes]]]:
+def _parts(batches: Iterator[pa.RecordBatch], tie, most: int = 2 << 20) -> Iterator[list[tuple[int, int, bytes]]]:
     """Rows (doc, tie, body) in parts of about ``most`` bytes; a longer text is a
     part of its own."""
     part, held = [], 0
