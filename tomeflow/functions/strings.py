@@ -117,7 +117,7 @@ def char_at(x: Str, index: Int) -> Column:
 
 
 def _all(x: Str, cls: str) -> Column:
-    return F.regexp_like(c(x), F.lit(f"(?s)^{cls}*$"))
+    return F.regexp_like(c(x), F.lit(f"\\A{cls}*\\z"))
 
 
 def is_alnum(x: Str) -> Column:

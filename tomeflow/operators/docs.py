@@ -39,8 +39,8 @@ def doc_commands(comments: DataFrame, key: list[str], body: str = "body") -> Dat
     head = rf"(?s)^\s*[@\\](?:{names})\b(?:\s*\[([^\]]*)\])?[ \t]*"
     rest = strip(F.regexp_replace("part", head, ""))
     named = section.isin("params", "tparams", "exceptions", "relates", "copybrief", "copydetails", "copydoc", "ref")
-    argument = F.when(named, F.regexp_extract(rest, r"^(\S+(?:\s*,\s*[^\s,]+)*)", 1))
-    literal = F.when(named, strip(F.regexp_replace(rest, r"^\S+(?:\s*,\s*[^\s,]+)*\s*", ""))).otherwise(rest)
+    argument = F.when(named, F.regexp_extract(rest, r"^([^\s,]+(?:\s*,\s*[^\s,]+)*)", 1))
+    literal = F.when(named, strip(F.regexp_replace(rest, r"^[^\s,]+(?:\s*,\s*[^\s,]+)*\s*", ""))).otherwise(rest)
     spec = F.regexp_replace(F.lower(F.regexp_extract("part", head, 1)), r"[\s,]+", "")
     direction = F.when(section == "params", F.when(spec.isin("inout", "outin"), "inout").when(spec == "in", "in").when(spec == "out", "out").otherwise("none"))
     return each.select(*key, "pos", F.when(command == "", None).otherwise(command).alias("command"), F.coalesce(section, F.lit("paragraph")).alias("section"), argument.alias("argument"), direction.alias("direction"), collapse_whitespace(literal).alias("literal"))

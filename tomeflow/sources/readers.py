@@ -20,7 +20,7 @@ HEADER_EXTENSIONS = ["h", "hh", "hpp", "hxx", "h++", "inc", "ipp", "tpp"]
 def scan_files(spark: SparkSession, dirs: list[str], recursive: bool = True, patterns: list[str] = ["*"], exclude: list[str] = [], exclude_patterns: list[str] = []) -> DataFrame:
     """(path, text) of whole files. Paths are filtered before any text is read:
     the file filter is on the path column alone."""
-    df = spark.read.option("wholetext", True).option("recursiveFileLookup", recursive).text(dirs)
+    df = spark.read.option("recursiveFileLookup", recursive).text(dirs, wholetext=True)
     path = F.regexp_replace(F.col("_metadata.file_path"), "^file:(//)?", "")
     rows = df.select(path.alias("path"), F.col("value").alias("text"))
     strip = lambda d: d.removeprefix("file://").removeprefix("file:")
@@ -31,7 +31,7 @@ def scan_files(spark: SparkSession, dirs: list[str], recursive: bool = True, pat
 def scan_compile_commands(spark: SparkSession, path: str) -> DataFrame:
     """(path, directory, command, pos): absolute, C and C++ files only, the first
     entry of a file wins."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.from_json("value", "array<struct<directory:string,file:string,command:string>>")).alias("pos", "e"))
+    raw = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", "array<struct<directory:string,file:string,command:string>>")).alias("pos", "e"))
     full = P.normalize(P.absolute(F.col("e.file"), F.col("e.directory")))
     rows = raw.select(full.alias("path"), F.col("e.directory").alias("directory"), F.col("e.command").alias("command"), "pos")
     ext = F.regexp_extract("path", r"\.([^./]+)$", 1)
@@ -67,7 +67,7 @@ def xml_nodes(spark: SparkSession, path: str, max_mb: int = 256) -> DataFrame:
                         e.clear()
                 yield pd.DataFrame(rows, columns=["path", "node_id", "parent_node_id", "tag", "attrs", "text"]).astype({"parent_node_id": "Int64"})
 
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     return files.mapInPandas(shred, NODES)
 
 
