@@ -378,7 +378,9 @@ def remove_repeats(docs: DataFrame, width: int = 100, gram: int = 24, per_bucket
             yield pa.RecordBatch.from_arrays([pa.array(bucket), b.column(0), b.column(1)], names=["bucket", "doc", "body"])
 
     texts = rows.mapInArrow(label, "bucket long, doc long, body binary").groupBy("bucket")
-    found = materialize(rows.mapInArrow(find, BLOB), "anchors")
+    # a row repeated whole must not count as an earlier copy of itself
+    once = rows.distinct() if tied else rows
+    found = materialize(once.mapInArrow(find, BLOB), "anchors")
     again = found.where("kind = 0").groupBy("bucket").applyInArrow(twice, BLOB)
     shipped = texts.cogroup(again.groupBy("bucket")).applyInArrow(contexts, BLOB)
     settled = shipped.groupBy("bucket").applyInArrow(settle, BLOB)
