@@ -60,6 +60,16 @@ RELATIONAL = ["operator!", "operator==", "operator!=", "operator<", "operator<="
 EXTRACTION = ["regular", "see-below", "implementation-defined", "dependency"]
 ACCESS = ["none", "public", "protected", "private"]
 STORAGE = ["none", "extern", "static", "auto", "register"]
+CONSTEXPR = ["none", "constexpr", "consteval"]
+REFERENCE = ["", "&", "&&"]
+QUALIFIERS = ["", "const", "volatile", "const volatile"]
+TYPE_KINDS = ["named", "decltype", "auto", "lvalue-reference", "rvalue-reference", "pointer", "member-pointer", "array", "function"]
+TEMPLATE_PARAMS = ["type", "constant", "template"]
+COPIED_PARTS = ["all", "brief", "description"]
+FUNDAMENTAL = [
+    "void", "std::nullptr_t", "bool", "char", "signed char", "unsigned char", "char8_t", "char16_t", "char32_t", "wchar_t", "short", "unsigned short",
+    "int", "unsigned int", "long", "unsigned long", "long long", "unsigned long long", "float", "double", "long double",
+]
 ADMONITION = ["none", "note", "tip", "important", "caution", "warning"]
 DIRECTION = ["none", "in", "out", "inout"]
 
