@@ -84,7 +84,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, trees: int = 40
     than ``k`` candidates give fewer rows. Vectors must have one width (rows of
     another width than a query's are no candidates of it). Rows repeated with one
     id and vector count once. ``share`` times the block's size is how many entries
-    (over all trees, repeats counted) end the ascent: raise it for recall.
+    (over all trees, repeats counted) end the ascent: raise it for recall. It ends
+    with more than ``k`` entries at least, or with all.
 
     Index blocks of about ``block`` rows and query blocks of ``query_block`` bound a
     task's memory; every query block meets every index block.
@@ -107,7 +108,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, trees: int = 40
             x, ids = np.stack(base["v"].to_numpy()), base["id"].to_numpy()
             q = np.stack(own["v"].to_numpy())
             forest = Forest(x, trees, bits, seed)
-            for qid, v, near in zip(own["id"].to_numpy(), q, forest.candidates(q, max(k + 1, int(share * len(x))))):
+            for qid, v, near in zip(own["id"].to_numpy(), q, forest.candidates(q, max(trees * (k + 1), int(share * len(x))))):
                 near = near[ids[near] != qid]
                 d = np.sqrt(((x[near] - v) ** 2).sum(1))
                 # ids ascend, so a stable sort gives ties to the smaller one
