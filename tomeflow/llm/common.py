@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -102,17 +104,50 @@ def gapless(df: DataFrame, order_key: str, ties: list[str], out: str, group: lis
     )
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
-    """Connected components by alternating large-star and small-star contraction.
+#: Up to so many links (of two integers each) one task contracts by union-find.
+TASK_LINKS = 1_000_000
 
-    ``edges`` has comparable node columns ``a`` and ``b``. Returns (node, root)
-    for every node of an edge, root being the component's smallest node. Degrees
-    are reduced by partial minima before any shuffle; each round is written to
-    the shared folder, so a lost executor costs one round at most.
+
+def union_find(pairs: Iterator[tuple[int, int]]) -> dict[int, int]:
+    """Root (the smallest node) of every node of the pairs."""
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        root = x
+        while up[root] != root:
+            root = up[root]
+        while up[x] != root:
+            up[x], x = root, up[x]
+        return root
+
+    for u, v in pairs:
+        up.setdefault(u, u)
+        up.setdefault(v, v)
+        x, y = find(u), find(v)
+        if x != y:
+            up[max(x, y)] = min(x, y)
+    return {x: find(x) for x in list(up)}
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60, native: bool = False, task_links: int = TASK_LINKS) -> DataFrame:
+    """Connected components of links between integer nodes ``a`` and ``b``: (node,
+    root) for every node of a link, root being the component's smallest node.
+
+    Links up to a counted bound are contracted in one task. More of them (or any,
+    if ``native``) go through alternating large-star and small-star contraction:
+    degrees are reduced by partial minima before any shuffle, and each round is
+    written to the shared folder, so a lost executor costs one round at most.
     """
     e = materialize(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "cc"
     )
+    if not native and e.limit(task_links + 1).count() <= task_links:
+
+        def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            root = union_find((u, v) for b in batches for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(root), pa.int64()), pa.array(list(root.values()), pa.int64())], names=["node", "root"])
+
+        return materialize(e.coalesce(1).mapInArrow(contract, "node long, root long"), "cc")
     for _ in range(max_rounds):
         # large star: larger neighbours of u point at the smallest neighbour
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

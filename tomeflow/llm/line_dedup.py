@@ -100,7 +100,7 @@ def line_dedup(docs: DataFrame, threshold: float = 0.8, width: int = 8, id_col:
         )
         return both.where(similar).select("a", "b")
 
-    labels = link(lists, payload, verify, match)
+    labels = link(lists, payload, verify, match, rounds=0, native=True)
     named = classes.join(labels, "node", "left").select("h1", "h2", "first", F.coalesce("root", "node").alias("root"))
     heads = named.groupBy("root").agg(F.min("first").alias("head"))
     heads = named.join(heads, "root").select("h1", "h2", "head")

@@ -2,10 +2,11 @@
 
 A list is a key with the nodes that carry it. Round one compares each node with
 two pivots of each of its lists, so a group of copies collapses by as many
-comparisons as it has rows. Round two looks only at lists that still hold
-several components, and compares a list's members outside its largest component
-with the rest; pairs are tested inside the join, and emitted once, for the first
-key they share. Every pair of a list thus is compared or already connected.
+comparisons as it has rows. Later rounds look only at lists that still hold
+several components and compare their members with a pivot drawn anew. At the end
+the members outside a list's largest component are compared with the rest; pairs
+are tested inside that join, and emitted once, for the first key they share.
+Every pair of a list thus is compared or already connected.
 """
 
 from __future__ import annotations
@@ -33,14 +34,28 @@ def star_pairs(shared: DataFrame) -> DataFrame:
     return pair.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
 
 
-def cross_pairs(lists: DataFrame, labels: DataFrame, payload: DataFrame, match: Callable[[str, str], Column]) -> DataFrame:
-    """(a, b) in one list but different components, for which ``match(l, r)`` holds
-    (columns of ``payload`` under those aliases, and ``l.key``)."""
+def mixed_lists(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, node, comp, major): lists with several components, and the largest."""
     roots = labels.withColumnRenamed("node", "__n")
-    labelled = lists.join(roots, F.col("node") == F.col("__n"), "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
+    labelled = shared.select("key", "node").join(roots, F.col("node") == F.col("__n"), "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
     sizes = labelled.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("__c"))
-    mixed = sizes.groupBy("key").agg(F.max_by("comp", "__c").alias("major"), F.count(F.lit(1)).alias("__k")).where("__k > 1").drop("__k")
-    rows = materialize(labelled.join(mixed, "key").join(payload, "node"), "cross")
+    major = sizes.groupBy("key").agg(F.max_by("comp", "__c").alias("major"), F.count(F.lit(1)).alias("__k")).where("__k > 1").drop("__k")
+    return materialize(labelled.join(major, "key"), "mixed")
+
+
+def drawn_pairs(mixed: DataFrame, draw: int, pivots: int = 3, hands: int = 4) -> DataFrame:
+    """Distinct (a, b) of members and pivots of their list drawn by hash. Lists of a
+    hand draw alike, so that the many lists of one group share a few pivots."""
+    drawn = [F.min_by(F.struct("node", "comp"), F.xxhash64(F.lit(draw * pivots + k), F.pmod("key", F.lit(hands)), "node")).alias(f"p{k}") for k in range(pivots)]
+    each = mixed.join(mixed.groupBy("key").agg(*drawn), "key").select("node", "comp", F.explode(F.array(*[f"p{k}" for k in range(pivots)])).alias("p"))
+    pair = each.where(F.col("comp") != F.col("p.comp"))
+    return pair.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
+
+
+def cross_pairs(mixed: DataFrame, payload: DataFrame, match: Callable[[str, str], Column]) -> DataFrame:
+    """(a, b) in one list but different components, for which ``match(l, r)`` holds
+    (columns of ``payload`` under those aliases, and ``l.key``)."""
+    rows = materialize(mixed.join(payload, "node"), "cross")
     on = (
         (F.col("l.key") == F.col("r.key"))
         & (F.col("l.comp") != F.col("r.comp"))
@@ -51,19 +66,30 @@ def cross_pairs(lists: DataFrame, labels: DataFrame, payload: DataFrame, match:
     return pairs.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"))
 
 
-def link(lists: DataFrame, payload: DataFrame, verify: Verify, match: Callable[[str, str], Column]) -> DataFrame:
-    """(node, root) of every node with a verified link. ``verify`` gets distinct
-    pairs (a, b) and returns the true links among them."""
-    shared = shared_lists(lists)
-    first = materialize(verify(star_pairs(shared)).select("a", "b"), "links")
-    labels = components(first)
-    second = materialize(verify(cross_pairs(shared.select("key", "node"), labels, payload, match)).select("a", "b"), "links")
-    if second.isEmpty():
-        return labels
-    # links between components: contract them alone, then relabel
+def relabel(labels: DataFrame, links: DataFrame, native: bool = False) -> DataFrame:
+    """``labels`` (node, root) after more links: components of roots are contracted."""
     node = labels.withColumnRenamed("node", "__n").withColumnRenamed("root", "__r")
-    up = second.join(node, F.col("a") == F.col("__n"), "left").select(F.coalesce("__r", "a").alias("a"), "b")
+    up = links.join(node, F.col("a") == F.col("__n"), "left").select(F.coalesce("__r", "a").alias("a"), "b")
     up = up.join(node, F.col("b") == F.col("__n"), "left").select("a", F.coalesce("__r", "b").alias("b"))
-    merged = components(up).select(F.col("node").alias("__old"), F.col("root").alias("__new"))
-    every = labels.union(second.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("root")))
-    return every.join(merged, F.col("root") == F.col("__old"), "left").select("node", F.coalesce("__new", "root").alias("root"))
+    merged = components(up, native=native).select(F.col("node").alias("__old"), F.col("root").alias("__new"))
+    fresh = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti")
+    every = labels.union(fresh.select("node", F.col("node").alias("root")))
+    joined = every.join(merged, F.col("root") == F.col("__old"), "left")
+    return materialize(joined.select("node", F.coalesce("__new", "root").alias("root")), "labels")
+
+
+def link(lists: DataFrame, payload: DataFrame, verify: Verify, match: Callable[[str, str], Column], rounds: int = 2, native: bool = False) -> DataFrame:
+    """(node, root) of every node with a verified link. ``verify`` gets distinct
+    pairs (a, b) and returns the true links among them. ``rounds`` of drawn pivots
+    only save comparisons in the last pass. ``native`` keeps to DataFrame functions."""
+    shared = shared_lists(lists)
+    labels = components(materialize(verify(star_pairs(shared)).select("a", "b"), "links"), native=native)
+    mixed = mixed_lists(shared, labels)
+    for draw in range(rounds):
+        links = materialize(verify(drawn_pairs(mixed, draw)).select("a", "b"), "links")
+        if links.isEmpty():
+            break
+        labels = relabel(labels, links, native)
+        mixed = mixed_lists(mixed, labels)
+    links = materialize(verify(cross_pairs(mixed, payload, match)).select("a", "b"), "links")
+    return labels if links.isEmpty() else relabel(labels, links, native)

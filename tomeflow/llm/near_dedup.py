@@ -159,7 +159,7 @@ def _estimate(a: Column, b: Column, k: int) -> Column:
     return F.size(F.array_intersect(F.array_intersect(a, b), union)) / F.size(union)
 
 
-def near_dedup(docs: DataFrame, threshold: int = 80, width: int = 5, k: int = 64, listed: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_dedup(docs: DataFrame, threshold: int = 80, width: int = 5, k: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: (id, n_shingles, component_id, kept).
 
     Documents are linked when 100 * |A & B| >= threshold * |A | B| over sets of
@@ -169,9 +169,11 @@ def near_dedup(docs: DataFrame, threshold: int = 80, width: int = 5, k: int = 64
     and a row is kept if that is its own id, so repeated rows of one id are kept
     together. Empty tables give empty results; other columns are ignored.
 
-    The first ``listed`` retained values are looked up. Two sets at the threshold
-    share fewer than ``listed * threshold / 200`` of them with a chance of about
-    one in a million; this many may be skipped, the most frequent ones are.
+    A document at the threshold shares at least ``threshold`` per cent of its values
+    with its partner; less 4.75 standard deviations of a sketch (nothing, if both
+    sketches hold whole sets), so many must be shared. Hence documents with fewer
+    values of more than one document have no link, and this many less one of the
+    most frequent values need no lookup: some rarer one is shared too.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -181,36 +183,44 @@ def near_dedup(docs: DataFrame, threshold: int = 80, width: int = 5, k: int = 64
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     # lists of the rarest retained values; a value of one document has no partner
-    head = classes.select("node", F.slice("sketch", 1, listed).alias("head"))
-    values = head.select("node", F.size("head").alias("m"), F.explode("head").alias("key"))
+    values = classes.select("node", "n", F.size("sketch").alias("m"), F.explode("sketch").alias("key"))
     often = values.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    need = F.greatest(F.lit(1), F.floor(F.first("m") * (share / 2)))
+    n, m = F.first("n"), F.first("m")
+    need = F.when(n * 100 <= threshold * k, F.floor((m * threshold + 99) / 100)).otherwise(F.greatest(F.lit(1), F.floor(m * share - 4.75 * F.sqrt(m * (share * (1 - share))))))
     by_rarity = values.join(often, "key").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("v"), need.cast("int").alias("t"))
     prefix = by_rarity.where(F.size("v") >= F.col("t")).select("node", F.array_sort(F.slice(F.col("v.key"), 1, F.size("v") - F.col("t") + 1)).alias("keys"))
     prefix = materialize(prefix, "prefix")
     lists = prefix.select(F.explode("keys").alias("key"), "node")
     sizes = classes.select("node", "n", "sketch")
-    payload = prefix.join(sizes, "node").select("node", "n", "keys", F.slice("sketch", 1, listed).alias("head"))
+    payload = prefix.join(sizes, "node")
+
+    def likely(a: Column, b: Column, na: Column, nb: Column) -> Column:
+        """Whether the union sketch allows the threshold: a sketch of the whole union
+        is exact, else 4.5 standard deviations are granted."""
+        margin = F.when(F.greatest(na, nb) * 2 <= k, 0.0).otherwise(4.5 * (share * (1 - share) / k) ** 0.5)
+        least = F.lit(share) - margin
+        # what both hold bounds the estimate, and is found faster
+        return (F.size(F.array_intersect(a, b)) >= least * F.greatest(F.size(a), F.size(b))) & (_estimate(a, b, k) >= least)
 
     def near(na: Column, nb: Column) -> Column:
         return F.least(na, nb) * 100 >= F.greatest(na, nb) * threshold
 
     def match(left: str, right: str) -> Column:
         a, b = (lambda c, side=side: F.col(f"{side}.{c}") for side in (left, right))
-        common = F.array_intersect(a("head"), b("head"))
-        need = F.floor(F.least(F.size(a("head")), F.size(b("head"))) * (share / 2))
-        return near(a("n"), b("n")) & (F.size(common) >= need) & (F.array_min(F.array_intersect(a("keys"), b("keys"))) == a("key"))
+        # emitted for the first common key; mostly that is the first of both
+        other = (F.get(a("keys"), F.lit(0)) == F.get(b("keys"), F.lit(0))) & (F.get(a("keys"), F.lit(0)) != a("key"))
+        first = ~other & (F.array_min(F.array_intersect(a("keys"), b("keys"))) == a("key"))
+        return near(a("n"), b("n")) & first & likely(a("sketch"), b("sketch"), a("n"), b("n"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         s = lambda x: sizes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
         joined = pairs.join(s("a"), "a").join(s("b"), "b").where(near(F.col("na"), F.col("nb")))
-        est = _estimate(F.col("sa"), F.col("sb"), k)
-        margin = 4.5 * F.sqrt(F.lit(share * (1 - share)) / F.least(F.lit(k), F.greatest("na", "nb")))
-        likely = materialize(joined.where(est >= share - margin).select("a", "b", "na", "nb"), "likely")
-        nodes = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        close = joined.where(likely(F.col("sa"), F.col("sb"), F.col("na"), F.col("nb")))
+        close = materialize(close.select("a", "b", "na", "nb"), "likely")
+        nodes = close.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         sets = materialize(full_sets(docs, classes.drop("sketch").join(nodes, "node", "left_semi"), width, id_col, text_col), "sets")
         x = lambda c: sets.select(F.col("node").alias(c), F.col("set").alias(f"x{c}"))
-        both = likely.join(x("a"), "a").join(x("b"), "b").withColumn("i", F.size(F.array_intersect("xa", "xb")))
+        both = close.join(x("a"), "a").join(x("b"), "b").withColumn("i", F.size(F.array_intersect("xa", "xb")))
         return both.where(F.col("i") * 100 >= (F.col("na") + F.col("nb") - F.col("i")) * threshold)
 
     labels = link(lists, payload, verify, match)
