@@ -87,16 +87,16 @@ def symbol_mode(name: Column, rules: SymbolRules) -> Column:
     )
 
 
-def literal_scope_modes(symbols: DataFrame, rules: SymbolRules, closure: DataFrame) -> DataFrame:
+def literal_scope_modes(symbols: DataFrame, rules: SymbolRules) -> DataFrame | None:
     """(id, literal_mode): a literal pattern naming an enclosing namespace acts
     as ``ns::**``; of several the earlier rule kind wins. No literals, no scan."""
     named = [(literal_text(g), mode) for mode, globs in ((DEPENDENCY, rules.exclude), (IMPLEMENTATION, rules.implementation_defined), (SEE_BELOW, rules.see_below), (REGULAR, rules.include)) for g in globs if is_literal(g)]
     if not named:
-        return symbols.select("id", F.lit(None).cast("int").alias("literal_mode")).limit(0)
+        return None
     patterns = symbols.sparkSession.createDataFrame(named, "__name string, __mode int")
     scopes = symbols.where("kind = 'namespace'").join(F.broadcast(patterns), F.col("qualified_name") == F.col("__name"))
     scopes = scopes.select(F.col("id").alias("__scope"), "__mode")
-    return closure.where("dist > 0").join(scopes, F.col("ancestor") == F.col("__scope")).groupBy("id").agg(F.max("__mode").alias("literal_mode"))
+    return ancestors(symbols).where("dist > 0").join(scopes, F.col("ancestor") == F.col("__scope")).groupBy("id").agg(F.max("__mode").alias("literal_mode"))
 
 
 def classify_symbols(symbols: DataFrame, rules: SymbolRules) -> DataFrame:
@@ -104,18 +104,18 @@ def classify_symbols(symbols: DataFrame, rules: SymbolRules) -> DataFrame:
     ``extraction`` 0..3. Levels are settled from the roots down (a parent's mode
     can bind its children), then prefix-only namespaces take the least specific
     mode of their children from the leaves up (F7)."""
-    closure = ancestors(symbols)
-    depth = closure.groupBy("id").agg(F.max("dist").alias("depth"))
-    literal = literal_scope_modes(symbols, rules, closure)
-    own = symbols.join(literal, "id", "left").join(depth, "id").select(
-        "id", "parent_id", "kind", "depth",
+    literal = literal_scope_modes(symbols, rules)
+    known = symbols.withColumn("literal_mode", F.lit(None).cast("int")) if literal is None else symbols.join(literal, "id", "left")
+    own = known.select(
+        "id", "parent_id", "kind",
         F.coalesce(symbol_mode(F.col("qualified_name"), rules), F.col("literal_mode")).alias("own"),
         ((F.col("kind") == "namespace") & glob_prefix_match(F.col("qualified_name"), rules.include + rules.see_below + rules.implementation_defined)).alias("prefix"),
     )
     own = materialize(own, "own-modes")
     default = REGULAR if not rules.include else DEPENDENCY
     mode = F.coalesce("own", F.when(F.col("prefix"), F.lit(DEPENDENCY)), F.lit(default))
-    seed = own.where("depth = 0").select("id", "kind", "depth", mode.alias("mode"), (F.col("own").isNull() & F.col("prefix")).alias("by_prefix"))
+    roots = own.join(own.select(F.col("id").alias("__k")), F.col("parent_id") == F.col("__k"), "left_anti")
+    seed = roots.select("id", "kind", mode.alias("mode"), (F.col("own").isNull() & F.col("prefix")).alias("by_prefix"))
 
     def down(front: DataFrame) -> DataFrame:
         top = front.select(F.col("id").alias("__p"), F.col("kind").alias("__k"), F.col("mode").alias("__m"), F.col("by_prefix").alias("__b"))
@@ -129,7 +129,7 @@ def classify_symbols(symbols: DataFrame, rules: SymbolRules) -> DataFrame:
         # F8: the parent's mode, unless it matched as a prefix only
         implied = F.when(~F.col("__b") & (F.col("__m") != DEPENDENCY), F.col("__m"))
         settled = F.coalesce(F.when(F.col("own") == DEPENDENCY, DEPENDENCY), bound, F.col("own"), implied, F.when(F.col("prefix"), F.lit(DEPENDENCY)), F.lit(default))
-        return j.select("id", "kind", "depth", settled.alias("mode"), (F.col("own").isNull() & implied.isNull() & bound.isNull() & F.col("prefix")).alias("by_prefix"))
+        return j.select("id", "kind", settled.alias("mode"), (F.col("own").isNull() & implied.isNull() & bound.isNull() & F.col("prefix")).alias("by_prefix"))
 
     levels = fixpoint(seed, down, tag="modes")
     below, out = None, []
