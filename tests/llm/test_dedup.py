@@ -74,10 +74,10 @@ def near_truth(rows, threshold):
     return want
 
 
-@pytest.mark.parametrize("threshold", [80, 85])
-def test_near_dedup(spark, threshold):
+@pytest.mark.parametrize("threshold,whole", [(80, 192), (85, 0)])
+def test_near_dedup(spark, threshold, whole):
     rows = corpus()
-    got = near_dedup.near_dedup(docs(spark, rows), threshold).collect()
+    got = near_dedup.near_dedup(docs(spark, rows), threshold, whole=whole).collect()
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got) == near_truth(rows, threshold)
 
 

@@ -76,7 +76,9 @@ def line_dedup(docs: DataFrame, threshold: float = 0.8, width: int = 8, id_col:
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "lines")
     sigs = classes.select("node", "sig")
     lists = sigs.select("node", F.explode(bands("sig")).alias("key"))
-    payload = sigs.select("node", "sig", F.array_sort(bands("sig")).alias("keys"))
+
+    def payload(nodes: DataFrame) -> DataFrame:
+        return sigs.join(nodes, "node", "left_semi").select("node", "sig", F.array_sort(bands("sig")).alias("keys"))
 
     def likely(a: Column, b: Column) -> Column:
         return F.size(F.array_intersect(a, b)) >= F.least(F.size(a), F.size(b)) * F.lit(threshold / 2)

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from tomeflow.llm.common import components, materialize
 
 Verify = Callable[[DataFrame], DataFrame]
+#: From nodes to the columns by which pairs of them are tested.
+Payload = Callable[[DataFrame], DataFrame]
 
 
 def shared_lists(lists: DataFrame) -> DataFrame:
@@ -52,10 +54,10 @@ def drawn_pairs(mixed: DataFrame, draw: int, pivots: int = 3, hands: int = 4) ->
     return pair.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
 
 
-def cross_pairs(mixed: DataFrame, payload: DataFrame, match: Callable[[str, str], Column]) -> DataFrame:
+def cross_pairs(mixed: DataFrame, payload: Payload, match: Callable[[str, str], Column]) -> DataFrame:
     """(a, b) in one list but different components, for which ``match(l, r)`` holds
-    (columns of ``payload`` under those aliases, and ``l.key``)."""
-    rows = materialize(mixed.join(payload, "node"), "cross")
+    (columns of ``payload(nodes)`` under those aliases, and ``l.key``)."""
+    rows = materialize(mixed.join(payload(mixed.select("node").distinct()), "node"), "cross")
     on = (
         (F.col("l.key") == F.col("r.key"))
         & (F.col("l.comp") != F.col("r.comp"))
@@ -78,7 +80,7 @@ def relabel(labels: DataFrame, links: DataFrame, native: bool = False) -> DataFr
     return materialize(joined.select("node", F.coalesce("__new", "root").alias("root")), "labels")
 
 
-def link(lists: DataFrame, payload: DataFrame, verify: Verify, match: Callable[[str, str], Column], rounds: int = 2, native: bool = False) -> DataFrame:
+def link(lists: DataFrame, payload: Payload, verify: Verify, match: Callable[[str, str], Column], rounds: int = 2, native: bool = False) -> DataFrame:
     """(node, root) of every node with a verified link. ``verify`` gets distinct
     pairs (a, b) and returns the true links among them. ``rounds`` of drawn pivots
     only save comparisons in the last pass. ``native`` keeps to DataFrame functions."""

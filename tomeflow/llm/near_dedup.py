@@ -159,7 +159,7 @@ def _estimate(a: Column, b: Column, k: int) -> Column:
     return F.size(F.array_intersect(F.array_intersect(a, b), union)) / F.size(union)
 
 
-def near_dedup(docs: DataFrame, threshold: int = 80, width: int = 5, k: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_dedup(docs: DataFrame, threshold: int = 80, width: int = 5, k: int = 64, whole: int = 192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: (id, n_shingles, component_id, kept).
 
     Documents are linked when 100 * |A & B| >= threshold * |A | B| over sets of
@@ -173,7 +173,8 @@ def near_dedup(docs: DataFrame, threshold: int = 80, width: int = 5, k: int = 64
     with its partner; less 4.75 standard deviations of a sketch (nothing, if both
     sketches hold whole sets), so many must be shared. Hence documents with fewer
     values of more than one document have no link, and this many less one of the
-    most frequent values need no lookup: some rarer one is shared too.
+    most frequent values need no lookup: some rarer one is shared too. In the last
+    pass, sets of at most ``whole`` shingles are compared as they are.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -192,7 +193,13 @@ def near_dedup(docs: DataFrame, threshold: int = 80, width: int = 5, k: int = 64
     prefix = materialize(prefix, "prefix")
     lists = prefix.select(F.explode("keys").alias("key"), "node")
     sizes = classes.select("node", "n", "sketch")
-    payload = prefix.join(sizes, "node")
+
+    def payload(nodes: DataFrame) -> DataFrame:
+        """Keys and sketch of nodes that are still apart; whole sets of the shorter
+        ones, so that those pairs are settled where they meet."""
+        asked = materialize(classes.drop("sketch").join(nodes, "node", "left_semi"), "apart")
+        short = full_sets(docs, asked.where(F.col("n") <= whole), width, id_col, text_col)
+        return prefix.join(sizes, "node").join(nodes, "node", "left_semi").join(short, "node", "left")
 
     def likely(a: Column, b: Column, na: Column, nb: Column) -> Column:
         """Whether the union sketch allows the threshold: a sketch of the whole union
@@ -210,7 +217,10 @@ def near_dedup(docs: DataFrame, threshold: int = 80, width: int = 5, k: int = 64
         # emitted for the first common key; mostly that is the first of both
         other = (F.get(a("keys"), F.lit(0)) == F.get(b("keys"), F.lit(0))) & (F.get(a("keys"), F.lit(0)) != a("key"))
         first = ~other & (F.array_min(F.array_intersect(a("keys"), b("keys"))) == a("key"))
-        return near(a("n"), b("n")) & first & likely(a("sketch"), b("sketch"), a("n"), b("n"))
+        both = F.size(F.array_intersect(a("set"), b("set")))
+        exact = both * 100 >= (a("n") + b("n") - both) * threshold
+        settled = F.when(a("set").isNotNull() & b("set").isNotNull(), exact).otherwise(likely(a("sketch"), b("sketch"), a("n"), b("n")))
+        return near(a("n"), b("n")) & first & settled
 
     def verify(pairs: DataFrame) -> DataFrame:
         s = lambda x: sizes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
