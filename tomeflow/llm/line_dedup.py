@@ -28,9 +28,16 @@ def let(value: Column, body) -> Column:
 
 def shingles(line: str, width: int) -> Column:
     """Hashes of the character shingles of a line, repeats included; a line of
-    fewer than ``width`` characters is one shingle. UTF-16 gives every character
-    two bytes (rare ones four), so a shingle is a byte range."""
-    of = lambda raw: F.transform(F.sequence(F.lit(0), F.length(line) - width), lambda i: F.xxhash64(F.substring(raw, i * 2 + 1, F.lit(2 * width))))
+    fewer than ``width`` characters is one shingle. UTF-16 gives a character two
+    bytes, so a shingle is a byte range; lines with rarer characters, which take
+    four, are cut by UTF-32 ranges and hashed as the same UTF-16 bytes."""
+
+    def cut(raw: Column, unit: int, code) -> Column:
+        last = (F.length(raw) / unit).cast("int") - width
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(code(F.substring(raw, i * unit + 1, F.lit(unit * width)))))
+
+    rare = let(F.encode(line, "UTF-32"), lambda raw: cut(raw, 4, lambda c: F.encode(F.decode(c, "UTF-32"), "UTF-16BE")))
+    of = lambda raw: F.when(F.length(raw) == 2 * F.length(line), cut(raw, 2, lambda c: c)).otherwise(rare)
     return F.when(F.length(line) >= width, let(F.encode(line, "UTF-16BE"), of)).otherwise(F.array(F.xxhash64(F.encode(line, "UTF-16BE"))))
 
 
