@@ -1,5 +1,7 @@
 """Cases in which an operator once did less than the whole job."""
 
+import numpy as np
+
 from tomeflow.llm import line_dedup
 
 DOCS = "doc_id long, text string, source string"
@@ -22,3 +24,13 @@ def test_lines_of_rare_characters_are_read_to_the_end(spark):
 def test_rare_and_common_characters_share_shingles(spark):
     base = "the quick brown fox jumps over the lazy dog and runs along the river to the old mill by noon"
     assert kept_lines(spark, [(1, base), (2, base + "\U0001f600")]) == {1}
+
+
+def test_links_just_over_the_threshold_are_found(spark):
+    rng = np.random.default_rng(11)
+    text = lambda n: "".join(chr(97 + c) for c in rng.integers(0, 26, n))
+    rows = []
+    for k in range(3000):  # 81 of 101 shingles shared: similarity 0.802
+        stem = text(88)
+        rows += [(2 * k, stem + text(10)), (2 * k + 1, stem + text(10))]
+    assert kept_lines(spark, rows) == {2 * k for k in range(3000)}

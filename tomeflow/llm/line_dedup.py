@@ -1,8 +1,9 @@
 """Fuzzy line dedup by MinHash (DataFrame functions only).
 
 A line's set is its ``width``-character shingles; the signature is the set's
-smallest hashes. Bands are pairs of the five smallest: two lines of similarity
-0.8 share a band with a chance over 0.99. Equal lines are collapsed by a 128-bit
+smallest hashes. Bands are pairs of the ten smallest: two lines of similarity 0.8
+share no band with a chance of 4e-6, and too few values for the signature filter
+with one of 3e-6 (binomial of the union's smallest values). Equal lines are collapsed by a 128-bit
 hash first; candidates are filtered by signature, verified by exact Jaccard
 similarity of the shingle sets, and joined by union-find over links.
 """
@@ -18,7 +19,7 @@ from tomeflow.llm.common import materialize, only
 from tomeflow.llm.linking import link
 
 #: Values kept of a signature, and how many of them make bands.
-KEPT, BANDED = 16, 5
+KEPT, BANDED = 16, 10
 
 
 def let(value: Column, body) -> Column:
@@ -85,14 +86,20 @@ def line_dedup(docs: DataFrame, threshold: float = 0.8, width: int = 8, id_col:
     lists = sigs.select("node", F.explode(bands("sig")).alias("key"))
 
     def payload(nodes: DataFrame) -> DataFrame:
-        return sigs.join(nodes, "node", "left_semi").select("node", "sig", F.array_sort(bands("sig")).alias("keys"))
+        return sigs.join(nodes, "node", "left_semi").select("node", "sig")
 
     def likely(a: Column, b: Column) -> Column:
-        return F.size(F.array_intersect(a, b)) >= F.least(F.size(a), F.size(b)) * F.lit(threshold / 2)
+        """Whether the signatures allow the threshold: those of whole sets tell it,
+        else 4.75 standard deviations are granted."""
+        both, m = F.size(F.array_intersect(a, b)), F.least(F.size(a), F.size(b))
+        enough = both >= F.floor(m * threshold - 4.75 * F.sqrt(m * (threshold * (1 - threshold))))
+        return F.when(F.greatest(F.size(a), F.size(b)) < KEPT, both >= F.lit(threshold) * (F.size(a) + F.size(b) - both)).otherwise(enough)
 
     def match(left: str, right: str) -> Column:
         a, b = (lambda c, side=side: F.col(f"{side}.{c}") for side in (left, right))
-        return likely(a("sig"), b("sig")) & (F.array_min(F.array_intersect(a("keys"), b("keys"))) == a("key"))
+        # emitted for the band of the two least common values (a hash skips null)
+        common = F.array_intersect(F.slice(a("sig"), 1, BANDED), F.slice(b("sig"), 1, BANDED))
+        return (F.xxhash64(F.get(common, F.lit(0)), F.get(common, F.lit(1))) == a("key")) & likely(a("sig"), b("sig"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         s = lambda x: sigs.select(F.col("node").alias(x), F.col("sig").alias(f"s{x}"))
