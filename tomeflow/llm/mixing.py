@@ -2,8 +2,9 @@
 
 A source of size s and target share w gets the mean repetition rate
 w * total / s. Each document's count is the inverse of that Poisson
-distribution at a uniform number hashed from its id; documents are exploded by
-their counts and shuffled globally by a second hash.
+distribution at a uniform number hashed from its id, and from the row where
+several have one id or none; documents are exploded by their counts and shuffled
+globally by a second hash.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tomeflow.llm.common import gapless, partitions, uniform
+from tomeflow.llm.common import BROADCAST_KEYS, gapless, materialize, partitions, uniform
 
 #: Up to so many sources their rates are broadcast; beyond, they are joined with salt.
 BROADCAST_SOURCES = 50_000
@@ -47,19 +48,42 @@ def source_rates(docs: DataFrame, source_col: str, size: str, weights: dict[str
     return rates.withColumn("__cdf", F.when(F.col("__rate") > 0, cdf).otherwise(F.array(F.lit(1.0))))
 
 
+def _marked(docs: DataFrame, keys: DataFrame, on: list[str], mark: str) -> DataFrame:
+    """``docs`` with ``mark``: true where ``on`` occurs in the distinct ``keys``, else null."""
+    keys = materialize(keys.select(*[F.col(c).alias(f"__k{n}") for n, c in enumerate(on)], F.lit(True).alias(mark)), "keys")
+    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    same = [F.col(c).eqNullSafe(F.col(f"__k{n}")) for n, c in enumerate(on)]
+    return docs.join(F.broadcast(keys) if few else keys, same, "left").drop(*[f"__k{n}" for n in range(len(on))])
+
+
+def own_rows(docs: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` with ``__own``: what tells a row from others of its id (a hash of its
+    columns, and a row number for rows repeated whole); null for an id, null too,
+    of one row. Hashes skip nulls, so such rows hash by their id alone."""
+    rows = docs.select("*", F.monotonically_increasing_id().alias("__row"), F.xxhash64(*docs.columns).alias("__hash"))
+    counts = materialize(docs.select(F.col(id_col).alias("__id"), F.xxhash64(*docs.columns).alias("__hash")).groupBy("__id", "__hash").agg(F.count(F.lit(1)).alias("__n")), "rows")
+    repeated = counts.groupBy("__id").agg(F.sum("__n").alias("__n")).where("__n > 1")
+    rows = rows.withColumn("__id", F.col(id_col))
+    rows = _marked(_marked(rows, repeated, ["__id"], "__many"), counts.where("__n > 1"), ["__id", "__hash"], "__copy")
+    own = F.xxhash64("__hash", F.when(F.col("__copy"), F.col("__row")))
+    return rows.withColumn("__own", F.when(F.col("__many"), own)).drop("__row", "__hash", "__id", "__many", "__copy")
+
+
 def poisson_counts(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", size: str = "octet_length(text) + 16", weights: dict | None = None, volume: float = 1.0, seed: int = 23) -> DataFrame:
-    """``docs`` with ``__rate`` and ``__count``. Null sources form a source of
-    their own; a null size counts 16 bytes; rows of one id get equal counts."""
+    """``docs`` with ``__own`` (see ``own_rows``), ``__rate`` and ``__count``. Null
+    sources form a source of their own; a null size counts 16 bytes; every row has
+    its own draw, rows of one id or of none too."""
     size = f"coalesce({size}, 16)"
     rates = source_rates(docs, source_col, size, weights, volume)
+    docs = own_rows(docs, id_col)
     if rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         joined = docs.join(F.broadcast(rates), F.col(source_col).eqNullSafe(F.col("__source")))
     else:  # many sources: salt, so that a hot source is spread over tasks
         salts = partitions(docs.sparkSession)
         spread = rates.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        salted = docs.withColumn("__salt2", F.pmod(F.xxhash64(F.lit(seed + 2), id_col), F.lit(salts)).cast("int"))
+        salted = docs.withColumn("__salt2", F.pmod(F.xxhash64(F.lit(seed + 2), id_col, "__own"), F.lit(salts)).cast("int"))
         joined = salted.join(spread, F.col(source_col).eqNullSafe(F.col("__source")) & (F.col("__salt2") == F.col("__salt"))).drop("__salt", "__salt2")
-    u = uniform(F.col(id_col), seed=seed)
+    u = uniform(F.col(id_col), F.col("__own"), seed=seed)
     return joined.withColumn("__u", u).withColumn("__count", F.size(F.filter("__cdf", lambda c: c <= F.col("__u")))).drop("__source", "__cdf", "__u")
 
 
@@ -69,7 +93,7 @@ def poisson_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     exist. An empty table stays empty."""
     counted = poisson_counts(docs, id_col, source_col, size, weights, volume, seed).where("__count > 0")
     copies = counted.withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("__count") - 1))).drop("__rate", "__count")
-    keyed = copies.withColumn("mix_key", F.xxhash64(F.lit(seed + 1), id_col, "mix_copy"))
+    keyed = copies.withColumn("mix_key", F.xxhash64(F.lit(seed + 1), id_col, "mix_copy", "__own")).drop("__own")
     return keyed.repartition(partitions(docs.sparkSession), "mix_key").sortWithinPartitions("mix_key")
 
 
@@ -79,8 +103,8 @@ def mix_report(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sourc
     counted = poisson_counts(docs, id_col, source_col, size, weights, volume, seed).where("__count > 0")
     rows = counted.select(
         F.col(id_col).alias("__id"), F.col(source_col).alias("source"), F.col("__count").alias("n_copies"), F.round("__rate", 9).alias("rate"),
-        F.explode(F.sequence(F.lit(0), F.col("__count") - 1)).alias("copy"),
-    ).withColumn("__key", F.xxhash64(F.lit(seed + 1), "__id", "copy"))
+        F.explode(F.sequence(F.lit(0), F.col("__count") - 1)).alias("copy"), "__own",
+    ).withColumn("__key", F.xxhash64(F.lit(seed + 1), "__id", "copy", "__own")).drop("__own")
     ranked = gapless(rows, "__key", ["__id", "copy"], "position")
     return ranked.select(F.col("__id").alias(id_col), "source", "n_copies", "copy", "rate", F.col("position").cast("long").alias("position"))
 
