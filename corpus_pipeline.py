@@ -41,10 +41,16 @@ def stage_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def stage_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each component of near copies, the smallest id."""
-    result = near_dedup.near_dedup(docs, threshold=80)
-    kept = result.where("kept").select(F.col("doc_id").alias("__kept"))
-    return docs.join(kept.distinct(), F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi").select(docs.columns)
+    """Keep one document of each component of near copies, the smallest id (a null
+    id only where there is no other, then the smallest hash). Rows are told apart by
+    a hash of id and text, so null and repeated ids are rows like others; one of
+    rows repeated whole is kept. Blank texts are near to nothing."""
+    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
+    found = near_dedup.near_dedup(keyed, threshold=80, id_col="__key").select("__key", "component_id").distinct()
+    named = found.join(keyed.select("__key", "doc_id").distinct(), "__key")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__key")).alias("first"))
+    kept = first.select(F.col("first.__key").alias("__key"))
+    return keyed.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).select(docs.columns)
 
 
 def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
