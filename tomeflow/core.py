@@ -31,13 +31,13 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table made by ``materialize`` that nothing reads any more."""
-    path = getattr(df, "_tomeflow_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``materialize`` that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_tomeflow_path", None)
+        if path:
+            p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], max_iter: int = 64, tag: str = "fixpoint") -> list[DataFrame]:
