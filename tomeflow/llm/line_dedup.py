@@ -1,25 +1,31 @@
 """Fuzzy line dedup by MinHash (DataFrame functions only).
 
-A line's set is its ``width``-character shingles; the signature is the set's
-smallest hashes. Bands are pairs of the ten smallest: two lines of similarity 0.8
-share no band with a chance of 4e-6, and too few values for the signature filter
-with one of 3e-6 (binomial of the union's smallest values). Equal lines are collapsed by a 128-bit
-hash first; candidates are filtered by signature, verified by exact Jaccard
+A line's set is its ``width``-character shingles. One 32-bit hash of a shingle is
+ranked in ``VALUES`` ways, each by its distance (exclusive or) from a constant; the
+constants are spread evenly, so the smallest of each rank are a one-permutation
+signature whose empty places are filled from the next. Bands are pairs of values:
+two lines of similarity 0.8 share none of the twelve with a chance of 5e-6, and too
+few values for the signature filter with one of 2e-6 (4e-5 for sets of nine, the
+smallest that can be so alike in equal size). Equal lines are collapsed by a
+128-bit hash first; candidates are filtered by signature, verified by exact Jaccard
 similarity of the shingle sets, and joined by union-find over links.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
+import random
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tomeflow.llm.common import materialize, only
+from tomeflow.llm.common import discard, materialize, only
 from tomeflow.llm.linking import link
 
-#: Values kept of a signature, and how many of them make bands.
-KEPT, BANDED = 16, 10
+#: Values of a signature; two make a band.
+VALUES = 24
+#: Shingles hashed in one generated row, which saves look-ups of the line's group.
+STRIDE = 4
 
 
 def let(value: Column, body) -> Column:
@@ -29,35 +35,51 @@ def let(value: Column, body) -> Column:
 
 def shingles(line: str, width: int) -> Column:
     """Hashes of the character shingles of a line, repeats included; a line of
-    fewer than ``width`` characters is one shingle. UTF-16 gives a character two
-    bytes, so a shingle is a byte range; lines with rarer characters, which take
-    four, are cut by UTF-32 ranges and hashed as the same UTF-16 bytes."""
+    fewer than ``width`` characters is one shingle. UTF-32 gives every character
+    four bytes, so a shingle is a byte range."""
+    last = F.greatest(F.length(line) - width, F.lit(0))
+    return let(F.encode(line, "UTF-32"), lambda raw: F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substring(raw, i * 4 + 1, F.lit(4 * width)))))
 
-    def cut(raw: Column, unit: int, code) -> Column:
-        last = (F.length(raw) / unit).cast("int") - width
-        return F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(code(F.substring(raw, i * unit + 1, F.lit(unit * width)))))
 
-    rare = let(F.encode(line, "UTF-32"), lambda raw: cut(raw, 4, lambda c: F.encode(F.decode(c, "UTF-32"), "UTF-16BE")))
-    of = lambda raw: F.when(F.length(raw) == 2 * F.length(line), cut(raw, 2, lambda c: c)).otherwise(rare)
-    return F.when(F.length(line) >= width, let(F.encode(line, "UTF-16BE"), of)).otherwise(F.array(F.xxhash64(F.encode(line, "UTF-16BE"))))
+def ranks() -> list[Column]:
+    """The constants of a signature's ranks, in no order."""
+    step, drawn = (1 << 32) // VALUES, random.Random(7)
+    places = [k * step + drawn.randrange(step) - (1 << 31) for k in range(VALUES)]
+    drawn.shuffle(places)
+    return [F.lit(p).cast("int") for p in places]
 
 
-def signature(line: str, width: int) -> Column:
-    """The ``KEPT`` smallest distinct shingle hashes, ascending."""
+def signatures(rows: DataFrame, width: int, by: list[str], line: str = "line") -> DataFrame:
+    """(``by``, m0, m1, ...) for each distinct ``by`` of ``rows``, which names a line:
+    its smallest values. A line is unrolled to rows of ``STRIDE`` shingles (the last
+    one is repeated) that are combined where they are made, by flat minima in
+    generated code."""
+    last = F.greatest(F.length(line) - width, F.lit(0))
+    raw = rows.select(*by, last.alias("last"), F.encode(line, "UTF-32").alias("raw"))
+    spots = raw.select(*by, "last", "raw", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(STRIDE))).alias("at"))
+    value = lambda k: F.hash(F.substring("raw", F.least(F.col("at") + k, F.col("last")) * 4 + 1, F.lit(4 * width)))
+    values = spots.select(*by, *[value(k).alias(f"v{k}") for k in range(STRIDE)])
+    least = [F.min(F.least(*[F.col(f"v{k}").bitwiseXOR(r) for k in range(STRIDE)])).alias(f"m{j}") for j, r in enumerate(ranks())]
+    return values.groupBy(*by).agg(*least)
 
-    def smallest(h: Column) -> Column:
-        head = F.array_distinct(F.slice(h, 1, 4 * KEPT))
-        enough = (F.size(head) >= KEPT) | (F.size(h) <= 4 * KEPT)
-        return F.slice(F.when(enough, head).otherwise(F.array_distinct(h)), 1, KEPT)
 
-    return let(F.sort_array(shingles(line, width)), smallest)
+def band(k: int) -> Column:
+    """Key of band ``k``: its number and two values."""
+    return F.xxhash64(F.lit(k), F.col(f"m{k}"), F.col(f"m{k + VALUES // 2}"))
 
 
-def bands(sig: str) -> Column:
-    """Keys of a signature: hashed pairs of its first values (its only value)."""
-    value = lambda i: F.get(sig, F.lit(i))
-    pairs = [F.when(F.size(sig) > j, F.xxhash64(value(i), value(j))) for i, j in combinations(range(BANDED), 2)]
-    return F.array_compact(F.array(F.when(F.size(sig) == 1, F.xxhash64(value(0))), *pairs))
+def packed(k: int) -> Column:
+    """``s<k>``: the last bytes of the eight values from ``k`` on."""
+    byte = lambda j: F.shiftleft(F.col(f"m{k + j}").cast("long").bitwiseAND(F.lit(255)), 8 * j)
+    return reduce(lambda x, y: x.bitwiseOR(y), [byte(j) for j in range(8)]).alias(f"s{k}")
+
+
+def equal_bytes(a: Column, b: Column) -> Column:
+    """How many of the eight bytes of two numbers agree (by bit operations only)."""
+    fold = a.bitwiseXOR(b)
+    for bits in (4, 2, 1):
+        fold = fold.bitwiseOR(F.shiftrightunsigned(fold, bits))
+    return F.lit(8) - F.bit_count(fold.bitwiseAND(F.lit(0x0101010101010101)))
 
 
 def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -79,50 +101,45 @@ def line_dedup(docs: DataFrame, threshold: float = 0.8, width: int = 8, id_col:
     every = lines(docs, id_col, text_col)
     full = every.where(F.trim("line") != "")
     place = F.struct("doc_id", "line_no")
-    rows = full.select("doc_id", "line_no", "h1", "h2", signature("line", width).alias("sig"))
-    classes = rows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.first("sig").alias("sig"))
-    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "lines")
-    sigs = classes.select("node", "sig")
-    lists = sigs.select("node", F.explode(bands("sig")).alias("key"))
+    # each once on flat columns: places, and signatures; texts are not shuffled
+    firsts = full.select("h1", "h2", place.alias("place")).groupBy("h1", "h2").agg(F.min("place").alias("first"))
+    signed = firsts.join(signatures(full, width, ["h1", "h2"]), ["h1", "h2"])
+    classes = materialize(signed.withColumn("node", F.monotonically_increasing_id()), "lines")
+    sigs = classes.select("node", *[packed(k) for k in range(0, VALUES, 8)])
+    lists = classes.select("node", F.explode(F.array(*[band(k) for k in range(VALUES // 2)])).alias("key"))
 
     def payload(nodes: DataFrame) -> DataFrame:
-        return sigs.join(nodes, "node", "left_semi").select("node", "sig")
-
-    def likely(a: Column, b: Column) -> Column:
-        """Whether the signatures allow the threshold: those of whole sets tell it,
-        else 4.75 standard deviations are granted."""
-        both, m = F.size(F.array_intersect(a, b)), F.least(F.size(a), F.size(b))
-        enough = both >= F.floor(m * threshold - 4.75 * F.sqrt(m * (threshold * (1 - threshold))))
-        return F.when(F.greatest(F.size(a), F.size(b)) < KEPT, both >= F.lit(threshold) * (F.size(a) + F.size(b) - both)).otherwise(enough)
+        return sigs.join(nodes, "node", "left_semi")
 
-    def match(left: str, right: str) -> Column:
-        a, b = (lambda c, side=side: F.col(f"{side}.{c}") for side in (left, right))
-        # emitted for the band of the two least common values (a hash skips null)
-        common = F.array_intersect(F.slice(a("sig"), 1, BANDED), F.slice(b("sig"), 1, BANDED))
-        return (F.xxhash64(F.get(common, F.lit(0)), F.get(common, F.lit(1))) == a("key")) & likely(a("sig"), b("sig"))
+    def likely(a: str, b: str) -> Column:
+        """Whether the signatures allow the threshold, 4.75 standard deviations granted."""
+        same = reduce(lambda x, y: x + y, [equal_bytes(F.col(f"{a}s{k}"), F.col(f"{b}s{k}")) for k in range(0, VALUES, 8)])
+        return same >= int(VALUES * threshold - 4.75 * (VALUES * threshold * (1 - threshold)) ** 0.5)
 
     def verify(pairs: DataFrame) -> DataFrame:
-        s = lambda x: sigs.select(F.col("node").alias(x), F.col("sig").alias(f"s{x}"))
-        close = materialize(pairs.join(s("a"), "a").join(s("b"), "b").where(likely(F.col("sa"), F.col("sb"))).select("a", "b"), "likely")
+        s = lambda x: sigs.select(*[F.col(c).alias(x + c) for c in sigs.columns])
+        close = pairs.join(s("x"), F.col("a") == F.col("xnode")).join(s("y"), F.col("b") == F.col("ynode")).where(likely("x", "y"))
+        close = materialize(close.select("a", "b"), "likely")
         nodes = close.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         wanted = materialize(classes.select("node", "h1", "h2").join(nodes, "node", "left_semi"), "wanted")
-        text = only(every.select("h1", "h2", "line"), wanted, ["h1", "h2"]).dropDuplicates(["h1", "h2"])
-        text = materialize(text.join(wanted, ["h1", "h2"]).select("node", "line"), "texts")
-        t = lambda x: text.select(F.col("node").alias(x), F.col("line").alias(f"t{x}"))
-        both = close.join(t("a"), "a").join(t("b"), "b")
-        similar = let(
-            F.struct(F.array_distinct(shingles("ta", width)).alias("x"), F.array_distinct(shingles("tb", width)).alias("y")),
-            lambda s: let(F.size(F.array_intersect(s["x"], s["y"])), lambda i: i >= F.lit(threshold) * (F.size(s["x"]) + F.size(s["y"]) - i)),
-        )
-        return both.where(similar).select("a", "b")
-
-    labels = link(lists, payload, verify, match, rounds=0, native=True)
-    named = classes.join(labels, "node", "left").select("h1", "h2", "first", F.coalesce("root", "node").alias("root"))
-    heads = named.groupBy("root").agg(F.min("first").alias("head"))
-    heads = named.join(heads, "root").select("h1", "h2", "head")
+        text = only(every.select("h1", "h2", "line"), wanted, ["h1", "h2"]).dropDuplicates(["h1", "h2"]).join(wanted, ["h1", "h2"])
+        text = materialize(text.select("node", "line", F.size(F.array_distinct(shingles("line", width))).alias("n")), "texts")
+        t = lambda x: text.select(F.col("node").alias(x), F.col("line").alias(f"t{x}"), F.col("n").alias(f"n{x}"))
+        both = close.join(t("a"), "a").join(t("b"), "b").where(F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb"))
+        shared = F.size(F.array_intersect(shingles("ta", width), shingles("tb", width)))
+        links = materialize(both.where(let(shared, lambda i: i >= F.lit(threshold) * (F.col("na") + F.col("nb") - i))).select("a", "b"), "links")
+        discard(close, wanted, text)
+        return links
+
+    labels = link(lists, payload, verify, lambda left, right: likely(left + ".", right + "."), rounds=0, native=True)
+    # lines without a link are their own class's first
+    linked = classes.select("node", "h1", "h2", "first").join(labels, "node")
+    heads = linked.groupBy("root").agg(F.min("first").alias("head"))
+    heads = linked.join(heads, "root").select("h1", "h2", "head")
+    named = classes.select("h1", "h2", "first").join(heads, ["h1", "h2"], "left").select("h1", "h2", F.coalesce("head", "first").alias("head"))
     placed = every.select("doc_id", "line_no", F.trim("line") == "", "h1", "h2").toDF("doc_id", "line_no", "blank", "h1", "h2")
     blank = placed.where("blank").select("doc_id", "line_no", place.alias("head"))
-    out = placed.where("not blank").join(heads, ["h1", "h2"]).select("doc_id", "line_no", "head").union(blank)
+    out = placed.where("not blank").join(named, ["h1", "h2"]).select("doc_id", "line_no", "head").union(blank)
     return out.select(
         F.col("doc_id").alias(id_col), "line_no", F.col("head.doc_id").alias("component_doc_id"), F.col("head.line_no").alias("component_line_no"),
         F.col("head").eqNullSafe(place).alias("kept"),

@@ -1,12 +1,11 @@
 """Verified links within candidate lists, without a group's all-pairs join.
 
-A list is a key with the nodes that carry it. Round one compares each node with
-two pivots of each of its lists, so a group of copies collapses by as many
-comparisons as it has rows. Later rounds look only at lists that still hold
-several components and compare their members with a pivot drawn anew. At the end
-the members outside a list's largest component are compared with the rest; pairs
-are tested inside that join, and emitted once, for the first key they share.
-Every pair of a list thus is compared or already connected.
+A list is a key with the nodes that carry it, each once. Lists of two are a pair;
+in longer ones round one compares each node with two pivots, so a group of copies
+collapses by as many comparisons as it has rows. Later rounds look only at lists
+that still hold several components and compare their members with a pivot drawn
+anew. At the end the members outside a list's largest component are compared with
+the rest; pairs are tested inside that join. Every pair of a list thus is compared or already connected.
 """
 
 from __future__ import annotations
@@ -16,24 +15,30 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tomeflow.llm.common import components, materialize
+from tomeflow.llm.common import BROADCAST_KEYS, components, discard, materialize
 
 Verify = Callable[[DataFrame], DataFrame]
 #: From nodes to the columns by which pairs of them are tested.
 Payload = Callable[[DataFrame], DataFrame]
 
 
-def shared_lists(lists: DataFrame) -> DataFrame:
-    """(key, node, p0, p1): lists of two nodes or more, with two pivots each. The
-    pivots are minima and maxima, so a hot key is combined before any shuffle."""
-    pivots = lists.groupBy("key").agg(F.min("node").alias("p0"), F.max("node").alias("p1")).where("p0 <> p1")
-    return materialize(lists.join(pivots, "key"), "lists")
+def shared_lists(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pivots, members): (key, c, p0, p1) of lists of two nodes or more, with two
+    pivots each, and (key, node, p0, p1) of those of more than two. Pivots are minima
+    and maxima, so a hot key is combined before any shuffle, and most lists need no
+    look at their members."""
+    pivots = lists.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("p0"), F.max("node").alias("p1"))
+    pivots = materialize(pivots.where("p0 <> p1"), "pivots")
+    longer = pivots.where("c > 2").drop("c")
+    few = longer.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    return pivots, materialize(lists.join(F.broadcast(longer) if few else longer, "key"), "lists")
 
 
-def star_pairs(shared: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b, of each node with the pivots of each of its lists."""
-    pair = shared.select("node", F.explode(F.array("p0", "p1")).alias("p")).where("p <> node")
-    return pair.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
+def star_pairs(pivots: DataFrame, members: DataFrame) -> DataFrame:
+    """Distinct (a, b), a < b: lists of two, and each node with its lists' pivots."""
+    pair = members.select("node", F.explode(F.array("p0", "p1")).alias("p")).where("p <> node")
+    pair = pair.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"))
+    return pair.union(pivots.where("c = 2").select("p0", "p1")).distinct()
 
 
 def mixed_lists(shared: DataFrame, labels: DataFrame) -> DataFrame:
@@ -55,7 +60,7 @@ def drawn_pairs(mixed: DataFrame, draw: int, pivots: int = 3, hands: int = 4) ->
 
 
 def cross_pairs(mixed: DataFrame, payload: Payload, match: Callable[[str, str], Column]) -> DataFrame:
-    """(a, b) in one list but different components, for which ``match(l, r)`` holds
+    """Distinct (a, b) in one list but different components, for which ``match(l, r)`` holds
     (columns of ``payload(nodes)`` under those aliases, and ``l.key``)."""
     rows = materialize(mixed.join(payload(mixed.select("node").distinct()), "node"), "cross")
     on = (
@@ -65,7 +70,9 @@ def cross_pairs(mixed: DataFrame, payload: Payload, match: Callable[[str, str],
         & match("l", "r")
     )
     pairs = rows.where("comp <> major").alias("l").join(rows.alias("r"), on)
-    return pairs.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"))
+    pairs = materialize(pairs.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct(), "apart")
+    discard(rows)
+    return pairs
 
 
 def relabel(labels: DataFrame, links: DataFrame, native: bool = False) -> DataFrame:
@@ -82,16 +89,25 @@ def relabel(labels: DataFrame, links: DataFrame, native: bool = False) -> DataFr
 
 def link(lists: DataFrame, payload: Payload, verify: Verify, match: Callable[[str, str], Column], rounds: int = 2, native: bool = False) -> DataFrame:
     """(node, root) of every node with a verified link. ``verify`` gets distinct
-    pairs (a, b) and returns the true links among them. ``rounds`` of drawn pivots
-    only save comparisons in the last pass. ``native`` keeps to DataFrame functions."""
-    shared = shared_lists(lists)
-    labels = components(materialize(verify(star_pairs(shared)).select("a", "b"), "links"), native=native)
-    mixed = mixed_lists(shared, labels)
+    pairs (a, b) and returns a written table (a, b) of the true links among them.
+    ``rounds`` of drawn pivots only save comparisons in the last pass. ``native``
+    keeps to DataFrame functions."""
+    pivots, members = shared_lists(lists)
+    links = verify(star_pairs(pivots, members))
+    labels = components(links, native=native)
+    mixed = mixed_lists(members, labels)
+    discard(links, pivots, members)
     for draw in range(rounds):
-        links = materialize(verify(drawn_pairs(mixed, draw)).select("a", "b"), "links")
+        links = verify(drawn_pairs(mixed, draw))
         if links.isEmpty():
             break
         labels = relabel(labels, links, native)
-        mixed = mixed_lists(mixed, labels)
-    links = materialize(verify(cross_pairs(mixed, payload, match)).select("a", "b"), "links")
-    return labels if links.isEmpty() else relabel(labels, links, native)
+        last, mixed = mixed, mixed_lists(mixed, labels)
+        discard(links, last)
+    pairs = cross_pairs(mixed, payload, match)
+    links = verify(pairs)
+    discard(mixed, pairs)
+    if not links.isEmpty():
+        labels = relabel(labels, links, native)
+    discard(links)
+    return labels

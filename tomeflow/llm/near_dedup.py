@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tomeflow.llm.common import materialize, only, small_batches
+from tomeflow.llm.common import discard, materialize, only, small_batches
 from tomeflow.llm.exact_dedup import LOWER
 from tomeflow.llm.linking import link
 
@@ -231,7 +231,9 @@ def near_dedup(docs: DataFrame, threshold: int = 80, width: int = 5, k: int = 64
         sets = materialize(full_sets(docs, classes.drop("sketch").join(nodes, "node", "left_semi"), width, id_col, text_col), "sets")
         x = lambda c: sets.select(F.col("node").alias(c), F.col("set").alias(f"x{c}"))
         both = close.join(x("a"), "a").join(x("b"), "b").withColumn("i", F.size(F.array_intersect("xa", "xb")))
-        return both.where(F.col("i") * 100 >= (F.col("na") + F.col("nb") - F.col("i")) * threshold)
+        links = materialize(both.where(F.col("i") * 100 >= (F.col("na") + F.col("nb") - F.col("i")) * threshold).select("a", "b"), "links")
+        discard(close, sets)
+        return links
 
     labels = link(lists, payload, verify, match)
     named = classes.join(labels, "node", "left").select("f1", "f2", "n", "min_id", F.coalesce("root", "node").alias("root"))
