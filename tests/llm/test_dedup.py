@@ -6,7 +6,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from tomeflow.llm import line_dedup, near_dedup, suffix_dedup
+from tomeflow import core
+from tomeflow.llm import common, line_dedup, linking, near_dedup, suffix_dedup
 from tomeflow.llm.exact_dedup import LOWER
 
 DOCS = "doc_id long, text string, source string, kept boolean, component_id long, key long, node long, line string"
@@ -211,7 +212,38 @@ def test_empty_tables(spark):
     assert near_dedup.near_dedup(none).count() == 0 and line_dedup.line_dedup(none).count() == 0 and suffix_dedup.remove_repeats(none).count() == 0
 
 
-def test_line_dedup_runs_no_python(spark):
-    plan = line_dedup.lines(docs(spark, corpus()), "doc_id", "text").select(line_dedup.signature("line", 8).alias("s"))
-    text = plan._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in text and "Arrow" not in text
+def no_python(df):
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return not any(w in text for w in ("Python", "Arrow", "Pandas"))
+
+
+def test_line_dedup_runs_no_python(spark, monkeypatch):
+    """Neither what is written on the way nor the result."""
+    written = []
+    for module in (common, linking, line_dedup):
+        monkeypatch.setattr(module, "materialize", lambda df, tag: written.append((tag, no_python(df))) or core.materialize(df, tag))
+    out = line_dedup.line_dedup(docs(spark, corpus()))
+    assert no_python(out) and written and all(ok for _, ok in written), [tag for tag, ok in written if not ok]
+
+
+def test_bitmaps_lose_no_link(spark):
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    rows, sets = [], {}
+    for k in range(60):
+        words = [word() for _ in range(int(rng.integers(1, 60)))] * int(rng.integers(1, 3))
+        for v in range(3):
+            s = list(" ".join(words))
+            for _ in range(v):
+                s[int(rng.integers(len(s)))] = "Q"
+            s = "".join(s)
+            sets[k, v] = {s[i : i + 8] for i in range(max(1, len(s) - 7))}
+            rows.append((k, v, s))
+    found = line_dedup.bitmaps(spark.createDataFrame(rows, "k int, v int, line string"), 8, ["k", "v"]).collect()
+    bits = {(r["k"], r["v"]): (r["n"], [r[f"b{w}"] & (2**64 - 1) for w in range(line_dedup.WORDS)]) for r in found}
+    for a, x in sets.items():
+        n, words = bits[a]
+        assert sum(w.bit_count() for w in words) <= len(x) <= n
+        for v in range(3):
+            y = sets[a[0], v]
+            assert sum((p ^ q).bit_count() for p, q in zip(words, bits[a[0], v][1])) <= len(x ^ y)

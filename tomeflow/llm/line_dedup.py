@@ -9,6 +9,10 @@ few values for the signature filter with one of 2e-6 (4e-5 for sets of nine, the
 smallest that can be so alike in equal size). Equal lines are collapsed by a
 128-bit hash first; candidates are filtered by signature, verified by exact Jaccard
 similarity of the shingle sets, and joined by union-find over links.
+
+Lines that stay apart in a list of more than ``SMALL`` get a bitmap of their shingles. Two
+bitmaps differ in no more bits than two sets in elements, so lists are split by set
+size, and their members told apart where they meet, without losing a link.
 """
 
 from __future__ import annotations
@@ -19,13 +23,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tomeflow.llm.common import discard, materialize, only
+from tomeflow.llm.common import BROADCAST_KEYS, discard, materialize, only
 from tomeflow.llm.linking import link
 
 #: Values of a signature; two make a band.
 VALUES = 24
 #: Shingles hashed in one generated row, which saves look-ups of the line's group.
 STRIDE = 4
+#: 64-bit words of a bitmap.
+WORDS = 16
+#: Lists of up to so many lines give all their pairs.
+SMALL = 8
 
 
 def let(value: Column, body) -> Column:
@@ -49,18 +57,38 @@ def ranks() -> list[Column]:
     return [F.lit(p).cast("int") for p in places]
 
 
-def signatures(rows: DataFrame, width: int, by: list[str], line: str = "line") -> DataFrame:
-    """(``by``, m0, m1, ...) for each distinct ``by`` of ``rows``, which names a line:
-    its smallest values. A line is unrolled to rows of ``STRIDE`` shingles (the last
-    one is repeated) that are combined where they are made, by flat minima in
-    generated code."""
+def unrolled(rows: DataFrame, width: int, by: list[str], line: str = "line") -> DataFrame:
+    """(``by``, at, last, v0, v1, ...): hashes of a line's shingles, ``STRIDE`` in a row
+    (the last one is repeated)."""
     last = F.greatest(F.length(line) - width, F.lit(0))
     raw = rows.select(*by, last.alias("last"), F.encode(line, "UTF-32").alias("raw"))
     spots = raw.select(*by, "last", "raw", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(STRIDE))).alias("at"))
     value = lambda k: F.hash(F.substring("raw", F.least(F.col("at") + k, F.col("last")) * 4 + 1, F.lit(4 * width)))
-    values = spots.select(*by, *[value(k).alias(f"v{k}") for k in range(STRIDE)])
+    return spots.select(*by, "at", "last", *[value(k).alias(f"v{k}") for k in range(STRIDE)])
+
+
+def signatures(rows: DataFrame, width: int, by: list[str]) -> DataFrame:
+    """(``by``, rows, m0, m1, ...) for each distinct ``by``, which names a line: how
+    often it occurs and its smallest values. Rows are combined where they are made,
+    by flat minima in generated code."""
     least = [F.min(F.least(*[F.col(f"v{k}").bitwiseXOR(r) for k in range(STRIDE)])).alias(f"m{j}") for j, r in enumerate(ranks())]
-    return values.groupBy(*by).agg(*least)
+    return unrolled(rows, width, by).groupBy(*by).agg(F.count_if(F.col("at") == 0).alias("rows"), *least)
+
+
+def bitmaps(rows: DataFrame, width: int, by: list[str]) -> DataFrame:
+    """(``by``, n, b0, b1, ...): number of shingles, repeats included, and a bitmap of
+    64 * ``WORDS`` bits in which each shingle sets one."""
+    word = lambda k: F.col(f"v{k}").bitwiseAND(F.lit(WORDS - 1))
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(F.col(f"v{k}"), 4).bitwiseAND(F.lit(63)))
+    rows = unrolled(rows, width, by)
+    rows = rows.select(*by, "last", *[word(k).alias(f"w{k}") for k in range(STRIDE)], *[bit(k).alias(f"t{k}") for k in range(STRIDE)])
+    at = lambda w, k: F.when(F.col(f"w{k}") == w, F.col(f"t{k}")).otherwise(F.lit(0).cast("long"))
+    words = [F.bit_or(reduce(lambda x, y: x.bitwiseOR(y), [at(w, k) for k in range(STRIDE)])).alias(f"b{w}") for w in range(WORDS)]
+    return rows.groupBy(*by).agg((F.max("last") + 1).alias("n"), *words)
+
+
+def total(columns: list[Column]) -> Column:
+    return reduce(lambda x, y: x + y, columns)
 
 
 def band(k: int) -> Column:
@@ -101,45 +129,81 @@ def line_dedup(docs: DataFrame, threshold: float = 0.8, width: int = 8, id_col:
     every = lines(docs, id_col, text_col)
     full = every.where(F.trim("line") != "")
     place = F.struct("doc_id", "line_no")
-    # each once on flat columns: places, and signatures; texts are not shuffled
-    firsts = full.select("h1", "h2", place.alias("place")).groupBy("h1", "h2").agg(F.min("place").alias("first"))
-    signed = firsts.join(signatures(full, width, ["h1", "h2"]), ["h1", "h2"])
-    classes = materialize(signed.withColumn("node", F.monotonically_increasing_id()), "lines")
+    classes = signatures(full, width, ["h1", "h2"]).withColumn("node", F.monotonically_increasing_id())
+    classes = materialize(classes, "lines")
     sigs = classes.select("node", *[packed(k) for k in range(0, VALUES, 8)])
     lists = classes.select("node", F.explode(F.array(*[band(k) for k in range(VALUES // 2)])).alias("key"))
 
-    def payload(nodes: DataFrame) -> DataFrame:
-        return sigs.join(nodes, "node", "left_semi")
-
     def likely(a: str, b: str) -> Column:
         """Whether the signatures allow the threshold, 4.75 standard deviations granted."""
-        same = reduce(lambda x, y: x + y, [equal_bytes(F.col(f"{a}s{k}"), F.col(f"{b}s{k}")) for k in range(0, VALUES, 8)])
+        same = total([equal_bytes(F.col(f"{a}s{k}"), F.col(f"{b}s{k}")) for k in range(0, VALUES, 8)])
         return same >= int(VALUES * threshold - 4.75 * (VALUES * threshold * (1 - threshold)) ** 0.5)
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        s = lambda x: sigs.select(*[F.col(c).alias(x + c) for c in sigs.columns])
-        close = pairs.join(s("x"), F.col("a") == F.col("xnode")).join(s("y"), F.col("b") == F.col("ynode")).where(likely("x", "y"))
-        close = materialize(close.select("a", "b"), "likely")
-        nodes = close.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    def whole(nodes: DataFrame, read) -> DataFrame:
+        """``read`` of the lines of ``nodes``, with their node."""
         wanted = materialize(classes.select("node", "h1", "h2").join(nodes, "node", "left_semi"), "wanted")
-        text = only(every.select("h1", "h2", "line"), wanted, ["h1", "h2"]).dropDuplicates(["h1", "h2"]).join(wanted, ["h1", "h2"])
-        text = materialize(text.select("node", "line", F.size(F.array_distinct(shingles("line", width))).alias("n")), "texts")
-        t = lambda x: text.select(F.col("node").alias(x), F.col("line").alias(f"t{x}"), F.col("n").alias(f"n{x}"))
-        both = close.join(t("a"), "a").join(t("b"), "b").where(F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb"))
-        shared = F.size(F.array_intersect(shingles("ta", width), shingles("tb", width)))
-        links = materialize(both.where(let(shared, lambda i: i >= F.lit(threshold) * (F.col("na") + F.col("nb") - i))).select("a", "b"), "links")
-        discard(close, wanted, text)
+        out = read(only(full.select("h1", "h2", "line"), wanted, ["h1", "h2"])).join(wanted, ["h1", "h2"]).drop("h1", "h2")
+        out = materialize(out, "whole")
+        discard(wanted)
+        return out
+
+    def close(pairs: DataFrame) -> DataFrame:
+        s = lambda x: sigs.select(*[F.col(c).alias(x + c) for c in sigs.columns])
+        both = pairs.join(s("x"), F.col("a") == F.col("xnode")).join(s("y"), F.col("b") == F.col("ynode"))
+        return materialize(both.where(likely("x", "y")).select("a", "b"), "likely")
+
+    def allowed(a: str, b: str) -> Column:
+        """Whether the bitmaps allow the threshold."""
+        apart = total([F.bit_count(F.col(a + w).bitwiseXOR(F.col(b + w))) for w in words])
+        return apart <= F.lit((1 - threshold) / (1 + threshold)) * (F.col(a + "n") + F.col(b + "n"))
+
+    def exact(pairs: DataFrame) -> DataFrame:
+        """The pairs whose whole sets are as similar as the threshold."""
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        text = whole(nodes, lambda rows: rows.dropDuplicates(["h1", "h2"]))
+        bits = materialize(bitmaps(text, width, ["node"]), "bits")
+        m = lambda x: bits.select(*[F.col(c).alias(x + c) for c in bits.columns])
+        near = pairs.join(m("x"), F.col("a") == F.col("xnode")).join(m("y"), F.col("b") == F.col("ynode")).where(allowed("x", "y")).select("a", "b")
+        t = lambda x: text.select(F.col("node").alias(x), F.col("line").alias(f"t{x}"))
+        both = near.join(t("a"), "a").join(t("b"), "b")
+        similar = let(
+            F.struct(F.array_distinct(shingles("ta", width)).alias("x"), F.array_distinct(shingles("tb", width)).alias("y")),
+            lambda s: let(F.size(F.array_intersect(s["x"], s["y"])), lambda i: i >= F.lit(threshold) * (F.size(s["x"]) + F.size(s["y"]) - i)),
+        )
+        links = materialize(both.where(similar).select("a", "b"), "links")
+        discard(text, bits)
+        return links
+
+    maps: list[DataFrame] = []
+    words = [f"b{w}" for w in range(WORDS)]
+
+    def split(mixed: DataFrame) -> DataFrame:
+        """Lists of members whose set sizes can be near enough: a set is no smaller than
+        its bitmap and no larger than its shingles, repeats included."""
+        found = whole(mixed.select("node").distinct(), lambda rows: bitmaps(rows, width, ["h1", "h2"]))
+        maps.append(found.join(sigs, "node"))
+        level = lambda x: F.floor(F.log(x) / F.log(F.lit(threshold ** -2)))
+        least = total([F.bit_count(w) for w in words]).cast("double")
+        sizes = found.select("node", F.sequence(level(least), level(F.col("n") / threshold)).alias("levels"))
+        each = mixed.join(sizes, "node").select("key", "node", F.explode("levels").alias("level"))
+        return each.select(F.xxhash64("key", "level").alias("key"), "node")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        near = close(pairs)
+        links = exact(near)
+        discard(near)
         return links
 
-    labels = link(lists, payload, verify, lambda left, right: likely(left + ".", right + "."), rounds=0, native=True)
-    # lines without a link are their own class's first
-    linked = classes.select("node", "h1", "h2", "first").join(labels, "node")
-    heads = linked.groupBy("root").agg(F.min("first").alias("head"))
-    heads = linked.join(heads, "root").select("h1", "h2", "head")
-    named = classes.select("h1", "h2", "first").join(heads, ["h1", "h2"], "left").select("h1", "h2", F.coalesce("head", "first").alias("head"))
-    placed = every.select("doc_id", "line_no", F.trim("line") == "", "h1", "h2").toDF("doc_id", "line_no", "blank", "h1", "h2")
-    blank = placed.where("blank").select("doc_id", "line_no", place.alias("head"))
-    out = placed.where("not blank").join(named, ["h1", "h2"]).select("doc_id", "line_no", "head").union(blank)
+    match = lambda left, right: allowed(left + ".", right + ".") & likely(left + ".", right + ".")
+    labels = link(lists, lambda nodes: maps[0], verify, match, rounds=0, native=True, split=split, settle=exact, small=SMALL)
+    # lines that occur once and have no link stay as they are
+    linked = classes.select("node", "h1", "h2", "rows").join(labels, "node", "left").where("rows > 1 or root is not null")
+    linked = materialize(linked.select("h1", "h2", F.coalesce("root", "node").alias("root")), "linked")
+    few = linked.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    placed = every.select("doc_id", "line_no", "h1", "h2").join(F.broadcast(linked) if few else linked, ["h1", "h2"], "left").drop("h1", "h2")
+    heads = placed.where("root is not null").groupBy("root").agg(F.min(place).alias("head"))
+    heads = materialize(heads, "heads")
+    out = placed.join(F.broadcast(heads) if few else heads, "root", "left").select("doc_id", "line_no", F.coalesce("head", place).alias("head"))
     return out.select(
         F.col("doc_id").alias(id_col), "line_no", F.col("head.doc_id").alias("component_doc_id"), F.col("head.line_no").alias("component_line_no"),
         F.col("head").eqNullSafe(place).alias("kept"),

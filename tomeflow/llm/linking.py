@@ -1,8 +1,8 @@
 """Verified links within candidate lists, without a group's all-pairs join.
 
-A list is a key with the nodes that carry it, each once. Lists of two are a pair;
-in longer ones round one compares each node with two pivots, so a group of copies
-collapses by as many comparisons as it has rows. Later rounds look only at lists
+A list is a key with the nodes that carry it, each once. Lists of a few nodes give
+all their pairs; in longer ones round one compares each node with two pivots, so a
+group of copies collapses by as many comparisons as it has rows. Later rounds look only at lists
 that still hold several components and compare their members with a pivot drawn
 anew. At the end the members outside a list's largest component are compared with
 the rest; pairs are tested inside that join. Every pair of a list thus is compared or already connected.
@@ -24,21 +24,26 @@ Payload = Callable[[DataFrame], DataFrame]
 
 def shared_lists(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(pivots, members): (key, c, p0, p1) of lists of two nodes or more, with two
-    pivots each, and (key, node, p0, p1) of those of more than two. Pivots are minima
-    and maxima, so a hot key is combined before any shuffle, and most lists need no
-    look at their members."""
+    pivots each, and (key, node, c, p0, p1) of those of more than two. Pivots are
+    minima and maxima, so a hot key is combined before any shuffle, and most lists
+    need no look at their members."""
     pivots = lists.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("p0"), F.max("node").alias("p1"))
     pivots = materialize(pivots.where("p0 <> p1"), "pivots")
-    longer = pivots.where("c > 2").drop("c")
+    longer = pivots.where("c > 2")
     few = longer.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
     return pivots, materialize(lists.join(F.broadcast(longer) if few else longer, "key"), "lists")
 
 
-def star_pairs(pivots: DataFrame, members: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b: lists of two, and each node with its lists' pivots."""
-    pair = members.select("node", F.explode(F.array("p0", "p1")).alias("p")).where("p <> node")
-    pair = pair.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"))
-    return pair.union(pivots.where("c = 2").select("p0", "p1")).distinct()
+def star_pairs(pivots: DataFrame, members: DataFrame, small: int) -> DataFrame:
+    """Distinct (a, b), a < b: all pairs of lists of ``small`` nodes or fewer (a bound
+    of (small - 1) / 2 pairs for a row), and each node of others with their pivots."""
+    pair = members.where(F.col("c") > small).select("node", F.explode(F.array("p0", "p1")).alias("p")).where("p <> node")
+    pair = pair.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).union(pivots.where("c = 2").select("p0", "p1"))
+    if small > 2:
+        few = members.where(F.col("c") <= small)
+        other = few.select(F.col("key").alias("__k"), F.col("node").alias("b"))
+        pair = pair.union(few.join(other, (F.col("key") == F.col("__k")) & (F.col("node") < F.col("b"))).select("node", "b"))
+    return pair.distinct()
 
 
 def mixed_lists(shared: DataFrame, labels: DataFrame) -> DataFrame:
@@ -87,15 +92,20 @@ def relabel(labels: DataFrame, links: DataFrame, native: bool = False) -> DataFr
     return materialize(joined.select("node", F.coalesce("__new", "root").alias("root")), "labels")
 
 
-def link(lists: DataFrame, payload: Payload, verify: Verify, match: Callable[[str, str], Column], rounds: int = 2, native: bool = False) -> DataFrame:
+def link(
+    lists: DataFrame, payload: Payload, verify: Verify, match: Callable[[str, str], Column], rounds: int = 2, native: bool = False, split: Callable[[DataFrame], DataFrame] | None = None,
+    settle: Verify | None = None, small: int = 2,
+) -> DataFrame:
     """(node, root) of every node with a verified link. ``verify`` gets distinct
     pairs (a, b) and returns a written table (a, b) of the true links among them.
     ``rounds`` of drawn pivots only save comparisons in the last pass. ``native``
-    keeps to DataFrame functions."""
+    keeps to DataFrame functions. ``split`` makes finer lists (key, node) of those
+    that still hold several components; ``settle`` verifies the last pass's pairs
+    (``verify``, if not given). Lists of up to ``small`` nodes are settled by round one."""
     pivots, members = shared_lists(lists)
-    links = verify(star_pairs(pivots, members))
+    links = verify(star_pairs(pivots, members, small))
     labels = components(links, native=native)
-    mixed = mixed_lists(members, labels)
+    mixed = mixed_lists(members.where(F.col("c") > small), labels)
     discard(links, pivots, members)
     for draw in range(rounds):
         links = verify(drawn_pairs(mixed, draw))
@@ -104,8 +114,11 @@ def link(lists: DataFrame, payload: Payload, verify: Verify, match: Callable[[st
         labels = relabel(labels, links, native)
         last, mixed = mixed, mixed_lists(mixed, labels)
         discard(links, last)
+    if split:
+        last, mixed = mixed, mixed_lists(split(mixed.select("key", "node")), labels)
+        discard(last)
     pairs = cross_pairs(mixed, payload, match)
-    links = verify(pairs)
+    links = (settle or verify)(pairs)
     discard(mixed, pairs)
     if not links.isEmpty():
         labels = relabel(labels, links, native)
