@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tomeflow import core
-from tomeflow.operators import docs, filters, hierarchy, inherit, legible, lint, merge, order, overloads, relates, resolve
+from tomeflow.operators import docs, filters, hierarchy, inherit, legible, lint, merge, order, overloads, relates, resolve, rollup
 
 
 def rows(df, *cols):
@@ -63,15 +63,27 @@ def test_shadowed_and_special_members_are_not_inherited(spark):
         [("b", "b.f", "public", "function", "f", "()", "normal"), ("b", "b.g", "public", "function", "g", "(int)", "normal"), ("b", "b.c", "public", "function", "b", "()", "constructor"), ("b", "b.p", "private", "variable", "p", "", None), ("d", "d.g", "public", "function", "g", "(int)", "normal")],
         "parent_id string, child_id string, access string, kind string, name string, signature string, func_class string",
     )
-    e = spark.createDataFrame([("d", "b", "protected")], "derived_id string, base_id string, access string")
-    assert rows(inherit.base_members(e, m), "derived_id", "child_id", "access") == [("d", "b.f", "protected")]
+    e = lambda access: spark.createDataFrame([("d", "b", access)], "derived_id string, base_id string, access string")
+    assert rows(inherit.base_members(e("public"), m), "derived_id", "child_id", "access") == [("d", "b.f", "public")]
+    # shadowing is looked for within one access of the derived record
+    assert rows(inherit.base_members(e("protected"), m), "derived_id", "child_id", "access") == [("d", "b.f", "protected"), ("d", "b.g", "protected")]
+    assert rows(inherit.base_members(e("private"), m)) == []
+    assert len(rows(inherit.base_members(e("private"), m, private=True))) == 2
+
+
+def test_earlier_bases_shadow_later_ones(spark):
+    member = lambda rec: (rec, f"{rec}.f", "public", "function", "f", "()", "normal")
+    m = spark.createDataFrame([member("top"), member("b"), member("c")], "parent_id string, child_id string, access string, kind string, name string, signature string, func_class string")
+    e = spark.createDataFrame([("d", "a", "public", 0), ("d", "b", "public", 1), ("d", "c", "public", 2), ("a", "top", "public", 0)], "derived_id string, base_id string, access string, pos int")
+    # the first base has the member from its own base: order goes before depth
+    assert rows(inherit.base_members(e, m), "derived_id", "child_id", "depth") == [("a", "top.f", 1), ("d", "top.f", 2)]
 
 
 def test_inherit_modes(spark):
     i = spark.createDataFrame([("d", "x", "public"), ("d", "y", "public")], "derived_id string, child_id string, access string")
-    s = spark.createDataFrame([("d", 0), ("x", 3), ("y", 0)], "id string, extraction int")
+    s = spark.createDataFrame([("d", 0), ("x", 3), ("y", 1)], "id string, extraction int")
     got = {m: rows(inherit.inherit(i, s, m), "child_id", "copied", "extraction") for m in ("reference", "copy-dependencies", "copy-all")}
-    assert got == {"reference": [("y", False, 0)], "copy-dependencies": [("x", True, 0), ("y", False, 0)], "copy-all": [("x", True, 0), ("y", True, 0)]}
+    assert got == {"reference": [("y", False, 1)], "copy-dependencies": [("x", True, 0), ("y", False, 1)], "copy-all": [("x", True, 0), ("y", True, 1)]}
 
 
 def test_legible_names(spark):
@@ -124,6 +136,129 @@ def test_no_include_means_regular(spark):
     assert {r["id"]: r["extraction"] for r in got} == {"g": 0, "i": 0, "r": 0, "f": 0, "e": 3, "v": 3}
 
 
+def modes(spark, symbols, **rules):
+    t = spark.createDataFrame(symbols, "id string, parent_id string, kind string, name string")
+    q = hierarchy.qualified_names(t).select("id", "qualified_name")
+    return {r["id"]: r["extraction"] for r in filters.classify(t.join(q, "id"), filters.SymbolRules(**rules)).collect()}
+
+
+NESTED = [("a", None, "namespace", "a"), ("ab", "a", "namespace", "b"), ("abc", "ab", "record", "c"), ("f", "abc", "function", "f"), ("g", None, "function", "g")]
+
+
+@pytest.mark.parametrize("rules,want", [
+    # what is excluded binds its members before any include does
+    (dict(include=["a::**"], exclude=["a::b"]), {"ab": 3, "abc": 3, "f": 3}),
+    # implementation-defined is asked before see-below, of the symbol and then of its parent
+    (dict(see_below=["a"], implementation_defined=["a::b"]), {"a": 1, "ab": 2, "abc": 2, "f": 2}),
+    (dict(see_below=["a::b::c"], implementation_defined=["a::b"]), {"ab": 2, "abc": 2}),
+    # members of a see-below namespace are see-below, of such a record dependencies
+    (dict(see_below=["a::b"]), {"ab": 1, "abc": 1, "f": 3}),
+    # the nearest namespace that a literal pattern names
+    (dict(include=["a::b"], see_below=["a"]), {"a": 1, "ab": 1}),
+    # namespaces do not take a parent's mode, others do
+    (dict(include=["a"]), {"a": 0, "ab": 0, "abc": 0}),
+    (dict(include=["?"]), {"a": 0, "ab": 3, "abc": 3, "g": 0}),
+    # a namespace that only matches as a prefix takes its children's mode, and gives none
+    (dict(include=["a::b::c"]), {"a": 0, "ab": 0, "abc": 0, "f": 0}),
+    (dict(include=["a::b::d"]), {"a": 3, "ab": 3, "abc": 3, "f": 3}),
+    (dict(include=["a::b::x"], implementation_defined=["a::b::c"]), {"a": 2, "ab": 2, "abc": 2, "f": 2}),
+    # members of the global scope are members of something extracted
+    (dict(include=["a::b::c"]), {"g": 0}),
+])
+def test_symbol_modes(spark, rules, want):
+    got = modes(spark, NESTED, **rules)
+    assert {k: got[k] for k in want} == want
+
+
+def test_namespace_scopes_do_not_inherit_an_included_parent(spark):
+    rows_ = [("n", None, "namespace", "Abc"), ("d", "n", "namespace", "d"), ("r", "d", "record", "R")]
+    assert modes(spark, rows_, include=["A*"]) == {"n": 0, "d": 3, "r": 3}
+
+
+def test_any_file_without_input_directories(spark):
+    df = spark.createDataFrame([("/x/a.hpp",), ("/x/a.txt",), (None,)], "p string")
+    got = df.select("p", filters.file_filter(F.col("p"), filters.FileRules()).alias("k")).collect()
+    assert [r["k"] for r in got] == [True, False, False]
+
+
+def test_type_rules(spark):
+    cols = "access string, is_virtual boolean, is_anonymous boolean, kind string, is_static boolean, is_record_member boolean, is_implicit boolean, full_path string"
+    data = [
+        ("private", True, False, "function", False, True, True, "a.hpp"), ("private", False, False, "function", False, True, False, "a.hpp"), ("public", False, True, "record", False, False, False, "a.hpp"),
+        ("public", False, False, "record", False, False, False, "a.cpp"), ("public", False, False, "function", True, False, False, "a.hpp"), ("public", False, False, "function", True, True, False, "a.hpp"),
+    ]
+    got = spark.createDataFrame(data, cols).select(filters.type_filter(filters.TypeRules(private_virtual=True, local_classes=False)).alias("k")).collect()
+    assert [r["k"] for r in got] == [True, False, False, False, False, True]
+
+
+def chain(spark, n):
+    return spark.range(n).select(F.col("id"), F.when(F.col("id") > 0, F.col("id") - 1).alias("parent_id"), F.concat(F.lit("s"), "id").alias("name"), F.lit("namespace").alias("kind"))
+
+
+def test_deep_chains_are_complete(spark):
+    t = chain(spark, 200)
+    deepest = hierarchy.qualified_names(t).orderBy(F.desc("depth")).first()
+    assert deepest["depth"] == 199 and deepest["qualified_name"].count("::") == 199
+    assert hierarchy.ancestors(t).count() == 200 * 201 // 2
+    texts = t.select("id", F.when(F.col("id") == 0, "text").alias("text"))
+    copied = docs.copy_docs(texts, t.select("id", F.col("parent_id").alias("target_id"))).collect()
+    assert {r["id"]: r["depth"] for r in copied} == {k: k for k in range(200)}
+
+
+def test_cyclic_parents_raise(spark):
+    t = spark.createDataFrame([("a", "b"), ("b", "a")], "id string, parent_id string")
+    with pytest.raises(RuntimeError):
+        hierarchy.ancestors(t)
+    with pytest.raises(RuntimeError):
+        core.fixpoint(spark.range(1), lambda f: f, max_iter=3)
+
+
+def test_roll_up_changes_regular_namespaces_only(spark):
+    cols = "id string, parent_id string, kind string, has_doc boolean, extraction int"
+    s = spark.createDataFrame([
+        ("dep", None, "namespace", False, 3), ("r1", "dep", "record", False, 0), ("see", None, "namespace", False, 1), ("r2", "see", "record", False, 3),
+        ("reg", None, "namespace", False, 0), ("r3", "reg", "record", False, 3), ("doc", None, "namespace", True, 0), ("r4", "doc", "record", False, 3),
+        ("mix", None, "namespace", False, 0), ("r5", "mix", "record", False, 3), ("r6", "mix", "record", False, 2), ("imp", None, "namespace", False, 0), ("r7", "imp", "record", False, 2),
+        ("any", None, "namespace", False, 0), ("r8", "any", "record", False, 1), ("r9", "any", "record", False, 3), ("bare", None, "namespace", False, 0),
+    ], cols)
+    assert dict(rows(rollup.roll_up_modes(s), "id", "extraction")) == {"dep": 3, "see": 1, "reg": 3, "doc": 0, "mix": 0, "imp": 2, "any": 1, "bare": 0}
+
+
+def test_documented_is_an_optional_rank(spark):
+    cols = "k int, pos int, m_targ_count boolean, m_targs boolean, m_param_count boolean, m_documented boolean, m_params boolean, m_qualifiers boolean, m_noexcept boolean"
+    c = spark.createDataFrame([(1, 0, True, True, True, True, False, False, False), (1, 1, True, True, True, False, True, False, False), (2, 0, True, True, True, False, False, False, False), (2, 1, True, True, True, True, False, True, True)], cols)
+    assert rows(resolve.best_match(c, ["k"]), "k", "pos", "match_rank") == [(1, 1, 5), (2, 1, 4)]
+
+
+def test_relates_of_regular_documented_free_functions_only(spark):
+    f = spark.createDataFrame(
+        [("ok", 0, True, False, "namespace"), ("dep", 3, True, False, "namespace"), ("bare", 0, False, False, "namespace"), ("method", 0, True, True, "namespace"), ("inner", 0, True, False, "record")],
+        "id string, extraction int, has_doc boolean, is_record_method boolean, parent_kind string",
+    ).withColumns({"first_param_symbol": F.lit("b"), "first_param_kind": F.lit("lref"), "return_symbol": F.lit("hidden"), "return_targ_symbol": F.lit("e")})
+    records = spark.createDataFrame([("b", "record", 0), ("d", "record", 0), ("dd", "record", 3), ("hidden", "record", 3), ("e", "enum", 0)], "id string, kind string, extraction int")
+    bases = spark.createDataFrame([("d", "b"), ("dd", "b")], "derived_id string, base_id string")
+    friends = spark.createDataFrame([("b", "ok")], "record_id string, friend_id string")
+    assert rows(relates.auto_relates(f, records, bases, friends)) == [("ok", "d"), ("ok", "e")]
+
+
+def test_lint_asks_regular_documented_functions_only(spark):
+    cols = "id string, kind string, name string, qualified_name string, has_doc boolean, extraction int, is_deleted boolean, return_type string, full_path string, line int, col int"
+    s = spark.createDataFrame([(i, "function", "f", "n::f", doc, mode, gone, "int", "p", 1, 1) for i, doc, mode, gone in (("ok", True, 0, False), ("dep", True, 3, False), ("bare", False, 1, False), ("gone", True, 0, True))], cols)
+    p = spark.createDataFrame([(i, 0, "a") for i in ("ok", "dep", "bare", "gone")] + [("gone", 1, "")], "func_id string, pos int, name string")
+    d = spark.createDataFrame([(i, "b") for i in ("ok", "dep", "bare", "gone")], "func_id string, name string")
+    none = spark.createDataFrame([], "func_id string"), spark.createDataFrame([], "symbol_id string, literal string, target_id string")
+    got = rows(lint.lint(s, p, d, *none), "rule", "message")
+    assert got == [
+        ("missing-param", "n::f: Missing documentation for parameter 'a'"), ("missing-return", "n::f: Missing documentation for return value"),
+        ("unknown-param", "n::f: Documented parameter 'b' does not exist"), ("unknown-param", "n::f: Documented parameter 'b' does not exist"), ("unnamed-param", "n::f: 2nd parameter is unnamed"),
+    ]
+
+
+def test_returns_of_a_brief_keep_their_text(spark):
+    got = spark.createDataFrame([("Returns the size",), ("Get it",), ("Returnsx",), ("A thing",)], "b string").select(docs.returns_from_brief(F.col("b")).alias("r")).collect()
+    assert [r["r"] for r in got] == ["the size", "it", None, None]
+
+
 def test_doc_commands(spark):
     text = "Intro line\n@brief The  brief.\n@param[in,out] a, b Both\n@param c\n@throws std::error when bad\n@returns it\n"
     got = rows(docs.doc_commands(spark.createDataFrame([(1, text)], "id int, body string"), ["id"]), "section", "argument", "direction", "literal")
@@ -183,6 +318,9 @@ def test_ordinals(spark):
 def test_overload_briefs(spark):
     b = spark.createDataFrame([("s", "x", "normal", None, "f"), ("s", "x", "normal", None, "f"), ("t", "x", "normal", "Equality", "g"), ("t", "y", "normal", "Equality", "g")], "set_id string, brief string, func_class string, readable_name string, name string")
     assert rows(overloads.consensus_brief(b)) == [("s", "x"), ("t", "Equality operators")]
+    cols = "set_id string, brief string, func_class string, readable_name string, name string"
+    part = spark.createDataFrame([("one", "x", "normal", None, "f"), ("one", None, "normal", None, "f"), ("none", None, "normal", None, "g"), ("none", "", "normal", None, "g"), ("two", "x", "normal", None, "h"), ("two", "y", "normal", None, "h"), ("c", None, "constructor", None, "c")], cols)
+    assert rows(overloads.consensus_brief(part)) == [("c", "Constructors"), ("none", None), ("one", "x"), ("two", "h overloads")]
 
 
 def test_empty_tables(spark):

@@ -40,17 +40,19 @@ def discard(*tables: DataFrame) -> None:
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], max_iter: int = 64, tag: str = "fixpoint") -> list[DataFrame]:
+def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], max_iter: int = 1000, tag: str = "fixpoint") -> list[DataFrame]:
     """Frontiers seed, step(seed), step(step(seed)), ... until one is empty. Each is
     written to the shared folder, so that plans stay short and a lost executor
-    costs one round; ``max_iter`` bounds cyclic data."""
+    costs one round. Cyclic data must be ended by ``step``: more than ``max_iter``
+    rounds raise, nothing is cut off."""
     out = [materialize(seed, tag)]
-    for _ in range(max_iter):
+    while True:
         nxt = materialize(step(out[-1]), tag)
         if nxt.isEmpty():
-            break
+            return out
+        if len(out) > max_iter:
+            raise RuntimeError(f"{tag}: more than {max_iter} rounds (cyclic data?)")
         out.append(nxt)
-    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

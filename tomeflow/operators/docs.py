@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tomeflow.core import materialize
+from tomeflow.core import discard, materialize
 from tomeflow.functions.strings import collapse_whitespace, reindent, strip
 
 # Comment commands and the doc section each starts.
@@ -112,26 +112,26 @@ def split_brief(blocks: DataFrame, key: str, pos: str = "pos", kind: str = "kind
     return ranked.where("__brief").drop("__r", "__brief"), ranked.where("not __brief").drop("__r", "__brief")
 
 
-def copy_docs(docs: DataFrame, copies: DataFrame, max_depth: int = 32) -> DataFrame:
+def copy_docs(docs: DataFrame, copies: DataFrame) -> DataFrame:
     """(id, text, source, depth): texts of symbols that have none but copy
-    another's (``copies``: id, target_id), through chains; a symbol is settled once,
-    so a cycle resolves to nothing. ``docs``: id, text."""
+    another's (``copies``: id, target_id; of several targets the least), through
+    chains of any length, by pointer doubling; only ids travel. Cycles, and chains
+    that end in a symbol without text, resolve to nothing. ``docs``: id, text."""
     have = docs.where("text is not null and text <> ''").select("id", "text")
-    pending = copies.join(have.select("id"), "id", "left_anti").select("id", "target_id")
-    front = materialize(have.select("id", "text", F.col("id").alias("source"), F.lit(0).alias("depth")), "copies")
-    out = [front]
-    for k in range(1, max_depth + 1):
-        src = front.select(F.col("id").alias("__s"), "text", "source")
-        got = materialize(pending.join(src, F.col("target_id") == F.col("__s")).select("id", "text", "source", F.lit(k).alias("depth")).dropDuplicates(["id"]), "copies")
-        if got.isEmpty():
+    pending = copies.join(have.select("id"), "id", "left_anti").groupBy("id").agg(F.min("target_id").alias("at")).where("at is not null")
+    cur = materialize(pending.select("id", "at", F.lit(1).cast("long").alias("depth")), "copies")
+    reach, links = 1, cur.count()
+    while reach <= links:  # a chain is no longer than there are links
+        nxt = cur.select(F.col("id").alias("__i"), F.col("at").alias("__at"), F.col("depth").alias("__d"))
+        moved = cur.join(nxt, F.col("at") == F.col("__i"), "left").select("id", F.coalesce("__at", "at").alias("at"), (F.col("depth") + F.coalesce("__d", F.lit(0))).alias("depth"), F.col("__i").isNotNull().alias("more"))
+        last, cur = cur, materialize(moved, "copies")
+        discard(last)
+        if cur.where("more").isEmpty():
             break
-        out.append(got)
-        pending = materialize(pending.join(got.select("id"), "id", "left_anti"), "pending")
-        front = got
-    all_ = out[0]
-    for o in out[1:]:
-        all_ = all_.union(o)
-    return all_
+        reach *= 2
+    ends = cur.select("id", "at", F.col("depth").cast("int").alias("depth"))
+    copied = ends.join(have.select(F.col("id").alias("source"), "text"), F.col("at") == F.col("source")).select("id", "text", "source", "depth")
+    return have.select("id", "text", F.col("id").alias("source"), F.lit(0).alias("depth")).union(copied)
 
 
 def brief_of_type(params: DataFrame, briefs: DataFrame, type_col: str = "inner_type_id") -> DataFrame:
@@ -140,24 +140,116 @@ def brief_of_type(params: DataFrame, briefs: DataFrame, type_col: str = "inner_t
     return params.join(b, F.col(type_col) == F.col("__b"), "left").withColumn("doc", F.coalesce(F.when(F.col("doc") != "", F.col("doc")), "__brief")).drop("__b", "__brief")
 
 
-def auto_brief(func_class: Column, readable: Column, is_default: Column, is_copy: Column, is_move: Column, record: Column) -> Column:
-    """Brief of a special function or operator."""
+# Operators that can have one operand, and two.
+UNARY = ["+", "-", "*", "&", "~", "!", "++", "--", " new", " delete", " new[]", " delete[]", " co_await"]
+BINARY = [
+    "+", "-", "*", "/", "%", "^", "&", "|", "<<", ">>", "=", "+=", "-=", "*=", "/=", "%=", "^=", "&=", "|=", "<<=", ">>=",
+    "==", "!=", "<", "<=", ">", ">=", "<=>", "&&", "||", "->*", "->", "()", "[]", ",",
+]
+# What a comparison returns true for.
+COMPARISONS = {
+    "==": "the objects are equal", "!=": "the objects are not equal", "<": "the left object is less than the right object",
+    "<=": "the left object is less than or equal to the right object", ">": "the left object is greater than the right object",
+    ">=": "the left object is greater than or equal to the right object", "!": "the object is falsy",
+}
+# How a brief that says what is returned begins.
+RETURN_PREFIXES = ["Returns ", "Return ", "Get ", "Gets ", "Determine ", "Determines "]
+
+
+def _is(operators: list[str]) -> Column:
+    return F.coalesce(F.col("operator"), F.lit("")).isin(["operator" + o for o in operators])
+
+
+def auto_brief() -> Column:
+    """Brief of a special function or operator, over func_class, is_default,
+    is_copy, is_move, param_count, param_type (innermost name of the first parameter),
+    return_type (innermost name), is_stream, is_copy_assign, is_move_assign and
+    readable_name (operator)."""
+    ctor = F.col("func_class") == "constructor"
     return (
-        F.when((func_class == "constructor") & is_default, F.lit("Default constructor"))
-        .when((func_class == "constructor") & is_copy, F.lit("Copy constructor"))
-        .when((func_class == "constructor") & is_move, F.lit("Move constructor"))
-        .when(func_class == "constructor", F.concat(F.lit("Construct a "), record))
-        .when(func_class == "destructor", F.lit("Destructor"))
-        .when(func_class == "conversion", F.lit("Conversion"))
-        .when(readable.isNotNull(), F.concat(readable, F.lit(" operator")))
+        F.when(ctor & F.col("is_default"), F.lit("Default constructor"))
+        .when(ctor & F.col("is_copy"), F.lit("Copy constructor"))
+        .when(ctor & F.col("is_move"), F.lit("Move constructor"))
+        .when(ctor & (F.col("param_count") == 1) & (F.col("param_type") != ""), F.concat(F.lit("Construct from "), "param_type"))
+        .when(ctor, F.lit("Constructor"))
+        .when(F.col("func_class") == "destructor", F.lit("Destructor"))
+        .when((F.col("func_class") == "conversion") & (F.col("return_type") != ""), F.concat(F.lit("Conversion to "), "return_type"))
+        .when(F.col("func_class") == "conversion", F.lit("Conversion operator"))
+        .when(F.col("is_stream"), F.lit("Stream insertion operator"))
+        .when(F.col("is_copy_assign"), F.lit("Copy assignment operator"))
+        .when(F.col("is_move_assign"), F.lit("Move assignment operator"))
+        .when(F.col("readable_name").isNotNull(), F.concat("readable_name", F.lit(" operator")))
     )
 
 
 def returns_from_brief(brief: Column) -> Column:
-    """The returned thing, from briefs that begin with Returns, Return, Get(s)
-    or Determine(s)."""
-    tail = F.regexp_extract(brief, r"(?s)^(?:Returns?|Gets?|Determines?)\s+(.*)$", 1)
-    return F.when(tail != "", F.concat(F.upper(F.substring(tail, 1, 1)), F.substring(tail, 2, 1 << 30)))
+    """The returned thing, from a plain brief that begins with a verb of
+    ``RETURN_PREFIXES``: what follows it, as it is."""
+    cut = [F.when(F.startswith(brief, F.lit(p)), F.substring(brief, len(p) + 1, 1 << 30)) for p in RETURN_PREFIXES]
+    return F.coalesce(*cut)
+
+
+def auto_returns() -> Column:
+    """What a special function returns, over func_class, operator, is_stream,
+    is_record_method, parent_id, return_kind (named, lref, rref, pointer),
+    return_symbol, return_type (innermost name), return_fundamental and return_brief
+    (of the innermost type)."""
+    own = F.coalesce(F.col("return_symbol") == F.col("parent_id"), F.lit(False))
+    kind = F.col("return_kind")
+    truth = F.coalesce(*[F.when(_is([o]), F.lit(f"true if {t}, false otherwise")) for o, t in COMPARISONS.items()])
+    return (
+        F.when(F.col("func_class") == "conversion", F.coalesce("return_brief", F.concat(F.lit("The object converted to "), "return_type")))
+        .when(F.coalesce("operator", F.lit("")) == "", None)
+        .when(F.col("is_stream"), F.lit("Reference to the current output stream"))
+        .when(kind == "lref", F.when(own, F.lit("Reference to the current object")))
+        .when(kind == "pointer", F.when(own, F.lit("Pointer to the current object")))
+        .when(_is(list(COMPARISONS)), F.when((kind == "named") & (F.col("return_fundamental") == "bool"), truth))
+        .when(_is(["<=>"]), F.lit("The relative order of the objects"))
+        .when(F.col("is_record_method") & own, F.when(kind == "rref", F.lit("Rvalue reference to the current object")).otherwise(F.lit("Another instance of the object")))
+    )
+
+
+def _operands() -> dict[str, Column]:
+    """Where a parameter of a function's row stands: name -> condition."""
+    pos, count, method = F.col("pos"), F.col("param_count"), F.col("is_record_method")
+    first, free = pos == 0, count + method.cast("int")
+    made = (F.col("func_class") == "constructor") | _is(["="])
+    return {
+        "made": first & method & made, "stream": (pos < 2) & F.col("is_stream"),
+        "binary": (pos + method.cast("int") < 2) & _is(BINARY) & (free == 2), "unary": first & ~method & _is(UNARY) & (count == 1),
+    }
+
+
+def auto_param_name() -> Column:
+    """Name of a parameter without one, over pos, name, names (the names that the
+    function has), param_count, func_class, operator, is_stream, is_record_method,
+    param_symbol and parent_id; null if no rule applies or the name is taken."""
+    at, left = _operands(), F.col("pos") + F.col("is_record_method").cast("int") == 0
+    other = F.coalesce(F.col("param_symbol") == F.col("parent_id"), F.lit(False))
+    free = lambda when, name: F.when(when & ~F.array_contains("names", name), name)
+    return F.coalesce(
+        F.when(F.col("name") != "", F.col("name")),
+        free(at["made"] & (F.col("param_count") == 1), F.when(other, "other").otherwise("value")),
+        free(at["stream"], F.when(F.col("pos") == 0, "os").otherwise("value")),
+        free(at["binary"], F.when(left, "lhs").otherwise("rhs")), free(at["unary"], F.lit("value")),
+    )
+
+
+def auto_param_doc() -> Column:
+    """Text of an undocumented parameter, over the columns of ``auto_param_name``,
+    param_kind (named, lref, rref, pointer), is_fundamental (its innermost type) and
+    type_brief (of the innermost type, J21)."""
+    at, left = _operands(), F.col("pos") + F.col("is_record_method").cast("int") == 0
+    plain = F.col("is_fundamental")
+    verb = F.when(_is(["="]), "assign").otherwise("construct")
+    how = F.when(plain, "").when(F.col("param_kind") == "lref", "copy ").when(F.col("param_kind") == "rref", "move ").otherwise("")
+    return (
+        F.when(at["made"], F.concat(F.lit("The "), F.when(plain, "value").otherwise("object"), F.lit(" to "), how, verb, F.lit(" from")))
+        .when(at["stream"], F.when(F.col("pos") == 0, "An output stream").otherwise("The object to output"))
+        .when(at["binary"], F.when(left, "The left operand").otherwise("The right operand"))
+        .when(at["unary"], F.lit("The operand"))
+        .otherwise(F.col("type_brief"))
+    )
 
 
 def _fields(array: Column, names: list[str]) -> Column:

@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 from tomeflow.core import fixpoint, materialize
 from tomeflow.functions import paths as P
 from tomeflow.functions.names import RELATIONAL
-from tomeflow.operators.globs import PATH, SYMBOL, glob_match, glob_prefix_match, is_literal, literal_text
-from tomeflow.operators.hierarchy import ancestors
+from tomeflow.operators.globs import PATH, glob_match, glob_prefix_match, is_literal
 
 REGULAR, SEE_BELOW, IMPLEMENTATION, DEPENDENCY = 0, 1, 2, 3
 
@@ -41,7 +40,7 @@ class TypeRules:
 
 @dataclass(frozen=True)
 class FileRules:
-    input: list[str]
+    input: list[str] = field(default_factory=list)
     recursive: bool = True
     exclude: list[str] = field(default_factory=list)
     exclude_patterns: list[str] = field(default_factory=list)
@@ -54,26 +53,27 @@ def _any(xs: list[Column]) -> Column:
 
 def type_filter(rules: TypeRules, file: str = "full_path") -> Column:
     """F2 over columns access, is_virtual, is_anonymous, kind, is_static,
-    is_record_member, is_local, is_implicit and the file's path."""
+    is_record_member, is_implicit and the file's path. Private members are judged by
+    the two private switches alone."""
     in_source = F.regexp_like(F.col(file), F.lit("\\.(cpp|cc|cxx|c)$"))
-    private = F.col("access") == "private"
     dropped = [
-        private & ~F.lit(rules.private) & ~(F.col("is_virtual") & F.lit(rules.private_virtual)),
         (F.col("kind") == "namespace") & F.col("is_anonymous") & ~F.lit(rules.anonymous_namespaces),
-        F.col("kind").isin("function", "variable") & F.col("is_static") & ~F.col("is_record_member") & in_source & ~F.lit(rules.static),
-        F.col("kind").isin("record", "enum") & F.col("is_local") & in_source & ~F.lit(rules.local_classes),
-        (F.col("kind") == "record") & F.col("is_anonymous") & F.coalesce(F.col("record_key") == "union", F.lit(False)),
+        F.col("kind").isin("function", "variable") & F.col("is_static") & ~F.col("is_record_member") & ~F.lit(rules.static),
+        (F.col("kind") == "record") & in_source & ~F.lit(rules.local_classes),
+        (F.col("kind") == "record") & F.col("is_anonymous"),
         F.col("is_implicit") & ~F.lit(rules.implicit),
     ]
-    return ~F.coalesce(_any(dropped), F.lit(False))
+    private = F.lit(rules.private) | (F.coalesce("is_virtual", F.lit(False)) & F.lit(rules.private_virtual))
+    return F.when(F.col("access") == "private", private).otherwise(~_any([F.coalesce(d, F.lit(False)) for d in dropped]))
 
 
 def file_filter(path: Column, rules: FileRules) -> Column:
-    """under an input directory, not excluded, and a wanted name."""
+    """under an input directory (anywhere, if there is none), not excluded, and a
+    wanted name."""
     under = [P.has_prefix(path, F.lit(d)) if rules.recursive else P.parent_dir(path) == P.make_dirsy(F.lit(d)) for d in rules.input]
     excluded = _any([P.has_prefix(path, F.lit(d)) for d in rules.exclude]) | glob_match(path, rules.exclude_patterns, PATH)
     named = glob_match(P.file_name(path), rules.file_patterns, PATH) if rules.file_patterns else F.lit(True)
-    return F.coalesce(_any(under) & ~excluded & named, F.lit(False))
+    return F.coalesce((_any(under) if rules.input else F.lit(True)) & ~excluded & named & path.isNotNull(), F.lit(False))
 
 
 def symbol_mode(name: Column, rules: SymbolRules) -> Column:
@@ -87,62 +87,93 @@ def symbol_mode(name: Column, rules: SymbolRules) -> Column:
     )
 
 
-def literal_scope_modes(symbols: DataFrame, rules: SymbolRules) -> DataFrame | None:
-    """(id, literal_mode): a literal pattern naming an enclosing namespace acts
-    as ``ns::**``; of several the earlier rule kind wins. No literals, no scan."""
-    named = [(literal_text(g), mode) for mode, globs in ((DEPENDENCY, rules.exclude), (IMPLEMENTATION, rules.implementation_defined), (SEE_BELOW, rules.see_below), (REGULAR, rules.include)) for g in globs if is_literal(g)]
-    if not named:
-        return None
-    patterns = symbols.sparkSession.createDataFrame(named, "__name string, __mode int")
-    scopes = symbols.where("kind = 'namespace'").join(F.broadcast(patterns), F.col("qualified_name") == F.col("__name"))
-    scopes = scopes.select(F.col("id").alias("__scope"), "__mode")
-    return ancestors(symbols).where("dist > 0").join(scopes, F.col("ancestor") == F.col("__scope")).groupBy("id").agg(F.max("__mode").alias("literal_mode"))
+def literal_mode(name: Column, rules: SymbolRules) -> Column:
+    """mode of the literal patterns that a namespace's name equals, else null."""
+    kinds = ((rules.implementation_defined, IMPLEMENTATION), (rules.see_below, SEE_BELOW), (rules.include, REGULAR))
+    return F.coalesce(F.lit(None).cast("int"), *[F.when(glob_match(name, [g for g in globs if is_literal(g)]), mode) for globs, mode in kinds])
+
+
+def implied_by_children(own: DataFrame, default: int) -> DataFrame:
+    """(id, implied): least specific mode of the children of namespaces that only
+    match as a prefix, judged by the patterns alone; null if all are dependencies.
+    Chains of such namespaces are settled from the leaves up."""
+    scopes = materialize(own.where("prefix").select("id", "parent_id"), "prefixes")
+    kids = own.where("not prefix").join(scopes.select(F.col("id").alias("__s")), F.col("parent_id") == F.col("__s"), "left_semi")
+    mode = F.coalesce("strict", F.lit(default))
+    least = kids.where(mode < DEPENDENCY).groupBy(F.col("parent_id").alias("__p")).agg(F.min(mode).alias("__m"))
+    known = materialize(scopes.join(least, F.col("id") == F.col("__p"), "left").select("id", "parent_id", F.col("__m").alias("implied")), "prefixes")
+    top = known.join(known.select(F.col("id").alias("__k")), F.col("parent_id") == F.col("__k"), "left_anti")
+
+    def down(front: DataFrame) -> DataFrame:
+        return known.join(front.select(F.col("id").alias("__k")), F.col("parent_id") == F.col("__k"), "left_semi")
+
+    below, out = None, []
+    for level in reversed(fixpoint(top, down, tag="prefixes")):
+        if below is not None:
+            deep = F.coalesce("implied", F.lit(default))
+            sub = below.where(deep < DEPENDENCY).groupBy(F.col("parent_id").alias("__p")).agg(F.min(deep).alias("__m"))
+            level = level.join(sub, F.col("id") == F.col("__p"), "left").select("id", "parent_id", F.least("implied", "__m").alias("implied"))
+            level = materialize(level, "prefixes")
+        below = level
+        out.append(level.select("id", "implied"))
+    return reduce(DataFrame.union, out)
 
 
 def classify_symbols(symbols: DataFrame, rules: SymbolRules) -> DataFrame:
     """``symbols`` (id, parent_id, kind, qualified_name, ...) with a column
-    ``extraction`` 0..3. Levels are settled from the roots down (a parent's mode
-    can bind its children), then prefix-only namespaces take the least specific
-    mode of their children from the leaves up (F7)."""
-    literal = literal_scope_modes(symbols, rules)
-    known = symbols.withColumn("literal_mode", F.lit(None).cast("int")) if literal is None else symbols.join(literal, "id", "left")
-    own = known.select(
-        "id", "parent_id", "kind",
-        F.coalesce(symbol_mode(F.col("qualified_name"), rules), F.col("literal_mode")).alias("own"),
-        ((F.col("kind") == "namespace") & glob_prefix_match(F.col("qualified_name"), rules.include + rules.see_below + rules.implementation_defined)).alias("prefix"),
-    )
+    ``extraction`` 0..3. A symbol without a parent row is a member of the global
+    scope, which is extracted.
+
+    From the roots down, the first of these rules decides: excluded itself, or (if
+    anything is excluded) its parent is a dependency; implementation-defined itself,
+    or its parent is; see-below itself, or its parent is (a record's members are
+    dependencies then); included itself; the nearest enclosing namespace that a
+    literal pattern names; for a namespace, what its children imply (F7); for
+    others, the mode of an extracted parent that did not only match as a prefix;
+    regular without any include pattern, else a dependency. Members of a namespace
+    that matched as a prefix are judged without their parent."""
+    name = F.col("qualified_name")
+    default = DEPENDENCY if rules.include else REGULAR
+    scopes = F.col("kind") == "namespace"
+    strict = symbol_mode(name, rules)
+    prefix = scopes & strict.isNull() & glob_prefix_match(F.concat(name, F.lit("::")), rules.include + rules.see_below + rules.implementation_defined)
+    own = symbols.select("id", "parent_id", "kind", strict.alias("strict"), prefix.alias("prefix"), F.when(scopes, literal_mode(name, rules)).alias("literal"))
     own = materialize(own, "own-modes")
-    default = REGULAR if not rules.include else DEPENDENCY
-    mode = F.coalesce("own", F.when(F.col("prefix"), F.lit(DEPENDENCY)), F.lit(default))
+    own = own.join(implied_by_children(own, default).withColumnRenamed("id", "__i"), F.col("id") == F.col("__i"), "left").drop("__i")
+    own = materialize(own, "own-modes")
+    none = F.lit(None)
+    root = {"__kind": none.cast("string"), "__mode": F.lit(REGULAR), "__by_prefix": F.lit(False), "__apart": F.lit(False), "__above": none.cast("int"), "__global": F.lit(True)}
+
+    def judged(rows: DataFrame) -> DataFrame:
+        c = F.col
+        parent = lambda mode: (c("__mode") == mode) & ~c("__global")
+        bound = F.coalesce(
+            F.when(c("strict") == DEPENDENCY, DEPENDENCY),
+            F.when(F.lit(bool(rules.exclude)) & parent(DEPENDENCY), DEPENDENCY),
+            F.when(c("strict") == IMPLEMENTATION, IMPLEMENTATION),
+            F.when(F.lit(bool(rules.implementation_defined)) & parent(IMPLEMENTATION), IMPLEMENTATION),
+            F.when(c("strict") == SEE_BELOW, SEE_BELOW),
+            F.when(F.lit(bool(rules.see_below)) & parent(SEE_BELOW), F.when(c("__kind") == "namespace", SEE_BELOW).otherwise(DEPENDENCY)),
+            F.when(c("strict") == REGULAR, REGULAR),
+            c("__above"),
+        )
+        bound = F.when(c("__apart"), c("strict")).otherwise(bound)
+        inherits = ~c("__apart") & ~scopes & (c("__mode") != DEPENDENCY) & ~c("__by_prefix")
+        mode = F.coalesce(bound, F.when(c("prefix"), c("implied")), F.when(inherits, c("__mode")), F.lit(default))
+        open_ = bound.isNull() & c("prefix")
+        return rows.select(
+            "id", "kind", mode.cast("int").alias("mode"), (open_ & c("implied").isNotNull()).alias("by_prefix"), open_.alias("apart"), F.coalesce("literal", "__above").alias("above"),
+        )
+
     roots = own.join(own.select(F.col("id").alias("__k")), F.col("parent_id") == F.col("__k"), "left_anti")
-    seed = roots.select("id", "kind", mode.alias("mode"), (F.col("own").isNull() & F.col("prefix")).alias("by_prefix"))
+    seed = judged(roots.withColumns(root))
 
     def down(front: DataFrame) -> DataFrame:
-        top = front.select(F.col("id").alias("__p"), F.col("kind").alias("__k"), F.col("mode").alias("__m"), F.col("by_prefix").alias("__b"))
-        j = own.join(top, F.col("parent_id") == F.col("__p"))
-        bound = (  # what the parent's mode forces
-            F.when((F.col("__m") == DEPENDENCY) & ~F.col("__b") & (F.col("own").isNull() | (F.col("own") == DEPENDENCY)), DEPENDENCY)
-            .when(F.col("__m") == IMPLEMENTATION, IMPLEMENTATION)
-            .when((F.col("__m") == SEE_BELOW) & (F.col("__k") == "namespace"), SEE_BELOW)
-            .when((F.col("__m") == SEE_BELOW) & (F.col("__k") == "record"), DEPENDENCY)
-        )
-        # F8: the parent's mode, unless it matched as a prefix only
-        implied = F.when(~F.col("__b") & (F.col("__m") != DEPENDENCY), F.col("__m"))
-        settled = F.coalesce(F.when(F.col("own") == DEPENDENCY, DEPENDENCY), bound, F.col("own"), implied, F.when(F.col("prefix"), F.lit(DEPENDENCY)), F.lit(default))
-        return j.select("id", "kind", settled.alias("mode"), (F.col("own").isNull() & implied.isNull() & bound.isNull() & F.col("prefix")).alias("by_prefix"))
+        top = front.select(F.col("id").alias("__p"), *[F.col(k).alias("__" + k) for k in ("kind", "mode", "by_prefix", "apart", "above")], F.lit(False).alias("__global"))
+        return judged(own.join(top, F.col("parent_id") == F.col("__p")))
 
-    levels = fixpoint(seed, down, tag="modes")
-    below, out = None, []
-    for level in reversed(levels):
-        if below is not None:
-            least = below.join(own.select("id", "parent_id"), "id").groupBy("parent_id").agg(F.min("mode").alias("__least")).withColumnRenamed("parent_id", "__pid")
-            level = level.join(least, F.col("id") == F.col("__pid"), "left").withColumn(
-                "mode", F.when(F.col("by_prefix"), F.coalesce("__least", "mode")).otherwise(F.col("mode"))
-            ).drop("__pid", "__least")
-            level = materialize(level, "modes-up")
-        below = level
-        out.append(level.select("id", F.col("mode").cast("int").alias("extraction")))
-    return symbols.join(reduce(DataFrame.union, out), "id")
+    modes = reduce(DataFrame.union, [level.select("id", F.col("mode").alias("extraction")) for level in fixpoint(seed, down, tag="modes")])
+    return symbols.join(modes, "id")
 
 
 def classify(symbols: DataFrame, rules: SymbolRules, types: TypeRules | None = None, files: FileRules | None = None) -> DataFrame:

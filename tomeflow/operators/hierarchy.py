@@ -1,53 +1,70 @@
 """Hierarchy and graph operators over (id, parent) and edge tables.
 
-Levels are walked by equi-joins of a frontier; each frontier is written to the
-shared folder (see ``core.fixpoint``), so work is linear in the closure's size.
+Paths and ancestors are found by pointer doubling: a tree of depth n takes log2(n)
+rounds, each written to the shared folder. Other closures walk a frontier (see
+``core.fixpoint``), so work is linear in the closure's size. Nothing is cut off:
+cyclic parents raise.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tomeflow.core import fixpoint
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
+from tomeflow.core import discard, fixpoint, materialize
 
-def ancestors(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent_id", max_depth: int = 64) -> DataFrame:
-    """(id, ancestor, dist), a node being its own ancestor at distance 0. Parents
-    that are not rows end a path."""
-    up = nodes.select(F.col(id_col).alias("__p"), F.col(parent_col).alias("__pp"))
-    seed = nodes.select(F.col(id_col).alias("id"), F.col(id_col).alias("ancestor"), F.lit(0).alias("dist"))
+#: Rounds of pointer doubling: 2 ** 16 levels are no tree, but a cycle.
+MOST_ROUNDS = 16
 
-    def step(front: DataFrame) -> DataFrame:
-        nxt = front.join(up, F.col("ancestor") == F.col("__p")).where(F.col("__pp").isNotNull())
-        known = nodes.select(F.col(id_col).alias("__k"))
-        return nxt.select("id", F.col("__pp").alias("ancestor"), (F.col("dist") + 1).alias("dist")).join(known, F.col("ancestor") == F.col("__k"), "left_semi")
 
-    return _union(fixpoint(seed, step, max_depth, "ancestors"))
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
 
-def paths(nodes: DataFrame, name: Column, id_col: str = "id", parent_col: str = "parent_id", max_depth: int = 64) -> DataFrame:
-    """(id, path, depth): names and sort keys from root to node, level by level.
-    ``name`` is any column expression over the nodes. Rows whose parent is missing
-    or null are roots."""
-    own = nodes.select(F.col(id_col).alias("id"), F.col(parent_col).alias("__up"), name.alias("__name"))
-    known = own.select(F.col("id").alias("__k"))
-    roots = own.join(known, F.col("__up") == F.col("__k"), "left_anti")
-    seed = roots.select("id", F.array("__name").alias("path"), F.lit(0).alias("depth"))
+def _parents(nodes: DataFrame, id_col: str, parent_col: str) -> DataFrame:
+    """(id, up): parents that are rows; null for roots."""
+    own = nodes.select(F.col(id_col).alias("id"), F.col(parent_col).alias("__up"))
+    known = own.select(F.col("id").alias("up")).distinct()
+    return own.join(known, F.col("__up") == F.col("up"), "left").select("id", "up")
 
-    def step(front: DataFrame) -> DataFrame:
-        top = front.select(F.col("id").alias("__t"), "path", "depth")
-        return own.join(top, F.col("__up") == F.col("__t")).select("id", F.concat("path", F.array("__name")).alias("path"), (F.col("depth") + 1).alias("depth"))
 
-    return _union(fixpoint(seed, step, max_depth, "paths"))
+def ancestors(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent_id") -> DataFrame:
+    """(id, ancestor, dist), a node being its own ancestor at distance 0. Parents
+    that are not rows end a path; cyclic parents raise."""
+    jump = materialize(_parents(nodes, id_col, parent_col).where("up is not null"), "jumps")
+    out = materialize(nodes.select(F.col(id_col).alias("id"), F.col(id_col).alias("ancestor"), F.lit(0).alias("dist")), "ancestors")
+    for k in range(MOST_ROUNDS):
+        if jump.isEmpty():
+            return out
+        over = jump.select(F.col("id").alias("__i"), F.col("up").alias("__u"))
+        far = over.join(out, F.col("__u") == F.col("id")).select(F.col("__i").alias("id"), "ancestor", (F.col("dist") + (1 << k)).alias("dist"))
+        further = over.join(jump, F.col("__u") == F.col("id")).select(F.col("__i").alias("id"), "up")
+        last, out = out, materialize(out.union(far), "ancestors")
+        old, jump = jump, materialize(further, "jumps")
+        discard(last, old)
+    raise RuntimeError("ancestors: cyclic parents")
+
+
+def paths(nodes: DataFrame, name: Column, id_col: str = "id", parent_col: str = "parent_id") -> DataFrame:
+    """(id, path, depth): names and sort keys from root to node. ``name`` is any column
+    expression over the nodes. Rows whose parent is missing or null are roots; cyclic
+    parents raise."""
+    named = nodes.select(F.col(id_col).alias("id"), F.col(parent_col).alias("__up"), F.array(name).alias("path"))
+    known = named.select(F.col("id").alias("up")).distinct()
+    cur = named.join(known, F.col("__up") == F.col("up"), "left").select("id", "up", "path", F.lit(0).alias("depth"))
+    cur = materialize(cur, "paths")
+    for _ in range(MOST_ROUNDS):
+        if cur.where("up is not null").isEmpty():
+            return cur.select("id", "path", "depth")
+        top = cur.select(F.col("id").alias("__i"), F.col("up").alias("__u"), F.col("path").alias("__path"), F.col("depth").alias("__d"))
+        moved = cur.join(top, F.col("up") == F.col("__i"), "left")
+        path = F.when(F.col("__i").isNull(), F.col("path")).otherwise(F.concat("__path", "path"))
+        last, cur = cur, materialize(moved.select("id", F.col("__u").alias("up"), path.alias("path"), (F.col("depth") + F.coalesce(F.col("__d") + 1, F.lit(0))).alias("depth")), "paths")
+        discard(last)
+    raise RuntimeError("paths: cyclic parents")
 
 
 def display_name(name: Column, kind: Column) -> Column:
@@ -78,10 +95,11 @@ def relative_name(target: Column, context: Column, sep: str = "::") -> Column:
     return F.when(shared == 0, F.concat(F.lit(sep), rest)).otherwise(rest)
 
 
-def traverse(members: DataFrame, symbols: DataFrame, ordered: bool = False, skip_inherited: bool = False, recursive: bool = False, max_depth: int = 64) -> DataFrame:
+def traverse(members: DataFrame, symbols: DataFrame, ordered: bool = False, skip_inherited: bool = False, recursive: bool = False) -> DataFrame:
     """(scope_id, child_id, depth[, idx]) over ``members`` (parent_id, grp, pos,
     child_id). ``skip_inherited`` keeps children whose own parent is the scope;
-    ``ordered`` numbers a scope's members by (name, id)."""
+    ``ordered`` numbers a scope's members by (name, id). Members that contain each
+    other raise."""
     own = symbols.select(F.col("id").alias("__id"), F.col("parent_id").alias("__owner"), F.col("name").alias("__name"))
     step = members.join(own, F.col("child_id") == F.col("__id"))
     if skip_inherited:
@@ -95,13 +113,13 @@ def traverse(members: DataFrame, symbols: DataFrame, ordered: bool = False, skip
             j = front.join(nxt, F.col("child_id") == F.col("__from"))
             return j.select("scope_id", F.col("__c").alias("child_id"), F.col("__n").alias("__name"), (F.col("depth") + 1).alias("depth"))
 
-        out = _union(fixpoint(out, deeper, max_depth, "traverse"))
+        out = _union(fixpoint(out, deeper, tag="traverse"))
     if ordered:
         out = out.withColumn("idx", F.row_number().over(Window.partitionBy("scope_id", "depth").orderBy("__name", "child_id")))
     return out.drop("__name")
 
 
-def transitive(edges: DataFrame, source: str, target: str, max_depth: int = 64) -> DataFrame:
+def transitive(edges: DataFrame, source: str, target: str) -> DataFrame:
     """Distinct (source, target) closure of an edge table; cycles end, as pairs
     seen before do not go on."""
     base = edges.select(F.col(source).alias("s"), F.col(target).alias("t")).where("s is not null and t is not null").distinct()
@@ -113,7 +131,7 @@ def transitive(edges: DataFrame, source: str, target: str, max_depth: int = 64)
         nxt = nxt.select("s", F.col("__t").alias("t")).distinct()
         return nxt.join(_union(seen), ["s", "t"], "left_anti")
 
-    out = _union(fixpoint(base, step, max_depth, "closure"))
+    out = _union(fixpoint(base, step, tag="closure"))
     return out.select(F.col("s").alias(source), F.col("t").alias(target))
 
 

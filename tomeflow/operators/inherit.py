@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,31 +27,35 @@ def inherited_access(base_access, member_access):
     )
 
 
-def base_members(bases: DataFrame, members: DataFrame, max_depth: int = 32) -> DataFrame:
-    """(derived_id, child_id, access, kind, name, sig, via): members inherited
-    from base records, level by level. ``members``: parent_id, child_id, access,
-    kind, name, signature, func_class. Constructors and destructors are skipped,
-    as are members shadowed by what the derived record has already."""
+def base_members(bases: DataFrame, members: DataFrame, private: bool = False) -> DataFrame:
+    """(derived_id, child_id, access, kind, name, depth): members inherited from
+    base records. ``bases``: derived_id, base_id, access and pos, the base's place
+    (by base_id, if there is no such column); ``members``: parent_id, child_id,
+    access, kind, name, signature, func_class. Constructors and destructors are
+    skipped, private bases count only if ``private``.
+
+    Bases are taken depth-first in their order: within an access of the derived
+    record, what it or an earlier base has already shadows a later member of that
+    signature. A record has no more paths to its bases than a class hierarchy; bases
+    that form a cycle raise."""
     own = members.select(F.col("parent_id").alias("rec"), "child_id", "access", "kind", "name", member_signature().alias("sig"), F.coalesce("func_class", F.lit("normal")).alias("cls"))
-    edges = bases.select(F.col("derived_id").alias("__d"), F.col("base_id").alias("__b"), F.col("access").alias("__acc"))
-    mine = own.select(F.col("rec").alias("__d"), "sig").distinct()
+    pos = F.col("pos") if "pos" in bases.columns else F.col("base_id")
+    edges = bases.select(F.col("derived_id").alias("__d"), F.col("base_id").alias("__b"), F.col("access").alias("__acc"), pos.alias("__pos"))
+    edges = edges if private else edges.where(F.col("__acc") != "private")
+    mine = own.select(F.col("rec").alias("__d"), "access", "sig").distinct()
 
     def pull(front: DataFrame) -> DataFrame:
         j = edges.join(front, F.col("__b") == F.col("rec")).where(~F.col("cls").isin("constructor", "destructor"))
         j = j.withColumn("access", inherited_access(F.col("__acc"), F.col("access"))).where("access is not null")
-        j = j.join(mine, ["__d", "sig"], "left_anti")
-        return j.select(F.col("__d").alias("rec"), "child_id", "access", "kind", "name", "sig", "cls", (F.col("depth") + 1).alias("depth")).dropDuplicates(["rec", "child_id"])
+        j = j.join(mine, ["__d", "access", "sig"], "left_anti")
+        return j.select(F.col("__d").alias("rec"), "child_id", "access", "kind", "name", "sig", "cls", F.concat(F.array("__pos"), "path").alias("path"))
 
-    levels = fixpoint(own.withColumn("depth", F.lit(0)), pull, max_depth, "inherit")
-    out = None
-    for level in levels[1:]:
-        out = level if out is None else out.union(level)
-    if out is None:
-        out = levels[0].limit(0)
-    # the nearest definition of a signature wins
-    near = out.groupBy(F.col("rec").alias("__r"), F.col("sig").alias("__g")).agg(F.min("depth").alias("__d"))
-    kept = out.join(near, (F.col("rec") == F.col("__r")) & (F.col("sig") == F.col("__g")) & (F.col("depth") == F.col("__d")))
-    return kept.select(F.col("rec").alias("derived_id"), "child_id", "access", "kind", "name", "depth").dropDuplicates(["derived_id", "child_id"])
+    empty = F.array(F.lit(None).cast(edges.schema["__pos"].dataType))
+    levels = fixpoint(own.withColumn("path", F.slice(empty, 1, 0)), pull, tag="inherit")
+    out = levels[0].limit(0) if len(levels) == 1 else reduce(DataFrame.union, levels[1:])
+    # the first path to a signature wins; public and protected members of a base go by access
+    first = out.groupBy("rec", "access", "sig").agg(F.min_by(F.struct("child_id", "kind", "name", "path"), F.struct("path", "child_id")).alias("m"))
+    return first.select(F.col("rec").alias("derived_id"), "m.child_id", "access", "m.kind", "m.name", F.size("m.path").alias("depth"))
 
 
 def copied_id(parent, original):
@@ -60,7 +66,8 @@ def copied_id(parent, original):
 def inherit(inherited: DataFrame, symbols: DataFrame, mode: str = "copy-dependencies") -> DataFrame:
     """``inherited`` with a final id: 'reference' keeps the original except for
     dependency members, which are not referenced; 'copy-dependencies' copies those;
-    'copy-all' copies every member. Copies take the derived record's mode."""
+    'copy-all' copies every member. Copies of dependencies take the derived record's
+    mode, others keep theirs."""
     s = symbols.select(F.col("id").alias("__c"), F.col("extraction").alias("__ce"))
     d = symbols.select(F.col("id").alias("__d"), F.col("extraction").alias("__de"))
     j = inherited.join(s, F.col("child_id") == F.col("__c")).join(d, F.col("derived_id") == F.col("__d"))
@@ -69,7 +76,7 @@ def inherit(inherited: DataFrame, symbols: DataFrame, mode: str = "copy-dependen
     copy = {"reference": F.lit(False), "copy-dependencies": F.col("__ce") == DEPENDENCY, "copy-all": F.lit(True)}[mode]
     return j.select(
         "derived_id", "child_id", "access", copy.alias("copied"), F.when(copy, copied_id(F.col("derived_id"), F.col("child_id"))).otherwise(F.col("child_id")).alias("member_id"),
-        F.when(copy, F.col("__de")).otherwise(F.col("__ce")).alias("extraction"),
+        F.when(copy & (F.col("__ce") == DEPENDENCY), F.col("__de")).otherwise(F.col("__ce")).alias("extraction"),
     )
 
 

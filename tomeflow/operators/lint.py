@@ -49,23 +49,29 @@ def rule(rows: DataFrame, name: str, message: Column, level: str = "warning") ->
 
 
 def lint(symbols: DataFrame, params: DataFrame, doc_params: DataFrame, returns: DataFrame, refs: DataFrame, switches: set[str] | None = None) -> DataFrame:
-    """The union of the rules that are on. ``symbols``: id, kind, name, has_doc,
-    extraction, return_type, full_path, line, col; ``params``: func_id, pos, name;
+    """The union of the rules that are on. ``symbols``: id, kind, name,
+    qualified_name, has_doc, extraction, is_deleted, return_type, full_path, line, col;
+    ``params``: func_id, pos, name;
     ``doc_params``: func_id, name; ``returns``: func_id; ``refs``: symbol_id,
-    literal, target_id. Each symbol is judged by its own row."""
-    place = symbols.select(F.col("id").alias("__id"), F.col("name").alias("__name"), "full_path", "line", "col")
+    literal, target_id. Parameter and return rules look at regular documented
+    functions only, and what is missing in a deleted one is no fault."""
+    place = symbols.select(F.col("id").alias("__id"), F.col("name").alias("__name"), F.col("qualified_name").alias("__qualified"), "full_path", "line", "col")
     at = lambda df, key: df.join(place, F.col(key) == F.col("__id"))
-    documented = symbols.where("has_doc and kind = 'function'").select(F.col("id").alias("func_id"))
+    functions = symbols.where("has_doc and kind = 'function' and extraction = 0")
+    documented = functions.select(F.col("id").alias("func_id"))
+    defined = functions.where(~F.coalesce("is_deleted", F.lit(False)))
+    judged = lambda df, of=documented: at(df.join(of, "func_id", "left_semi"), "func_id")
+    filled = defined.select(F.col("id").alias("func_id"))
     rules = {
         "undocumented": lambda: rule(symbols.where("not has_doc and extraction = 0 and kind not in ('namespace', 'enum-constant')"), "undocumented", F.concat("name", F.lit(": Symbol is undocumented"))),
-        "duplicate-param": lambda: rule(at(duplicates(doc_params, ["func_id", "name"]), "func_id"), "duplicate-param", F.concat("__name", F.lit(": Duplicate parameter documentation for '"), "name", F.lit("'"))),
-        "unknown-param": lambda: rule(at(unknown_params(params, doc_params), "func_id"), "unknown-param", F.concat("__name", F.lit(": Documented parameter '"), "name", F.lit("' does not exist"))),
-        "missing-param": lambda: rule(at(missing_params(params, doc_params).join(documented, "func_id", "left_semi"), "func_id"), "missing-param", F.concat("__name", F.lit(": Missing documentation for parameter '"), "name", F.lit("'"))),
+        "duplicate-param": lambda: rule(judged(duplicates(doc_params, ["func_id", "name"])), "duplicate-param", F.concat("__qualified", F.lit(": Duplicate parameter documentation for '"), "name", F.lit("'"))),
+        "unknown-param": lambda: rule(judged(unknown_params(params, doc_params)), "unknown-param", F.concat("__qualified", F.lit(": Documented parameter '"), "name", F.lit("' does not exist"))),
+        "missing-param": lambda: rule(judged(missing_params(params, doc_params), filled), "missing-param", F.concat("__qualified", F.lit(": Missing documentation for parameter '"), "name", F.lit("'"))),
         "missing-return": lambda: rule(
-            symbols.where("has_doc and kind = 'function' and return_type <> 'void' and return_type is not null").join(returns.select(F.col("func_id").alias("__r")), F.col("id") == F.col("__r"), "left_anti"),
-            "missing-return", F.concat("name", F.lit(": Missing documentation for return type"))),
-        "undocumented-enum-value": lambda: rule(symbols.where("not has_doc and kind = 'enum-constant'"), "undocumented-enum-value", F.concat("name", F.lit(": Missing documentation for enum value"))),
-        "unnamed-param": lambda: rule(at(params.where("name = ''").join(documented, "func_id", "left_semi"), "func_id"), "unnamed-param", F.concat("__name", F.lit(": "), ordinal(F.col("pos") + 1), F.lit(" parameter is unnamed"))),
+            defined.where("return_type <> 'void' and return_type is not null").join(returns.select(F.col("func_id").alias("__r")), F.col("id") == F.col("__r"), "left_anti"),
+            "missing-return", F.concat("qualified_name", F.lit(": Missing documentation for return value"))),
+        "undocumented-enum-value": lambda: rule(symbols.where("not has_doc and kind = 'enum-constant' and extraction = 0"), "undocumented-enum-value", F.concat("qualified_name", F.lit(": Missing documentation for enum value"))),
+        "unnamed-param": lambda: rule(judged(params.where("name = ''")), "unnamed-param", F.concat("__qualified", F.lit(": "), ordinal(F.col("pos") + 1), F.lit(" parameter is unnamed"))),
         "broken-reference": lambda: broken_references(refs, place),
     }
     return reduce(DataFrame.unionByName, [f() for k, f in rules.items() if switches is None or k in switches])

@@ -18,17 +18,19 @@ def fold_overloads(functions: DataFrame, keys: list[str], order: list[Column], i
 
 
 def consensus_brief(briefs: DataFrame, set_col: str = "set_id", brief_col: str = "brief") -> DataFrame:
-    """Brief of a set: the members' if all are equal, else the text of their
-    class, else of their operator, else '<name> overloads'. Columns: set, brief,
-    func_class, readable_name (operator), name."""
+    """Brief of a set: that of the members that have one, if it is the same; else
+    the text of their class, else of their operator, else, if their briefs differ,
+    '<name> overloads'. A set of plain functions without any brief has none. Columns:
+    set, brief, func_class, readable_name (operator), name."""
+    own = F.when(F.col(brief_col) != "", F.col(brief_col))
     g = briefs.groupBy(set_col).agg(
-        F.count_distinct(F.coalesce(brief_col, F.lit(""))).alias("__n"), F.min(brief_col).alias("__b"),
+        F.count_distinct(own).alias("__n"), F.min(own).alias("__b"),
         F.min("func_class").alias("__c"), F.min("readable_name").alias("__o"), F.min("name").alias("__name"),
     )
     by_class = F.when(F.col("__c") == "constructor", "Constructors").when(F.col("__c") == "destructor", "Destructors").when(F.col("__c") == "conversion", "Conversion operators")
     text = F.coalesce(
-        F.when((F.col("__n") == 1) & (F.coalesce("__b", F.lit("")) != ""), F.col("__b")), by_class,
-        F.concat(F.col("__o"), F.lit(" operators")), F.concat(F.col("__name"), F.lit(" overloads")),
+        F.when(F.col("__n") == 1, F.col("__b")), by_class, F.concat(F.col("__o"), F.lit(" operators")),
+        F.when(F.col("__n") > 1, F.concat(F.col("__name"), F.lit(" overloads"))),
     )
     return g.select(set_col, text.alias("brief"))
 

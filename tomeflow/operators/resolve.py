@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tomeflow.core import materialize
+from tomeflow.core import fixpoint, materialize
 from tomeflow.operators.filters import transparent
 
 
@@ -20,17 +22,18 @@ def existing(ids: DataFrame, symbols: DataFrame, id_col: str) -> DataFrame:
     return ids.join(symbols.select(F.col("id").alias("__sid")), F.col(id_col) == F.col("__sid"), "left_semi")
 
 
-def name_index(symbols: DataFrame, aliases: DataFrame | None = None, overloads: DataFrame | None = None, levels: int = 3) -> DataFrame:
+def name_index(symbols: DataFrame, aliases: DataFrame | None = None, overloads: DataFrame | None = None) -> DataFrame:
     """(scope_id, name, id, via): members by scope and name. Members of transparent
     scopes are found in the enclosing scope too (J6, ``via`` = levels skipped),
     those of a typedef's target under the typedef (J4: aliases id -> target_id),
     and an overload set stands for its members (overloads set_id -> member_id)."""
     index = symbols.where("parent_id is not null").select(F.col("parent_id").alias("scope_id"), "name", "id", F.lit(0).alias("via"))
     clear = symbols.where(transparent()).select(F.col("id").alias("__t"), F.col("parent_id").alias("__up"))
-    part = index
-    for k in range(1, levels + 1):
-        part = part.join(clear, F.col("scope_id") == F.col("__t")).select(F.col("__up").alias("scope_id"), "name", "id", F.lit(k).alias("via"))
-        index = index.union(part)
+
+    def outward(part: DataFrame) -> DataFrame:
+        return part.join(clear, F.col("scope_id") == F.col("__t")).where("__up is not null").select(F.col("__up").alias("scope_id"), "name", "id", (F.col("via") + 1).alias("via"))
+
+    index = reduce(DataFrame.union, fixpoint(index, outward, tag="names"))
     if aliases is not None:
         a = aliases.select(F.col("id").alias("__a"), "target_id")
         index = index.union(index.join(a, F.col("scope_id") == F.col("target_id")).select(F.col("__a").alias("scope_id"), "name", "id", "via"))
@@ -81,12 +84,13 @@ MATCH_RANKS = ["name", "targ-count", "targs", "param-count", "documented", "para
 def best_match(candidates: DataFrame, keys: list[str], pos: str = "pos") -> DataFrame:
     """Of candidates with boolean columns m_targ_count, m_targs, m_param_count,
     m_documented, m_params, m_qualifiers and m_noexcept, the one of the highest
-    rank; of equal ranks the first. A rank counts only if those below it hold."""
-    rank = F.lit(0)
-    chain = F.lit(True)
-    for c in ("m_targ_count", "m_targs", "m_param_count", "m_documented", "m_params", "m_qualifiers", "m_noexcept"):
-        chain = chain & F.coalesce(F.col(c), F.lit(False))
-        rank = rank + F.when(chain, 1).otherwise(0)
+    rank; of equal ranks the first. A rank counts only if those below it hold, but
+    for ``documented``: it prefers one of those whose parameters do not match."""
+    holds = {c: F.coalesce(F.col("m_" + c), F.lit(False)) for c in ("targ_count", "targs", "param_count", "documented", "params", "qualifiers", "noexcept")}
+    rank, chain = F.lit(0), F.lit(True)
+    for k, (c, ok) in enumerate(holds.items(), 1):
+        rank = F.when(chain & ok, k).otherwise(rank)
+        chain = chain & ok if c != "documented" else chain
     w = Window.partitionBy(*keys).orderBy(F.desc("match_rank"), pos)
     ranked = candidates.withColumn("match_rank", rank).withColumn("__r", F.row_number().over(w))
     return ranked.where("__r = 1").drop("__r")

@@ -12,9 +12,10 @@ from tomeflow.operators.filters import DEPENDENCY, IMPLEMENTATION, REGULAR, SEE_
 
 
 def roll_up_modes(symbols: DataFrame) -> DataFrame:
-    """(id, extraction) of namespaces, from the leaves up: regular if any child
-    is; dependency or implementation-defined if all children are; see-below if any
-    child is; else unchanged. Documented namespaces keep theirs."""
+    """(id, extraction) of namespaces, from the leaves up. Regular namespaces
+    that have members but no doc change: to dependency or implementation-defined if
+    all members are, else to see-below if any is and none is regular. Others keep
+    their mode."""
     own = materialize(symbols.select("id", "parent_id", "kind", "has_doc", "extraction"), "rollup")
     seed = own.join(own.select(F.col("id").alias("__k")), F.col("parent_id") == F.col("__k"), "left_anti").withColumn("depth", F.lit(0))
 
@@ -29,8 +30,8 @@ def roll_up_modes(symbols: DataFrame) -> DataFrame:
             sums = below.groupBy(F.col("parent_id").alias("__p")).agg(
                 F.bool_or(e == REGULAR).alias("__reg"), F.bool_and(e == DEPENDENCY).alias("__dep"), F.bool_and(e == IMPLEMENTATION).alias("__imp"), F.bool_or(e == SEE_BELOW).alias("__see"),
             )
-            rolled = F.when(F.col("__reg"), REGULAR).when(F.col("__dep"), DEPENDENCY).when(F.col("__imp"), IMPLEMENTATION).when(F.col("__see"), SEE_BELOW).otherwise(e)
-            change = (F.col("kind") == "namespace") & ~F.col("has_doc") & F.col("__p").isNotNull()
+            rolled = F.when(F.col("__reg"), e).when(F.col("__dep"), DEPENDENCY).when(F.col("__imp"), IMPLEMENTATION).when(F.col("__see"), SEE_BELOW).otherwise(e)
+            change = (F.col("kind") == "namespace") & (e == REGULAR) & ~F.col("has_doc") & F.col("__p").isNotNull()
             level = level.join(sums, F.col("id") == F.col("__p"), "left").withColumn("extraction", F.when(change, rolled).otherwise(e)).select(*own.columns, "depth")
             level = materialize(level, "rollup")
         below = level
@@ -38,11 +39,11 @@ def roll_up_modes(symbols: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, out)
 
 
-def prune_empty(symbols: DataFrame, scopes: list[str] = ["namespace"], documented: str = "has_doc", max_iter: int = 64) -> DataFrame:
+def prune_empty(symbols: DataFrame, scopes: list[str] = ["namespace"], documented: str = "has_doc") -> DataFrame:
     """``symbols`` without scopes that have no doc and no members, repeated
     upward until none is left. Only ids travel between rounds."""
     alive = materialize(symbols.select("id", "parent_id", "kind", F.col(documented).alias("__doc")), "prune")
-    for _ in range(max_iter):
+    while True:
         kids = alive.select(F.col("parent_id").alias("__p")).where("__p is not null").distinct()
         hollow = alive.where(F.col("kind").isin(scopes) & ~F.col("__doc")).join(kids, F.col("id") == F.col("__p"), "left_anti").select(F.col("id").alias("__h"))
         hollow = materialize(hollow, "hollow")

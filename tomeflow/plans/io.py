@@ -85,17 +85,18 @@ def filtered_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.where(file_filter(F.col("path"), FileRules(["/src"], True, ["/src/gen"], ["**/old/**"], ["*.hpp", "*.cpp"])))
 
 
-@query("SELECT p_partkey AS id, p_size % 4 <> 1 AND NOT (p_size % 4 = 2 AND p_size % 2 = 0 AND p_partkey % 2 = 0) AS kept FROM part")
+@query("SELECT p_partkey AS id, CASE p_size % 4 WHEN 1 THEN p_partkey % 3 = 0 WHEN 2 THEN FALSE WHEN 3 THEN NOT (p_partkey % 2 = 0 OR p_partkey % 5 = 0) ELSE TRUE END AS kept FROM part")
 def type_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """private members and statics of source files are dropped."""
+    """private members but virtual ones, statics, and records that are anonymous
+    or in source files are dropped."""
     from tomeflow.operators.filters import TypeRules, type_filter
 
     no, m = F.lit(False), F.col("p_size") % 4
     p = table(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("id"), F.when(m == 1, "private").otherwise("public").alias("access"), no.alias("is_virtual"), no.alias("is_anonymous"), F.lit("function").alias("kind"), (m == 2).alias("is_static"),
-        no.alias("is_record_member"), no.alias("is_local"), no.alias("is_implicit"), F.lit(None).cast("string").alias("record_key"), F.when(F.col("p_partkey") % 2 == 0, "a.cpp").otherwise("a.hpp").alias("full_path"),
+        F.col("p_partkey").alias("id"), F.when(m == 1, "private").otherwise("public").alias("access"), (F.col("p_partkey") % 3 == 0).alias("is_virtual"), (F.col("p_partkey") % 5 == 0).alias("is_anonymous"),
+        F.when(m == 3, "record").otherwise("function").alias("kind"), (m == 2).alias("is_static"), no.alias("is_record_member"), no.alias("is_implicit"), F.when(F.col("p_partkey") % 2 == 0, "a.cpp").otherwise("a.hpp").alias("full_path"),
     )
-    return p.select("id", type_filter(TypeRules()).alias("kept"))
+    return p.select("id", type_filter(TypeRules(private_virtual=True, local_classes=False)).alias("kept"))
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:

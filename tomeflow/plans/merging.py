@@ -87,24 +87,25 @@ def overload_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH g AS (SELECT o_custkey AS id, count(DISTINCT o_orderstatus) AS n, min(o_orderstatus) AS b, min(CASE WHEN o_orderkey % 3 = 0 THEN 'constructor' END) AS c, min(o_orderpriority) AS nm FROM orders GROUP BY 1)
-SELECT id AS set_id, CASE WHEN n = 1 THEN b WHEN c IS NOT NULL THEN 'Constructors' ELSE nm || ' overloads' END AS brief FROM g""")
+WITH g AS (SELECT o_custkey AS id, count(DISTINCT o_orderstatus) FILTER (o_orderstatus <> 'O') AS n, min(o_orderstatus) FILTER (o_orderstatus <> 'O') AS b,
+                  min(CASE WHEN o_orderkey % 9 = 0 THEN 'constructor' END) AS c, min(o_orderpriority) AS nm FROM orders GROUP BY 1)
+SELECT id AS set_id, CASE WHEN n = 1 THEN b WHEN c IS NOT NULL THEN 'Constructors' WHEN n > 1 THEN nm || ' overloads' END AS brief FROM g""")
 def consensus_briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A9."""
-    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("set_id"), F.col("o_orderstatus").alias("brief"), F.when(F.col("o_orderkey") % 3 == 0, "constructor").alias("func_class"), F.lit(None).cast("string").alias("readable_name"), F.col("o_orderpriority").alias("name"))
+    """Open orders have no brief."""
+    brief = F.when(F.col("o_orderstatus") != "O", F.col("o_orderstatus"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("set_id"), brief.alias("brief"), F.when(F.col("o_orderkey") % 9 == 0, "constructor").alias("func_class"), F.lit(None).cast("string").alias("readable_name"), F.col("o_orderpriority").alias("name"))
     return overloads.consensus_brief(o)
 
 
 @query("""
-WITH sets AS (SELECT l_suppkey % 40 AS set_id, p AS member, row_number() OVER (PARTITION BY l_suppkey % 40 ORDER BY p) - 1 AS mp FROM (SELECT DISTINCT l_suppkey, l_partkey AS p FROM lineitem WHERE l_partkey % 40 = l_suppkey % 40) GROUP BY 1, 2, l_suppkey % 40),
+WITH sets AS (SELECT p_brand || '/' || p_name AS set_id, p_partkey AS member, row_number() OVER (PARTITION BY p_brand, p_name ORDER BY p_partkey) - 1 AS mp FROM part),
 b AS (SELECT l_partkey AS symbol_id, CASE WHEN l_linenumber % 2 = 0 THEN 'params' ELSE 'returns' END AS section, l_orderkey * 10 + l_linenumber AS pos, l_returnflag AS name, l_linestatus AS literal FROM lineitem),
 f AS (SELECT set_id, section, name, literal, mp, pos, row_number() OVER (PARTITION BY set_id, section, CASE WHEN section = 'params' THEN name ELSE literal END ORDER BY mp, pos) AS rn FROM sets JOIN b ON symbol_id = member)
 SELECT set_id, section, row_number() OVER (PARTITION BY set_id, section ORDER BY mp, pos) - 1 AS pos, name, literal FROM f WHERE rn = 1""")
 def union_of_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A10: docs of an overload set, first occurrence of a key wins."""
+    """A10: docs of the parts of one brand and name, first occurrence of a key wins."""
     l = table(spark, sf_dir, "lineitem")
-    pairs = l.where("l_partkey % 40 = l_suppkey % 40").select((F.col("l_suppkey") % 40).alias("set_id"), F.col("l_partkey").alias("p")).distinct()
-    sets = pairs.groupBy("set_id").agg(F.array_sort(F.collect_list("p")).alias("members"))
+    sets = table(spark, sf_dir, "part").groupBy(F.concat_ws("/", "p_brand", "p_name").alias("set_id")).agg(F.array_sort(F.collect_list("p_partkey")).alias("members"))
     section = F.when(F.col("l_linenumber") % 2 == 0, "params").otherwise("returns")
     blocks = l.select(F.col("l_partkey").alias("symbol_id"), section.alias("section"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), F.col("l_returnflag").alias("name"), F.col("l_linestatus").alias("literal"))
     return overloads.union_docs(blocks, sets).select("set_id", "section", F.col("pos").cast("bigint").alias("pos"), "name", "literal")
@@ -184,15 +185,23 @@ def symbol_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT o.o_orderkey, c.c_custkey AS record_id FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey WHERE NOT (o.o_orderkey % 7 = 0)
-UNION SELECT o.o_orderkey, c.c_custkey FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey + 1 WHERE o.o_orderkey % 3 = 0 AND o.o_custkey % 10 = 0
-UNION SELECT o.o_orderkey, c.c_custkey FROM orders o JOIN customer c ON c.c_custkey = o.o_orderkey % 1000""")
+WITH o AS (SELECT * FROM orders WHERE o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0 AND o_orderkey % 17 <> 0 AND o_orderstatus <> 'P'),
+c AS (SELECT * FROM customer WHERE c_custkey % 6 <> 0 AND c_custkey % 8 <> 0)
+SELECT o.o_orderkey, c.c_custkey AS record_id FROM o JOIN c ON c.c_custkey = o.o_custkey WHERE NOT (o.o_orderkey % 7 = 0)
+UNION SELECT o.o_orderkey, c.c_custkey FROM o JOIN c ON c.c_custkey = o.o_custkey + 1 WHERE o.o_orderkey % 3 = 0 AND o.o_custkey % 10 = 0
+UNION SELECT o.o_orderkey, c.c_custkey FROM o JOIN c ON c.c_custkey = o.o_orderkey % 1000
+UNION SELECT o.o_orderkey, c.c_custkey FROM o JOIN customer r ON r.c_custkey = o.o_orderkey % 1000 JOIN c ON c.c_custkey = o.o_orderkey % 1000 + 2
+      WHERE r.c_custkey % 8 <> 0 AND NOT (o.o_orderkey % 7 = 0 AND o.o_orderkey % 1000 <> o.o_custkey AND c.c_custkey = o.o_custkey)""")
 def auto_relates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First parameter, its derived records if by reference, return type; every
-    seventh order is a friend of its own customer."""
+    """First parameter, its derived records if by reference, return type and its
+    argument; every seventh order is a friend of its own customer. Some orders are
+    dependencies, undocumented, methods or no namespace members, some customers are
+    dependencies or no records."""
     o = table(spark, sf_dir, "orders")
-    f = o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("first_param_symbol"), F.when(F.col("o_orderkey") % 3 == 0, "lref").otherwise("named").alias("first_param_kind"), (F.col("o_orderkey") % 1000).alias("return_symbol"), F.lit(None).cast("bigint").alias("return_targ_symbol"))
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    f = o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("first_param_symbol"), F.when(F.col("o_orderkey") % 3 == 0, "lref").otherwise("named").alias("first_param_kind"), (F.col("o_orderkey") % 1000).alias("return_symbol"), (F.col("o_orderkey") % 1000 + 2).alias("return_targ_symbol"),
+        F.when(F.col("o_orderkey") % 11 == 0, 3).otherwise(0).alias("extraction"), (F.col("o_orderkey") % 13 != 0).alias("has_doc"), (F.col("o_orderkey") % 17 == 0).alias("is_record_method"), F.when(F.col("o_orderstatus") == "P", "record").otherwise("namespace").alias("parent_kind"))
+    k = F.col("c_custkey")
+    c = table(spark, sf_dir, "customer").select(k.alias("id"), F.when(k % 8 == 0, "typedef").when(k % 4 == 0, "enum").otherwise("record").alias("kind"), F.when(k % 6 == 0, 3).otherwise(0).alias("extraction"))
     bases = c.where("id % 10 = 0").select((F.col("id") + 1).alias("derived_id"), F.col("id").alias("base_id"))
     friends = o.where("o_orderkey % 7 = 0 and o_orderkey % 1000 <> o_custkey").select(F.col("o_custkey").alias("record_id"), F.col("o_orderkey").alias("friend_id"))
     return relates.auto_relates(f, c, bases, friends).select(F.col("function_id").alias("o_orderkey"), "record_id")
@@ -213,14 +222,15 @@ def related_back_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT l_orderkey, l_partkey AS pos, m AS match_rank FROM (
     SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY m DESC, l_partkey, l_linenumber) AS r FROM (
-        SELECT *, CASE WHEN l_quantity > 10 THEN CASE WHEN l_discount > 0.02 THEN CASE WHEN l_tax > 0.02 THEN CASE WHEN l_returnflag = 'N' THEN 4 ELSE 3 END ELSE 2 END ELSE 1 END ELSE 0 END AS m FROM lineitem))
+        SELECT *, CASE WHEN l_quantity <= 10 THEN 0 WHEN l_discount <= 0.02 THEN 1 WHEN l_tax <= 0.02 THEN 2 WHEN l_linestatus = 'F' THEN 5 WHEN l_returnflag = 'N' THEN 4 ELSE 3 END AS m FROM lineitem))
 WHERE r = 1""")
 def best_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best of an order's lines by a chain of criteria, the first of equals."""
+    """The best of an order's lines by a chain of criteria, the first of equals; a
+    documented one is preferred only among those whose parameters do not match."""
     no = F.lit(False)
     c = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", F.struct("l_partkey", "l_linenumber").alias("pos"), (F.col("l_quantity") > 10).alias("m_targ_count"), (F.col("l_discount") > 0.02).alias("m_targs"), (F.col("l_tax") > 0.02).alias("m_param_count"),
-        (F.col("l_returnflag") == "N").alias("m_documented"), no.alias("m_params"), no.alias("m_qualifiers"), no.alias("m_noexcept"),
+        (F.col("l_returnflag") == "N").alias("m_documented"), (F.col("l_linestatus") == "F").alias("m_params"), no.alias("m_qualifiers"), no.alias("m_noexcept"),
     )
     return resolve.best_match(c, ["l_orderkey"]).select("l_orderkey", F.col("pos.l_partkey").alias("pos"), F.col("match_rank").cast("int").alias("match_rank"))
 
@@ -342,7 +352,8 @@ def complete_param_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LINT_SQL = PARAM_SQL + """
 , s AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 9 = 0 THEN 'enum-constant' ELSE 'function' END AS kind, o_orderpriority AS name, o_orderkey % 2 = 0 AS has_doc,
-               o_orderkey % 5 AS extraction, CASE WHEN o_orderkey % 3 = 0 THEN 'void' ELSE 'int' END AS rt, 'f' || (o_custkey % 50) AS full_path, o_custkey AS line, 1 AS col FROM orders),
+               o_orderkey % 5 AS extraction, o_custkey % 3 = 0 AS deleted, 'q::' || o_orderpriority AS qn, CASE WHEN o_orderkey % 3 = 0 THEN 'void' ELSE 'int' END AS rt, 'f' || (o_custkey % 50) AS full_path, o_custkey AS line, 1 AS col FROM orders),
+f AS (SELECT * FROM s WHERE extraction = 0 AND has_doc AND kind = 'function'),
 dup AS (SELECT func_id, name FROM d GROUP BY 1, 2 HAVING count(*) > 1),
 unk AS (SELECT DISTINCT func_id, name FROM d EXCEPT SELECT func_id, name FROM p),
 mis AS (SELECT DISTINCT func_id, name FROM p WHERE name <> '' EXCEPT SELECT func_id, name FROM d),
@@ -350,12 +361,12 @@ brk AS (SELECT s.*, 'ref' || (l_partkey % 20) AS literal, row_number() OVER (PAR
         FROM lineitem JOIN s ON s.id = l_orderkey WHERE l_partkey % 4 = 0),
 w AS (
     SELECT 'undocumented' AS rule, full_path, line, name || ': Symbol is undocumented' AS message FROM s WHERE NOT has_doc AND extraction = 0 AND kind <> 'enum-constant'
-    UNION ALL SELECT 'duplicate-param', full_path, line, s.name || ': Duplicate parameter documentation for ''' || dup.name || '''' FROM dup JOIN s ON id = func_id
-    UNION ALL SELECT 'unknown-param', full_path, line, s.name || ': Documented parameter ''' || unk.name || ''' does not exist' FROM unk JOIN s ON id = func_id
-    UNION ALL SELECT 'missing-param', full_path, line, s.name || ': Missing documentation for parameter ''' || mis.name || '''' FROM mis JOIN s ON id = func_id WHERE has_doc AND kind = 'function'
-    UNION ALL SELECT 'missing-return', full_path, line, name || ': Missing documentation for return type' FROM s WHERE has_doc AND kind = 'function' AND rt <> 'void' AND id NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 4)
-    UNION ALL SELECT 'undocumented-enum-value', full_path, line, name || ': Missing documentation for enum value' FROM s WHERE NOT has_doc AND kind = 'enum-constant'
-    UNION ALL SELECT 'unnamed-param', full_path, line, s.name || ': ' || CASE pos + 1 WHEN 2 THEN '2nd' WHEN 3 THEN '3rd' ELSE (pos + 1) || 'th' END || ' parameter is unnamed' FROM p JOIN s ON id = func_id WHERE p.name = '' AND has_doc AND kind = 'function'
+    UNION ALL SELECT 'duplicate-param', full_path, line, qn || ': Duplicate parameter documentation for ''' || dup.name || '''' FROM dup JOIN f ON id = func_id
+    UNION ALL SELECT 'unknown-param', full_path, line, qn || ': Documented parameter ''' || unk.name || ''' does not exist' FROM unk JOIN f ON id = func_id
+    UNION ALL SELECT 'missing-param', full_path, line, qn || ': Missing documentation for parameter ''' || mis.name || '''' FROM mis JOIN f ON id = func_id WHERE NOT deleted
+    UNION ALL SELECT 'missing-return', full_path, line, qn || ': Missing documentation for return value' FROM f WHERE NOT deleted AND rt <> 'void' AND id NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 4)
+    UNION ALL SELECT 'undocumented-enum-value', full_path, line, qn || ': Missing documentation for enum value' FROM s WHERE extraction = 0 AND NOT has_doc AND kind = 'enum-constant'
+    UNION ALL SELECT 'unnamed-param', full_path, line, qn || ': ' || CASE pos + 1 WHEN 2 THEN '2nd' WHEN 3 THEN '3rd' ELSE (pos + 1) || 'th' END || ' parameter is unnamed' FROM p JOIN f ON id = func_id WHERE p.name = ''
     UNION ALL SELECT 'broken-reference', full_path, line, name || ': Failed to resolve reference to ''' || literal || '''' FROM brk WHERE r = 1
 )"""
 
@@ -364,7 +375,7 @@ def _diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, d = _params(spark, sf_dir)
     k = F.col("o_orderkey")
     s = table(spark, sf_dir, "orders").select(
-        k.alias("id"), F.when(k % 9 == 0, "enum-constant").otherwise("function").alias("kind"), F.col("o_orderpriority").alias("name"), (k % 2 == 0).alias("has_doc"), (k % 5).alias("extraction"),
+        k.alias("id"), F.when(k % 9 == 0, "enum-constant").otherwise("function").alias("kind"), F.col("o_orderpriority").alias("name"), (k % 2 == 0).alias("has_doc"), (k % 5).alias("extraction"), (F.col("o_custkey") % 3 == 0).alias("is_deleted"), F.concat(F.lit("q::"), "o_orderpriority").alias("qualified_name"),
         F.when(k % 3 == 0, "void").otherwise("int").alias("return_type"), F.concat(F.lit("f"), (F.col("o_custkey") % 50).cast("string")).alias("full_path"), F.col("o_custkey").alias("line"), F.lit(1).alias("col"),
     )
     l = table(spark, sf_dir, "lineitem")

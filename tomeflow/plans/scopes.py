@@ -56,25 +56,23 @@ own AS (
                    WHEN regexp_matches(q, '^A[^:]*::.*$') THEN 0 END AS own
     FROM named
 ),
-m1 AS (SELECT id, parent_id, coalesce(own, 3) AS mode, own IS NULL AS by_prefix FROM own WHERE depth = 1),
+m1 AS (
+    SELECT o.id, o.parent_id, coalesce(o.own, min(c.own), 3) AS mode, o.own IS NULL AS apart
+    FROM own o LEFT JOIN own c ON c.parent_id = o.id WHERE o.depth = 1 GROUP BY o.id, o.parent_id, o.own
+),
+m0 AS (SELECT o.id, coalesce(min(b.mode), 3) AS mode FROM own o LEFT JOIN m1 b ON b.parent_id = o.id WHERE o.depth = 0 GROUP BY o.id),
 m2 AS (
     SELECT o.id, o.parent_id,
-           CASE WHEN p.mode = 3 AND NOT p.by_prefix AND o.own IS NULL THEN 3 WHEN p.mode = 2 THEN 2 WHEN p.mode = 1 THEN 1
-                WHEN o.own IS NOT NULL THEN o.own WHEN NOT p.by_prefix AND p.mode <> 3 THEN p.mode ELSE 3 END AS mode
+           CASE WHEN p.apart THEN coalesce(o.own, 3) WHEN o.own = 2 OR p.mode = 2 THEN 2 WHEN o.own = 1 OR p.mode = 1 THEN 1
+                WHEN o.own = 0 THEN 0 ELSE p.mode END AS mode
     FROM own o JOIN m1 p ON o.parent_id = p.id WHERE o.depth = 2
 ),
 m3 AS (
     SELECT o.id, o.parent_id,
-           CASE WHEN p.mode = 3 AND o.own IS NULL THEN 3 WHEN p.mode = 2 THEN 2 WHEN p.mode = 1 THEN 3
-                WHEN o.own IS NOT NULL THEN o.own WHEN p.mode <> 3 THEN p.mode ELSE 3 END AS mode
+           CASE WHEN o.own = 2 OR p.mode = 2 THEN 2 WHEN o.own = 1 THEN 1 WHEN p.mode = 1 THEN 3 WHEN o.own = 0 THEN 0 ELSE p.mode END AS mode
     FROM own o JOIN m2 p ON o.parent_id = p.id WHERE o.depth = 3
 ),
-u1 AS (
-    SELECT a.id, a.parent_id, CASE WHEN a.by_prefix THEN coalesce(min(b.mode), a.mode) ELSE a.mode END AS mode
-    FROM m1 a LEFT JOIN m2 b ON b.parent_id = a.id GROUP BY a.id, a.parent_id, a.by_prefix, a.mode
-),
-u0 AS (SELECT o.id, coalesce(min(b.mode), 3) AS mode FROM own o LEFT JOIN u1 b ON b.parent_id = o.id WHERE o.depth = 0 GROUP BY o.id),
-modes AS (SELECT id, mode FROM u0 UNION ALL SELECT id, mode FROM u1 UNION ALL SELECT id, mode FROM m2 UNION ALL SELECT id, mode FROM m3)"""
+modes AS (SELECT id, mode FROM m0 UNION ALL SELECT id, mode FROM m1 UNION ALL SELECT id, mode FROM m2 UNION ALL SELECT id, mode FROM m3)"""
 
 
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,12 +109,13 @@ def visible_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("WITH " + NAMES_SQL + """
-SELECT n.id, n.id AS ancestor, 0 AS dist FROM named n WHERE n.depth < 3
-UNION ALL SELECT id, parent_id, 1 FROM named WHERE depth IN (1, 2)
-UNION ALL SELECT c.id, n.parent_id, 2 FROM l2 c JOIN l1 n ON c.parent_id = n.id""")
+SELECT id, id AS ancestor, 0 AS dist FROM named
+UNION ALL SELECT id, parent_id, 1 FROM named WHERE depth > 0
+UNION ALL SELECT c.id, p.parent_id, 2 FROM named c JOIN named p ON c.parent_id = p.id WHERE c.depth > 1
+UNION ALL SELECT o.id, n.parent_id, 3 FROM l3 o JOIN l2 c ON o.parent_id = c.id JOIN l1 n ON c.parent_id = n.id""")
 def ancestor_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G2, by the driver's tables without orders."""
-    return hierarchy.ancestors(scope_tree(spark, sf_dir, orders=False))
+    """G2."""
+    return hierarchy.ancestors(scope_tree(spark, sf_dir))
 
 
 @query("""
@@ -152,21 +151,23 @@ WITH c AS (
 ), cf AS (SELECT * FROM c WHERE parent_id <> 'n:3' OR m = 2),
 n AS (
     SELECT 'n:' || n_nationkey AS id, 'r:' || n_regionkey AS parent_id,
-           CASE WHEN n_nationkey % 7 = 0 THEN 1 WHEN bool_or(m = 0) THEN 0 WHEN bool_and(m = 3) THEN 3 WHEN bool_and(m = 2) THEN 2 WHEN bool_or(m = 1) THEN 1 ELSE 1 END AS m
+           CASE WHEN n_nationkey % 5 = 0 THEN 1 WHEN n_nationkey % 7 = 0 OR bool_or(m = 0) THEN 0 WHEN bool_and(m = 3) THEN 3 WHEN bool_and(m = 2) THEN 2 WHEN bool_or(m = 1) THEN 1 ELSE 0 END AS m
     FROM nation LEFT JOIN cf ON cf.parent_id = 'n:' || n_nationkey GROUP BY n_nationkey, n_regionkey
 )
 SELECT id, m AS extraction FROM n
 UNION ALL
-SELECT 'r:' || r_regionkey, CASE WHEN bool_or(m = 0) THEN 0 WHEN bool_and(m = 3) THEN 3 WHEN bool_and(m = 2) THEN 2 WHEN bool_or(m = 1) THEN 1 ELSE 1 END
+SELECT 'r:' || r_regionkey, CASE WHEN bool_or(m = 0) THEN 0 WHEN bool_and(m = 3) THEN 3 WHEN bool_and(m = 2) THEN 2 WHEN bool_or(m = 1) THEN 1 ELSE 0 END
 FROM region LEFT JOIN n ON n.parent_id = 'r:' || r_regionkey GROUP BY r_regionkey"""
 
 
 @query(ROLL_SQL)
 def rolled_up_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nation modes from their customers, region modes from nations."""
+    """Nation modes from their customers, region modes from nations; every
+    fifth nation is see-below and stays so, every seventh is documented."""
     tree = scope_tree(spark, sf_dir, orders=False).join(table(spark, sf_dir, "customer").select(F.concat(F.lit("c:"), "c_custkey").alias("id"), "c_acctbal", "c_mktsegment"), "id", "left")
-    m = F.when(F.col("kind") == "namespace", 1).when(F.col("c_acctbal") < 0, 3).when(F.col("c_mktsegment") == "BUILDING", 1).when(F.col("c_mktsegment") == "MACHINERY", 0).otherwise(2)
-    doc = F.startswith("id", F.lit("n:")) & (F.expr("try_cast(substring(id, 3) as int)") % 7 == 0)
+    number = F.when(F.startswith("id", F.lit("n:")), F.expr("try_cast(substring(id, 3) as int)"))
+    m = F.when(F.col("kind") == "namespace", F.when(number % 5 == 0, 1).otherwise(0)).when(F.col("c_acctbal") < 0, 3).when(F.col("c_mktsegment") == "BUILDING", 1).when(F.col("c_mktsegment") == "MACHINERY", 0).otherwise(2)
+    doc = number % 7 == 0
     rows = tree.select("id", "parent_id", "kind", F.coalesce(doc, F.lit(False)).alias("has_doc"), m.alias("extraction"))
     return rollup.roll_up_modes(rows.where("parent_id is null or parent_id <> 'n:3' or extraction = 2"))
 
@@ -193,20 +194,22 @@ WITH members AS (
     UNION ALL SELECT 'r:' || r_regionkey, 'r:' || r_regionkey || '/' || k, 'public', k FROM region, (VALUES ('name'), ('area'), ('flag')) v(k)
 ),
 edges AS (
-    SELECT 's:' || s_suppkey AS d, 'n:' || s_nationkey AS b, CASE WHEN s_acctbal < 0 THEN 'protected' ELSE 'public' END AS acc FROM supplier
-    UNION ALL SELECT 'n:' || n_nationkey, 'r:' || n_regionkey, 'public' FROM nation
+    SELECT 's:' || s_suppkey AS d, 'n:' || s_nationkey AS b, CASE WHEN s_acctbal < 0 THEN 'protected' ELSE 'public' END AS acc, 0 AS pos FROM supplier
+    UNION ALL SELECT 's:' || s_suppkey, 'r:' || (s_suppkey % 5), 'public', 1 FROM supplier
+    UNION ALL SELECT 'n:' || n_nationkey, 'r:' || n_regionkey, 'public', 0 FROM nation
 ),
 one AS (
-    SELECT e.d AS rec, m.child_id, CASE WHEN acc = 'public' THEN m.access ELSE 'protected' END AS access, m.sig, 1 AS depth
+    SELECT e.d AS rec, m.child_id, CASE WHEN acc = 'public' THEN m.access ELSE 'protected' END AS access, m.sig, [pos] AS path
     FROM edges e JOIN members m ON m.rec = e.b WHERE m.access <> 'private'
-      AND NOT EXISTS (SELECT 1 FROM members o WHERE o.rec = e.d AND o.sig = m.sig)
+      AND NOT EXISTS (SELECT 1 FROM members o WHERE o.rec = e.d AND o.sig = m.sig AND o.access = CASE WHEN acc = 'public' THEN m.access ELSE 'protected' END)
 ),
 two AS (
-    SELECT e.d AS rec, m.child_id, CASE WHEN acc = 'public' THEN m.access ELSE 'protected' END AS access, m.sig, 2 AS depth
-    FROM edges e JOIN one m ON m.rec = e.b WHERE NOT EXISTS (SELECT 1 FROM members o WHERE o.rec = e.d AND o.sig = m.sig)
+    SELECT e.d AS rec, m.child_id, CASE WHEN acc = 'public' THEN m.access ELSE 'protected' END AS access, m.sig, list_concat([pos], m.path) AS path
+    FROM edges e JOIN one m ON m.rec = e.b
+    WHERE NOT EXISTS (SELECT 1 FROM members o WHERE o.rec = e.d AND o.sig = m.sig AND o.access = CASE WHEN acc = 'public' THEN m.access ELSE 'protected' END)
 ),
 every AS (SELECT * FROM one UNION ALL SELECT * FROM two)
-SELECT rec AS derived_id, child_id, access, sig AS name, depth FROM every QUALIFY depth = min(depth) OVER (PARTITION BY rec, sig)"""
+SELECT rec AS derived_id, child_id, access, sig AS name, len(path)::INT AS depth FROM every QUALIFY row_number() OVER (PARTITION BY rec, access, sig ORDER BY path, child_id) = 1"""
 
 
 def _bases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,7 +221,7 @@ def _bases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(INHERIT_SQL)
 def inherited_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers inherit from nations, nations from regions."""
+    """Suppliers inherit from nations and then from a region, nations from regions."""
 
     def members(df: DataFrame, prefix: str, key: str, names: list[str], access: str) -> DataFrame:
         rec = F.concat(F.lit(prefix), key)
@@ -229,7 +232,9 @@ def inherited_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = members(table(spark, sf_dir, "supplier"), "s:", "s_suppkey", ["name", "key", "balance"], by)
     rows = rows.union(members(table(spark, sf_dir, "nation"), "n:", "n_nationkey", ["name", "key", "flag"], by))
     rows = rows.union(members(table(spark, sf_dir, "region"), "r:", "r_regionkey", ["name", "area", "flag"], "'public'"))
-    return inherit.base_members(_bases(spark, sf_dir), rows).select("derived_id", "child_id", "access", "name", "depth")
+    second = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s:"), "s_suppkey").alias("derived_id"), F.concat(F.lit("r:"), F.col("s_suppkey") % 5).alias("base_id"), F.lit("public").alias("access"), F.lit(1).alias("pos"))
+    bases = _bases(spark, sf_dir).withColumn("pos", F.lit(0)).union(second)
+    return inherit.base_members(bases, rows).select("derived_id", "child_id", "access", "name", "depth")
 
 
 @query("""

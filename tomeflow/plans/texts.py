@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomeflow.core import table
-from tomeflow.functions import paths, strings
+from tomeflow.functions import names, paths, strings
 from tomeflow.operators import docs, lint, resolve
 from tomeflow.plans.registry import query
 
@@ -145,35 +145,80 @@ def type_briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.brief_of_type(params, briefs_).select("l_orderkey", "l_linenumber", "doc")
 
 
-@query("""
-SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN CASE WHEN p_partkey % 2 = 0 THEN 'Default constructor' ELSE 'Construct a ' || p_name END WHEN 1 THEN 'Destructor' WHEN 2 THEN 'Equality operator' END AS brief,
-       CASE p_size % 3 WHEN 0 THEN 'The ' || p_name WHEN 1 THEN 'Size' END AS returns
-FROM part""")
+AUTO_SQL = """
+WITH f AS (
+    SELECT p_partkey, p_partkey AS k, p_size AS z, CASE p_size % 6 WHEN 0 THEN 'constructor' WHEN 1 THEN 'destructor' WHEN 2 THEN 'conversion' ELSE 'normal' END AS cls,
+           CASE WHEN p_size % 6 > 2 THEN CASE p_partkey % 5 WHEN 0 THEN '==' WHEN 1 THEN '<<' WHEN 2 THEN '=' WHEN 3 THEN '-' ELSE '' END ELSE '' END AS op,
+           p_partkey % 3 AS n, p_size % 2 = 0 AS method, CASE WHEN p_partkey % 7 = 0 THEN '' ELSE p_brand END AS pt, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE p_type END AS rt,
+           CASE WHEN p_size % 5 = 0 THEN p_name END AS rb, p_type, CASE p_partkey % 4 WHEN 0 THEN 'named' WHEN 1 THEN 'lref' WHEN 2 THEN 'rref' ELSE 'pointer' END AS kind,
+           CASE WHEN p_size % 8 = 0 THEN 'x' ELSE '' END AS pname, p_size % 9 = 0 AS taken
+    FROM part
+), g AS (SELECT *, op = '<<' AND n = 2 AND NOT method AS stream, n + method::INT AS free, k % 3 = 0 AS own FROM f)
+SELECT p_partkey,
+    CASE WHEN cls = 'constructor' THEN CASE WHEN n = 0 THEN 'Default constructor' WHEN n = 1 AND k % 4 = 0 THEN 'Copy constructor' WHEN n = 1 AND k % 4 = 1 THEN 'Move constructor'
+              WHEN n = 1 AND pt <> '' THEN 'Construct from ' || pt ELSE 'Constructor' END
+         WHEN cls = 'destructor' THEN 'Destructor' WHEN cls = 'conversion' THEN CASE WHEN rt <> '' THEN 'Conversion to ' || rt ELSE 'Conversion operator' END
+         WHEN stream THEN 'Stream insertion operator' WHEN op = '=' AND n = 1 AND k % 4 = 0 THEN 'Copy assignment operator' WHEN op = '=' AND n = 1 AND k % 4 = 1 THEN 'Move assignment operator'
+         WHEN op = '==' THEN 'Equality operator' WHEN op = '<<' THEN 'Left shift operator' WHEN op = '=' THEN 'Assignment operator'
+         WHEN op = '-' THEN CASE WHEN free = 2 THEN 'Subtraction operator' ELSE 'Unary minus operator' END END AS brief,
+    CASE WHEN cls = 'conversion' THEN coalesce(rb, 'The object converted to ' || rt) WHEN op = '' THEN NULL WHEN stream THEN 'Reference to the current output stream'
+         WHEN kind = 'lref' THEN CASE WHEN own THEN 'Reference to the current object' END WHEN kind = 'pointer' THEN CASE WHEN own THEN 'Pointer to the current object' END
+         WHEN op = '==' THEN CASE WHEN kind = 'named' AND k % 2 = 0 THEN 'true if the objects are equal, false otherwise' END
+         WHEN method AND own THEN CASE WHEN kind = 'rref' THEN 'Rvalue reference to the current object' ELSE 'Another instance of the object' END END AS returns,
+    CASE WHEN pname <> '' THEN pname WHEN (cls = 'constructor' OR op = '=') AND method AND n = 1 AND NOT (taken AND k % 2 = 1) THEN CASE WHEN k % 2 = 0 THEN 'other' ELSE 'value' END
+         WHEN stream THEN 'os' WHEN op <> '' AND free = 2 THEN CASE WHEN method THEN 'rhs' ELSE 'lhs' END WHEN op = '-' AND NOT method AND n = 1 AND NOT taken THEN 'value' END AS param_name,
+    CASE WHEN (cls = 'constructor' OR op = '=') AND method THEN 'The ' || CASE WHEN k % 5 = 0 THEN 'value' ELSE 'object' END || ' to ' ||
+              CASE WHEN k % 5 = 0 THEN '' WHEN kind = 'lref' THEN 'copy ' WHEN kind = 'rref' THEN 'move ' ELSE '' END || CASE WHEN op = '=' THEN 'assign' ELSE 'construct' END || ' from'
+         WHEN stream THEN 'An output stream' WHEN op <> '' AND free = 2 THEN CASE WHEN method THEN 'The right operand' ELSE 'The left operand' END
+         WHEN op = '-' AND NOT method AND n = 1 THEN 'The operand' ELSE p_type END AS param_doc
+FROM g"""
+
+
+@query(AUTO_SQL)
 def auto_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Briefs of special functions, returns from briefs."""
-    cls = F.expr("case p_size % 4 when 0 then 'constructor' when 1 then 'destructor' else 'normal' end")
-    readable = F.when(F.col("p_size") % 4 == 2, "Equality")
-    no = F.lit(False)
-    brief = docs.auto_brief(cls, readable, F.col("p_partkey") % 2 == 0, no, no, F.col("p_name"))
-    text = F.expr("case p_size % 3 when 0 then concat('Returns the ', p_name) when 1 then 'Get size' else 'A part' end")
-    return table(spark, sf_dir, "part").select("p_partkey", brief.alias("brief"), docs.returns_from_brief(text).alias("returns"))
+    """Briefs, returns, and the first parameter's name and text of special
+    functions."""
+    k, z = F.col("p_partkey"), F.col("p_size")
+    cls = F.expr("case p_size % 6 when 0 then 'constructor' when 1 then 'destructor' when 2 then 'conversion' else 'normal' end")
+    op = F.expr("case when p_size % 6 > 2 then case p_partkey % 5 when 0 then 'operator==' when 1 then 'operator<<' when 2 then 'operator=' when 3 then 'operator-' else '' end else '' end")
+    kind = F.expr("case p_partkey % 4 when 0 then 'named' when 1 then 'lref' when 2 then 'rref' else 'pointer' end")
+    n, name = (k % 3).cast("int"), F.when(z % 8 == 0, "x").otherwise("")
+    f = table(spark, sf_dir, "part").select(
+        "p_partkey", cls.alias("func_class"), op.alias("operator"), n.alias("param_count"), (z % 2 == 0).alias("is_record_method"), (n + (z % 2 == 0).cast("int")).alias("arity"),
+        ((cls == "constructor") & (n == 0)).alias("is_default"), ((n == 1) & (k % 4 == 0)).alias("is_copy"), ((n == 1) & (k % 4 == 1)).alias("is_move"),
+        ((op == "operator=") & (n == 1) & (k % 4 == 0)).alias("is_copy_assign"), ((op == "operator=") & (n == 1) & (k % 4 == 1)).alias("is_move_assign"), ((op == "operator<<") & (n == 2) & (z % 2 != 0)).alias("is_stream"),
+        F.when(k % 7 == 0, "").otherwise(F.col("p_brand")).alias("param_type"), F.when(k % 5 == 0, "").otherwise(F.col("p_type")).alias("return_type"), F.when(z % 5 == 0, F.col("p_name")).alias("return_brief"),
+        kind.alias("return_kind"), F.when(k % 3 == 0, "P").otherwise("Q").alias("return_symbol"), F.lit("P").alias("parent_id"), F.when(k % 2 == 0, "bool").alias("return_fundamental"),
+        F.lit(0).alias("pos"), name.alias("name"), F.array_compact(F.array(F.when(name != "", name), F.when(z % 9 == 0, "value"))).alias("names"),
+        F.when(k % 2 == 0, "P").otherwise("Q").alias("param_symbol"), kind.alias("param_kind"), (k % 5 == 0).alias("is_fundamental"), F.col("p_type").alias("type_brief"),
+    )
+    f = names.with_operator_names(f, arity="arity")
+    return f.select("p_partkey", docs.auto_brief().alias("brief"), docs.auto_returns().alias("returns"), docs.auto_param_name().alias("param_name"), docs.auto_param_doc().alias("param_doc"))
 
 
-COMMENT_SQL = """
-WITH d AS (SELECT doc_id, split_part(coalesce(text, ''), chr(10), 1) AS first, source FROM documents)"""
+@query("""
+SELECT doc_id, CASE WHEN text LIKE 'Get %' THEN substr(text, 5) WHEN text LIKE 'Returns %' THEN substr(text, 9) WHEN doc_id % 3 = 0 THEN coalesce(text, '') WHEN doc_id % 3 = 1 THEN coalesce(text, '') END AS returns
+FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)""")
+def returns_of_briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is returned, from briefs that begin with a verb."""
+    k, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    own = F.startswith(text, F.lit("Get ")) | F.startswith(text, F.lit("Returns "))
+    brief = F.when(own, text).otherwise(F.concat(F.when(k % 3 == 0, "Determines ").when(k % 3 == 1, "Returns ").otherwise("A "), text))
+    return table(spark, sf_dir, "documents").select("doc_id", docs.returns_from_brief(brief).alias("returns"))
 
 
-@query(COMMENT_SQL + r"""
-SELECT doc_id, 'brief' AS section, NULL AS argument, NULL AS direction, trim(CASE WHEN regexp_matches(first, '\s\s') THEN regexp_replace(first, '\s+', ' ', 'g') ELSE first END) AS literal FROM d WHERE trim(first) <> ''
-UNION ALL SELECT doc_id, 'brief', NULL, NULL, '' FROM d WHERE trim(first) = ''
-UNION ALL SELECT doc_id, 'params', 'a,b', 'in', source FROM d
-UNION ALL SELECT doc_id, 'returns', NULL, NULL, 'the text' FROM d""")
+@query(r"""
+WITH d AS (SELECT doc_id, source, translate(coalesce(text, ''), '@' || chr(92), '') AS body FROM documents),
+b AS (SELECT doc_id, source, trim(body, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM d)
+SELECT doc_id, 'brief' AS section, NULL AS argument, NULL AS direction, md5(CASE WHEN regexp_matches(body, '[\t-\r ][\t-\r ]') THEN regexp_replace(body, '[\t-\r ]+', ' ', 'g') ELSE body END) AS literal FROM b
+UNION ALL SELECT doc_id, 'params', 'a,b', 'in', md5(source) FROM d
+UNION ALL SELECT doc_id, 'returns', NULL, NULL, md5('the text') FROM d""")
 def doc_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Commands of a comment built around a document's first line."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1)).alias("first"), "source")
-    body = F.concat(F.lit("@brief "), F.col("first"), F.lit("\n@param[in] a,b "), F.col("source"), F.lit("\n@returns the text"))
+    """Commands of a comment whose brief is a document's whole text."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.translate(F.coalesce("text", F.lit("")), "@\\", "").alias("text"), "source")
+    body = F.concat(F.lit("@brief "), F.col("text"), F.lit("\n@param[in] a,b "), F.col("source"), F.lit("\n@returns the text"))
     rows = docs.doc_commands(d.select("doc_id", body.alias("body")), ["doc_id"])
-    return rows.select("doc_id", "section", "argument", "direction", F.trim("literal").alias("literal"))
+    return rows.select("doc_id", "section", "argument", "direction", F.md5("literal").alias("literal"))
 
 
 @query("SELECT doc_id, p AS name, 'in' AS direction, source AS literal FROM documents, (VALUES ('a'), ('b')) v(p)")
