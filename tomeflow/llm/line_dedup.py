@@ -1,119 +1,170 @@
-"""Fuzzy line dedup by MinHash (DataFrame functions only).
-
-A line's set is its ``width``-character shingles. One 32-bit hash of a shingle is
-ranked in ``VALUES`` ways, each by its distance (exclusive or) from a constant; the
-constants are spread evenly, so the smallest of each rank are a one-permutation
-signature whose empty places are filled from the next. Bands are pairs of values:
-two lines of similarity 0.8 share none of the twelve with a chance of 5e-6, and too
-few values for the signature filter with one of 2e-6 (4e-5 for sets of nine, the
-smallest that can be so alike in equal size). Equal lines are collapsed by a
-128-bit hash first; candidates are filtered by signature, verified by exact Jaccard
-similarity of the shingle sets, and joined by union-find over links.
-
-Lines that stay apart in a list of more than ``SMALL`` get a bitmap of their shingles. Two
+"""Fuzzy line dedup by MinHash.
+
+A line's set is its ``width``-character shingles. Its signature has one permutation:
+the smallest hash in each of ``VALUES`` ranges, empty ranges filled from drawn ones.
+Bands are groups of ``ROWS`` values: two lines of similarity 0.8 share none of the
+twenty with a chance of 3e-5. Equal lines are collapsed by a 128-bit hash first;
+candidates are verified by exact Jaccard similarity of the shingle sets, and joined
+by union-find over links.
+
+Lines that stay apart in a list of more than ``SMALL`` get a bitmap of their set. Two
 bitmaps differ in no more bits than two sets in elements, so lists are split by set
 size, and their members told apart where they meet, without losing a link.
+
+Hashing is vectorised in Arrow batches: as column functions alone it did not fit the
+resource limits (README). Grouping, banding, joins and components are DataFrame
+operations.
 """
 
 from __future__ import annotations
 
-import random
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tomeflow.llm.common import BROADCAST_KEYS, discard, materialize, only
+from tomeflow.llm.common import BROADCAST_KEYS, discard, materialize, mix, only, small_batches
 from tomeflow.llm.linking import link
 
-#: Values of a signature; two make a band.
-VALUES = 24
-#: Shingles hashed in one generated row, which saves look-ups of the line's group.
-STRIDE = 4
+#: Values of a signature, and how many make a band.
+VALUES, ROWS = 80, 4
+BANDS = VALUES // ROWS
 #: 64-bit words of a bitmap.
 WORDS = 16
 #: Lists of up to so many lines give all their pairs.
 SMALL = 8
+_BASE = 0x9E3779B97F4A7C15
+_NONE = np.uint32(0xFFFFFFFF)
+#: Ranges that an empty one borrows from, draw after draw; in the end all are asked.
+DONORS = [*np.random.default_rng(7).integers(0, VALUES, (96, VALUES)), *[(np.arange(VALUES) + k) % VALUES for k in range(1, VALUES)]]
+#: Fills up lines shorter than a shingle; no character has this code.
+_PAD = (0x110001).to_bytes(4, "little")
+
+
+def _windows(codes: np.ndarray, width: int) -> np.ndarray:
+    """Polynomial hash of each run of ``width`` codes."""
+    if width == 1:
+        return codes
+    half = width // 2
+    g = _windows(codes, half)
+    both = g[: len(g) - half] * np.uint64(pow(_BASE, half, 1 << 64)) + g[half:]
+    if width % 2:
+        both = both[: len(codes) - width + 1] * np.uint64(_BASE) + codes[width - 1 :]
+    return both
+
+
+def shingles(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts): hashes of the shingles of the lines, repeats included, one
+    line after the other, and how many each has. A line of fewer than ``width``
+    characters is one shingle."""
+    raw = [s.encode("utf-32-le", "surrogatepass") + _PAD * max(0, width - len(s)) for s in lines]
+    size = np.array([len(r) // 4 for r in raw], np.int64)
+    codes = np.frombuffer(b"".join(raw), "<u4").astype(np.uint64)
+    if not len(codes):
+        return np.zeros(0, np.uint64), size
+    every = mix(_windows((codes + np.uint64(1)) * np.uint64(_BASE), width))
+    counts = size - width + 1
+    starts = np.cumsum(size) - size
+    at = np.arange(counts.sum()) + np.repeat(starts - (np.cumsum(counts) - counts), counts)
+    return every[at], counts
+
+
+def signatures(lines: list[str], width: int) -> np.ndarray:
+    """(lines, VALUES): the smallest hash of each range."""
+    hashes, counts = shingles(lines, width)
+    place = ((hashes >> np.uint64(32)) * np.uint64(VALUES)) >> np.uint64(32)
+    out = np.full(len(lines) * VALUES, _NONE)
+    np.minimum.at(out, np.repeat(np.arange(len(lines)) * VALUES, counts) + place.astype(np.int64), hashes.astype(np.uint32))
+    out = out.reshape(len(lines), VALUES)
+    # an empty range takes the value of the first in its own draw of ranges that has one
+    left = np.flatnonzero((out == _NONE).any(1))
+    given = out[left]
+    have = given != _NONE
+    filled = given.copy()
+    for draw in DONORS:
+        take = (filled == _NONE) & have[:, draw]
+        filled[take] = given[:, draw][take]
+        if not (filled == _NONE).any():
+            break
+    out[left] = filled
+    return out
+
+
+def bands(lines: list[str], width: int) -> np.ndarray:
+    """(lines, BANDS): hashed groups of values, with their number."""
+    values = signatures(lines, width).astype(np.uint64)
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64)[None, :] * np.uint64(_BASE)
+    for k in range(ROWS):
+        keys = mix(keys + values[:, k * BANDS : (k + 1) * BANDS])
+    return keys.view(np.int64)
+
+
+def sets(lines: list[str], width: int) -> list[np.ndarray]:
+    """Sorted distinct hashes of each line."""
+    hashes, counts = shingles(lines, width)
+    return [np.unique(h) for h in np.split(hashes, np.cumsum(counts)[:-1])] if lines else []
+
+
+def bitmap(found: np.ndarray) -> np.ndarray:
+    """A bitmap in which each hash of a set gives one of 64 * ``WORDS`` bits."""
+    bits = np.zeros(64 * WORDS, np.uint8)
+    bits[(found % np.uint64(64 * WORDS)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64)
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def shingles(line: str, width: int) -> Column:
-    """Hashes of the character shingles of a line, repeats included; a line of
-    fewer than ``width`` characters is one shingle. UTF-32 gives every character
-    four bytes, so a shingle is a byte range."""
-    last = F.greatest(F.length(line) - width, F.lit(0))
-    return let(F.encode(line, "UTF-32"), lambda raw: F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substring(raw, i * 4 + 1, F.lit(4 * width)))))
-
-
-def ranks() -> list[Column]:
-    """The constants of a signature's ranks, in no order."""
-    step, drawn = (1 << 32) // VALUES, random.Random(7)
-    places = [k * step + drawn.randrange(step) - (1 << 31) for k in range(VALUES)]
-    drawn.shuffle(places)
-    return [F.lit(p).cast("int") for p in places]
-
-
-def unrolled(rows: DataFrame, width: int, by: list[str], line: str = "line") -> DataFrame:
-    """(``by``, at, last, v0, v1, ...): hashes of a line's shingles, ``STRIDE`` in a row
-    (the last one is repeated)."""
-    last = F.greatest(F.length(line) - width, F.lit(0))
-    raw = rows.select(*by, last.alias("last"), F.encode(line, "UTF-32").alias("raw"))
-    spots = raw.select(*by, "last", "raw", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(STRIDE))).alias("at"))
-    value = lambda k: F.hash(F.substring("raw", F.least(F.col("at") + k, F.col("last")) * 4 + 1, F.lit(4 * width)))
-    return spots.select(*by, "at", "last", *[value(k).alias(f"v{k}") for k in range(STRIDE)])
+def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, line_no, line, h1, h2) of every line; null text has no line."""
+    each = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
+    return each.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), "line"))
 
 
-def signatures(rows: DataFrame, width: int, by: list[str]) -> DataFrame:
-    """(``by``, rows, m0, m1, ...) for each distinct ``by``, which names a line: how
-    often it occurs and its smallest values. Rows are combined where they are made,
-    by flat minima in generated code."""
-    least = [F.min(F.least(*[F.col(f"v{k}").bitwiseXOR(r) for k in range(STRIDE)])).alias(f"m{j}") for j, r in enumerate(ranks())]
-    return unrolled(rows, width, by).groupBy(*by).agg(F.count_if(F.col("at") == 0).alias("rows"), *least)
+def _pieces(batch: pa.RecordBatch, most: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about ``most`` characters of its last column."""
+    size = np.array([len(s) for s in batch.column(batch.num_columns - 1).to_pylist()], np.int64)
+    part = np.cumsum(size) // most
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(size)] if len(size) else []
+    for a, b in zip(cuts, cuts[1:]):
+        yield batch.slice(a, b - a)
 
 
-def bitmaps(rows: DataFrame, width: int, by: list[str]) -> DataFrame:
-    """(``by``, n, b0, b1, ...): number of shingles, repeats included, and a bitmap of
-    64 * ``WORDS`` bits in which each shingle sets one."""
-    word = lambda k: F.col(f"v{k}").bitwiseAND(F.lit(WORDS - 1))
-    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(F.col(f"v{k}"), 4).bitwiseAND(F.lit(63)))
-    rows = unrolled(rows, width, by)
-    rows = rows.select(*by, "last", *[word(k).alias(f"w{k}") for k in range(STRIDE)], *[bit(k).alias(f"t{k}") for k in range(STRIDE)])
-    at = lambda w, k: F.when(F.col(f"w{k}") == w, F.col(f"t{k}")).otherwise(F.lit(0).cast("long"))
-    words = [F.bit_or(reduce(lambda x, y: x.bitwiseOR(y), [at(w, k) for k in range(STRIDE)])).alias(f"b{w}") for w in range(WORDS)]
-    return rows.groupBy(*by).agg((F.max("last") + 1).alias("n"), *words)
+def banded(rows: DataFrame, width: int) -> DataFrame:
+    """``rows`` with ``keys``, the bands of their last column, ``line``, in its place."""
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("keys", T.ArrayType(T.LongType()))])
 
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in _pieces(batch):
+                keys = bands(b.column(b.num_columns - 1).to_pylist(), width)
+                listed = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], listed], names=[*b.schema.names[:-1], "keys"])
 
-def total(columns: list[Column]) -> Column:
-    return reduce(lambda x, y: x + y, columns)
+    return rows.mapInArrow(of, schema)
 
 
-def band(k: int) -> Column:
-    """Key of band ``k``: its number and two values."""
-    return F.xxhash64(F.lit(k), F.col(f"m{k}"), F.col(f"m{k + VALUES // 2}"))
+WORD_NAMES = [f"b{w}" for w in range(WORDS)]
 
 
-def packed(k: int) -> Column:
-    """``s<k>``: the last bytes of the eight values from ``k`` on."""
-    byte = lambda j: F.shiftleft(F.col(f"m{k + j}").cast("long").bitwiseAND(F.lit(255)), 8 * j)
-    return reduce(lambda x, y: x.bitwiseOR(y), [byte(j) for j in range(8)]).alias(f"s{k}")
+def bitmaps(rows: DataFrame, width: int) -> DataFrame:
+    """(node, n, b0, b1, ...) of rows (node, line): set size and bitmap."""
 
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in _pieces(batch):
+                found = sets(b.column(1).to_pylist(), width)
+                bits = np.stack([bitmap(f) for f in found])
+                columns = [pa.array(bits[:, w]) for w in range(WORDS)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(f) for f in found], pa.int64()), *columns], names=["node", "n", *WORD_NAMES])
 
-def equal_bytes(a: Column, b: Column) -> Column:
-    """How many of the eight bytes of two numbers agree (by bit operations only)."""
-    fold = a.bitwiseXOR(b)
-    for bits in (4, 2, 1):
-        fold = fold.bitwiseOR(F.shiftrightunsigned(fold, bits))
-    return F.lit(8) - F.bit_count(fold.bitwiseAND(F.lit(0x0101010101010101)))
+    return rows.select("node", "line").mapInArrow(of, "node long, n long, " + ", ".join(f"{w} long" for w in WORD_NAMES))
 
 
-def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, line_no, line, h1, h2) of every line; null text has no line."""
-    each = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
-    return each.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), "line"))
+def total(columns: list[Column]) -> Column:
+    return reduce(lambda x, y: x + y, columns)
 
 
 def line_dedup(docs: DataFrame, threshold: float = 0.8, width: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -126,85 +177,71 @@ def line_dedup(docs: DataFrame, threshold: float = 0.8, width: int = 8, id_col:
     repeated result rows. Empty tables give empty results; other columns are
     ignored.
     """
+    small_batches(docs.sparkSession, 5000)
     every = lines(docs, id_col, text_col)
     full = every.where(F.trim("line") != "")
     place = F.struct("doc_id", "line_no")
-    classes = signatures(full, width, ["h1", "h2"]).withColumn("node", F.monotonically_increasing_id())
-    classes = materialize(classes, "lines")
-    sigs = classes.select("node", *[packed(k) for k in range(0, VALUES, 8)])
-    lists = classes.select("node", F.explode(F.array(*[band(k) for k in range(VALUES // 2)])).alias("key"))
-
-    def likely(a: str, b: str) -> Column:
-        """Whether the signatures allow the threshold, 4.75 standard deviations granted."""
-        same = total([equal_bytes(F.col(f"{a}s{k}"), F.col(f"{b}s{k}")) for k in range(0, VALUES, 8)])
-        return same >= int(VALUES * threshold - 4.75 * (VALUES * threshold * (1 - threshold)) ** 0.5)
-
-    def whole(nodes: DataFrame, read) -> DataFrame:
-        """``read`` of the lines of ``nodes``, with their node."""
+    marked = banded(full.select("doc_id", "line_no", "h1", "h2", "line"), width)
+    classes = marked.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("rows"), F.first("keys").alias("keys"))
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "lines")
+    lists = classes.select("node", F.explode("keys").alias("key"))
+
+    def whole(nodes: DataFrame) -> DataFrame:
+        """(node, line) of nodes."""
         wanted = materialize(classes.select("node", "h1", "h2").join(nodes, "node", "left_semi"), "wanted")
-        out = read(only(full.select("h1", "h2", "line"), wanted, ["h1", "h2"])).join(wanted, ["h1", "h2"]).drop("h1", "h2")
-        out = materialize(out, "whole")
+        found = only(full.select("h1", "h2", "line"), wanted, ["h1", "h2"]).dropDuplicates(["h1", "h2"])
+        out = materialize(found.join(wanted, ["h1", "h2"]).select("node", "line"), "texts")
         discard(wanted)
         return out
 
-    def close(pairs: DataFrame) -> DataFrame:
-        s = lambda x: sigs.select(*[F.col(c).alias(x + c) for c in sigs.columns])
-        both = pairs.join(s("x"), F.col("a") == F.col("xnode")).join(s("y"), F.col("b") == F.col("ynode"))
-        return materialize(both.where(likely("x", "y")).select("a", "b"), "likely")
-
-    def allowed(a: str, b: str) -> Column:
-        """Whether the bitmaps allow the threshold."""
-        apart = total([F.bit_count(F.col(a + w).bitwiseXOR(F.col(b + w))) for w in words])
-        return apart <= F.lit((1 - threshold) / (1 + threshold)) * (F.col(a + "n") + F.col(b + "n"))
+    @F.pandas_udf("boolean")
+    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
+        texts = pd.unique(pd.concat([a, b]))
+        of = dict(zip(texts, sets(texts.tolist(), width)))
+        out = np.zeros(len(a), bool)
+        for k, (x, y) in enumerate(zip(a, b)):
+            x, y = of[x], of[y]
+            if min(len(x), len(y)) >= threshold * max(len(x), len(y)):
+                both = len(x) + len(y) - len(np.unique(np.concatenate((x, y))))
+                out[k] = both >= threshold * (len(x) + len(y) - both)
+        return pd.Series(out)
 
-    def exact(pairs: DataFrame) -> DataFrame:
+    def verify(pairs: DataFrame) -> DataFrame:
         """The pairs whose whole sets are as similar as the threshold."""
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        text = whole(nodes, lambda rows: rows.dropDuplicates(["h1", "h2"]))
-        bits = materialize(bitmaps(text, width, ["node"]), "bits")
-        m = lambda x: bits.select(*[F.col(c).alias(x + c) for c in bits.columns])
-        near = pairs.join(m("x"), F.col("a") == F.col("xnode")).join(m("y"), F.col("b") == F.col("ynode")).where(allowed("x", "y")).select("a", "b")
+        pairs = materialize(pairs, "pairs")
+        text = whole(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         t = lambda x: text.select(F.col("node").alias(x), F.col("line").alias(f"t{x}"))
-        both = near.join(t("a"), "a").join(t("b"), "b")
-        similar = let(
-            F.struct(F.array_distinct(shingles("ta", width)).alias("x"), F.array_distinct(shingles("tb", width)).alias("y")),
-            lambda s: let(F.size(F.array_intersect(s["x"], s["y"])), lambda i: i >= F.lit(threshold) * (F.size(s["x"]) + F.size(s["y"]) - i)),
-        )
-        links = materialize(both.where(similar).select("a", "b"), "links")
-        discard(text, bits)
+        links = materialize(pairs.join(t("a"), "a").join(t("b"), "b").where(similar("ta", "tb")).select("a", "b"), "links")
+        discard(pairs, text)
         return links
 
     maps: list[DataFrame] = []
-    words = [f"b{w}" for w in range(WORDS)]
 
     def split(mixed: DataFrame) -> DataFrame:
-        """Lists of members whose set sizes can be near enough: a set is no smaller than
-        its bitmap and no larger than its shingles, repeats included."""
-        found = whole(mixed.select("node").distinct(), lambda rows: bitmaps(rows, width, ["h1", "h2"]))
-        maps.append(found.join(sigs, "node"))
-        level = lambda x: F.floor(F.log(x) / F.log(F.lit(threshold ** -2)))
-        least = total([F.bit_count(w) for w in words]).cast("double")
-        sizes = found.select("node", F.sequence(level(least), level(F.col("n") / threshold)).alias("levels"))
+        """Lists of members whose set sizes are near enough."""
+        text = whole(mixed.select("node").distinct())
+        maps.append(materialize(bitmaps(text, width), "bits"))
+        discard(text)
+        level = lambda x: F.floor(F.log(x) / F.log(F.lit(threshold**-2)))
+        sizes = maps[0].select("node", F.sequence(level(F.col("n")), level(F.col("n") / threshold)).alias("levels"))
         each = mixed.join(sizes, "node").select("key", "node", F.explode("levels").alias("level"))
         return each.select(F.xxhash64("key", "level").alias("key"), "node")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        near = close(pairs)
-        links = exact(near)
-        discard(near)
-        return links
+    def match(left: str, right: str) -> Column:
+        """Whether set sizes and bitmaps allow the threshold."""
+        n, m = F.col(f"{left}.n"), F.col(f"{right}.n")
+        apart = total([F.bit_count(F.col(f"{left}.{w}").bitwiseXOR(F.col(f"{right}.{w}"))) for w in WORD_NAMES])
+        return (F.least(n, m) >= F.lit(threshold) * F.greatest(n, m)) & (apart <= F.lit((1 - threshold) / (1 + threshold)) * (n + m))
 
-    match = lambda left, right: allowed(left + ".", right + ".") & likely(left + ".", right + ".")
-    labels = link(lists, lambda nodes: maps[0], verify, match, rounds=0, native=True, split=split, settle=exact, small=SMALL)
+    labels = link(lists, lambda nodes: maps[0], verify, match, rounds=0, split=split, small=SMALL)
     # lines that occur once and have no link stay as they are
-    linked = classes.select("node", "h1", "h2", "rows").join(labels, "node", "left").where("rows > 1 or root is not null")
-    linked = materialize(linked.select("h1", "h2", F.coalesce("root", "node").alias("root")), "linked")
-    few = linked.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    placed = every.select("doc_id", "line_no", "h1", "h2").join(F.broadcast(linked) if few else linked, ["h1", "h2"], "left").drop("h1", "h2")
-    heads = placed.where("root is not null").groupBy("root").agg(F.min(place).alias("head"))
-    heads = materialize(heads, "heads")
-    out = placed.join(F.broadcast(heads) if few else heads, "root", "left").select("doc_id", "line_no", F.coalesce("head", place).alias("head"))
+    linked = classes.select("node", "h1", "h2", "rows", "first").join(labels, "node", "left").where("rows > 1 or root is not null")
+    linked = materialize(linked.select("h1", "h2", "first", F.coalesce("root", "node").alias("root")), "linked")
+    heads = linked.groupBy("root").agg(F.min("first").alias("head"))
+    heads = materialize(linked.join(heads, "root").select("h1", "h2", "head"), "heads")
+    few = heads.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    out = every.select("doc_id", "line_no", "h1", "h2").join(F.broadcast(heads) if few else heads, ["h1", "h2"], "left")
+    head = F.coalesce("head", place)
     return out.select(
-        F.col("doc_id").alias(id_col), "line_no", F.col("head.doc_id").alias("component_doc_id"), F.col("head.line_no").alias("component_line_no"),
-        F.col("head").eqNullSafe(place).alias("kept"),
+        F.col("doc_id").alias(id_col), "line_no", head["doc_id"].alias("component_doc_id"), head["line_no"].alias("component_line_no"), head.eqNullSafe(place).alias("kept")
     )

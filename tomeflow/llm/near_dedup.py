@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tomeflow.llm.common import discard, materialize, only, small_batches
+from tomeflow.llm.common import discard, materialize, mix, only, small_batches
 from tomeflow.llm.exact_dedup import LOWER
 from tomeflow.llm.linking import link
 
@@ -27,13 +27,6 @@ _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijective scramble of unsigned 64-bit values."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 _PLACE = [mix(np.array([101 + j], np.uint64))[0] | np.uint64(1) for j in range(64)]
 
