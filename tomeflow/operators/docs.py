@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -258,14 +260,14 @@ def _fields(array: Column, names: list[str]) -> Column:
 
 def page_sections(symbols: DataFrame, sections: dict[str, DataFrame]) -> DataFrame:
     """One column of ordered structs per section (DataFrames symbol_id, pos, name,
-    url, brief); null where a symbol has none."""
-    out = symbols
-    for name, rows in sections.items():
-        cols = [c for c in rows.columns if c not in ("symbol_id", "pos")]
-        ordered = F.array_sort(F.collect_list(F.struct("pos", *cols)))
-        listed = rows.groupBy("symbol_id").agg(_fields(ordered, cols).alias(name))
-        out = out.join(listed.withColumnRenamed("symbol_id", "__s"), F.col("id") == F.col("__s"), "left").drop("__s")
-    return out
+    url, brief); null where a symbol has none. All sections are gathered in one
+    aggregation."""
+    cols = {name: [c for c in rows.columns if c not in ("symbol_id", "pos")] for name, rows in sections.items()}
+    tagged = [rows.select(F.col("symbol_id").alias("__s"), F.lit(name).alias("__section"), F.struct("pos", *cols[name]).alias(name)) for name, rows in sections.items()]
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
+    found = every.groupBy("__s").agg(*[F.array_sort(F.collect_list(name)).alias(name) for name in sections])
+    listed = found.select("__s", *[F.when(F.size(name) > 0, _fields(F.col(name), cols[name])).alias(name) for name in sections])
+    return symbols.join(listed, F.col("id") == F.col("__s"), "left").drop("__s")
 
 
 def render_pages(symbols: DataFrame, title: Column, parts: list[Column]) -> DataFrame:

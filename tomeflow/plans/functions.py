@@ -71,17 +71,17 @@ def string_splitting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-SELECT n_nationkey, lower(replace(n_name, '_', '-')) AS kebab, lower(n_name) AS snake, 'Nation' || regexp_extract(n_name, '[0-9]+') AS pascal, 'nation' || regexp_extract(n_name, '[0-9]+') AS camel,
-       'x' AS tail, '&lowbar;' AS adoc, 'a  b' AS tabs, 'a   b' AS stops, 2 AS lines, 'a' || chr(10) || ' b' AS code, 'a b' AS one
-FROM nation""")
+SELECT c_custkey, lower(replace(n_name, '_', '-')) AS kebab, lower(n_name) AS snake, 'Nation' || regexp_extract(n_name, '[0-9]+') AS pascal, 'nation' || regexp_extract(n_name, '[0-9]+') AS camel,
+       'x' AS tail, '&lowbar;' AS adoc, 'a  b' AS tabs, 'a   b' AS stops, 2 AS lines, 'a' || chr(10) || ' b' AS code, CASE WHEN c_name LIKE '%  %' THEN NULL ELSE c_name || ' b' END AS one
+FROM (SELECT *, 'NATION_' || c_custkey AS n_name FROM customer)""")
 def string_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identifier cases, strip_namespace, AsciiDoc escapes, tabs, split_lines, reindent,
     whitespace collapse."""
     q = F.concat(F.lit("a::b<c::d>::"), F.lit("x"))
-    return table(spark, sf_dir, "nation").select(
-        "n_nationkey", S.kebab_case("n_name").alias("kebab"), S.snake_case("n_name").alias("snake"), S.pascal_case("n_name").alias("pascal"), S.camel_case("n_name").alias("camel"), S.strip_namespace(q).alias("tail"),
+    return table(spark, sf_dir, "customer").withColumn("n_name", F.concat(F.lit("NATION_"), "c_custkey")).select(
+        "c_custkey", S.kebab_case("n_name").alias("kebab"), S.snake_case("n_name").alias("snake"), S.pascal_case("n_name").alias("pascal"), S.camel_case("n_name").alias("camel"), S.strip_namespace(q).alias("tail"),
         S.escape_asciidoc(F.regexp_extract("n_name", "_", 0)).alias("adoc"), S.expandtabs(F.lit("a\tb"), 2).alias("tabs"), S.tab_stops(F.lit("a\tb"), 4).alias("stops"),
-        F.size(S.split_lines(F.lit("x\ny\n"))).alias("lines"), S.reindent(F.lit("  a\n   b"), 0).alias("code"), S.collapse_whitespace(F.lit("a  b")).alias("one"),
+        F.size(S.split_lines(F.lit("x\ny\n"))).alias("lines"), S.reindent(F.lit("  a\n   b"), 0).alias("code"), S.collapse_whitespace(F.concat("c_name", F.lit("  b"))).alias("one"),
     )
 
 

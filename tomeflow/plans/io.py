@@ -3,10 +3,13 @@ folder is read back and returned."""
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import tomeflow
 from tomeflow.core import fresh_path, table
 from tomeflow.operators import merge
 from tomeflow.plans.registry import query
@@ -50,11 +53,46 @@ def multi_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).select("url", "page")
 
 
-@query("SELECT '/' || n_nationkey || '.html' AS url, length(n_name) AS bytes FROM nation")
+@query("SELECT '/' || page_id || '.html' AS url, strlen(coalesce(html, ''))::BIGINT AS bytes FROM pages")
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One file per page."""
-    n = table(spark, sf_dir, "nation").select(F.concat(F.lit("/"), "n_nationkey", F.lit(".html")).alias("url"), F.col("n_name").alias("page"))
-    return writers.write_page_files(n, fresh_path(spark, "files"))
+    p = table(spark, sf_dir, "pages").select(F.concat(F.lit("/"), "page_id", F.lit(".html")).alias("url"), F.coalesce("html", F.lit("")).alias("page"))
+    return writers.write_page_files(p, fresh_path(spark, "files"))
+
+
+@query("""
+SELECT '/w/' || o_custkey || '/f' || o_orderkey % 3 || CASE o_orderkey % 4 WHEN 0 THEN '.cpp' WHEN 1 THEN '.hpp' WHEN 2 THEN '.cxx' END AS path, '/w/' || o_custkey AS directory,
+       arg_min('cc ' || o_orderkey, o_orderkey) AS command
+FROM orders WHERE o_orderkey % 4 <> 3 GROUP BY 1, 2""")
+def compile_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A listing of each customer's orders, with relative paths, files of other
+    languages and repeated files, written and scanned."""
+    k = F.col("o_orderkey")
+    ext = F.expr("case o_orderkey % 4 when 0 then '.cpp' when 1 then '.hpp' when 2 then '.cxx' else '.py' end")
+    entry = F.struct(k.alias("k"), F.concat(F.lit("/w/"), "o_custkey").alias("directory"), F.concat(F.lit("./f"), k % 3, ext).alias("file"), F.concat(F.lit("cc "), k).alias("command"))
+    listing = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.to_json(F.array_sort(F.collect_list(entry))).alias("value"))
+    path = fresh_path(spark, "commands")
+    listing.select("value").write.text(path)
+    return readers.scan_compile_commands(spark, path, one_per_line=True).select("path", "directory", "command")
+
+
+@query("""
+WITH s AS (SELECT s_suppkey AS k, s_nationkey AS n, s_name FROM supplier)
+SELECT 'n' || n || '-' || k AS id, NULL AS parent_id, 'namespace' AS kind, 'N' || n AS name FROM s
+UNION ALL SELECT 's' || k, 'n' || n || '-' || k, 'record', s_name FROM s
+UNION ALL SELECT 'f' || k, 's' || k, 'function', 'f' FROM s""")
+def xml_symbol_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3: nested dumps, one file per supplier; templates stand between a symbol and
+    its scope at any depth."""
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
+    text = F.concat(
+        F.lit("<mrx><namespace name='N"), n, F.lit("' id='n"), n, F.lit("-"), k, F.lit("'><template><x><struct name='"), "s_name", F.lit("' id='s"), k,
+        F.lit("'><template><x><y><function name='f' access='public' id='f"), k, F.lit("'><param name='p'><type name='int'/></param></function></y></x></template></struct></x></template></namespace></mrx>"),
+    )
+    folder = fresh_path(spark, "dumps")
+    pages = table(spark, sf_dir, "supplier").select(F.concat(F.lit("/"), k, F.lit(".xml")).alias("url"), text.alias("page"))
+    writers.write_page_files(pages, folder).write.format("noop").mode("overwrite").save()
+    return readers.symbols_from_xml(readers.xml_nodes(spark, folder))["symbols"].select("id", "parent_id", "kind", "name")
 
 
 @query("SELECT c_name AS value FROM customer UNION ALL SELECT 'head' UNION ALL SELECT 'foot'")
@@ -131,6 +169,14 @@ def incremental_merge_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(versions[-1]).select("user_id", "event_type", "event_id")
 
 
+@query("SELECT s_suppkey, regexp_replace(s_name, '[^A-Z]', '', 'g') AS initials FROM supplier")
+def loaded_helper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A helper loaded from a folder of helper files."""
+    helpers = Helpers(spark)
+    helpers.load(str(Path(tomeflow.__file__).parent / "helpers"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", helpers.call("initials", F.col("s_name")).alias("initials"))
+
+
 def _initials(names: pd.Series) -> pd.Series:
     return names.str.replace(r"[^A-Z]", "", regex=True)
 

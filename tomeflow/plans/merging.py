@@ -162,6 +162,33 @@ def sorted_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order.number_members(f, order.member_sort_keys(), ["parent_id"]).select("id", F.col("idx").cast("bigint").alias("idx"))
 
 
+@query("SELECT o_orderkey, o_custkey * 2 AS ref_id FROM orders WHERE o_custkey * 2 IN (SELECT c_custkey FROM customer)")
+def existing_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References to customers that exist."""
+    refs = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") * 2).alias("ref_id"))
+    return resolve.existing(refs, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), "ref_id")
+
+
+@query("SELECT o_custkey, list_contains(list(o_orderpriority), '1-URGENT') AS urgent FROM orders GROUP BY 1")
+def set_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with an urgent order."""
+    sets = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_set("o_orderpriority").alias("p"))
+    return sets.select("o_custkey", merge.contains(F.col("p"), F.lit("1-URGENT")).alias("urgent"))
+
+
+@query("""
+SELECT p_partkey AS id, row_number() OVER (PARTITION BY p_brand ORDER BY p_name, (p_size % 2)::INT, p_size % 3, p_size % 4, p_type, p_partkey) - 1 AS idx FROM part""")
+def sorted_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of one name by template-ness, argument and parameter counts and
+    texts."""
+    z = F.col("p_size")
+    r = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("id"), F.col("p_brand").alias("parent_id"), F.col("p_name").alias("name"), F.lit(0).alias("param_count"), (z % 2 == 1).alias("is_template"),
+        (z % 3).alias("targ_count"), (z % 4).alias("tparam_count"), F.col("p_type").alias("params_text"),
+    )
+    return order.number_members(r, order.tie_break_keys(), ["parent_id"]).select("id", F.col("idx").cast("bigint").alias("idx"))
+
+
 @query("""
 WITH p AS (SELECT p_partkey, p_brand, p_name, sha1(p_partkey::VARCHAR) AS id FROM part),
 n AS (SELECT *, lag(id) OVER w AS b, lead(id) OVER w AS a FROM p WINDOW w AS (PARTITION BY p_brand, p_name ORDER BY id)),

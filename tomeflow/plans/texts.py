@@ -221,6 +221,18 @@ def doc_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "section", "argument", "direction", F.md5("literal").alias("literal"))
 
 
+@query(r"""
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '@*/' || chr(92), '') AS body FROM documents)
+SELECT doc_id, 0 AS pos, md5(trim(' ' || body || ' ', ' ')) AS body FROM d UNION ALL SELECT doc_id, 1, md5('tail ' || doc_id || chr(10) || 'end') FROM d""")
+def source_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comments cut out of sources: a block comment with a document's whole text,
+    and two lines of line comments."""
+    text = F.translate(F.coalesce("text", F.lit("")), "@*/\\", "")
+    source = F.concat(F.lit("int a;\n/** "), text, F.lit(" */\nint b; // none\n/// tail "), "doc_id", F.lit("\n  /// end\nint c;\n"))
+    found = docs.comment_texts(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), source.alias("text")))
+    return found.select(F.col("path").alias("doc_id"), "pos", F.md5("body").alias("body"))
+
+
 @query("SELECT doc_id, p AS name, 'in' AS direction, source AS literal FROM documents, (VALUES ('a'), ('b')) v(p)")
 def doc_param_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per name of a parameter command."""
@@ -261,6 +273,26 @@ def golden_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lint.golden_diff(d, d.withColumn("text", F.replace("text", F.lit("the"), F.lit("THE"))))
 
 
+#: The sections of a symbol's page.
+SECTIONS = ["namespaces", "records", "enums", "functions", "typedefs", "variables", "concepts", "guides", "usings", "friends", "bases", "derived", "related"]
+
+
+@query("""
+WITH s AS (SELECT o_custkey, list_extract(['namespaces', 'records', 'enums', 'functions', 'typedefs', 'variables', 'concepts', 'guides', 'usings', 'friends', 'bases', 'derived', 'related'], (o_orderkey % 13 + 1)::INT) AS section,
+                  o_orderkey AS k, o_orderpriority AS b FROM orders),
+l AS (SELECT o_custkey, section, array_to_string(list(k || ' ' || b ORDER BY k), ';') AS items FROM s GROUP BY 1, 2)
+SELECT c_custkey, section, items FROM customer JOIN l ON o_custkey = c_custkey""")
+def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sections of customers' pages."""
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("symbol_id"), k.alias("pos"), k.cast("string").alias("name"), F.col("o_orderpriority").alias("brief"))
+    parts = {name: rows.where(F.col("pos") % len(SECTIONS) == n) for n, name in enumerate(SECTIONS)}
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    text = lambda name: F.array_join(F.transform(name, lambda x: F.concat(x["name"], F.lit(" "), x["brief"])), ";")
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("section"), text(n).alias("items")) for n in SECTIONS]))
+    return docs.page_sections(c, parts).select(F.col("id").alias("c_custkey"), each.alias("s")).select("c_custkey", "s.*").where("items is not null")
+
+
 @query("""
 WITH o AS (SELECT o_custkey, array_to_string(list('<li>' || o_orderkey || ' ' || o_orderpriority || '</li>' ORDER BY o_orderkey), '') AS li FROM orders GROUP BY 1)
 SELECT c_custkey, md5('<h1>' || c_name || '</h1>' || coalesce('<ul>' || li || '</ul>', '')) AS page, o.li IS NOT NULL AS has_orders FROM customer LEFT JOIN o ON o_custkey = c_custkey""")

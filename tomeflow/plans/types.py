@@ -98,11 +98,11 @@ def pattern_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_patterns(o, "o_orderpriority", [("urgent", "1-*"), ("high", "*-HIGH"), ("any", "**")]).select("o_orderkey", "pattern")
 
 
-@query("SELECT n_nationkey || '.html' AS name, n_name AS text FROM nation WHERE n_nationkey <> 7")
+@query("SELECT page_id || '.html' AS name, md5(coalesce(html, '')) AS text FROM pages WHERE page_id <> 7")
 def scanned_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One file per nation is written, the folder scanned, one name excluded."""
+    """One file per page is written, the folder scanned, one name excluded."""
     folder = fresh_path(spark, "scan")
-    pages = table(spark, sf_dir, "nation").select(F.concat(F.lit("/"), "n_nationkey", F.lit(".html")).alias("url"), F.col("n_name").alias("page"))
+    pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("/"), "page_id", F.lit(".html")).alias("url"), F.coalesce("html", F.lit("")).alias("page"))
     writers.write_page_files(pages, folder).write.format("noop").mode("overwrite").save()
     found = readers.scan_files(spark, [folder], patterns=["*.html"], exclude_patterns=["**/7.html"])
-    return found.select(F.substring_index("path", "/", -1).alias("name"), "text")
+    return found.select(F.substring_index("path", "/", -1).alias("name"), F.md5("text").alias("text"))

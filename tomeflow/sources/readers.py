@@ -28,15 +28,17 @@ def scan_files(spark: SparkSession, dirs: list[str], recursive: bool = True, pat
     return rows.where(file_filter(F.col("path"), rules))
 
 
-def scan_compile_commands(spark: SparkSession, path: str) -> DataFrame:
+def scan_compile_commands(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
     """(path, directory, command, pos): absolute, C and C++ files only, the first
-    entry of a file wins."""
-    raw = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", "array<struct<directory:string,file:string,command:string>>")).alias("pos", "e"))
+    entry of a file wins. A listing is a whole file, or a line if ``one_per_line``;
+    of several listings with one file the least command at the first place wins."""
+    raw = spark.read.text(path, wholetext=not one_per_line).select(F.posexplode(F.from_json("value", "array<struct<directory:string,file:string,command:string>>")).alias("pos", "e"))
     full = P.normalize(P.absolute(F.col("e.file"), F.col("e.directory")))
     rows = raw.select(full.alias("path"), F.col("e.directory").alias("directory"), F.col("e.command").alias("command"), "pos")
     ext = F.regexp_extract("path", r"\.([^./]+)$", 1)
-    w = Window.partitionBy("path").orderBy("pos")
-    return rows.where(ext.isin(*SOURCE_EXTENSIONS, *HEADER_EXTENSIONS)).withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+    kept = rows.where(ext.isin(*SOURCE_EXTENSIONS, *HEADER_EXTENSIONS))
+    first = kept.groupBy("path").agg(F.min(F.struct("pos", "command", "directory")).alias("e"))
+    return first.select("path", "e.directory", "e.command", "e.pos")
 
 
 def read_flat_xml(spark: SparkSession, path: str, row_tag: str, schema: str) -> DataFrame:
@@ -44,28 +46,32 @@ def read_flat_xml(spark: SparkSession, path: str, row_tag: str, schema: str) ->
     return spark.read.format("xml").option("rowTag", row_tag).schema(schema).load(path)
 
 
-NODES = "path string, node_id long, parent_node_id long, tag string, attrs map<string,string>, text string"
+NODES = "path string, node_id long, parent_node_id long, scope_id string, tag string, attrs map<string,string>, text string"
 
 
-def xml_nodes(spark: SparkSession, path: str, max_mb: int = 256) -> DataFrame:
+def xml_nodes(spark: SparkSession, path: str, most: int = 10_000) -> DataFrame:
     """S3: every element of whole XML files as a node row; the tree is recursive, so
-    parent links are columns. Elements are streamed and freed as they end."""
+    the parent is a column, and so is ``scope_id``, the id of the nearest element
+    around it that has one, at any depth. Elements are freed as they end, and rows
+    are given on by ``most``."""
     import io
     import xml.etree.ElementTree as ET
 
     def shred(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for file, text in zip(pdf["path"], pdf["value"]):
-                rows, stack, n = [], [], 0
+                rows, stack, n, columns = [], [], 0, ["path", "node_id", "parent_node_id", "scope_id", "tag", "attrs", "text"]
                 for event, e in ET.iterparse(io.BytesIO(text.encode()), ("start", "end")):
                     if event == "start":
-                        stack.append((n, e))
+                        stack.append((n, stack[-1][0] if stack else None, stack[-1][3] if stack else None, e.get("id") or (stack[-1][3] if stack else None)))
                         n += 1
                     else:
-                        node, _ = stack.pop()
-                        rows.append((file, node, stack[-1][0] if stack else None, e.tag, dict(e.attrib), (e.text or "").strip()))
+                        node, parent, scope, _ = stack.pop()
+                        rows.append((file, node, parent, scope, e.tag, dict(e.attrib), (e.text or "").strip()))
                         e.clear()
-                yield pd.DataFrame(rows, columns=["path", "node_id", "parent_node_id", "tag", "attrs", "text"]).astype({"parent_node_id": "Int64"})
+                        if len(rows) == most or not stack:
+                            yield pd.DataFrame(rows, columns=columns).astype({"parent_node_id": "Int64"})
+                            rows = []
 
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     return files.mapInPandas(shred, NODES)
@@ -89,13 +95,8 @@ def symbols_from_xml(nodes: DataFrame) -> dict[str, DataFrame]:
     kind = F.try_element_at(F.create_map(*[F.lit(x) for kv in XML_KINDS.items() for x in kv]), F.col("tag"))
     a = lambda k: F.try_element_at("attrs", F.lit(k))
     own = nodes.where(F.col("tag").isin(*XML_KINDS) & a("id").isNotNull())
-    up = nodes.select("path", F.col("node_id").alias("__n"), F.col("parent_node_id").alias("__p"), F.try_element_at("attrs", F.lit("id")).alias("__id"), "tag")
-    # the parent symbol is the nearest enclosing element with an id; templates add one level
-    p1 = up.select("path", F.col("__n").alias("parent_node_id"), F.col("__id").alias("__id1"), F.col("__p").alias("__p1"))
-    p2 = up.select("path", F.col("__n").alias("__p1"), F.col("__id").alias("__id2"))
-    placed = own.join(p1, ["path", "parent_node_id"], "left").join(p2, ["path", "__p1"], "left")
-    symbols = placed.select(
-        a("id").alias("id"), F.coalesce("__id1", "__id2").alias("parent_id"), kind.alias("kind"), F.coalesce(a("name"), F.lit("")).alias("name"), a("access").alias("access"),
+    symbols = own.select(
+        a("id").alias("id"), F.col("scope_id").alias("parent_id"), kind.alias("kind"), F.coalesce(a("name"), F.lit("")).alias("name"), a("access").alias("access"),
         F.coalesce(a("is-inline") == "1", F.lit(False)).alias("is_inline"), F.coalesce(a("is-anonymous") == "1", F.lit(False)).alias("is_anonymous"), "path", "node_id",
     )
     key = symbols.select("path", F.col("node_id").alias("parent_node_id"), F.col("id").alias("symbol_id"))
