@@ -13,15 +13,15 @@ from __future__ import annotations
 import hashlib
 import heapq
 import pickle
+import string
 import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tomeflow.llm.common import partitions, small_batches
+from tomeflow.llm.common import materialize, partitions, small_batches
 
 #: ASCII capitals to small letters; other characters stay.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -134,6 +134,11 @@ def _replay(run) -> Iterator[tuple[bytes, int, int]]:
             return
 
 
+def text_digest(text_col: str) -> Column:
+    """SHA-256 of a normalised text (A-Z lower-cased, null as empty), in hexadecimal."""
+    return F.sha2(F.translate(F.coalesce(F.col(text_col), F.lit("")), string.ascii_uppercase, string.ascii_lowercase).cast("binary"), 256)
+
+
 ENTRY = "length long, content_hash long, keep_id long, n long, body binary"
 OWNER = "text_sha256 string, keep_id long, group_size long"
 
@@ -190,18 +195,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 trie.insert(body, rank(i), n)
         yield from _emit(trie, lambda key, best, n: {"text_sha256": hashlib.sha256(key).hexdigest(), "keep_id": ident(best), "group_size": n}, owner_schema)
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sha = [hashlib.sha256(x.translate(LOWER)).hexdigest() for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sha, pa.string())], names=["id", "text_sha256"])
-
     owners = (
         rows.mapInArrow(combine, ENTRY)
         .repartition(partitions(spark), "length", "content_hash")
         .mapInArrow(own, OWNER)
     )
-    each = rows.mapInArrow(digest, "id long, text_sha256 string").join(owners, "text_sha256")
-    first = F.row_number().over(Window.partitionBy("text_sha256", "id").orderBy(F.lit(1)))
-    return each.select(
-        F.col("id").alias(id_col), "keep_id", "group_size", (F.col("id").eqNullSafe(F.col("keep_id")) & (first == 1)).alias("kept"), "text_sha256"
-    )
+    keyed = docs.select(F.col(id_col).cast("long").alias("id"), text_digest(text_col).alias("text_sha256"), F.monotonically_increasing_id().alias("__row"))
+    keyed = materialize(keyed, "digests")
+    # rows repeated with one id and text: one of them stays
+    again = keyed.groupBy("text_sha256", "id").agg(F.count(F.lit(1)).alias("__n"), F.min("__row").alias("__first")).where("__n > 1")
+    again = again.select(F.col("text_sha256").alias("__sha"), F.col("id").alias("__id"), "__first")
+    each = keyed.join(owners, "text_sha256").join(again, (F.col("text_sha256") == F.col("__sha")) & F.col("id").eqNullSafe(F.col("__id")), "left")
+    first = F.coalesce(F.col("__first"), F.col("__row")) == F.col("__row")
+    return each.select(F.col("id").alias(id_col), "keep_id", "group_size", (F.col("id").eqNullSafe(F.col("keep_id")) & first).alias("kept"), "text_sha256")

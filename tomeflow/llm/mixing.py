@@ -11,17 +11,46 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tomeflow.llm.common import BROADCAST_KEYS, gapless, materialize, partitions, uniform
 
-#: Up to so many sources their rates are broadcast; beyond, they are joined with salt.
-BROADCAST_SOURCES = 50_000
+#: Up to so many sources, of so many bytes of names, their rates are broadcast;
+#: beyond, they are joined with salt.
+BROADCAST_SOURCES, BROADCAST_BYTES = 50_000, 16 << 20
+#: Copies that one row unrolls to at a time.
+UNROLLED = 1 << 16
+
+
+def poisson_inverse(rate: float, u: np.ndarray) -> np.ndarray:
+    """The least k with P(X <= k) > u. Terms are summed over twelve deviations and
+    thirty to either side of the mean, whatever the rate; what lies outside is less
+    than a draw can tell."""
+    if rate <= 0:
+        return np.zeros(len(u), np.int64)
+    reach = 12 * math.sqrt(rate) + 30
+    low, high = max(0, int(rate - reach)), int(rate + reach)
+    steps = np.log(rate) - np.log(np.arange(low + 1, high + 1, dtype=np.float64))
+    logs = np.concatenate(([0.0], np.cumsum(steps))) + (low * math.log(rate) - rate - math.lgamma(low + 1))
+    return low + np.searchsorted(np.cumsum(np.exp(logs)), u, side="right").astype(np.int64)
+
+
+@F.pandas_udf("long")
+def _counts(rate: pd.Series, u: pd.Series) -> pd.Series:
+    out = np.zeros(len(rate), np.int64)
+    rates, draws = rate.to_numpy(), u.to_numpy()
+    values, place = np.unique(rates, return_inverse=True)
+    for k, v in enumerate(values):
+        own = place == k
+        out[own] = poisson_inverse(float(v), draws[own])
+    return pd.Series(out)
 
 
 def source_rates(docs: DataFrame, source_col: str, size: str, weights: dict[str | None, float] | None = None, volume: float = 1.0) -> DataFrame:
-    """(source, rate, cdf): mean repetitions so that source shares of the summed
+    """(source, rate): mean repetitions so that source shares of the summed
     ``size`` meet the weights (equal ones by default; named sources get their
     weight, unnamed none) at ``volume`` times the input's size."""
     sizes = docs.groupBy(F.col(source_col).alias("__source")).agg(F.sum(F.expr(size)).cast("double").alias("__size"))
@@ -32,20 +61,7 @@ def source_rates(docs: DataFrame, source_col: str, size: str, weights: dict[str
         weighted = sizes.join(F.broadcast(given), F.col("__source").eqNullSafe(F.col("__s")), "left").select("__source", "__size", F.coalesce("__w", F.lit(0.0)).alias("__w"))
     sums = weighted.agg(F.sum("__size").alias("__total"), F.sum(F.when(F.col("__size") > 0, F.col("__w"))).alias("__ws"))
     rate = F.when(F.col("__size") > 0, F.lit(float(volume)) * F.col("__w") / F.col("__ws") * F.col("__total") / F.col("__size")).otherwise(F.lit(0.0))
-    rates = weighted.join(F.broadcast(sums)).select("__source", F.coalesce(rate, F.lit(0.0)).alias("__rate"))
-    # P(X <= k) for k = 0.. far into the tail, as a running sum of log-space terms
-    most = (F.col("__rate") + 12 * F.sqrt("__rate") + 30).cast("int")
-    logs = F.aggregate(
-        F.sequence(F.lit(1), most),
-        F.array(-F.col("__rate")),
-        lambda acc, k: F.concat(acc, F.array(F.element_at(acc, -1) + F.log(F.col("__rate")) - F.log(k.cast("double")))),
-    )
-    cdf = F.aggregate(
-        F.slice(logs, 2, most),
-        F.array(F.exp(F.element_at(logs, 1))),
-        lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.exp(x))),
-    )
-    return rates.withColumn("__cdf", F.when(F.col("__rate") > 0, cdf).otherwise(F.array(F.lit(1.0))))
+    return weighted.join(F.broadcast(sums)).select("__source", F.coalesce(rate, F.lit(0.0)).alias("__rate"))
 
 
 def _marked(docs: DataFrame, keys: DataFrame, on: list[str], mark: str) -> DataFrame:
@@ -74,9 +90,10 @@ def poisson_counts(docs: DataFrame, id_col: str = "doc_id", source_col: str = "s
     sources form a source of their own; a null size counts 16 bytes; every row has
     its own draw, rows of one id or of none too."""
     size = f"coalesce({size}, 16)"
-    rates = source_rates(docs, source_col, size, weights, volume)
+    rates = materialize(source_rates(docs, source_col, size, weights, volume), "rates")
     docs = own_rows(docs, id_col)
-    if rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
+    n, names = rates.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.col("__source").cast("string"))), F.lit(0))).first()
+    if n <= BROADCAST_SOURCES and names <= BROADCAST_BYTES:
         joined = docs.join(F.broadcast(rates), F.col(source_col).eqNullSafe(F.col("__source")))
     else:  # many sources: salt, so that a hot source is spread over tasks
         salts = partitions(docs.sparkSession)
@@ -84,27 +101,42 @@ def poisson_counts(docs: DataFrame, id_col: str = "doc_id", source_col: str = "s
         salted = docs.withColumn("__salt2", F.pmod(F.xxhash64(F.lit(seed + 2), id_col, "__own"), F.lit(salts)).cast("int"))
         joined = salted.join(spread, F.col(source_col).eqNullSafe(F.col("__source")) & (F.col("__salt2") == F.col("__salt"))).drop("__salt", "__salt2")
     u = uniform(F.col(id_col), F.col("__own"), seed=seed)
-    return joined.withColumn("__u", u).withColumn("__count", F.size(F.filter("__cdf", lambda c: c <= F.col("__u")))).drop("__source", "__cdf", "__u")
+    return joined.withColumn("__count", _counts(F.col("__rate"), u)).drop("__source")
+
+
+def _copies(counted: DataFrame, out: str) -> DataFrame:
+    """A row for each copy, numbered by ``out``; many copies are unrolled in two steps,
+    so that no long array is built."""
+    spans = counted.withColumn("__at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__count") - 1, F.lit(UNROLLED).cast("long"))))
+    each = F.explode(F.sequence("__at", F.least(F.col("__at") + UNROLLED, "__count") - 1))
+    return spans.withColumn(out, each).drop("__at")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores after it as make it new to ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def poisson_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", size: str = "octet_length(text) + 16", weights: dict | None = None, volume: float = 1.0, seed: int = 23) -> DataFrame:
     """``docs`` replicated and globally shuffled; adds ``mix_copy`` (from 0) and
-    ``mix_key`` (the shuffle's order, unsigned). Columns of those names must not
-    exist. An empty table stays empty."""
+    ``mix_key`` (the shuffle's order, unsigned), with an underscore after them where
+    ``docs`` has such a column. An empty table stays empty."""
+    copy, key = free_name(docs, "mix_copy"), free_name(docs, "mix_key")
     counted = poisson_counts(docs, id_col, source_col, size, weights, volume, seed).where("__count > 0")
-    copies = counted.withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("__count") - 1))).drop("__rate", "__count")
-    keyed = copies.withColumn("mix_key", F.xxhash64(F.lit(seed + 1), id_col, "mix_copy", "__own")).drop("__own")
-    return keyed.repartition(partitions(docs.sparkSession), "mix_key").sortWithinPartitions("mix_key")
+    copies = _copies(counted, copy).drop("__rate", "__count")
+    keyed = copies.withColumn(key, F.xxhash64(F.lit(seed + 1), id_col, copy, "__own")).drop("__own")
+    return keyed.repartition(partitions(docs.sparkSession), key).sortWithinPartitions(key)
 
 
 def mix_report(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", size: str = "octet_length(text) + 16", weights: dict | None = None, volume: float = 1.0, seed: int = 23) -> DataFrame:
     """The mix without texts: (id, source, n_copies, copy, rate, position), one
     row per emitted copy; ``position`` is its gapless place in the shuffle."""
     counted = poisson_counts(docs, id_col, source_col, size, weights, volume, seed).where("__count > 0")
-    rows = counted.select(
-        F.col(id_col).alias("__id"), F.col(source_col).alias("source"), F.col("__count").alias("n_copies"), F.round("__rate", 9).alias("rate"),
-        F.explode(F.sequence(F.lit(0), F.col("__count") - 1)).alias("copy"), "__own",
-    ).withColumn("__key", F.xxhash64(F.lit(seed + 1), "__id", "copy", "__own")).drop("__own")
+    flat = counted.select(F.col(id_col).alias("__id"), F.col(source_col).alias("source"), "__count", F.round("__rate", 9).alias("rate"), "__own")
+    rows = _copies(flat, "copy").withColumnRenamed("__count", "n_copies").withColumn("__key", F.xxhash64(F.lit(seed + 1), "__id", "copy", "__own")).drop("__own")
     ranked = gapless(rows, "__key", ["__id", "copy"], "position")
     return ranked.select(F.col("__id").alias(id_col), "source", "n_copies", "copy", "rate", F.col("position").cast("long").alias("position"))
 

@@ -167,7 +167,8 @@ def near_dedup(docs: DataFrame, threshold: int = 80, width: int = 5, k: int = 64
     sketches hold whole sets), so many must be shared. Hence documents with fewer
     values of more than one document have no link, and this many less one of the
     most frequent values need no lookup: some rarer one is shared too. In the last
-    pass, sets of at most ``whole`` shingles are compared as they are.
+    pass, pairs of sets of at most ``whole`` shingles that pass the filter are verified
+    where they meet, others when all are gathered.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -212,8 +213,8 @@ def near_dedup(docs: DataFrame, threshold: int = 80, width: int = 5, k: int = 64
         first = ~other & (F.array_min(F.array_intersect(a("keys"), b("keys"))) == a("key"))
         both = F.size(F.array_intersect(a("set"), b("set")))
         exact = both * 100 >= (a("n") + b("n") - both) * threshold
-        settled = F.when(a("set").isNotNull() & b("set").isNotNull(), exact).otherwise(likely(a("sketch"), b("sketch"), a("n"), b("n")))
-        return near(a("n"), b("n")) & first & settled
+        settled = F.when(a("set").isNotNull() & b("set").isNotNull(), exact).otherwise(F.lit(True))
+        return near(a("n"), b("n")) & first & likely(a("sketch"), b("sketch"), a("n"), b("n")) & settled
 
     def verify(pairs: DataFrame) -> DataFrame:
         s = lambda x: sizes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))

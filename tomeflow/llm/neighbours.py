@@ -81,9 +81,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, trees: int = 40
 
     ``score`` is the Euclidean distance of the original vectors in double
     precision; ties go to the smaller id; a query's own id is no candidate; fewer
-    than ``k`` candidates give fewer rows. Vectors must have one width (rows of
-    another width than a query's are no candidates of it). Rows repeated with one
-    id and vector count once. ``share`` times the block's size is how many entries
+    than ``k`` candidates give fewer rows. Rows without an id take no part. Of several
+    vectors of one id the nearest counts, as query and as candidate, so that a
+    query's ids and ranks occur once. Rows of another width than a query's are no
+    candidates of it. ``share`` times the block's size is how many entries
     (over all trees, repeats counted) end the ascent: raise it for recall. It ends
     with more than ``k`` entries at least, or with all.
 
@@ -112,12 +113,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, trees: int = 40
                 near = near[ids[near] != qid]
                 d = np.sqrt(((x[near] - v) ** 2).sum(1))
                 # ids ascend, so a stable sort gives ties to the smaller one
-                for i in np.argsort(d, kind="stable")[:k]:
+                order = np.argsort(d, kind="stable")
+                _, once = np.unique(ids[near[order]], return_index=True)
+                for i in order[np.sort(once)[:k]]:
                     found.append((qid, ids[near[i]], d[i]))
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     left = side(index, "ib", "qb", blocks, parts).groupBy("ib", "qb")
     right = side(asked, "qb", "ib", parts, blocks).groupBy("ib", "qb")
-    found = left.cogroup(right).applyInPandas(search, schema)
+    found = left.cogroup(right).applyInPandas(search, schema).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("vec_id").alias(id_col), "score")

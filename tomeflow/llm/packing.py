@@ -108,42 +108,29 @@ def local_search(bins: list[list[int]], fill: list[int], sizes: np.ndarray, limi
     takes fill d from it to a bin of slack >= d that is fuller after the step than
     the victim was before it, so that the sum of squared fills grows by
     2 d (fill - victim's fill + d) > 0. Steps, best first: move a document,
-    exchange one for one, exchange two of the victim's for one."""
+    exchange one for one, exchange two of the victim's for one. The search ends when
+    the least number of bins is reached, no bin has a step left, or ``sweeps`` victims
+    have been asked: a bound of the time only, no document is left out."""
     least = -(-sum(fill) // limit)
     stuck: set[int] = set()
+    moved = False
     for _ in range(sweeps):
         live = [b for b in range(len(bins)) if bins[b]]
         if len(live) <= least:
             return
         open_ = [b for b in live if fill[b] < limit and b not in stuck]
-        if len(open_) < 2:
+        if not open_ and moved:  # the others have changed: ask all again
+            stuck, moved = set(), False
+            continue
+        if not open_:
             return
         v = min(open_, key=lambda b: (fill[b], b))
         others = [b for b in live if b != v and fill[b] < limit]
-        slack = np.array([limit - fill[b] for b in others])
-        item = np.array([i for b in others for i in bins[b]])
-        owner = np.repeat(np.arange(len(others)), [len(bins[b]) for b in others])
-        room, held = slack[owner], sizes[item]
-        best: tuple[int, list[int], int, int] | None = None  # gain, of the victim, other bin, item given back
-        own = sorted(bins[v], key=lambda i: -sizes[i])
-        gives = [[i] for i in own] + [[own[x], own[y]] for x in range(len(own)) for y in range(x + 1, len(own))][:400]
-        for give in gives:
-            s = int(sizes[give].sum())
-            if len(give) == 1 and (fits := np.flatnonzero(slack >= s)).size:
-                k = fits[np.argmin(slack[fits])]
-                best = (s, give, int(k), -1)
-                break
-            gain = s - held
-            ok = np.flatnonzero((gain > 0) & (gain <= room))
-            if ok.size:
-                j = ok[np.argmax(gain[ok])]
-                if best is None or gain[j] > best[0]:
-                    best = (int(gain[j]), give, int(owner[j]), int(item[j]))
-        if best is None:
+        step = best_step(bins, fill, sizes, limit, v, others)
+        if step is None:
             stuck.add(v)
             continue
-        gain, give, k, back = best
-        b = others[k]
+        gain, give, b, back = step
         for i in give:
             bins[v].remove(i)
             bins[b].append(i)
@@ -152,6 +139,41 @@ def local_search(bins: list[list[int]], fill: list[int], sizes: np.ndarray, limi
             bins[v].append(back)
         fill[v] -= gain
         fill[b] += gain
+        moved = True
+
+
+def best_step(bins: list[list[int]], fill: list[int], sizes: np.ndarray, limit: int, v: int, others: list[int]) -> tuple[int, list[int], int, int] | None:
+    """(fill taken, documents of bin ``v``, other bin, document given back or -1) of the
+    step that takes most from ``v``, a move before an exchange; None if there is none."""
+    if not others:
+        return None
+    slack = np.array([limit - fill[b] for b in others])
+    own = sorted(bins[v], key=lambda i: -sizes[i])
+    for i in own:
+        if (fits := np.flatnonzero(slack >= sizes[i])).size:
+            return int(sizes[i]), [i], others[int(fits[np.argmin(slack[fits])])], -1
+    item = np.array([i for b in others for i in bins[b]])
+    owner = np.repeat(np.arange(len(others)), [len(bins[b]) for b in others])
+    # only what an exchange can give back: for each size, the bin with the most room
+    room, held = slack[owner], sizes[item]
+    order = np.lexsort((-room, held))
+    room, held, item, owner = room[order], held[order], item[order], owner[order]
+    # sums of one or two documents; of equal sums one is tried
+    gives = {int(sizes[i]): [i] for i in own}
+    for x in range(len(own)):
+        for y in range(x + 1, len(own)):
+            gives.setdefault(int(sizes[own[x]] + sizes[own[y]]), [own[x], own[y]])
+    best = None
+    for s, give in sorted(gives.items(), reverse=True):
+        if best is not None and s - int(held[0]) <= best[0]:
+            break  # smaller sums take less
+        gain = s - held
+        ok = np.flatnonzero((gain > 0) & (gain <= room))
+        if ok.size:
+            j = ok[np.argmax(gain[ok])]
+            if best is None or gain[j] > best[0]:
+                best = (int(gain[j]), give, others[int(owner[j])], int(item[j]))
+    return best
 
 
 def _pack_groups(pieces: DataFrame, limit: int, level: int, per_group: int) -> DataFrame:

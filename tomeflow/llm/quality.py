@@ -125,13 +125,16 @@ def _slope(s: np.ndarray, y: np.ndarray, shift: float) -> float:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, most: int, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", where=None) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of at most ``most`` labelled rows (least id hashes).
-    Null ids and labels other than 0 and 1 are left out."""
+    """Features and labels of at most ``most`` labelled ids (least id hashes). Null ids
+    and labels other than 0 and 1 are left out. An id with both labels counts as bad;
+    of several texts of one id the least is taken, so that no more than ``most`` rows
+    are gathered."""
     chosen = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).where("__id is not null and __y in (0, 1)")
     if where is not None:
         chosen = chosen.where(where(F.col("__id")))
-    chosen = chosen.dropDuplicates(["__id"]).orderBy(F.xxhash64("__id"), "__id").limit(most)
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(chosen), "__id").select("__id", "__y", F.coalesce("__text", F.lit("")).cast("binary").alias("__body"))
+    chosen = chosen.groupBy("__id").agg(F.min("__y").alias("__y")).orderBy(F.xxhash64("__id"), "__id").limit(most)
+    texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text")).join(F.broadcast(chosen), "__id")
+    rows = texts.groupBy("__id", "__y").agg(F.min("__text").alias("__text")).select("__id", "__y", F.col("__text").cast("binary").alias("__body"))
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

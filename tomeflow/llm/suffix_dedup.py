@@ -13,7 +13,6 @@ extension of ``width`` are compared byte by byte before anything is removed.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -245,8 +244,8 @@ def _by_bucket(kind: int, bucket: np.ndarray, arrays: list[np.ndarray]) -> Itera
         yield {"kind": kind, "bucket": int(bucket[s]), "blob": pack_arrays([a[s:e] for a in arrays])}
 
 
-_ANCHOR = [np.uint64, np.int64, np.uint32, np.int64, np.uint8, np.uint8]  # hash, doc, tie, first string, offset, strings
-_SPAN = [np.int64, np.uint32, np.int64, np.int64]  # doc, tie, start, end
+_ANCHOR = [np.uint64, np.int64, np.uint64, np.int64, np.uint8, np.uint8]  # hash, doc, tie, first string, offset, strings
+_SPAN = [np.int64, np.uint64, np.int64, np.int64]  # doc, tie, start, end
 
 
 def remove_repeats(docs: DataFrame, width: int = 100, gram: int = 24, per_bucket: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
@@ -256,7 +255,7 @@ def remove_repeats(docs: DataFrame, width: int = 100, gram: int = 24, per_bucket
     One row per input row: (id, n_bytes, n_removed, n_spans, kept_sha256[, kept]).
     ``kept`` is binary: a cut can fall inside a character. Null text is empty; a
     null id comes first. Rows of one id are documents of their own, ordered by
-    their texts' CRC-32; rows equal in id and text count as one document. Empty
+    64-bit hashes of their texts; rows equal in id and text count as one document. Empty
     tables give empty results; other columns are ignored. ``width`` is 32 to 255
     and over ``gram``. Work is dealt in buckets of about ``per_bucket`` text bytes.
     """
@@ -268,13 +267,13 @@ def remove_repeats(docs: DataFrame, width: int = 100, gram: int = 24, per_bucket
     tied = known["n"] != known["d"]
 
     def tie(body: bytes) -> int:
-        return zlib.crc32(body) if tied else 0
+        return int.from_bytes(hashlib.blake2b(body, digest_size=8).digest(), "little") if tied else 0
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def chunk(part: list[tuple[int, int, bytes]]) -> Iterator[dict]:
             part = sorted(part, key=lambda r: r[:2])
             h, doc, at, anchor, first, count = anchors([r[2] for r in part], width, gram)
-            ids, ties = np.array([r[0] for r in part], np.int64), np.array([r[1] for r in part], np.uint32)
+            ids, ties = np.array([r[0] for r in part], np.int64), np.array([r[1] for r in part], np.uint64)
             key = mix(h.of(anchor, anchor + gram))
             end = first + count - 1 + width
             # settled here: runs equal to an earlier run of this task
