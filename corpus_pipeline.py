@@ -28,8 +28,7 @@ def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def _one_of(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """Rows of ``docs`` named by kept (doc_id, text_sha256); one of repeated rows."""
-    sha = F.sha2(F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").cast("binary"), 256)
-    keyed = docs.withColumn("__sha", sha).alias("d")
+    keyed = docs.withColumn("__sha", exact_dedup.text_digest("text")).alias("d")
     on = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.__sha") == F.col("k.text_sha256"))
     found = keyed.join(kept.select("doc_id", "text_sha256").distinct().alias("k"), on, "left_semi")
     return found.dropDuplicates(["doc_id", "__sha"]).select(docs.columns)
