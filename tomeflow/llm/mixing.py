@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tomeflow.llm.common import BROADCAST_KEYS, gapless, materialize, partitions, uniform
 
@@ -38,7 +39,7 @@ def poisson_inverse(rate: float, u: np.ndarray) -> np.ndarray:
     return low + np.searchsorted(np.cumsum(np.exp(logs)), u, side="right").astype(np.int64)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())  # a type, as a text needs a session when this is imported
 def _counts(rate: pd.Series, u: pd.Series) -> pd.Series:
     out = np.zeros(len(rate), np.int64)
     rates, draws = rate.to_numpy(), u.to_numpy()
