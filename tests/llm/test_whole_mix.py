@@ -26,7 +26,7 @@ def test_rows_of_null_and_repeated_ids_have_their_own_draws(spark):
 
 
 def test_inverse_of_the_distribution():
-    u = np.array([0.0, 1e-12, 0.1, 0.3, 0.5, 0.9, 0.999, 1 - 1e-12])
+    u = np.array([6e-17, 1e-12, 0.1, 0.3, 0.5, 0.9, 0.999, 1 - 1e-12])
     for rate in (0.0, 0.01, 0.7, 1.0, 5.5, 40.0, 300.0):
         terms, k = [math.exp(-rate)], 0
         while k < rate + 60 * math.sqrt(rate + 1):
