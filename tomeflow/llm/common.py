@@ -7,6 +7,7 @@ come from star contraction over an edge table.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,13 @@ from pyspark.sql.window import Window
 from tomeflow.core import discard, fresh_path, materialize  # noqa: F401 (used by the operators)
 
 
+def reclaim(spark: SparkSession) -> None:
+    """Have the driver collect plans that nothing refers to any more, so that Spark
+    deletes their shuffle files now and not at some later collection."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

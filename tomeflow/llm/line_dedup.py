@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tomeflow.llm.common import BROADCAST_KEYS, discard, materialize, mix, only, small_batches
+from tomeflow.llm.common import BROADCAST_KEYS, discard, materialize, mix, only, reclaim, small_batches
 from tomeflow.llm.linking import link
 
 #: Values of a signature, and how many make a band.
@@ -167,6 +167,15 @@ def total(columns: list[Column]) -> Column:
     return reduce(lambda x, y: x + y, columns)
 
 
+def distinct_lines(full: DataFrame, width: int) -> DataFrame:
+    """(h1, h2, first, rows, keys, node): each distinct line with its first place, its
+    number of rows and its bands, written."""
+    marked = banded(full.select("doc_id", "line_no", "h1", "h2", "line"), width)
+    place = F.struct("doc_id", "line_no")
+    classes = marked.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("rows"), F.first("keys").alias("keys"))
+    return materialize(classes.withColumn("node", F.monotonically_increasing_id()), "lines")
+
+
 def line_dedup(docs: DataFrame, threshold: float = 0.8, width: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per line: (doc_id, line_no, component_doc_id, component_line_no, kept).
 
@@ -181,9 +190,8 @@ def line_dedup(docs: DataFrame, threshold: float = 0.8, width: int = 8, id_col:
     every = lines(docs, id_col, text_col)
     full = every.where(F.trim("line") != "")
     place = F.struct("doc_id", "line_no")
-    marked = banded(full.select("doc_id", "line_no", "h1", "h2", "line"), width)
-    classes = marked.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("rows"), F.first("keys").alias("keys"))
-    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "lines")
+    classes = distinct_lines(full, width)
+    reclaim(docs.sparkSession)
     lists = classes.select("node", F.explode("keys").alias("key"))
 
     def whole(nodes: DataFrame) -> DataFrame:
@@ -233,7 +241,13 @@ def line_dedup(docs: DataFrame, threshold: float = 0.8, width: int = 8, id_col:
         apart = total([F.bit_count(F.col(f"{left}.{w}").bitwiseXOR(F.col(f"{right}.{w}"))) for w in WORD_NAMES])
         return (F.least(n, m) >= F.lit(threshold) * F.greatest(n, m)) & (apart <= F.lit((1 - threshold) / (1 + threshold)) * (n + m))
 
-    labels = link(lists, lambda nodes: maps[0], verify, match, rounds=0, split=split, small=SMALL)
+    def settle(pairs: DataFrame) -> DataFrame:
+        """``verify`` of pairs whose bitmaps allow it."""
+        x, y = maps[0].alias("x"), maps[0].alias("y")
+        near = pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(match("x", "y"))
+        return verify(near.select("a", "b"))
+
+    labels = link(lists, lambda nodes: maps[0], verify, match, rounds=1, split=split, settle=settle, small=SMALL)
     # lines that occur once and have no link stay as they are
     linked = classes.select("node", "h1", "h2", "rows", "first").join(labels, "node", "left").where("rows > 1 or root is not null")
     linked = materialize(linked.select("h1", "h2", "first", F.coalesce("root", "node").alias("root")), "linked")

@@ -100,25 +100,25 @@ def link(
     pairs (a, b) and returns a written table (a, b) of the true links among them.
     ``rounds`` of drawn pivots only save comparisons in the last pass. ``native``
     keeps to DataFrame functions. ``split`` makes finer lists (key, node) of those
-    that still hold several components; ``settle`` verifies the last pass's pairs
-    (``verify``, if not given). Lists of up to ``small`` nodes are settled by round one."""
+    that still hold several components; ``settle`` verifies drawn pairs, if they can
+    be filtered better then (else ``verify`` does). Lists of up to ``small`` nodes are settled by round one."""
     pivots, members = shared_lists(lists)
     links = verify(star_pairs(pivots, members, small))
     labels = components(links, native=native)
     mixed = mixed_lists(members.where(F.col("c") > small), labels)
     discard(links, pivots, members)
+    if split:
+        last, mixed = mixed, mixed_lists(split(mixed.select("key", "node")), labels)
+        discard(last)
     for draw in range(rounds):
-        links = verify(drawn_pairs(mixed, draw))
+        links = (settle or verify)(drawn_pairs(mixed, draw))
         if links.isEmpty():
             break
         labels = relabel(labels, links, native)
         last, mixed = mixed, mixed_lists(mixed, labels)
         discard(links, last)
-    if split:
-        last, mixed = mixed, mixed_lists(split(mixed.select("key", "node")), labels)
-        discard(last)
     pairs = cross_pairs(mixed, payload, match)
-    links = (settle or verify)(pairs)
+    links = verify(pairs)
     discard(mixed, pairs)
     if not links.isEmpty():
         labels = relabel(labels, links, native)
