@@ -270,6 +270,19 @@ def copied_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inherit.inherit(inherited, symbols).select("derived_id", "child_id", "copied", "member_id")
 
 
+@query("""
+WITH m AS (SELECT s_suppkey, s_nationkey, CASE s_nationkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 3 END AS e, s_suppkey % 2 AS d FROM supplier)
+SELECT 's:' || s_suppkey AS derived_id, sha1('s:' || s_suppkey || '-n:' || s_nationkey || '/m') AS member_id, CASE WHEN e = 3 THEN d ELSE e END::INT AS extraction FROM m""")
+def copied_all_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All members are copied; only dependencies take the derived record's mode."""
+    s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
+    derived = F.concat(F.lit("s:"), "s_suppkey")
+    inherited = s.select(derived.alias("derived_id"), F.concat(F.lit("n:"), "s_nationkey", F.lit("/m")).alias("child_id"), F.lit("public").alias("access"))
+    own = n.select(F.concat(F.lit("n:"), "n_nationkey", F.lit("/m")).alias("id"), F.expr("case n_nationkey % 3 when 0 then 0 when 1 then 1 else 3 end").alias("extraction"))
+    symbols = own.union(s.select(derived, (F.col("s_suppkey") % 2).cast("int")))
+    return inherit.inherit(inherited, symbols, "copy-all").select("derived_id", "member_id", "extraction")
+
+
 @query("""
 WITH RECURSIVE a AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 16 <> 0 THEN c_custkey - 1 END AS t FROM customer),
 w AS (SELECT id, t, t AS cur FROM a WHERE t IS NOT NULL
