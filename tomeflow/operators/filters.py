@@ -97,7 +97,7 @@ def implied_by_children(own: DataFrame, default: int) -> DataFrame:
     """(id, implied): least specific mode of the children of namespaces that only
     match as a prefix, judged by the patterns alone; null if all are dependencies.
     Chains of such namespaces are settled from the leaves up."""
-    scopes = materialize(own.where("prefix").select("id", "parent_id"), "prefixes")
+    scopes = own.where("prefix").select("id", "parent_id")
     kids = own.where("not prefix").join(scopes.select(F.col("id").alias("__s")), F.col("parent_id") == F.col("__s"), "left_semi")
     mode = F.coalesce("strict", F.lit(default))
     least = kids.where(mode < DEPENDENCY).groupBy(F.col("parent_id").alias("__p")).agg(F.min(mode).alias("__m"))
@@ -140,7 +140,6 @@ def classify_symbols(symbols: DataFrame, rules: SymbolRules) -> DataFrame:
     own = symbols.select("id", "parent_id", "kind", strict.alias("strict"), prefix.alias("prefix"), F.when(scopes, literal_mode(name, rules)).alias("literal"))
     own = materialize(own, "own-modes")
     own = own.join(implied_by_children(own, default).withColumnRenamed("id", "__i"), F.col("id") == F.col("__i"), "left").drop("__i")
-    own = materialize(own, "own-modes")
     none = F.lit(None)
     root = {"__kind": none.cast("string"), "__mode": F.lit(REGULAR), "__by_prefix": F.lit(False), "__apart": F.lit(False), "__above": none.cast("int"), "__global": F.lit(True)}
 

@@ -24,19 +24,20 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _parents(nodes: DataFrame, id_col: str, parent_col: str) -> DataFrame:
-    """(id, up): parents that are rows; null for roots."""
-    own = nodes.select(F.col(id_col).alias("id"), F.col(parent_col).alias("__up"))
-    known = own.select(F.col("id").alias("up")).distinct()
-    return own.join(known, F.col("__up") == F.col("up"), "left").select("id", "up")
-
-
 def ancestors(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent_id") -> DataFrame:
     """(id, ancestor, dist), a node being its own ancestor at distance 0. Parents
-    that are not rows end a path; cyclic parents raise."""
-    jump = materialize(_parents(nodes, id_col, parent_col).where("up is not null"), "jumps")
-    out = materialize(nodes.select(F.col(id_col).alias("id"), F.col(id_col).alias("ancestor"), F.lit(0).alias("dist")), "ancestors")
-    for k in range(MOST_ROUNDS):
+    that are not rows end a path; cyclic parents raise. The first four levels are
+    climbed in one step, which is all for most trees."""
+    parents = nodes.select(F.col(id_col).alias("__i"), F.col(parent_col).alias("__up"))
+    cur = nodes.select(F.col(id_col).alias("id"), F.array(F.col(id_col)).alias("line"), F.col(parent_col).alias("up"))
+    for level in range(4):
+        moved = cur.join(parents, F.col("up") == F.col("__i"), "left")
+        line = F.col("line") if level == 3 else F.when(F.col("__i").isNull(), F.col("line")).otherwise(F.concat("line", F.array("__i")))
+        cur = moved.select("id", line.alias("line"), F.col("__i" if level == 3 else "__up").alias("up"))
+    near = materialize(cur, "ancestors")
+    out = near.select("id", F.posexplode("line").alias("dist", "ancestor")).select("id", "ancestor", "dist")
+    jump = near.where("up is not null").select("id", "up")
+    for k in range(2, MOST_ROUNDS):
         if jump.isEmpty():
             return out
         over = jump.select(F.col("id").alias("__i"), F.col("up").alias("__u"))
@@ -51,18 +52,23 @@ def ancestors(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent_id
 def paths(nodes: DataFrame, name: Column, id_col: str = "id", parent_col: str = "parent_id") -> DataFrame:
     """(id, path, depth): names and sort keys from root to node. ``name`` is any column
     expression over the nodes. Rows whose parent is missing or null are roots; cyclic
-    parents raise."""
-    named = nodes.select(F.col(id_col).alias("id"), F.col(parent_col).alias("__up"), F.array(name).alias("path"))
-    known = named.select(F.col("id").alias("up")).distinct()
-    cur = named.join(known, F.col("__up") == F.col("up"), "left").select("id", "up", "path", F.lit(0).alias("depth"))
+    parents raise. The first three levels are climbed in one step."""
+    named = nodes.select(F.col(id_col).alias("id"), F.col(parent_col).alias("up"), F.array(name).alias("path"), F.lit(0).alias("depth"))
+
+    def climbed(cur: DataFrame, by: DataFrame) -> DataFrame:
+        top = by.select(F.col("id").alias("__i"), F.col("up").alias("__u"), F.col("path").alias("__path"), F.col("depth").alias("__d"))
+        moved = cur.join(top, F.col("up") == F.col("__i"), "left")
+        path = F.when(F.col("__i").isNull(), F.col("path")).otherwise(F.concat("__path", "path"))
+        return moved.select("id", F.col("__u").alias("up"), path.alias("path"), (F.col("depth") + F.coalesce(F.col("__d") + 1, F.lit(0))).alias("depth"))
+
+    cur = named
+    for _ in range(3):
+        cur = climbed(cur, named)
     cur = materialize(cur, "paths")
     for _ in range(MOST_ROUNDS):
         if cur.where("up is not null").isEmpty():
             return cur.select("id", "path", "depth")
-        top = cur.select(F.col("id").alias("__i"), F.col("up").alias("__u"), F.col("path").alias("__path"), F.col("depth").alias("__d"))
-        moved = cur.join(top, F.col("up") == F.col("__i"), "left")
-        path = F.when(F.col("__i").isNull(), F.col("path")).otherwise(F.concat("__path", "path"))
-        last, cur = cur, materialize(moved.select("id", F.col("__u").alias("up"), path.alias("path"), (F.col("depth") + F.coalesce(F.col("__d") + 1, F.lit(0))).alias("depth")), "paths")
+        last, cur = cur, materialize(climbed(cur, cur), "paths")
         discard(last)
     raise RuntimeError("paths: cyclic parents")
 
