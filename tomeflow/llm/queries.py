@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomeflow.llm import exact_dedup, line_dedup, mixing, near_dedup, neighbours, packing, quality, sharding, suffix_dedup, warc
+from tomeflow.llm import exact_dedup, line_dedup, mixing, near_dedup, neighbours, packing, pii, quality, sharding, spelling, suffix_dedup, vector_codes, warc
 from tomeflow.llm.common import read_table
 
 #: Fixed by the contract of op8: labels are learnt where this remainder is not 0.
@@ -71,8 +71,20 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(read_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_personal_data(read_table(spark, sf_dir, "documents")))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_best_fit_packing, op3_exact_dedup, op4_sharding, op5_near_dedup, op6_neighbours, op7_warc, op8_quality_classifier, op9_suffix_dedup, op10_mixing)
+    f.__name__: f for f in (op1_line_dedup, op2_best_fit_packing, op3_exact_dedup, op4_sharding, op5_near_dedup, op6_neighbours, op7_warc, op8_quality_classifier, op9_suffix_dedup, op10_mixing, op11_spelling_variants, op12_pii, op13_vector_codes)
 }
 
 ORACLE: dict[str, str] = {
