@@ -19,6 +19,7 @@ operations.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 from functools import reduce
 
 import numpy as np
@@ -180,15 +181,18 @@ def line_dedup(docs: DataFrame, threshold: float = 0.8, width: int = 8, id_col:
     """One row per line: (doc_id, line_no, component_doc_id, component_line_no, kept).
 
     Lines are linked when the Jaccard similarity of their shingle sets is at
-    least ``threshold``; components keep their first line (by id, then number; a
-    null id comes first). Blank lines are linked with nothing and kept. A null
+    least ``threshold`` (taken as the simplest ratio near it, so that equality is
+    exact); components keep their first line (by id, then number; a null id comes
+    first). Lines of white space alone are linked with nothing and kept. A null
     text has no lines, an empty one has one blank line; repeated rows of an id give
     repeated result rows. Empty tables give empty results; other columns are
     ignored.
     """
     small_batches(docs.sparkSession, 5000)
     every = lines(docs, id_col, text_col)
-    full = every.where(F.trim("line") != "")
+    full = every.where(F.regexp_like("line", F.lit("(?U)\\S")))
+    ratio = Fraction(threshold).limit_denominator(10_000)
+    p, q = ratio.numerator, ratio.denominator
     place = F.struct("doc_id", "line_no")
     classes = distinct_lines(full, width)
     reclaim(docs.sparkSession)
@@ -209,9 +213,9 @@ def line_dedup(docs: DataFrame, threshold: float = 0.8, width: int = 8, id_col:
         out = np.zeros(len(a), bool)
         for k, (x, y) in enumerate(zip(a, b)):
             x, y = of[x], of[y]
-            if min(len(x), len(y)) >= threshold * max(len(x), len(y)):
+            if q * min(len(x), len(y)) >= p * max(len(x), len(y)):
                 both = len(x) + len(y) - len(np.unique(np.concatenate((x, y))))
-                out[k] = both >= threshold * (len(x) + len(y) - both)
+                out[k] = q * both >= p * (len(x) + len(y) - both)
         return pd.Series(out)
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -231,15 +235,17 @@ def line_dedup(docs: DataFrame, threshold: float = 0.8, width: int = 8, id_col:
         maps.append(materialize(bitmaps(text, width), "bits"))
         discard(text)
         level = lambda x: F.floor(F.log(x) / F.log(F.lit(threshold**-2)))
-        sizes = maps[0].select("node", F.sequence(level(F.col("n")), level(F.col("n") / threshold)).alias("levels"))
+        # a hair above the largest size, as its logarithm is rounded
+        sizes = maps[0].select("node", F.sequence(level(F.col("n")), level(F.col("n") / threshold * (1 + 1e-9))).alias("levels"))
         each = mixed.join(sizes, "node").select("key", "node", F.explode("levels").alias("level"))
         return each.select(F.xxhash64("key", "level").alias("key"), "node")
 
     def match(left: str, right: str) -> Column:
-        """Whether set sizes and bitmaps allow the threshold."""
+        """Whether set sizes and bitmaps allow the threshold: with d elements apart,
+        the intersection is (n + m - d) / 2 and the union (n + m + d) / 2."""
         n, m = F.col(f"{left}.n"), F.col(f"{right}.n")
         apart = total([F.bit_count(F.col(f"{left}.{w}").bitwiseXOR(F.col(f"{right}.{w}"))) for w in WORD_NAMES])
-        return (F.least(n, m) >= F.lit(threshold) * F.greatest(n, m)) & (apart <= F.lit((1 - threshold) / (1 + threshold)) * (n + m))
+        return (q * F.least(n, m) >= p * F.greatest(n, m)) & ((p + q) * apart <= (q - p) * (n + m))
 
     def settle(pairs: DataFrame) -> DataFrame:
         """``verify`` of pairs whose bitmaps allow it."""

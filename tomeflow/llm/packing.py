@@ -10,6 +10,7 @@ left. Bins that stay underfull are opened and packed again across groups.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,10 +25,16 @@ from tomeflow.llm.common import materialize, small_batches
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+#: Longest run of white space that the byte ranks' splitter is given: its backtracking
+#: takes stack for each character of one.
+LONG_BLANK = 50_000
+_BLANKS = re.compile(r"\s+")
+
+
 class TokenIds:
     """Ids of a tokenizer file, ``ranks`` (the same vocabulary as byte ranks) being
-    a faster way to the same ids; texts with a special token's string, and files
-    without ranks, go through the tokenizer itself."""
+    a faster way to the same ids; texts with a special token's string or a very long
+    run of white space, and files without ranks, go through the tokenizer itself."""
 
     def __init__(self, path: str, ranks: str | None = None, pattern: str | None = None) -> None:
         from tokenizers import Tokenizer
@@ -43,7 +50,7 @@ class TokenIds:
             self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
     def __call__(self, text: str) -> np.ndarray:
-        if self.fast is None or any(s in text for s in self.special):
+        if self.fast is None or any(s in text for s in self.special) or (len(text) > LONG_BLANK and any(m.end() - m.start() > LONG_BLANK for m in _BLANKS.finditer(text))):
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4")
         return np.array(self.fast.encode_ordinary(text), dtype="<u4")
 
@@ -51,7 +58,8 @@ class TokenIds:
 def token_pieces(docs: DataFrame, path: str, ranks: str | None = None, pattern: str | None = None, limit: int = 2048, eos: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece of each document (ids, then ``eos``). Documents over
     ``limit`` ids are cut, from their end, in pieces of ``limit``: only the first
-    may be shorter. Null text counts as empty: one piece, the ``eos``."""
+    may be shorter. Null text counts as empty: one piece, the ``eos``. Texts are
+    tokenised whole, however long; an empty table gives no piece."""
     small_batches(docs.sparkSession, 500)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
