@@ -43,6 +43,64 @@ def test_names_through_transparent_scopes(spark):
     assert found == {("f", "R"): "r", ("f", "V"): "v", ("g", "R::f"): "f", ("f", "::R"): "r", ("f", "nothing"): None}
 
 
+def test_names_from_the_global_scope(spark):
+    """'::x' is the global x and not that of a scope around, with and without a root row."""
+    part = [("a", None, "namespace", "a"), ("x", None, "record", "x"), ("a.x", "a", "namespace", "x"), ("a.x.y", "a.x", "record", "y"), ("d", "gone", "record", "d")]
+    refs = spark.createDataFrame([("a.x.y", n) for n in ("::x", "x", "::a", "a::x", "::a::x::y", "y", "a", "::y", "d", "::gone")] + [("missing", "::x"), ("missing", "x")], "context_id string, name string")
+    want = {"::x": "x", "x": "a.x", "::a": "a", "a::x": "a.x", "::a::x::y": "a.x.y", "y": "a.x.y", "a": "a", "::y": None, "d": "d", "::gone": None}
+    for root in (None, "root"):
+        rows_ = part if root is None else [("root", None, "namespace", ""), *[(i, p or root, k, n) for i, p, k, n in part]]
+        t = spark.createDataFrame(rows_, "id string, parent_id string, kind string, name string").withColumn("is_inline", F.lit(False)).withColumn("scoped", F.lit(True))
+        out = resolve.resolve_scoped(refs, hierarchy.ancestors(t), resolve.name_index(t), root=root)
+        found = {(r["context_id"], r["name"]): r["target_id"] for r in out.collect()}
+        assert found == {("a.x.y", n): i for n, i in want.items()} | {("missing", "::x"): "x", ("missing", "x"): None}
+
+
+def test_long_closures_take_few_rounds(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(hierarchy, "materialize", lambda df, tag: rounds.append(tag) or core.materialize(df, tag))
+    path = spark.range(200).select(F.col("id").alias("s"), (F.col("id") + 1).alias("t"))
+    assert hierarchy.transitive(path, "s", "t").count() == 200 * 201 // 2
+    assert rounds.count("closure-front") <= 10
+
+
+def test_deep_trees_are_classified_in_few_jobs(spark):
+    deep = spark.range(100).select(F.col("id").cast("string").alias("id"), (F.col("id") - 1).cast("string").alias("parent_id"), F.lit("namespace").alias("kind"), F.concat(F.lit("n"), "id").alias("name"))
+    names = hierarchy.qualified_names(deep).select("id", "qualified_name")
+    out = filters.classify_symbols(deep.join(names, "id"), filters.SymbolRules(include=["n0::n1::**"], exclude=["**::n50"]))
+    modes = {int(r["id"]): r["extraction"] for r in out.collect()}
+    assert [modes[k] for k in (0, 1, 2, 49, 50, 99)] == [0, 0, 0, 0, 3, 3]
+
+
+def test_diamonds_do_not_multiply_paths(spark):
+    """A chain of 12 diamonds has 4096 paths to its top."""
+    e, m = [], []
+    for k in range(12):
+        e += [(f"l{k}", f"t{k}", "public", 0), (f"r{k}", f"t{k}", "public", 0), (f"t{k + 1}", f"l{k}", "public", 0), (f"t{k + 1}", f"r{k}", "public", 1)]
+    m = [("t0", "t0.f", "public", "function", "f", "()", "normal"), ("l3", "l3.f", "public", "function", "f", "()", "normal"), ("r7", "r7.g", "public", "function", "g", "()", "normal")]
+    members = spark.createDataFrame(m, "parent_id string, child_id string, access string, kind string, name string, signature string, func_class string")
+    bases = spark.createDataFrame(e, "derived_id string, base_id string, access string, pos int")
+    got = {(r["derived_id"], r["child_id"]): r["depth"] for r in inherit.base_members(bases, members).collect()}
+    assert got["t12", "l3.f"] == 17 and got["t12", "r7.g"] == 9 and ("t12", "t0.f") not in got and got["r3", "t0.f"] == 7
+
+
+def test_cyclic_bases_raise(spark):
+    m = spark.createDataFrame([("a", "a.f", "public", "function", "f", "()", "normal")], "parent_id string, child_id string, access string, kind string, name string, signature string, func_class string")
+    for cycle in ([("a", "b"), ("b", "a")], [("a", "b"), ("b", "a"), ("a", "c"), ("d", "c")]):
+        e = spark.createDataFrame([(d, b, "public") for d, b in cycle], "derived_id string, base_id string, access string")
+        with pytest.raises(RuntimeError, match="cyclic|rounds"):
+            inherit.base_members(e, m)
+
+
+def test_public_members_of_a_base_come_first(spark):
+    m = spark.createDataFrame(
+        [("t", "t.f", "public", "function", "f", "()", "normal"), ("b", "b.f", "protected", "function", "f", "()", "normal")],
+        "parent_id string, child_id string, access string, kind string, name string, signature string, func_class string",
+    )
+    e = spark.createDataFrame([("b", "t", "public"), ("d", "b", "protected")], "derived_id string, base_id string, access string")
+    assert rows(inherit.base_members(e, m), "derived_id", "child_id", "access") == [("b", "t.f", "public"), ("d", "t.f", "protected")]
+
+
 def test_alias_cycles_resolve_to_null(spark):
     a = spark.createDataFrame([(1, 2), (2, 3), (3, 9), (4, 5), (5, 4)], "id long, target_id long")
     assert rows(resolve.resolve_aliases(a, max_rounds=4)) == [(1, 9), (2, 9), (3, 9), (4, None), (5, None)]
@@ -307,12 +365,29 @@ def test_relates_of_non_functions_are_reported(spark):
 def test_report_caret_follows_tabs(spark):
     w = spark.createDataFrame([("f", 1, 2, "m")], "full_path string, line int, col int, message string")
     files = spark.createDataFrame([("f", "\tab")], "path string, text string")
-    assert lint.warning_report(w, files).first()["text"] == "f:1:2:\n1) m\n    ab\n    ^~"
+    got = lambda files, w=w: lint.warning_report(w, files).first()["text"]
+    head = "f:1:2:\n    1) m\n"
+    assert got(files.withColumn("text", F.lit("\tab\n"))) == head + "  1 |         ab\n    |         ^~\n"
+    assert got(files) == head  # the last line is not shown
+    assert got(files.withColumn("text", F.lit("x\r\n"))) == head + "  1 | x\n    | "  # no caret beyond the line
+    assert got(files.withColumn("text", F.lit("xy\tz\n")), w.withColumn("col", F.lit(4))).endswith("  1 | xy      z\n    | ")
+    assert got(files.withColumn("text", F.lit("a\tbcd\n")), w.withColumn("col", F.lit(3))) == "f:1:3:\n    1) m\n  1 | a       bcd\n    |          ^~\n"
+
+
+def test_messages_of_a_place_keep_their_order(spark):
+    w = spark.createDataFrame([("f", 1, 2, "b", 0), ("f", 1, 2, "a", 1), ("f", 1, 2, "b", 2)], "full_path string, line int, col int, message string, seq int")
+    assert lint.grouped_warnings(w).first()["messages"] == ["1) b", "2) a", "3) b"]
+
+
+def test_source_lines_of_warnings(spark):
+    files = spark.createDataFrame([("f", "a\r\nb\nc"), ("g", "x")], "path string, text string")
+    w = spark.createDataFrame([("f", 2), ("f", 2), ("f", 9), ("g", 1), ("h", 1)], "full_path string, line int")
+    assert rows(lint.with_source_line(w, files), "full_path", "line", "source", "n_lines") == [("f", 2, "b", 3), ("f", 2, "b", 3), ("f", 9, None, 3), ("g", 1, "x", 1), ("h", 1, None, None)]
 
 
 def test_ordinals(spark):
     got = spark.createDataFrame([(k,) for k in (1, 2, 3, 4, 11, 12, 13, 21, 112)], "n int").select(lint.ordinal(F.col("n")).alias("o")).collect()
-    assert [r["o"] for r in got] == ["1st", "2nd", "3rd", "4th", "11th", "12th", "13th", "21st", "112th"]
+    assert [r["o"] for r in got] == ["1st", "2nd", "3rd", "4th", "11th", "12th", "13th", "21th", "112th"]
 
 
 def test_overload_briefs(spark):

@@ -8,10 +8,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tomeflow.core import fixpoint, materialize
+from tomeflow.core import materialize
 from tomeflow.functions import paths as P
 from tomeflow.functions.names import RELATIONAL
 from tomeflow.operators.globs import PATH, glob_match, glob_prefix_match, is_literal
+from tomeflow.operators.hierarchy import paths
 
 REGULAR, SEE_BELOW, IMPLEMENTATION, DEPENDENCY = 0, 1, 2, 3
 
@@ -96,27 +97,20 @@ def literal_mode(name: Column, rules: SymbolRules) -> Column:
 def implied_by_children(own: DataFrame, default: int) -> DataFrame:
     """(id, implied): least specific mode of the children of namespaces that only
     match as a prefix, judged by the patterns alone; null if all are dependencies.
-    Chains of such namespaces are settled from the leaves up."""
+    A mode counts for each namespace of the unbroken chain of such namespaces above
+    its symbol; one whose own children are all dependencies counts by default."""
     scopes = own.where("prefix").select("id", "parent_id")
-    kids = own.where("not prefix").join(scopes.select(F.col("id").alias("__s")), F.col("parent_id") == F.col("__s"), "left_semi")
+    chain = materialize(paths(scopes, F.col("id")).select(F.col("id").alias("__s"), F.col("path").alias("__chain")), "prefixes")
     mode = F.coalesce("strict", F.lit(default))
-    least = kids.where(mode < DEPENDENCY).groupBy(F.col("parent_id").alias("__p")).agg(F.min(mode).alias("__m"))
-    known = materialize(scopes.join(least, F.col("id") == F.col("__p"), "left").select("id", "parent_id", F.col("__m").alias("implied")), "prefixes")
-    top = known.join(known.select(F.col("id").alias("__k")), F.col("parent_id") == F.col("__k"), "left_anti")
-
-    def down(front: DataFrame) -> DataFrame:
-        return known.join(front.select(F.col("id").alias("__k")), F.col("parent_id") == F.col("__k"), "left_semi")
-
-    below, out = None, []
-    for level in reversed(fixpoint(top, down, tag="prefixes")):
-        if below is not None:
-            deep = F.coalesce("implied", F.lit(default))
-            sub = below.where(deep < DEPENDENCY).groupBy(F.col("parent_id").alias("__p")).agg(F.min(deep).alias("__m"))
-            level = level.join(sub, F.col("id") == F.col("__p"), "left").select("id", "parent_id", F.least("implied", "__m").alias("implied"))
-            level = materialize(level, "prefixes")
-        below = level
-        out.append(level.select("id", "implied"))
-    return reduce(DataFrame.union, out)
+    kids = own.where("not prefix").select("parent_id", mode.alias("m")).where(F.col("m") < DEPENDENCY).groupBy("parent_id").agg(F.min("m").alias("m"))
+    each = kids.join(chain, F.col("parent_id") == F.col("__s")).select(F.explode("__chain").alias("__p"), "m")
+    least = each.groupBy("__p").agg(F.min("m").alias("__m"))
+    known = chain.join(least, F.col("__s") == F.col("__p"), "left").select("__s", "__chain", F.col("__m").alias("implied"))
+    if default < DEPENDENCY:
+        known = materialize(known, "prefixes")
+        above = known.where("implied is null").select(F.explode(F.slice("__chain", 1, F.size("__chain") - 1)).alias("__p")).distinct()
+        known = known.join(above, F.col("__s") == F.col("__p"), "left").withColumn("implied", F.least("implied", F.when(F.col("__p").isNotNull(), default)))
+    return known.select(F.col("__s").alias("id"), "implied")
 
 
 def classify_symbols(symbols: DataFrame, rules: SymbolRules) -> DataFrame:
@@ -124,54 +118,51 @@ def classify_symbols(symbols: DataFrame, rules: SymbolRules) -> DataFrame:
     ``extraction`` 0..3. A symbol without a parent row is a member of the global
     scope, which is extracted.
 
-    From the roots down, the first of these rules decides: excluded itself, or (if
+    From the root down, the first of these rules decides: excluded itself, or (if
     anything is excluded) its parent is a dependency; implementation-defined itself,
     or its parent is; see-below itself, or its parent is (a record's members are
     dependencies then); included itself; the nearest enclosing namespace that a
     literal pattern names; for a namespace, what its children imply (F7); for
     others, the mode of an extracted parent that did not only match as a prefix;
     regular without any include pattern, else a dependency. Members of a namespace
-    that matched as a prefix are judged without their parent."""
+    that matched as a prefix are judged without their parent.
+
+    What the rules ask of a symbol is a few flags, so each symbol gets those of the
+    scopes above it, root first (by pointer doubling, like its name), and folds them:
+    the number of jobs does not depend on the depth."""
     name = F.col("qualified_name")
     default = DEPENDENCY if rules.include else REGULAR
     scopes = F.col("kind") == "namespace"
     strict = symbol_mode(name, rules)
     prefix = scopes & strict.isNull() & glob_prefix_match(F.concat(name, F.lit("::")), rules.include + rules.see_below + rules.implementation_defined)
-    own = symbols.select("id", "parent_id", "kind", strict.alias("strict"), prefix.alias("prefix"), F.when(scopes, literal_mode(name, rules)).alias("literal"))
+    own = symbols.select("id", "parent_id", scopes.alias("ns"), strict.cast("int").alias("strict"), prefix.alias("prefix"), F.when(scopes, literal_mode(name, rules)).cast("int").alias("literal"))
     own = materialize(own, "own-modes")
     own = own.join(implied_by_children(own, default).withColumnRenamed("id", "__i"), F.col("id") == F.col("__i"), "left").drop("__i")
-    none = F.lit(None)
-    root = {"__kind": none.cast("string"), "__mode": F.lit(REGULAR), "__by_prefix": F.lit(False), "__apart": F.lit(False), "__above": none.cast("int"), "__global": F.lit(True)}
+    flags = F.struct("ns", "strict", "prefix", "literal", F.col("implied").cast("int").alias("implied"))
 
-    def judged(rows: DataFrame) -> DataFrame:
-        c = F.col
-        parent = lambda mode: (c("__mode") == mode) & ~c("__global")
+    def judged(top: Column, x: Column) -> Column:
+        parent = lambda mode: (top["mode"] == mode) & ~top["global"]
         bound = F.coalesce(
-            F.when(c("strict") == DEPENDENCY, DEPENDENCY),
+            F.when(x["strict"] == DEPENDENCY, DEPENDENCY),
             F.when(F.lit(bool(rules.exclude)) & parent(DEPENDENCY), DEPENDENCY),
-            F.when(c("strict") == IMPLEMENTATION, IMPLEMENTATION),
+            F.when(x["strict"] == IMPLEMENTATION, IMPLEMENTATION),
             F.when(F.lit(bool(rules.implementation_defined)) & parent(IMPLEMENTATION), IMPLEMENTATION),
-            F.when(c("strict") == SEE_BELOW, SEE_BELOW),
-            F.when(F.lit(bool(rules.see_below)) & parent(SEE_BELOW), F.when(c("__kind") == "namespace", SEE_BELOW).otherwise(DEPENDENCY)),
-            F.when(c("strict") == REGULAR, REGULAR),
-            c("__above"),
+            F.when(x["strict"] == SEE_BELOW, SEE_BELOW),
+            F.when(F.lit(bool(rules.see_below)) & parent(SEE_BELOW), F.when(top["ns"], SEE_BELOW).otherwise(DEPENDENCY)),
+            F.when(x["strict"] == REGULAR, REGULAR),
+            top["above"],
         )
-        bound = F.when(c("__apart"), c("strict")).otherwise(bound)
-        inherits = ~c("__apart") & ~scopes & (c("__mode") != DEPENDENCY) & ~c("__by_prefix")
-        mode = F.coalesce(bound, F.when(c("prefix"), c("implied")), F.when(inherits, c("__mode")), F.lit(default))
-        open_ = bound.isNull() & c("prefix")
-        return rows.select(
-            "id", "kind", mode.cast("int").alias("mode"), (open_ & c("implied").isNotNull()).alias("by_prefix"), open_.alias("apart"), F.coalesce("literal", "__above").alias("above"),
-        )
-
-    roots = own.join(own.select(F.col("id").alias("__k")), F.col("parent_id") == F.col("__k"), "left_anti")
-    seed = judged(roots.withColumns(root))
+        bound = F.when(top["apart"], x["strict"]).otherwise(bound)
+        inherits = ~top["apart"] & ~x["ns"] & (top["mode"] != DEPENDENCY) & ~top["by_prefix"]
+        mode = F.coalesce(bound, F.when(x["prefix"], x["implied"]), F.when(inherits, top["mode"]), F.lit(default))
+        open_ = bound.isNull() & x["prefix"]
+        return state(x["ns"], mode.cast("int"), open_ & x["implied"].isNotNull(), open_, F.coalesce(x["literal"], top["above"]), F.lit(False))
 
-    def down(front: DataFrame) -> DataFrame:
-        top = front.select(F.col("id").alias("__p"), *[F.col(k).alias("__" + k) for k in ("kind", "mode", "by_prefix", "apart", "above")], F.lit(False).alias("__global"))
-        return judged(own.join(top, F.col("parent_id") == F.col("__p")))
+    def state(*fields: Column) -> Column:
+        return F.struct(*[f.alias(n) for f, n in zip(fields, ("ns", "mode", "by_prefix", "apart", "above", "global"))])
 
-    modes = reduce(DataFrame.union, [level.select("id", F.col("mode").alias("extraction")) for level in fixpoint(seed, down, tag="modes")])
+    root = state(F.lit(False), F.lit(REGULAR), F.lit(False), F.lit(False), F.lit(None).cast("int"), F.lit(True))
+    modes = paths(own, flags).select("id", F.aggregate("path", root, judged, lambda s: s["mode"]).alias("extraction"))
     return symbols.join(modes, "id")
 
 

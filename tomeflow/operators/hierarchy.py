@@ -26,34 +26,18 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 def ancestors(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent_id") -> DataFrame:
     """(id, ancestor, dist), a node being its own ancestor at distance 0. Parents
-    that are not rows end a path; cyclic parents raise. The first four levels are
-    climbed in one step, which is all for most trees."""
-    parents = nodes.select(F.col(id_col).alias("__i"), F.col(parent_col).alias("__up"))
-    cur = nodes.select(F.col(id_col).alias("id"), F.array(F.col(id_col)).alias("line"), F.col(parent_col).alias("up"))
-    for level in range(4):
-        moved = cur.join(parents, F.col("up") == F.col("__i"), "left")
-        line = F.col("line") if level == 3 else F.when(F.col("__i").isNull(), F.col("line")).otherwise(F.concat("line", F.array("__i")))
-        cur = moved.select("id", line.alias("line"), F.col("__i" if level == 3 else "__up").alias("up"))
-    near = materialize(cur, "ancestors")
-    out = near.select("id", F.posexplode("line").alias("dist", "ancestor")).select("id", "ancestor", "dist")
-    jump = near.where("up is not null").select("id", "up")
-    for k in range(2, MOST_ROUNDS):
-        if jump.isEmpty():
-            return out
-        over = jump.select(F.col("id").alias("__i"), F.col("up").alias("__u"))
-        far = over.join(out, F.col("__u") == F.col("id")).select(F.col("__i").alias("id"), "ancestor", (F.col("dist") + (1 << k)).alias("dist"))
-        further = over.join(jump, F.col("__u") == F.col("id")).select(F.col("__i").alias("id"), "up")
-        last, out = out, materialize(out.union(far), "ancestors")
-        old, jump = jump, materialize(further, "jumps")
-        discard(last, old)
-    raise RuntimeError("ancestors: cyclic parents")
+    that are not rows end a path; cyclic parents raise."""
+    line = paths(nodes, F.col(id_col), id_col, parent_col)
+    return line.select("id", F.posexplode(F.reverse("path")).alias("dist", "ancestor")).select("id", "ancestor", "dist")
 
 
 def paths(nodes: DataFrame, name: Column, id_col: str = "id", parent_col: str = "parent_id") -> DataFrame:
     """(id, path, depth): names and sort keys from root to node. ``name`` is any column
     expression over the nodes. Rows whose parent is missing or null are roots; cyclic
-    parents raise. The first three levels are climbed in one step."""
+    parents raise. Only nodes that have children climb, the first three levels in one
+    step and then by doubling; every node takes its parent's path at last."""
     named = nodes.select(F.col(id_col).alias("id"), F.col(parent_col).alias("up"), F.array(name).alias("path"), F.lit(0).alias("depth"))
+    inner = named.join(named.select(F.col("up").alias("__k")).distinct(), F.col("id") == F.col("__k"), "left_semi")
 
     def climbed(cur: DataFrame, by: DataFrame) -> DataFrame:
         top = by.select(F.col("id").alias("__i"), F.col("up").alias("__u"), F.col("path").alias("__path"), F.col("depth").alias("__d"))
@@ -61,13 +45,15 @@ def paths(nodes: DataFrame, name: Column, id_col: str = "id", parent_col: str =
         path = F.when(F.col("__i").isNull(), F.col("path")).otherwise(F.concat("__path", "path"))
         return moved.select("id", F.col("__u").alias("up"), path.alias("path"), (F.col("depth") + F.coalesce(F.col("__d") + 1, F.lit(0))).alias("depth"))
 
-    cur = named
+    inner = materialize(inner, "inner")
+    cur = inner
     for _ in range(3):
-        cur = climbed(cur, named)
+        cur = climbed(cur, inner)
     cur = materialize(cur, "paths")
     for _ in range(MOST_ROUNDS):
         if cur.where("up is not null").isEmpty():
-            return cur.select("id", "path", "depth")
+            discard(inner)
+            return climbed(named, cur).select("id", "path", "depth")
         last, cur = cur, materialize(climbed(cur, cur), "paths")
         discard(last)
     raise RuntimeError("paths: cyclic parents")
@@ -126,19 +112,25 @@ def traverse(members: DataFrame, symbols: DataFrame, ordered: bool = False, skip
 
 
 def transitive(edges: DataFrame, source: str, target: str) -> DataFrame:
-    """Distinct (source, target) closure of an edge table; cycles end, as pairs
-    seen before do not go on."""
-    base = edges.select(F.col(source).alias("s"), F.col(target).alias("t")).where("s is not null and t is not null").distinct()
-    seen: list[DataFrame] = []
-
-    def step(front: DataFrame) -> DataFrame:
-        seen.append(front)
-        nxt = front.join(base.select(F.col("s").alias("__s"), F.col("t").alias("__t")), F.col("t") == F.col("__s"))
-        nxt = nxt.select("s", F.col("__t").alias("t")).distinct()
-        return nxt.join(_union(seen), ["s", "t"], "left_anti")
-
-    out = _union(fixpoint(base, step, tag="closure"))
-    return out.select(F.col("s").alias(source), F.col("t").alias(target))
+    """Distinct (source, target) closure of an edge table. Paths are squared: what
+    the last round found is joined with all pairs so far, to either side, so a path of
+    n edges takes about log2(n) rounds; pairs seen before do not go on, which ends
+    cycles. All pairs are one table, written once for each round."""
+    every = materialize(edges.select(F.col(source).alias("s"), F.col(target).alias("t")).where("s is not null and t is not null").distinct(), "closure")
+    front = every
+    while True:
+        right = lambda df: df.select(F.col("s").alias("__s"), F.col("t").alias("__t"))
+        joined = lambda a, b: a.join(right(b), F.col("t") == F.col("__s")).select("s", F.col("__t").alias("t"))
+        found = joined(front, every) if front is every else joined(front, every).union(joined(every, front))
+        new = materialize(found.distinct().join(every, ["s", "t"], "left_anti"), "closure-front")
+        if new.isEmpty():
+            return every.select(F.col("s").alias(source), F.col("t").alias(target))
+        last, before = every, front
+        every = materialize(every.union(new), "closure")
+        discard(last)
+        if before is not last:
+            discard(before)
+        front = new
 
 
 def page_order(nodes: DataFrame, order: Column, id_col: str = "id", parent_col: str = "parent_id") -> DataFrame:

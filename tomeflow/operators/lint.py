@@ -37,15 +37,18 @@ def complete_params(params: DataFrame, doc_params: DataFrame) -> DataFrame:
 
 
 def ordinal(n: Column) -> Column:
-    """1st, 2nd, 3rd, 4th ... 11th ..."""
-    teens = (n % 100).between(11, 13)
-    suffix = F.when(teens, "th").when(n % 10 == 1, "st").when(n % 10 == 2, "nd").when(n % 10 == 3, "rd").otherwise("th")
-    return F.concat(n.cast("string"), suffix)
+    """1st, 2nd, 3rd, and 'th' from the fourth on, the 21st too ('21th')."""
+    return F.concat(n.cast("string"), F.when(n == 1, "st").when(n == 2, "nd").when(n == 3, "rd").otherwise("th"))
+
+
+#: Rules in the order in which they emit.
+RULES = ["undocumented", "duplicate-param", "unknown-param", "missing-param", "missing-return", "undocumented-enum-value", "unnamed-param", "broken-reference"]
 
 
 def rule(rows: DataFrame, name: str, message: Column, level: str = "warning") -> DataFrame:
-    """Diagnostics of one rule from rows with full_path, line and col."""
-    return rows.select("full_path", "line", "col", F.lit(level).alias("level"), F.lit(name).alias("rule"), message.alias("message"))
+    """Diagnostics of one rule from rows with full_path, line and col; ``seq`` is the
+    rule's place in the order of emission."""
+    return rows.select("full_path", "line", "col", F.lit(level).alias("level"), F.lit(name).alias("rule"), message.alias("message"), F.lit(RULES.index(name)).alias("seq"))
 
 
 def lint(symbols: DataFrame, params: DataFrame, doc_params: DataFrame, returns: DataFrame, refs: DataFrame, switches: set[str] | None = None) -> DataFrame:
@@ -86,32 +89,56 @@ def broken_references(refs: DataFrame, place: DataFrame) -> DataFrame:
 
 
 def source_lines(files: DataFrame) -> DataFrame:
-    """(full_path, line, source): numbered lines from 1."""
-    return files.select(F.col("path").alias("full_path"), F.posexplode(F.split("text", "\n")).alias("__p", "source")).select("full_path", (F.col("__p") + 1).alias("line"), "source")
+    """(full_path, line, source): numbered lines from 1, without a carriage return
+    before the line's end."""
+    lines = F.posexplode(F.split("text", "\r?\n")).alias("__p", "source")
+    return files.select(F.col("path").alias("full_path"), lines).select("full_path", (F.col("__p") + 1).alias("line"), "source")
 
 
 def with_source_line(warnings: DataFrame, files: DataFrame) -> DataFrame:
-    """Warnings with their source line; only files with warnings are split."""
-    wanted = files.join(warnings.select(F.col("full_path").alias("path")).distinct(), "path", "left_semi")
-    return warnings.join(source_lines(wanted), ["full_path", "line"], "left")
+    """Warnings with their ``source`` line (null if there is none) and
+    ``n_lines``, the lines of the file. Wanted line numbers go to their file, which
+    gives these lines only: rows follow warnings, not lines."""
+    wanted = warnings.groupBy(F.col("full_path").alias("__f")).agg(F.collect_set("line").alias("__lines"))
+    lines = F.split("text", "\r?\n")
+    found = wanted.join(files, F.col("__f") == F.col("path")).withColumn("__text", lines)
+    each = found.select("__f", F.size("__text").alias("n_lines"), F.explode(F.transform("__lines", lambda n: F.struct(n.alias("line"), F.get("__text", n.cast("int") - 1).alias("source")))).alias("__l"))
+    rows = each.select(F.col("__f").alias("full_path"), F.col("__l.line").alias("line"), F.col("__l.source").alias("source"), "n_lines")
+    return warnings.join(rows, ["full_path", "line"], "left")
+
+
+def grouped_warnings(warnings: DataFrame, seq: str = "seq") -> DataFrame:
+    """(full_path, line, col, messages): numbered texts of a location in the order
+    of ``seq`` in which they were emitted, repeated ones included. Without such a
+    column, or where it ties, they go by text."""
+    first = [F.col(seq).alias("s")] if seq in warnings.columns else []
+    texts = F.transform(F.array_sort(F.collect_list(F.struct(*first, F.col("message").alias("m")))), lambda x: x["m"])
+    return warnings.groupBy("full_path", "line", "col").agg(F.transform(texts, lambda m, k: F.concat((k + 1).cast("string"), F.lit(") "), m)).alias("messages"))
 
 
-def grouped_warnings(warnings: DataFrame) -> DataFrame:
-    """(full_path, line, col, messages): numbered texts of a location."""
-    texts = F.array_sort(F.collect_set("message"))
-    return warnings.groupBy("full_path", "line", "col").agg(F.transform(texts, lambda m, k: F.concat((k + 1).cast("string"), F.lit(") "), m)).alias("messages"))
+#: Columns of a tab stop in reports.
+REPORT_TAB = 8
 
 
 def warning_report(warnings: DataFrame, files: DataFrame) -> DataFrame:
-    """(full_path, line, col, text): a location's header, numbered messages,
-    source line with true tab stops and a caret under the column."""
+    """(full_path, line, col, text): a location's header, its messages numbered
+    and indented, the source line behind a gutter with its number, tabs expanded, and a
+    caret line. A line that is the file's last, or none of it, is not shown; a column
+    that is not inside the line gets no caret. Before the caret a tab counts eight
+    columns wherever it stands. Columns count characters."""
     g = with_source_line(grouped_warnings(warnings), files)
-    shown = tab_stops(F.col("source"), 4)
-    before = tab_stops(F.substring(F.col("source"), F.lit(1), F.greatest(F.col("col") - 1, F.lit(0))), 4)
-    caret = F.concat(F.repeat(F.lit(" "), F.length(before)), F.lit("^"), F.repeat(F.lit("~"), F.greatest(F.lit(0), F.length(shown) - F.length(before) - 1)))
-    head = F.concat("full_path", F.lit(":"), F.col("line").cast("string"), F.lit(":"), F.col("col").cast("string"), F.lit(":"))
-    text = F.concat_ws("\n", head, F.array_join(F.col("messages"), "\n"), shown, F.when(F.col("source").isNotNull(), caret))
-    return g.select("full_path", "line", "col", text.alias("text"))
+    source, col = F.col("source"), F.col("col")
+    shown = tab_stops(source, REPORT_TAB)
+    before = F.substring(source, F.lit(1), F.greatest(col - 1, F.lit(0)))
+    offset = F.length(before) + (REPORT_TAB - 1) * (F.length(before) - F.length(F.replace(before, F.lit("\t"), F.lit(""))))
+    gutter = F.concat(F.lit("  "), F.col("line").cast("string"), F.lit(" | "))
+    under = F.concat(F.repeat(F.lit(" "), F.length(gutter) - 2), F.lit("| "))
+    caret = F.concat(F.repeat(F.lit(" "), offset), F.lit("^"), F.repeat(F.lit("~"), F.greatest(F.lit(0), F.length(shown) - offset - 1)), F.lit("\n"))
+    snippet = F.concat(gutter, shown, F.lit("\n"), under, F.when((col > 0) & (col < F.length(source)), caret).otherwise(""))
+    visible = source.isNotNull() & (F.col("line") > 0) & (F.col("line") < F.col("n_lines"))
+    head = F.concat("full_path", F.lit(":"), F.col("line").cast("string"), F.lit(":"), col.cast("string"), F.lit(":\n"))
+    listed = F.array_join(F.transform("messages", lambda m: F.concat(F.lit("    "), m, F.lit("\n"))), "")
+    return g.select("full_path", "line", "col", F.concat(head, listed, F.when(visible, snippet).otherwise("")).alias("text"))
 
 
 def golden_diff(expected: DataFrame, produced: DataFrame) -> DataFrame:

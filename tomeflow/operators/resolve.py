@@ -22,16 +22,23 @@ def existing(ids: DataFrame, symbols: DataFrame, id_col: str) -> DataFrame:
     return ids.join(symbols.select(F.col("id").alias("__sid")), F.col(id_col) == F.col("__sid"), "left_semi")
 
 
+#: Id of the global scope where it is no row itself.
+GLOBAL = "::"
+
+
 def name_index(symbols: DataFrame, aliases: DataFrame | None = None, overloads: DataFrame | None = None) -> DataFrame:
-    """(scope_id, name, id, via): members by scope and name. Members of transparent
-    scopes are found in the enclosing scope too (J6, ``via`` = levels skipped),
-    those of a typedef's target under the typedef (J4: aliases id -> target_id),
-    and an overload set stands for its members (overloads set_id -> member_id)."""
-    index = symbols.where("parent_id is not null").select(F.col("parent_id").alias("scope_id"), "name", "id", F.lit(0).alias("via"))
-    clear = symbols.where(transparent()).select(F.col("id").alias("__t"), F.col("parent_id").alias("__up"))
+    """(scope_id, name, id, via): members by scope and name. Symbols whose parent is
+    null or no row are members of ``GLOBAL``. Members of transparent scopes are found
+    in the enclosing scope too (J6, ``via`` = levels skipped), those of a typedef's
+    target under the typedef (J4: aliases id -> target_id), and an overload set stands
+    for its members (overloads set_id -> member_id)."""
+    rows = symbols.select(F.col("id").alias("__k"))
+    owned = symbols.join(rows, F.col("parent_id") == F.col("__k"), "left").withColumn("parent_id", F.coalesce("__k", F.lit(GLOBAL))).drop("__k")
+    index = owned.select(F.col("parent_id").alias("scope_id"), "name", "id", F.lit(0).alias("via"))
+    clear = owned.where(transparent()).select(F.col("id").alias("__t"), F.col("parent_id").alias("__up"))
 
     def outward(part: DataFrame) -> DataFrame:
-        return part.join(clear, F.col("scope_id") == F.col("__t")).where("__up is not null").select(F.col("__up").alias("scope_id"), "name", "id", (F.col("via") + 1).alias("via"))
+        return part.join(clear, F.col("scope_id") == F.col("__t")).select(F.col("__up").alias("scope_id"), "name", "id", (F.col("via") + 1).alias("via"))
 
     index = reduce(DataFrame.union, fixpoint(index, outward, tag="names"))
     if aliases is not None:
@@ -45,26 +52,41 @@ def name_index(symbols: DataFrame, aliases: DataFrame | None = None, overloads:
 
 def resolve_scoped(refs: DataFrame, closure: DataFrame, index: DataFrame, root: str | None = None) -> DataFrame:
     """(context_id, name) pairs of ``refs`` with the found id: the context is
-    tried first, then each enclosing scope outward; a leading '::' starts at
-    ``root``; 'a::b' is walked component by component inside the scope. Distinct
-    pairs are resolved once and joined back."""
+    tried first, then each enclosing scope outward, the global scope at last; a leading
+    '::' starts at the global scope and goes no further; 'a::b' is walked component by
+    component inside the scope. ``dist`` is the number of scopes left, 0 for a leading
+    '::'. ``root`` is the id of the global scope, if that is a row (with or without
+    its members' parent being it); a context that is no row finds '::' names only.
+
+    Distinct pairs are resolved once and joined back. Names with a first or last
+    component that nothing has are dropped before scopes are multiplied."""
+    top = F.lit(GLOBAL if root is None else root)
     once = refs.select("context_id", "name").distinct()
     parts = F.split(F.regexp_replace("name", "^::", ""), "::")
     asked = once.select("context_id", "name", parts.alias("__parts"), F.startswith("name", F.lit("::")).alias("__abs"))
+    known = index.select(F.col("name").alias("__known")).distinct()
+    for part in (F.get("__parts", F.lit(0)), F.element_at("__parts", -1)):
+        asked = asked.join(known, part == F.col("__known"), "left_semi")
+    asked = materialize(asked, "asked")
+    relative = asked.where("not __abs").drop("__abs")
     scopes = closure.select(F.col("id").alias("__c"), F.col("ancestor").alias("__scope"), "dist")
-    start = asked.join(scopes, F.col("context_id") == F.col("__c")).drop("__c")
-    if root is not None:
-        start = start.where(~F.col("__abs") | (F.col("__scope") == root))
-    walk = materialize(start.select("context_id", "name", "__parts", "dist", F.col("__scope").alias("__at"), F.lit(0).alias("via")), "walk")
-    most = walk.agg(F.max(F.size("__parts"))).first()[0] or 0
+    inside = relative.join(scopes, F.col("context_id") == F.col("__c")).select("context_id", "name", "__parts", "dist", F.col("__scope").alias("__at"))
+    depth = closure.join(relative.select(F.col("context_id").alias("__k")).distinct(), F.col("id") == F.col("__k"), "left_semi").groupBy(F.col("id").alias("__c")).agg(F.max("dist").alias("dist"))
+    outside = relative.join(depth, F.col("context_id") == F.col("__c")).select("context_id", "name", "__parts", (F.col("dist") + 1).alias("dist"), F.lit(GLOBAL).alias("__at"))
+    # a root row and the virtual scope are one: members of either are found from both
+    absolute = asked.where("__abs").select("context_id", "name", "__parts", F.lit(0).alias("dist"), F.explode(F.array_distinct(F.array(top, F.lit(GLOBAL)))).alias("__at"))
+    walk = inside.union(outside).union(absolute).withColumn("via", F.lit(0))
+    most = asked.agg(F.max(F.size("__parts"))).first()[0] or 0
     done = walk.limit(0)
     i = index.select(F.col("scope_id").alias("__s"), F.col("name").alias("__n"), F.col("id").alias("__i"), F.col("via").alias("__v"))
     for k in range(most):
         walk = walk.join(i, (F.col("__at") == F.col("__s")) & (F.get("__parts", F.lit(k)) == F.col("__n")))
         walk = walk.select("context_id", "name", "__parts", "dist", F.col("__i").alias("__at"), (F.col("via") + F.col("__v")).alias("via"))
+        if k % 4 == 3 and k + 1 < most:
+            walk = materialize(walk, "walk")
         done = done.union(walk.where(F.size("__parts") == k + 1))
-    best = Window.partitionBy("context_id", "name").orderBy("dist", "via", "__at")
-    found = done.withColumn("__r", F.row_number().over(best)).where("__r = 1").select("context_id", "name", F.col("__at").alias("target_id"), "dist")
+    best = F.min_by(F.struct("__at", "dist"), F.struct("dist", "via", "__at"))
+    found = done.groupBy("context_id", "name").agg(best.alias("__b")).select("context_id", "name", F.col("__b.__at").alias("target_id"), F.col("__b.dist").alias("dist"))
     return refs.join(found, ["context_id", "name"], "left")
 
 
@@ -78,15 +100,15 @@ def decayed(type_text: Column) -> Column:
 
 
 # How well a candidate's parts match a reference, worst to best.
-MATCH_RANKS = ["name", "targ-count", "targs", "param-count", "documented", "params", "qualifiers", "noexcept"]
+MATCH_RANKS = ["name", "targ-count", "targs", "param-count", "documented", "params", "qualifiers", "noexcept-definition", "noexcept-kind", "noexcept-operand"]
 
 
 def best_match(candidates: DataFrame, keys: list[str], pos: str = "pos") -> DataFrame:
     """Of candidates with boolean columns m_targ_count, m_targs, m_param_count,
-    m_documented, m_params, m_qualifiers and m_noexcept, the one of the highest
-    rank; of equal ranks the first. A rank counts only if those below it hold, but
+    m_documented, m_params, m_qualifiers and m_noexcept_definition, m_noexcept_kind and
+    m_noexcept_operand, the one of the highest rank; of equal ranks the first. A rank counts only if those below it hold, but
     for ``documented``: it prefers one of those whose parameters do not match."""
-    holds = {c: F.coalesce(F.col("m_" + c), F.lit(False)) for c in ("targ_count", "targs", "param_count", "documented", "params", "qualifiers", "noexcept")}
+    holds = {c: F.coalesce(F.col("m_" + c), F.lit(False)) for c in ("targ_count", "targs", "param_count", "documented", "params", "qualifiers", "noexcept_definition", "noexcept_kind", "noexcept_operand")}
     rank, chain = F.lit(0), F.lit(True)
     for k, (c, ok) in enumerate(holds.items(), 1):
         rank = F.when(chain & ok, k).otherwise(rank)

@@ -249,15 +249,15 @@ def related_back_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT l_orderkey, l_partkey AS pos, m AS match_rank FROM (
     SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY m DESC, l_partkey, l_linenumber) AS r FROM (
-        SELECT *, CASE WHEN l_quantity <= 10 THEN 0 WHEN l_discount <= 0.02 THEN 1 WHEN l_tax <= 0.02 THEN 2 WHEN l_linestatus = 'F' THEN 5 WHEN l_returnflag = 'N' THEN 4 ELSE 3 END AS m FROM lineitem))
+        SELECT *, CASE WHEN l_quantity <= 10 THEN 0 WHEN l_discount <= 0.02 THEN 1 WHEN l_tax <= 0.02 THEN 2 WHEN l_linestatus = 'F' THEN CASE WHEN l_linenumber > 4 THEN 5 WHEN l_suppkey % 2 <> 0 THEN 6 WHEN l_suppkey % 3 <> 0 THEN 7 WHEN l_suppkey % 5 <> 0 THEN 8 ELSE 9 END WHEN l_returnflag = 'N' THEN 4 ELSE 3 END AS m FROM lineitem))
 WHERE r = 1""")
 def best_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best of an order's lines by a chain of criteria, the first of equals; a
     documented one is preferred only among those whose parameters do not match."""
-    no = F.lit(False)
     c = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", F.struct("l_partkey", "l_linenumber").alias("pos"), (F.col("l_quantity") > 10).alias("m_targ_count"), (F.col("l_discount") > 0.02).alias("m_targs"), (F.col("l_tax") > 0.02).alias("m_param_count"),
-        (F.col("l_returnflag") == "N").alias("m_documented"), (F.col("l_linestatus") == "F").alias("m_params"), no.alias("m_qualifiers"), no.alias("m_noexcept"),
+        (F.col("l_returnflag") == "N").alias("m_documented"), (F.col("l_linestatus") == "F").alias("m_params"), (F.col("l_linenumber") <= 4).alias("m_qualifiers"),
+        *[(F.col("l_suppkey") % n == 0).alias(f"m_noexcept_{part}") for part, n in (("definition", 2), ("kind", 3), ("operand", 5))],
     )
     return resolve.best_match(c, ["l_orderkey"]).select("l_orderkey", F.col("pos.l_partkey").alias("pos"), F.col("match_rank").cast("int").alias("match_rank"))
 
@@ -348,13 +348,13 @@ def duplicate_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PARAM_SQL = """
-WITH p AS (SELECT l_orderkey AS func_id, l_linenumber AS pos, CASE WHEN l_quantity > 45 THEN '' ELSE 'p' || l_linenumber END AS name FROM lineitem),
+WITH p AS (SELECT l_orderkey AS func_id, CASE WHEN l_linenumber <= 3 THEN l_linenumber - 1 ELSE l_linenumber * 3 - 1 END AS pos, CASE WHEN l_quantity > 45 THEN '' ELSE 'p' || l_linenumber END AS name FROM lineitem),
 d AS (SELECT l_orderkey AS func_id, 'p' || (l_linenumber + (l_partkey % 11 = 0)::INT) AS name FROM lineitem WHERE l_returnflag <> 'A')"""
 
 
 def _params(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     l = table(spark, sf_dir, "lineitem")
-    p = l.select(F.col("l_orderkey").alias("func_id"), F.col("l_linenumber").alias("pos"), F.when(F.col("l_quantity") > 45, "").otherwise(F.concat(F.lit("p"), "l_linenumber")).alias("name"))
+    p = l.select(F.col("l_orderkey").alias("func_id"), F.when(F.col("l_linenumber") <= 3, F.col("l_linenumber") - 1).otherwise(F.col("l_linenumber") * 3 - 1).alias("pos"), F.when(F.col("l_quantity") > 45, "").otherwise(F.concat(F.lit("p"), "l_linenumber")).alias("name"))
     d = l.where("l_returnflag <> 'A'").select(F.col("l_orderkey").alias("func_id"), F.concat(F.lit("p"), (F.col("l_linenumber") + (F.col("l_partkey") % 11 == 0).cast("int")).cast("string")).alias("name"))
     return p, d
 
@@ -393,7 +393,7 @@ w AS (
     UNION ALL SELECT 'missing-param', full_path, line, qn || ': Missing documentation for parameter ''' || mis.name || '''' FROM mis JOIN f ON id = func_id WHERE NOT deleted
     UNION ALL SELECT 'missing-return', full_path, line, qn || ': Missing documentation for return value' FROM f WHERE NOT deleted AND rt <> 'void' AND id NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 4)
     UNION ALL SELECT 'undocumented-enum-value', full_path, line, qn || ': Missing documentation for enum value' FROM s WHERE extraction = 0 AND NOT has_doc AND kind = 'enum-constant'
-    UNION ALL SELECT 'unnamed-param', full_path, line, qn || ': ' || CASE pos + 1 WHEN 2 THEN '2nd' WHEN 3 THEN '3rd' ELSE (pos + 1) || 'th' END || ' parameter is unnamed' FROM p JOIN f ON id = func_id WHERE p.name = ''
+    UNION ALL SELECT 'unnamed-param', full_path, line, qn || ': ' || CASE pos + 1 WHEN 1 THEN '1st' WHEN 2 THEN '2nd' WHEN 3 THEN '3rd' ELSE (pos + 1) || 'th' END || ' parameter is unnamed' FROM p JOIN f ON id = func_id WHERE p.name = ''
     UNION ALL SELECT 'broken-reference', full_path, line, name || ': Failed to resolve reference to ''' || literal || '''' FROM brk WHERE r = 1
 )"""
 
@@ -426,9 +426,9 @@ def diagnostic_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(LINT_SQL + """
-, g AS (SELECT full_path, line, list_sort(list(DISTINCT message)) AS m FROM w GROUP BY 1, 2)
+, g AS (SELECT full_path, line, list(message ORDER BY list_position(['undocumented', 'duplicate-param', 'unknown-param', 'missing-param', 'missing-return', 'undocumented-enum-value', 'unnamed-param', 'broken-reference'], rule), message) AS m FROM w GROUP BY 1, 2)
 SELECT full_path, line, md5(array_to_string(list_transform(range(1, len(m) + 1), lambda i: i || ') ' || m[i]), chr(10))) AS messages FROM g""")
 def grouped_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Warnings of a location, numbered."""
+    """Warnings of a location in order of emission, repeated ones too, numbered."""
     g = lint.grouped_warnings(_diagnostics(spark, sf_dir))
     return g.select("full_path", "line", F.md5(F.array_join("messages", "\n")).alias("messages"))

@@ -173,15 +173,24 @@ def rolled_up_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH ctx AS (SELECT 'c:' || c_custkey AS context_id, 'NATION_' || (c_custkey % 30) AS name, c_nationkey AS nk FROM customer),
-own AS (SELECT x.context_id, x.name, 'n:' || t.n_nationkey AS target_id, 2 AS dist
-        FROM ctx x JOIN nation a ON a.n_nationkey = x.nk JOIN nation t ON t.n_regionkey = a.n_regionkey AND t.n_name = x.name)
-SELECT ctx.context_id, ctx.name, own.target_id, own.dist FROM ctx LEFT JOIN own USING (context_id, name)""")
+WITH ctx AS (SELECT 'c:' || c_custkey AS context_id, c_custkey % 6 AS ask, 'NATION_' || (c_custkey % 30) AS nation, r.r_name AS region, 'r:' || r.r_regionkey AS region_id, own.n_regionkey AS own_region
+             FROM customer JOIN nation own ON own.n_nationkey = c_nationkey JOIN region r ON r.r_regionkey = c_custkey % 5),
+x AS (SELECT *, CASE ask WHEN 0 THEN nation WHEN 1 THEN region WHEN 2 THEN region || '::' || nation WHEN 3 THEN '::' || region WHEN 4 THEN '::' || region || '::' || nation ELSE '::' || nation END AS name FROM ctx),
+f AS (SELECT x.*, 'n:' || near.n_nationkey AS near_id, 'n:' || far.n_nationkey AS far_id
+      FROM x LEFT JOIN nation near ON near.n_name = x.nation AND near.n_regionkey = x.own_region LEFT JOIN nation far ON far.n_name = x.nation AND 'r:' || far.n_regionkey = x.region_id)
+SELECT context_id, name, CASE ask WHEN 0 THEN near_id WHEN 1 THEN region_id WHEN 2 THEN far_id WHEN 3 THEN region_id WHEN 4 THEN far_id END AS target_id,
+       CASE ask WHEN 0 THEN CASE WHEN near_id IS NOT NULL THEN 2 END WHEN 1 THEN 3 WHEN 2 THEN CASE WHEN far_id IS NOT NULL THEN 3 END WHEN 3 THEN 0 WHEN 4 THEN CASE WHEN far_id IS NOT NULL THEN 0 END END AS dist
+FROM f""")
 def resolved_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A customer refers to a nation by its bare name; the scopes around the
-    customer are tried outward."""
+    """Customers refer to nations and regions by bare names (the scopes around
+    are tried outward, the global one at last), by names qualified from the global scope
+    and by names that begin with '::'; a nation's bare name with '::' finds nothing."""
     tree = scope_tree(spark, sf_dir, orders=False).withColumn("is_inline", F.lit(False)).withColumn("scoped", F.lit(True))
-    refs = table(spark, sf_dir, "customer").select(F.concat(F.lit("c:"), "c_custkey").alias("context_id"), F.concat(F.lit("NATION_"), (F.col("c_custkey") % 30).cast("string")).alias("name"))
+    k = F.col("c_custkey")
+    asked = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "region"), k % 5 == F.col("r_regionkey"))
+    nation, region, top = F.concat(F.lit("NATION_"), (k % 30).cast("string")), F.col("r_name"), F.lit("::")
+    names = F.array(nation, region, F.concat(region, top, nation), F.concat(top, region), F.concat(top, region, top, nation), F.concat(top, nation))
+    refs = asked.select(F.concat(F.lit("c:"), "c_custkey").alias("context_id"), F.get(names, (k % 6).cast("int")).alias("name"))
     return resolve.resolve_scoped(refs, hierarchy.ancestors(tree), resolve.name_index(tree)).select("context_id", "name", "target_id", "dist")
 
 
@@ -199,17 +208,17 @@ edges AS (
     UNION ALL SELECT 'n:' || n_nationkey, 'r:' || n_regionkey, 'public', 0 FROM nation
 ),
 one AS (
-    SELECT e.d AS rec, m.child_id, CASE WHEN acc = 'public' THEN m.access ELSE 'protected' END AS access, m.sig, [pos] AS path
+    SELECT e.d AS rec, m.child_id, CASE WHEN acc = 'public' THEN m.access ELSE 'protected' END AS access, m.sig, [pos] AS path, m.access AS was
     FROM edges e JOIN members m ON m.rec = e.b WHERE m.access <> 'private'
       AND NOT EXISTS (SELECT 1 FROM members o WHERE o.rec = e.d AND o.sig = m.sig AND o.access = CASE WHEN acc = 'public' THEN m.access ELSE 'protected' END)
 ),
 two AS (
-    SELECT e.d AS rec, m.child_id, CASE WHEN acc = 'public' THEN m.access ELSE 'protected' END AS access, m.sig, list_concat([pos], m.path) AS path
+    SELECT e.d AS rec, m.child_id, CASE WHEN acc = 'public' THEN m.access ELSE 'protected' END AS access, m.sig, list_concat([pos], m.path) AS path, m.access AS was
     FROM edges e JOIN one m ON m.rec = e.b
     WHERE NOT EXISTS (SELECT 1 FROM members o WHERE o.rec = e.d AND o.sig = m.sig AND o.access = CASE WHEN acc = 'public' THEN m.access ELSE 'protected' END)
 ),
 every AS (SELECT * FROM one UNION ALL SELECT * FROM two)
-SELECT rec AS derived_id, child_id, access, sig AS name, len(path)::INT AS depth FROM every QUALIFY row_number() OVER (PARTITION BY rec, access, sig ORDER BY path, child_id) = 1"""
+SELECT rec AS derived_id, child_id, access, sig AS name, len(path)::INT AS depth FROM every QUALIFY row_number() OVER (PARTITION BY rec, access, sig ORDER BY path[1], was <> 'public', child_id) = 1"""
 
 
 def _bases(spark: SparkSession, sf_dir: str) -> DataFrame:

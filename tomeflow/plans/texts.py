@@ -251,17 +251,26 @@ def warning_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lint.with_source_line(found, files).select("full_path", F.col("line").cast("bigint").alias("line"), "source")
 
 
-@query(LINES_SQL + """
-, w AS (SELECT doc_id, pos + 1 AS n, strpos(line, 'the') AS c, line FROM u WHERE contains(line, 'the') AND NOT contains(line, chr(9)))
-SELECT doc_id AS full_path, n AS line, md5(doc_id || ':' || n || ':' || c || ':' || chr(10) || '1) again' || chr(10) || '2) found' || chr(10) || line || chr(10) || repeat(' ', c - 1) || '^' || repeat('~', greatest(0, length(line) - c))) AS text
-FROM w""")
+TABBED_SQL = LINES_SQL.replace("coalesce(text, '')", "replace(coalesce(text, ''), 'of', 'o' || chr(9) || 'f')")
+
+
+@query(TABBED_SQL + """
+, n AS (SELECT doc_id, max(pos) + 1 AS last FROM u GROUP BY 1),
+w AS (SELECT u.doc_id, pos + 1 AS n, strpos(line, 'the') AS c, line, last FROM u JOIN n ON n.doc_id = u.doc_id WHERE contains(line, 'the')),
+x AS (SELECT *, list_reduce(string_split(line, chr(9)), lambda a, p: a || repeat(' ', (8 - length(a) % 8)::BIGINT) || p) AS shown,
+             c - 1 + 7 * (c - 1 - length(replace(line[:c - 1], chr(9), ''))) AS gap FROM w)
+SELECT doc_id AS full_path, n AS line, md5(doc_id || ':' || n || ':' || c || ':' || chr(10) || '    1) found' || chr(10) || '    2) again' || chr(10) || '    3) found' || chr(10) ||
+       CASE WHEN n < last THEN '  ' || n || ' | ' || shown || chr(10) || repeat(' ', length(n::VARCHAR) + 3) || '| ' ||
+                 CASE WHEN c < length(line) THEN repeat(' ', gap) || '^' || repeat('~', greatest(0, length(shown) - gap - 1)) || chr(10) ELSE '' END ELSE '' END) AS text
+FROM x""")
 def warning_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Report texts: header, numbered messages, source line, caret line; two
-    warnings (one of them twice) for each line with a word, but for tabbed ones."""
-    files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.coalesce("text", F.lit("")).alias("text"))
-    hit = lint.source_lines(files).where("contains(source, 'the') and not contains(source, '\t')")
-    each = F.explode(F.array(F.lit("found"), F.lit("again"), F.lit("found")))
-    warnings = hit.select("full_path", "line", F.instr("source", "the").alias("col"), each.alias("message"))
+    """Report texts: header, numbered messages in order of emission (one of
+    them twice), source line with tabs, caret line; for each line with a word."""
+    text = F.replace(F.coalesce("text", F.lit("")), F.lit("of"), F.lit("o\tf"))
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), text.alias("text"))
+    hit = lint.source_lines(files).where("contains(source, 'the')")
+    each = F.posexplode(F.array(F.lit("found"), F.lit("again"), F.lit("found"))).alias("seq", "message")
+    warnings = hit.select("full_path", "line", F.instr("source", "the").alias("col"), each)
     out = lint.warning_report(warnings, files)
     return out.select("full_path", F.col("line").cast("bigint").alias("line"), F.md5("text").alias("text"))
 
