@@ -1,4 +1,6 @@
+import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -46,3 +48,24 @@ def test_pattern_table(spark):
     df = spark.createDataFrame([("std::vector",), ("my::x",)], "name string")
     got = globs.match_patterns(df, "name", [("std", "std::**"), ("any", "**"), ("mine", "my::?")]).collect()
     assert sorted((r["name"], r["pattern"]) for r in got) == [("my::x", "any"), ("my::x", "mine"), ("std::vector", "any"), ("std::vector", "std")]
+
+
+def test_required_literals():
+    assert [globs.required_literal(g) for g in ("*-HIGH", "**", "ab[cd]efg?h", "{a,b}c", "a\\*bc*d", "a[]x]", "[!a-c]")] == ["-HIGH", "", "efg", "c", "a*bc", "a", ""]
+
+
+def test_many_patterns_match_like_single_ones(spark):
+    rng = random.Random(1)
+    piece = lambda: "".join(rng.choice(["a", "b", ":", "*", "**", "?", "[ab]", "[!b]", "{a,bb}", "\\*"]) for _ in range(rng.randint(1, 6)))
+    patterns = [(str(k), piece()) for k in range(300)]
+    texts = ["".join(rng.choice("ab:*") for _ in range(rng.randint(0, 7))) for _ in range(400)] + [None]
+    want = {(t, n) for t in texts if t is not None for n, g in patterns if re.match(globs.glob_regex(g), t)}
+    df = spark.createDataFrame([(t,) for t in texts], "name string")
+    assert {tuple(r) for r in globs.match_patterns(df, "name", patterns).collect()} == want
+
+
+def test_ten_thousand_patterns_in_one_pass():
+    index = globs.PatternIndex([(str(k), f"**::f{k:05d}*") for k in range(10_000)])
+    began = time.time()
+    assert all(index.matches(f"ns::f{k:05d}x") == [str(k)] for k in range(0, 10_000, 7))
+    assert time.time() - began < 5

@@ -401,3 +401,22 @@ def test_overload_briefs(spark):
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "id string, parent_id string, kind string, name string")
     assert hierarchy.qualified_names(none).count() == 0 and hierarchy.ancestors(none).count() == 0
+
+
+def test_equal_member_sets(spark):
+    own = spark.createDataFrame([("a", 1), ("a", 2), ("a", 2), ("b", 2), ("b", 1), ("c", 1), ("d", None), ("e", None)], "set_id string, member int")
+    assert rows(overloads.equivalent_sets(own, own)) == [("b", "a")]
+
+
+def test_sets_that_share_a_fingerprint_are_told_apart(spark, monkeypatch):
+    members = spark.createDataFrame([("a", 1), ("b", 2), ("c", 2), ("d", 1)], "set_id string, member int")
+    blind = lambda m, *_: m.select("set_id").distinct().withColumns({"n": F.lit(1).cast("long"), "f1": F.lit(0), "f2": F.lit(0)})
+    monkeypatch.setattr(overloads, "set_fingerprints", blind)
+    assert rows(overloads.equivalent_sets(members, members)) == [("b", "c"), ("c", "b"), ("d", "a")]
+
+
+def test_ranks_of_a_hot_group_equal_one_window(spark):
+    df = spark.range(3000).select((F.col("id") % 3 == 0).cast("int").alias("g"), (F.col("id") * 7919 % 3001).alias("k"), F.when(F.col("id") % 5 > 0, F.col("id")).alias("v"), "id")
+    keys = [F.col("v") % 10, F.col("k"), F.col("id")]
+    one = lambda hot: rows(order.number_members(df, keys, ["g"], hot=hot), "g", "id", "idx")
+    assert one(10_000) == one(1500) == one(10)

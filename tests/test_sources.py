@@ -52,14 +52,23 @@ def test_page_files(spark, tmp_path):
     assert sizes == {"/a/b.html": 1, "/c.html": 2} and (tmp_path / "a/b.html").read_text() == "x"
 
 
-def test_replayed_batch_rewrites_its_own_version(spark, tmp_path):
-    folder = str(tmp_path / "v")
-    one = incremental.merge_batch(folder, lambda df: df.groupBy("k").agg(F.min("v").alias("v")))
-    one(spark.createDataFrame([("a", 2), ("b", 5)], "k string, v int"), 0)
-    for _ in range(2):
-        one(spark.createDataFrame([("a", 1), ("c", 7)], "k string, v int"), 1)
-    got = spark.read.parquet(incremental.version_path(folder, 1)).collect()
-    assert sorted((r["k"], r["v"]) for r in got) == [("a", 1), ("b", 5), ("c", 7)]
+def test_batches_rewrite_touched_buckets_only(spark, tmp_path):
+    folder = str(tmp_path / "corpus")
+    one = incremental.merge_batch(folder, lambda df: df.groupBy("k").agg(F.min("v").alias("v")), ["k"], buckets=16)
+    written = lambda v: sum(f.stat().st_size for f in (tmp_path / f"corpus/data/v={v:010d}").rglob("*.parquet"))
+    got = lambda at=None: sorted((r["k"], r["v"]) for r in incremental.corpus(spark, folder, at).collect())
+    start = [(f"k{k:05d}", 5) for k in range(20_000)]
+    one(spark.createDataFrame(start, "k string, v int"), 0)
+    for _ in range(2):  # a replay starts from the same predecessor
+        one(spark.createDataFrame([("k00000", 1), ("new", 7)], "k string, v int"), 1)
+        assert got() == sorted([("k00000", 1), ("new", 7), *start[1:]]) and got(0) == start
+    assert written(1) < written(0) / 4
+    one(spark.createDataFrame([], "k string, v int"), 2)
+    assert incremental.versions(spark, folder) == [0, 1, 2] and got(2) == got(1)
+    assert incremental.vacuum(spark, folder, keep=1) <= 2 and got() == sorted([("k00000", 1), ("new", 7), *start[1:]])
+    incremental.rebucket(spark, folder, ["k"], 4, 3)
+    one(spark.createDataFrame([("k00001", 0)], "k string, v int"), 4)
+    assert incremental.manifest(spark, folder, 4)[0] == 4 and got() == sorted([("k00000", 1), ("k00001", 0), ("new", 7), *start[2:]])
 
 
 def test_helpers(spark, tmp_path):

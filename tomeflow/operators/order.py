@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tomeflow.core import materialize
 from tomeflow.functions.names import OPERATORS, RELATIONAL
 
 
@@ -62,9 +64,33 @@ def tie_break_keys() -> list[Column]:
     return [F.col("name"), F.col("param_count"), F.col("is_template").cast("int"), F.col("targ_count"), F.col("tparam_count"), F.col("params_text"), F.col("id")]
 
 
-def number_members(members: DataFrame, keys: list[Column], scope: list[str]) -> DataFrame:
-    """``idx`` from 0 within a scope's group. One window serves all groups."""
-    return members.withColumn("idx", F.row_number().over(Window.partitionBy(*scope).orderBy(*keys)) - 1)
+#: Rows of a group beyond which its ranks are made from ranges.
+HOT_GROUP = 1_000_000
+
+
+def number_members(members: DataFrame, keys: list[Column], scope: list[str], hot: int = HOT_GROUP) -> DataFrame:
+    """``idx`` from 0 within a scope's group. Groups of up to ``hot`` rows share
+    one window; larger ones are cut in ranges of the sort keys (sampled by the range
+    shuffle), each range is ranked by itself and shifted by the counts of those before
+    it, so no task gets a whole hot group. Keys should tell rows apart: rows that are
+    equal in all of them stay in one range."""
+    sizes = members.groupBy(*[F.col(c).alias(f"__g{k}") for k, c in enumerate(scope)]).agg(F.count(F.lit(1)).alias("__n"))
+    large = materialize(sizes.where(F.col("__n") > hot), "hot-groups")  # at most rows / hot groups
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__g{k}")) for k, c in enumerate(scope)])
+    number = F.row_number().over(Window.partitionBy(*scope).orderBy(*keys)) - 1
+    if large.isEmpty():
+        return members.withColumn("idx", number)
+    names = [f"__k{k}" for k in range(len(keys))]
+    rows = members.join(F.broadcast(large), same, "left_semi").select("*", *[k.alias(n) for k, n in zip(keys, names)])
+    parts = max(2, int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = materialize(rows.repartitionByRange(parts, *scope, *names).withColumn("__part", F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy(*scope, "__part").agg(F.count(F.lit(1)).alias("__n"))  # at most groups + parts rows
+    before = Window.partitionBy(*scope).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = counts.select(*[F.col(c).alias(f"__g{k}") for k, c in enumerate(scope)], F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    ranked = dealt.withColumn("__r", F.row_number().over(Window.partitionBy(*scope, "__part").orderBy(*names)))
+    spread = ranked.join(F.broadcast(shift), same & (F.col("__part") == F.col("__p"))).withColumn("idx", (F.col("__before") + F.col("__r") - 1).cast("int"))
+    rest = members.join(F.broadcast(large), same, "left_anti").withColumn("idx", number)
+    return rest.unionByName(spread.select(*members.columns, "idx"))
 
 
 def traversal_order(symbols: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tomeflow.core import materialize
+
 
 def fold_overloads(functions: DataFrame, keys: list[str], order: list[Column], id_col: str = "id") -> DataFrame:
     """Functions with equal keys (scope, access tranche, static, name), two or
@@ -47,13 +49,39 @@ def union_docs(blocks: DataFrame, sets: DataFrame, set_col: str = "set_id") -> D
     return first.select(set_col, "section", (F.row_number().over(order) - 1).alias("pos"), "name", "literal")
 
 
+def set_fingerprints(members: DataFrame, set_col: str = "set_id", member_col: str = "member") -> DataFrame:
+    """(set, n, f1, f2) of distinct (set, member) rows: the number of members and a
+    commutative 128-bit fingerprint, combined before the shuffle."""
+    return members.select(set_col, member_col).distinct().groupBy(set_col).agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(F.lit(1), member_col)).alias("f1"), F.bit_xor(F.xxhash64(F.lit(2), member_col)).alias("f2")
+    )
+
+
 def equivalent_sets(own: DataFrame, others: DataFrame) -> DataFrame:
-    """(set_id, same_as): sets whose member set another table has (of a base
-    class or a using target), by a canonical member key."""
-    key = F.array_join(F.array_sort(F.array_distinct("members")), ",")
-    a = own.select("set_id", key.alias("__k"))
-    b = others.select(key.alias("__k"), "set_id").groupBy("__k").agg(F.min("set_id").alias("same_as"))
-    return a.join(b, "__k").where("set_id <> same_as").select("set_id", "same_as")
+    """(set_id, same_as): sets whose member set another table has too (of a base
+    class or a using target), the smallest such id. Both tables are rows (set_id,
+    member), so a set without members has none here; null members are ignored and
+    repeated rows count once.
+
+    Fingerprints find the sets, members confirm them: no row holds all members of a
+    set. Sets that a fingerprint misled are compared with every set that has it."""
+    own, others = own.where("member is not null"), others.where("member is not null")
+    print_ = ["n", "f1", "f2"]
+    a, b = set_fingerprints(own), set_fingerprints(others)
+    first = b.groupBy(*print_).agg(F.min("set_id").alias("same_as"))
+    hits = materialize(a.join(first, print_).where("set_id <> same_as"), "set-hits")
+    mine, theirs = own.select("set_id", "member").distinct(), others.select(F.col("set_id").alias("same_as"), "member").distinct()
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        both = pairs.select("set_id", "same_as", "n").join(mine, "set_id").join(theirs, ["same_as", "member"])
+        return both.groupBy("set_id", "same_as", "n").agg(F.count(F.lit(1)).alias("m")).where("m = n").select("set_id", "same_as")
+
+    sure = materialize(confirmed(hits), "set-links")
+    misled = hits.join(sure, "set_id", "left_anti")
+    if misled.isEmpty():
+        return sure
+    every = misled.drop("same_as").join(b.withColumnRenamed("set_id", "same_as"), print_).where("set_id <> same_as")
+    return sure.union(confirmed(every).groupBy("set_id").agg(F.min("same_as").alias("same_as")))
 
 
 def resolve_shadows(shadows: DataFrame, symbols: DataFrame, sets: DataFrame | None = None) -> DataFrame:

@@ -57,3 +57,9 @@ def template_head(params: Column) -> Column:
     """'template<typename T, int N = 3>' of an array of (kind, key, type, name, default)."""
     one = lambda p: F.concat_ws(" ", F.when(p["kind"] == "type", p["key"]).when(p["kind"] == "template", F.lit("template<...> typename")).otherwise(p["type"]), F.when(p["name"] != "", p["name"]), F.concat(F.lit("= "), p["default"]))
     return F.concat(F.lit("template<"), F.array_join(F.transform(params, one), ", "), F.lit(">"))
+
+
+def template_args(args: Column) -> Column:
+    """'T, 3, list...' of an array of (kind, text, is_pack): a type's text, a constant as
+    written or a template's name, with dots after a pack expansion."""
+    return F.array_join(F.transform(args, lambda a: F.concat(F.coalesce(a["text"], F.lit("")), F.when(a["is_pack"], "...").otherwise(""))), ", ")

@@ -154,7 +154,7 @@ def first_seen_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id, arg_min(event_type, (ts, event_id)) AS event_type, arg_min(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1")
 def incremental_merge_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The corpus of users' first events, merged batch by batch."""
+    """The corpus of users' first events, merged batch by batch in hash buckets."""
     out, mark = fresh_path(spark, "corpus"), fresh_path(spark, "corpus-mark")
 
     def first_event(rows: DataFrame) -> DataFrame:
@@ -162,11 +162,8 @@ def incremental_merge_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         m = merge.merge_symbols(s, "seq", first=["event_type", "event_no", "event_ts"], id_col="user_id")
         return m.select("user_id", "event_type", F.col("event_no").alias("event_id"), F.col("event_ts").alias("ts"))
 
-    incremental.incremental_merge(_stream(spark, sf_dir), out, mark, first_event).trigger(availableNow=True).start().awaitTermination()
-    jvm = spark._jvm
-    root = jvm.org.apache.hadoop.fs.Path(out)
-    versions = sorted(f.getPath().toString() for f in root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root))
-    return spark.read.parquet(versions[-1]).select("user_id", "event_type", "event_id")
+    incremental.incremental_merge(_stream(spark, sf_dir), out, mark, first_event, ["user_id"], buckets=8).trigger(availableNow=True).start().awaitTermination()
+    return incremental.corpus(spark, out).select("user_id", "event_type", "event_id")
 
 
 @query("SELECT s_suppkey, regexp_replace(s_name, '[^A-Z]', '', 'g') AS initials FROM supplier")

@@ -117,8 +117,8 @@ b AS (SELECT k, min(o_custkey) AS same_as FROM m GROUP BY k)
 SELECT o_custkey AS set_id, same_as FROM m JOIN b USING (k) WHERE o_custkey <> same_as""")
 def equivalent_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers with the same set of priorities refer to the first one."""
-    sets = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("set_id")).agg(F.collect_set("o_orderpriority").alias("members"))
-    return overloads.equivalent_sets(sets, sets)
+    members = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("set_id"), F.col("o_orderpriority").alias("member"))
+    return overloads.equivalent_sets(members, members)
 
 
 @query("""

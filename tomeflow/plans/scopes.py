@@ -90,6 +90,27 @@ def modes_per_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("kind", enum_name(F.col("extraction"), EXTRACTION).alias("mode"), "n")
 
 
+@query("WITH " + MODES_SQL + """, s AS (
+    SELECT m.id, m.mode, t.kind, try_cast(substr(m.id, 3) AS BIGINT) AS k, CASE WHEN t.kind = 'record' THEN t.parent_id END AS nation FROM modes m JOIN tree t USING (id) WHERE t.kind <> 'function'
+), f AS (
+    SELECT *, CASE WHEN kind <> 'record' THEN true WHEN k % 7 = 0 THEN k % 2 = 0 ELSE k % 11 <> 0 AND k % 13 <> 0 END AS type_ok,
+           kind <> 'record' OR (nation <> 'n:3' AND k % 10 <> 5 AND k % 4 <> 3) AS file_ok FROM s
+)
+SELECT kind, CASE WHEN type_ok AND file_ok THEN mode ELSE 3 END AS extraction, count(*) AS n FROM f GROUP BY ALL""")
+def classified_with_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names, types (private, anonymous and implicit records) and files (a folder
+    and a name excluded, an unknown ending) together."""
+    tree = scope_tree(spark, sf_dir, orders=False)
+    names = hierarchy.qualified_names(tree).select("id", "qualified_name")
+    k, record = F.expr("try_cast(substring(id, 3) as bigint)"), F.col("kind") == "record"
+    end = F.when(k % 4 == 3, ".ipp").otherwise(".hpp")
+    path = F.when(record, F.concat(F.lit("/src/"), F.replace("parent_id", F.lit(":"), F.lit("")), F.lit("/c"), (k % 10).cast("string"), end)).otherwise("/src/all.hpp")
+    flags = {"access": F.when(record & (k % 7 == 0), "private").when(record, "public"), "is_virtual": k % 2 == 0, "is_anonymous": record & (k % 13 == 0), "is_static": F.lit(False), "is_record_member": F.lit(False), "is_implicit": record & (k % 11 == 0), "full_path": path}
+    rows = tree.join(names, "id").withColumns(flags)
+    types_, files = filters.TypeRules(private_virtual=True), filters.FileRules(input=["/src"], exclude=["/src/n3"], exclude_patterns=["**/c5.*"])
+    return rollup.counts_by_mode(filters.classify(rows, RULES, types_, files))
+
+
 @query("WITH " + MODES_SQL + """
 SELECT count(*) AS declarations, count(*) FILTER (mode = 0) AS regular, count(*) FILTER (mode = 1) AS see_below,
        count(*) FILTER (mode = 2) AS implementation_defined, count(*) FILTER (mode = 3) AS dependencies FROM modes""")

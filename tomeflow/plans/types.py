@@ -98,6 +98,34 @@ def pattern_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_patterns(o, "o_orderpriority", [("urgent", "1-*"), ("high", "*-HIGH"), ("any", "**")]).select("o_orderkey", "pattern")
 
 
+@query("""
+SELECT c_custkey, 'ends ' || printf('%04d', c_custkey % 10000) AS pattern FROM customer
+UNION ALL SELECT c_custkey, 'begins ' || printf('%03d', c_custkey // 100) FROM customer WHERE c_custkey // 100 < 1000""")
+def many_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """customers' numbers against 11,000 globs in one pass."""
+    from tomeflow.operators.globs import match_patterns
+
+    digit = "{" + ",".join("0123456789") + "}"
+    globs = [(f"ends {k:04d}", f"C?[!x]*:*{k:04d}") for k in range(10_000)] + [(f"begins {k:03d}", f"C#y:000{k:03d}{digit}?") for k in range(1000)]
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("C#y:"), F.lpad(F.col("c_custkey").cast("string"), 8, "0")).alias("text"))
+    return match_patterns(c, "text", globs).select("c_custkey", "pattern")
+
+
+@query("""
+SELECT p_partkey, 'template<typename T' || CASE WHEN p_size % 2 = 0 THEN ' = int' ELSE '' END || ', int N' || CASE WHEN p_size % 3 = 0 THEN ' = ' || p_size ELSE '' END ||
+       CASE WHEN p_size % 5 = 0 THEN ', template<...> typename C' ELSE '' END || '>' AS head,
+       'T' || p_partkey % 3 || ', ' || p_size || CASE WHEN p_size % 5 = 0 THEN ', list...' ELSE '' END AS args
+FROM part""")
+def template_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Template heads and argument lists."""
+    k, null = F.col("p_size"), F.lit(None).cast("string")
+    param = lambda kind, name, key=null, type_=null, default=null: F.struct(F.lit(kind).alias("kind"), key.alias("key"), type_.alias("type"), F.lit(name).alias("name"), default.alias("default"))
+    params = [param("type", "T", key=F.lit("typename"), default=F.when(k % 2 == 0, "int")), param("constant", "N", type_=F.lit("int"), default=F.when(k % 3 == 0, k.cast("string"))), F.when(k % 5 == 0, param("template", "C"))]
+    arg = lambda kind, text, pack=False: F.struct(F.lit(kind).alias("kind"), text.alias("text"), F.lit(pack).alias("is_pack"))
+    args = [arg("type", F.concat(F.lit("T"), (F.col("p_partkey") % 3).cast("string"))), arg("constant", k.cast("string")), F.when(k % 5 == 0, arg("template", F.lit("list"), True))]
+    return table(spark, sf_dir, "part").select("p_partkey", types.template_head(F.array_compact(F.array(*params))).alias("head"), types.template_args(F.array_compact(F.array(*args))).alias("args"))
+
+
 @query("SELECT page_id || '.html' AS name, md5(coalesce(html, '')) AS text FROM pages WHERE page_id <> 7")
 def scanned_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One file per page is written, the folder scanned, one name excluded."""
