@@ -211,3 +211,30 @@ def test_ten_queries_and_the_pipeline_are_registered():
 
     names = entry.queries()
     assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11)) and "pipeline" in names
+
+
+def test_neighbours_of_extreme_magnitudes(spark):
+    rows = [(0, [1e200, 0.0]), (1, [1.1e200, 0.0]), (2, [1e200, 3e199]), (3, [1e-200, 0.0]), (4, [3e-200, 0.0]), (5, [1.0, 1.0]), (6, [1e308, -1e308]), (7, [-1e308, 1e308])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in neighbours.nearest(df, df, k=10).collect()}
+    assert out[0, 1] == (1, pytest.approx(1e199)) and out[0, 2] == (2, pytest.approx(3e199))
+    assert out[3, 1] == (4, pytest.approx(2e-200)) and out[3, 2] == (5, pytest.approx(2**0.5))
+    assert out[6, 7][0] == 7 and out[6, 7][1] == float("inf")
+
+
+def test_weights_are_those_of_plain_gradient_descent():
+    """The fit's pairs, by plain descent with momentum instead of Newton steps."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(400, len(quality.FEATURES)))
+    y = (x[:, 0] - 0.7 * x[:, 3] + rng.normal(size=400) > 0).astype(int)
+    model = quality.fit(x, y, pairs=5000, seed=3)
+    z = np.clip((x - np.array(model.mean)) / np.array(model.scale), -8, 8)
+    draw = np.random.default_rng(3)
+    d = z[draw.choice(np.flatnonzero(y == 1), 5000)] - z[draw.choice(np.flatnonzero(y == 0), 5000)]
+    w, speed = np.zeros(d.shape[1]), np.zeros(d.shape[1])
+    for _ in range(6000):
+        gradient = -(d.T @ (1 / (1 + np.exp(d @ w)))) / len(d) + 1e-3 * w
+        speed = 0.9 * speed - 0.1 * gradient
+        w = w + speed
+    assert np.abs(gradient).max() < 1e-8
+    assert np.allclose(w, model.weights, atol=1e-5)

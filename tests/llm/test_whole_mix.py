@@ -55,3 +55,12 @@ def test_columns_of_the_mix_names_stay(spark):
     got = mixing.poisson_mix(d, volume=8.0).collect()
     assert got and all(r["mix_copy"] == "mine" and r["mix_key"] == 7 for r in got)
     assert sorted(r["mix_copy_"] for r in got) == list(range(len(got))) and len({r["mix_key_"] for r in got}) == len(got)
+
+
+def test_map_columns_and_repeated_rows_are_mixed(spark):
+    docs = spark.createDataFrame([(k % 40, f"text {k % 40}", f"s{k % 3}") for k in range(120)], "doc_id long, text string, source string")
+    docs = docs.selectExpr("*", "map('k', doc_id) as tags", "array(named_struct('m', map(1, text))) as deep")
+    assert mixing.poisson_mix(docs, volume=3.0).columns == [*docs.columns, "mix_copy", "mix_key"]
+    drawn = {tuple(r) for r in mixing.poisson_counts(docs, volume=3.0).select("doc_id", "__own", "__count").collect()}
+    assert len(drawn) == 120 and len({r[2] for r in drawn if r[0] == 7}) >= 1
+    assert mixing.mix_report(docs.limit(0)).count() == 0

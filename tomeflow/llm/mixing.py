@@ -73,15 +73,25 @@ def _marked(docs: DataFrame, keys: DataFrame, on: list[str], mark: str) -> DataF
     return docs.join(F.broadcast(keys) if few else keys, same, "left").drop(*[f"__k{n}" for n in range(len(on))])
 
 
+def row_hash(docs: DataFrame):
+    """A hash of all columns; those with maps in them are hashed as JSON."""
+    columns = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema.fields]
+    return F.xxhash64(*columns)
+
+
 def own_rows(docs: DataFrame, id_col: str) -> DataFrame:
     """``docs`` with ``__own``: what tells a row from others of its id (a hash of its
     columns, and a row number for rows repeated whole); null for an id, null too,
-    of one row. Hashes skip nulls, so such rows hash by their id alone."""
-    rows = docs.select("*", F.monotonically_increasing_id().alias("__row"), F.xxhash64(*docs.columns).alias("__hash"))
-    counts = materialize(docs.select(F.col(id_col).alias("__id"), F.xxhash64(*docs.columns).alias("__hash")).groupBy("__id", "__hash").agg(F.count(F.lit(1)).alias("__n")), "rows")
-    repeated = counts.groupBy("__id").agg(F.sum("__n").alias("__n")).where("__n > 1")
-    rows = rows.withColumn("__id", F.col(id_col))
-    rows = _marked(_marked(rows, repeated, ["__id"], "__many"), counts.where("__n > 1"), ["__id", "__hash"], "__copy")
+    of one row. Rows are hashed only where their id repeats. Hashes skip nulls, so such
+    rows hash by their id alone."""
+    ids = docs.select(F.col(id_col).alias("__id")).groupBy("__id").agg(F.count(F.lit(1)).alias("__n"))
+    repeated = materialize(ids.where("__n > 1").select("__id"), "repeated")
+    if repeated.isEmpty():
+        return docs.withColumn("__own", F.lit(None).cast("long"))
+    rows = docs.select("*", F.monotonically_increasing_id().alias("__row")).withColumn("__id", F.col(id_col))
+    rows = _marked(rows, repeated, ["__id"], "__many").withColumn("__hash", F.when(F.col("__many"), row_hash(docs)))
+    counts = rows.where("__many").groupBy("__id", "__hash").agg(F.count(F.lit(1)).alias("__n"))
+    rows = _marked(rows, counts.where("__n > 1").select("__id", "__hash"), ["__id", "__hash"], "__copy")
     own = F.xxhash64("__hash", F.when(F.col("__copy"), F.col("__row")))
     return rows.withColumn("__own", F.when(F.col("__many"), own)).drop("__row", "__hash", "__id", "__many", "__copy")
 
@@ -134,7 +144,8 @@ def poisson_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
 
 def mix_report(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", size: str = "octet_length(text) + 16", weights: dict | None = None, volume: float = 1.0, seed: int = 23) -> DataFrame:
     """The mix without texts: (id, source, n_copies, copy, rate, position), one
-    row per emitted copy; ``position`` is its gapless place in the shuffle."""
+    row per emitted copy; ``position`` is its gapless place in the shuffle. Null ids
+    and null sources are kept as such; an empty table gives no row."""
     counted = poisson_counts(docs, id_col, source_col, size, weights, volume, seed).where("__count > 0")
     flat = counted.select(F.col(id_col).alias("__id"), F.col(source_col).alias("source"), "__count", F.round("__rate", 9).alias("rate"), "__own")
     rows = _copies(flat, "copy").withColumnRenamed("__count", "n_copies").withColumn("__key", F.xxhash64(F.lit(seed + 1), "__id", "copy", "__own")).drop("__own")

@@ -20,6 +20,22 @@ from pyspark.sql.window import Window
 from tomeflow.llm.common import small_batches
 
 
+def distances(x: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Euclidean distances of rows to ``v``; where squares would leave the range of a
+    double, of rows scaled by their largest component."""
+    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+        d = np.sqrt(((x - v) ** 2).sum(1))
+        odd = np.flatnonzero(~np.isfinite(d) | (d < 1e-140))
+        if odd.size:
+            most = np.maximum(np.abs(x[odd]).max(1), np.abs(v).max())[:, None]
+            apart = x[odd] / most - v / most
+            # the difference itself may be small against the components
+            scale = np.abs(apart).max(1, keepdims=True)
+            scale[scale == 0] = 1.0
+            d[odd] = (np.sqrt(((apart / scale) ** 2).sum(1)) * scale[:, 0]) * most[:, 0]
+    return d
+
+
 class Forest:
     """Sorted hash strings of ``bits`` bits in ``trees`` trees over float64 rows."""
 
@@ -33,6 +49,7 @@ class Forest:
 
     def keys(self, x: np.ndarray) -> np.ndarray:
         """(trees, rows): hash strings as integers, first bit highest."""
+        x = x / np.abs(x).max(1, keepdims=True)  # no square leaves a double's range
         unit = x / np.linalg.norm(x, axis=1, keepdims=True)
         weights = np.uint64(1) << np.arange(self.bits - 1, -1, -1, dtype=np.uint64)
         return np.stack([((unit @ p) > 0).astype(np.uint64) @ weights for p in self.planes])
@@ -88,6 +105,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, trees: int = 40
     (over all trees, repeats counted) end the ascent: raise it for recall. It ends
     with more than ``k`` entries at least, or with all.
 
+    Finite components of any magnitude have their distance; one beyond a double is
+    infinite. An empty table gives no row.
+
     Index blocks of about ``block`` rows and query blocks of ``query_block`` bound a
     task's memory; every query block meets every index block.
     """
@@ -111,7 +131,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, trees: int = 40
             forest = Forest(x, trees, bits, seed)
             for qid, v, near in zip(own["id"].to_numpy(), q, forest.candidates(q, max(trees * (k + 1), int(share * len(x))))):
                 near = near[ids[near] != qid]
-                d = np.sqrt(((x[near] - v) ** 2).sum(1))
+                d = distances(x[near], v)
                 # ids ascend, so a stable sort gives ties to the smaller one
                 order = np.argsort(d, kind="stable")
                 _, once = np.unique(ids[near[order]], return_index=True)

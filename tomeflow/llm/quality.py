@@ -154,7 +154,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 12_000, **names) -> Br
 
 def score(docs: DataFrame, model: BradleyTerry, text_col: str = "text", out: str = "quality_score") -> DataFrame:
     """``docs`` with a double column ``out`` in (0, 1); null text counts as empty.
-    Only the text is sent to Python; a column named ``out`` is replaced."""
+    Only the text is sent to Python; a column named ``out`` is replaced. Rows are
+    scored one by one, so repeated ones score alike; an empty table stays empty."""
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("double")

@@ -190,7 +190,7 @@ def page_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 def page_round_trip(spark: SparkSession, pages: DataFrame, least: int = 0) -> DataFrame:
     """Write ``pages`` to archives and read every record back: (page_id,
     payload_bytes, payload_digest, record_type, refers_to). A revisit's size is
-    that of the response it refers to, found by the payload digest."""
+    that of the response it refers to, found by the payload digest. No pages, no rows."""
     small_batches(spark, 500)
     manifest = write_archives(page_records(pages, least=least), fresh_path(spark, "wacz"))
     page = lambda c: F.expr(f"try_cast(substring({c}, 10) as bigint)")
