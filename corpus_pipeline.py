@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tomeflow.llm import exact_dedup, mixing, near_dedup, packing, quality
 from tomeflow.llm.common import materialize, read_table
+from tomeflow.llm.mixing import free_name
 
 #: Bound of the classifier's training sample, in rows.
 TRAINING_ROWS = 12_000
@@ -22,16 +23,17 @@ TRAINING_ROWS = 12_000
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents the pairwise-ranking classifier accepts (score >= 0.3)."""
     model = quality.train(docs, read_table(spark, sf_dir, "labels"), TRAINING_ROWS)
-    scored = quality.score(docs, model, out="__score")
-    return scored.where("__score >= 0.3").select(docs.columns)
+    out = free_name(docs, "__score")
+    return quality.score(docs, model, out=out).where(F.col(out) >= 0.3).select(docs.columns)
 
 
 def _one_of(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """Rows of ``docs`` named by kept (doc_id, text_sha256); one of repeated rows."""
-    keyed = docs.withColumn("__sha", exact_dedup.text_digest("text")).alias("d")
-    on = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.__sha") == F.col("k.text_sha256"))
+    sha = free_name(docs, "__sha")
+    keyed = docs.withColumn(sha, exact_dedup.text_digest("text")).alias("d")
+    on = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col(f"d.{sha}") == F.col("k.text_sha256"))
     found = keyed.join(kept.select("doc_id", "text_sha256").distinct().alias("k"), on, "left_semi")
-    return found.dropDuplicates(["doc_id", "__sha"]).select(docs.columns)
+    return found.dropDuplicates(["doc_id", sha]).select(docs.columns)
 
 
 def stage_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,12 +46,13 @@ def stage_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     id only where there is no other, then the smallest hash). Rows are told apart by
     a hash of id and text, so null and repeated ids are rows like others; one of
     rows repeated whole is kept. Blank texts are near to nothing."""
-    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
-    found = near_dedup.near_dedup(keyed, threshold=80, id_col="__key").select("__key", "component_id").distinct()
-    named = found.join(keyed.select("__key", "doc_id").distinct(), "__key")
-    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__key")).alias("first"))
-    kept = first.select(F.col("first.__key").alias("__key"))
-    return keyed.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).select(docs.columns)
+    key = free_name(docs, "__key")
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    found = near_dedup.near_dedup(keyed.select(key, "text"), threshold=80, id_col=key).select(key, "component_id").distinct()
+    named = found.join(keyed.select(key, "doc_id").distinct(), key)
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", key)).alias("first"))
+    kept = first.select(F.col(f"first.{key}").alias(key))
+    return keyed.join(kept, key, "left_semi").dropDuplicates([key]).select(docs.columns)
 
 
 def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
