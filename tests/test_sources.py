@@ -1,6 +1,7 @@
 """Sources, sinks, streams and helpers."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -39,6 +40,36 @@ def test_xml_dump(spark, tmp_path):
     assert {(r["kind"], r["literal"]) for r in t["doc_blocks"].collect()} == {("brief", "Does it."), ("param", "An x")}
 
 
+def node_rows(df):
+    return sorted((r["path"].rsplit("/", 1)[-1], r["node_id"], r["parent_node_id"], r["scope_id"], r["tag"], tuple(sorted(r["attrs"].items())), r["text"]) for r in df.collect())
+
+
+def test_split_dumps_equal_whole_ones(spark, tmp_path):
+    """Ranges of three thousand bytes, so that most elements stay open across ranges."""
+    rng = random.Random(6)
+
+    def element(depth):
+        attrs = "".join(f" {k}={q}{v}{q}" for k, v, q in (("id", rng.randrange(1000), '"'), ("name", "a &lt;b&gt; \n é", "'"), ("x", "1 &amp;amp; 2", '"')) if rng.random() < 0.4)
+        tag = rng.choice(["namespace", "struct", "function", "é"])
+        if depth > 7 or rng.random() < 0.2:
+            return f"<{tag}{attrs}/>" if rng.random() < 0.7 else f"<{tag}{attrs} ></{tag} >"
+        inside = "".join(rng.choice(["", "\n  ", " text &amp; é "]) + element(depth + 1) for _ in range(rng.randint(0, 4)))
+        return f"<{tag}{attrs}>{rng.choice(['', ' lead &quot;', chr(10)])}{inside} tail </{tag}>"
+
+    for k in range(3):
+        (tmp_path / f"{k}.xml").write_text("<?xml version='1.0'?>\n<mrx>" + "\n".join(element(0) for _ in range(25)) + "</mrx>\n")
+    (tmp_path / "odd.xml").write_text("<a id='1'><!-- <b> --><c>x > y</c><![CDATA[<z>]]><d v='p>q'/>&#65;</a>")
+    (tmp_path / "dump.xml").write_text(XML)
+    whole = node_rows(readers.xml_nodes(spark, str(tmp_path)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        split = node_rows(readers.xml_nodes_split(spark, str(tmp_path)))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert split == whole and len(whole) > 100
+
+
 def test_single_page_keeps_order(spark, tmp_path):
     pages = spark.range(500).select(F.col("id").alias("idx"), F.col("id").cast("string").alias("page")).repartition(7)
     writers.write_single_page(pages, str(tmp_path / "p"), "idx")

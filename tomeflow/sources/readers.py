@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tomeflow.core import materialize
 from tomeflow.functions import paths as P
 from tomeflow.operators.filters import FileRules, file_filter
 
@@ -49,11 +50,12 @@ def read_flat_xml(spark: SparkSession, path: str, row_tag: str, schema: str) ->
 NODES = "path string, node_id long, parent_node_id long, scope_id string, tag string, attrs map<string,string>, text string"
 
 
-def xml_nodes(spark: SparkSession, path: str, most: int = 10_000) -> DataFrame:
-    """S3: every element of whole XML files as a node row; the tree is recursive, so
-    the parent is a column, and so is ``scope_id``, the id of the nearest element
-    around it that has one, at any depth. Elements are freed as they end, and rows
-    are given on by ``most``."""
+def xml_nodes(spark: SparkSession, path: str, most: int = 10_000, only: DataFrame | None = None) -> DataFrame:
+    """S3: every element of whole XML files (of the paths in ``only``, if given) as a
+    node row; the tree is recursive, so the parent is a column, and so is ``scope_id``,
+    the id of the nearest element around it that has one, at any depth. Elements are
+    freed as they end, and rows are given on by ``most``. One task reads a file: see
+    ``xml_nodes_split`` for large ones."""
     import io
     import xml.etree.ElementTree as ET
 
@@ -74,9 +76,93 @@ def xml_nodes(spark: SparkSession, path: str, most: int = 10_000) -> DataFrame:
                             rows = []
 
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    if only is not None:
+        files = files.join(only.select("path"), "path", "left_semi").select("path", "value")
     return files.mapInPandas(shred, NODES)
 
 
+_ATTRIBUTE = r"""([^\s=]+)\s*=\s*("[^"]*"|'[^']*')"""
+
+
+def _unescaped(text: Column) -> Column:
+    for name, c in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
+        text = F.replace(text, F.lit(f"&{name};"), F.lit(c))
+    return text
+
+
+def _before(rows: DataFrame, value: Column, out: str) -> DataFrame:
+    """``rows`` (path, block, seq, ...) with ``out``: the sum of ``value`` over all rows
+    of the file before: a running sum in each block, shifted by the sums of the blocks
+    before it."""
+    rows = rows.withColumn("__v", value)
+    totals = rows.groupBy("path", "block").agg(F.sum("__v").alias("__t"))
+    ahead = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    shift = totals.select("path", "block", F.coalesce(F.sum("__t").over(ahead), F.lit(0)).alias("__s"))
+    running = F.sum("__v").over(Window.partitionBy("path", "block").orderBy("seq"))
+    return rows.withColumn("__r", running).join(shift, ["path", "block"]).withColumn(out, F.col("__s") + F.col("__r") - F.col("__v")).drop("__v", "__r", "__s")
+
+
+def _innermost(rows: DataFrame, delta: Column, payload: Column, out: str) -> DataFrame:
+    """``rows`` with ``out``: the payload of the innermost element open before each row
+    (``delta`` is 1 where one opens, -1 where one closes). That is the last one opened at
+    the level below the row's, in this block or else in the nearest before it."""
+    rows = _before(rows.withColumn("__delta", delta), F.col("__delta"), "__depth")
+    opened = rows.where("__delta = 1").select("path", "block", "seq", F.col("__depth").alias("__level"), payload.alias("__p"), F.lit(None).cast("boolean").alias("__asks"))
+    asked = rows.select("path", "block", "seq", (F.col("__depth") - 1).alias("__level"), F.lit(None).cast(opened.schema["__p"].dataType).alias("__p"), F.lit(True).alias("__asks"))
+    every = opened.union(asked).where("__level >= 0")
+    last = every.groupBy("path", "block", "__level").agg(F.max_by("__p", F.when(F.col("__p").isNotNull(), F.col("seq"))).alias("__last"))
+    ahead = Window.partitionBy("path", "__level").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select("path", "block", "__level", F.last("__last", ignorenulls=True).over(ahead).alias("__carried"))
+    here = F.last("__p", ignorenulls=True).over(Window.partitionBy("path", "block", "__level").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    told = every.withColumn("__here", here).where("__asks").join(carried, ["path", "block", "__level"])
+    told = told.select("path", "block", "seq", F.coalesce("__here", "__carried").alias(out))
+    return rows.join(told, ["path", "block", "seq"], "left").drop("__delta", "__depth")
+
+
+def xml_nodes_split(spark: SparkSession, path: str) -> DataFrame:
+    """S3, large dumps: the rows of ``xml_nodes`` without one task per file. Files are
+    read in byte ranges (``spark.sql.files.maxPartitionBytes``), tag by tag; depths and
+    numbers are prefix sums over ranges, and what is open where a range begins is the last
+    element opened at each level before it.
+
+    Files with comments, CDATA, a document type, processing instructions, namespaces,
+    character references or a '>' that ends no tag are left to ``xml_nodes``."""
+    raw = spark.read.option("lineSep", ">").text(path)
+    raw = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq"), "value")
+    at = F.instr("value", "<")
+    body = F.when(at > 0, F.substring(F.col("value"), at + 1, F.length("value"))).otherwise("")
+    rows = raw.select("path", "block", "seq", F.regexp_replace(F.when(at > 0, F.substring(F.col("value"), F.lit(1), at - 1)).otherwise(F.col("value")), "\r\n?", "\n").alias("before"), body.alias("body"), (at > 0).alias("is_tag"))
+    b = F.col("body")
+    rest = F.regexp_replace(b, _ATTRIBUTE, "")
+    head = F.startswith(b, F.lit("?xml "))
+    odd = F.startswith(b, F.lit("!")) | (F.startswith(b, F.lit("?")) & ~head) | F.regexp_like(rest, F.lit("[\"':<]")) | F.regexp_like(b, F.lit("(^|\\s)xmlns|&#")) | F.contains("before", F.lit("&#")) | (~F.col("is_tag") & F.regexp_like("before", F.lit("\\S")))
+    kind = F.when(head | ~F.col("is_tag"), "none").when(F.startswith(b, F.lit("/")), "close").when(F.endswith(b, F.lit("/")), "single").otherwise("open")
+    values = F.transform(F.regexp_extract_all(b, F.lit(_ATTRIBUTE), F.lit(2)), lambda v: _unescaped(F.translate(F.substring(v, F.lit(2), F.length(v) - 2), "\t\n\r", "   ")))
+    attrs = F.map_from_arrays(F.regexp_extract_all(b, F.lit(_ATTRIBUTE), F.lit(1)), values)
+    parsed = rows.select(
+        "path", "block", "seq", kind.alias("kind"), F.regexp_extract(b, "^/?([^\\s/]+)", 1).alias("tag"), F.when(kind.isin("open", "single"), attrs).alias("attrs"), _unescaped(F.col("before")).alias("before"), odd.alias("odd")
+    )
+    events = materialize(parsed, "xml-tags")
+    odd_files = materialize(events.where("odd").select("path").distinct(), "xml-odd")
+    is_odd = not odd_files.isEmpty()
+    plain = events.drop("odd").where("kind <> 'none'")
+    plain = plain.join(odd_files, "path", "left_anti").select(*plain.columns) if is_odd else plain
+    # the text of an element is what stands before the next tag
+    first = plain.groupBy("path", "block").agg(F.min_by("before", "seq").alias("__first"))
+    next_ = first.select("path", "block", F.lead("__first").over(Window.partitionBy("path").orderBy("block")).alias("__next"))
+    plain = plain.withColumn("__after", F.lead("before").over(Window.partitionBy("path", "block").orderBy("seq"))).join(next_, ["path", "block"])
+    text = F.regexp_replace(F.when(F.col("kind") == "open", F.coalesce("__after", "__next")).otherwise(""), r"(?U)^\s+|\s+$", "")
+    is_node = F.col("kind").isin("open", "single")
+    delta = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
+    rows = plain.select("path", "block", "seq", "kind", "tag", "attrs", F.coalesce(text, F.lit("")).alias("text"), F.try_element_at("attrs", F.lit("id")).alias("own_id"))
+    rows = _before(rows, is_node.cast("long"), "node_id")
+    rows = materialize(_innermost(rows, delta, F.struct("node_id", "own_id"), "top"), "xml-parents")
+    has_id = F.when(F.col("kind") == "close", F.col("top.own_id").isNotNull()).otherwise(F.col("own_id").isNotNull())
+    rows = _innermost(rows, F.when(has_id, delta).otherwise(0), F.col("own_id"), "scope_id").where(is_node)
+    out = rows.select("path", "node_id", F.col("top.node_id").alias("parent_node_id"), "scope_id", "tag", "attrs", "text")
+    return out.unionByName(xml_nodes(spark, path, only=odd_files)) if is_odd else out
+
+
 def child_text(nodes: DataFrame, parents: DataFrame, tag: str, name: str) -> DataFrame:
     """``parents`` (path, node_id, ...) with the text of their first child ``tag``."""
     kids = nodes.where(F.col("tag") == tag).groupBy("path", F.col("parent_node_id").alias("node_id")).agg(F.min_by("text", "node_id").alias(name))
