@@ -7,35 +7,44 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tomeflow.core import fixpoint, materialize
+from tomeflow.core import materialize
 from tomeflow.operators.filters import DEPENDENCY, IMPLEMENTATION, REGULAR, SEE_BELOW
+from tomeflow.operators.hierarchy import paths
 
 
 def roll_up_modes(symbols: DataFrame) -> DataFrame:
     """(id, extraction) of namespaces, from the leaves up. Regular namespaces
     that have members but no doc change: to dependency or implementation-defined if
     all members are, else to see-below if any is and none is regular. Others keep
-    their mode."""
+    their mode.
+
+    Only namespaces that can change wait for others: what their settled members say
+    is summed once, and rounds (one for each level of such namespaces in each other)
+    pass a few flags up."""
     own = materialize(symbols.select("id", "parent_id", "kind", "has_doc", "extraction"), "rollup")
-    seed = own.join(own.select(F.col("id").alias("__k")), F.col("parent_id") == F.col("__k"), "left_anti").withColumn("depth", F.lit(0))
-
-    def down(front: DataFrame) -> DataFrame:
-        top = front.select(F.col("id").alias("__p"), F.col("depth").alias("__d"))
-        return own.join(top, F.col("parent_id") == F.col("__p")).select(*own.columns, (F.col("__d") + 1).alias("depth"))
-
-    below, out = None, []
-    for level in reversed(fixpoint(seed, down, tag="rollup")):
-        if below is not None:
-            e = F.col("extraction")
-            sums = below.groupBy(F.col("parent_id").alias("__p")).agg(
-                F.bool_or(e == REGULAR).alias("__reg"), F.bool_and(e == DEPENDENCY).alias("__dep"), F.bool_and(e == IMPLEMENTATION).alias("__imp"), F.bool_or(e == SEE_BELOW).alias("__see"),
-            )
-            rolled = F.when(F.col("__reg"), e).when(F.col("__dep"), DEPENDENCY).when(F.col("__imp"), IMPLEMENTATION).when(F.col("__see"), SEE_BELOW).otherwise(e)
-            change = (F.col("kind") == "namespace") & (e == REGULAR) & ~F.col("has_doc") & F.col("__p").isNotNull()
-            level = level.join(sums, F.col("id") == F.col("__p"), "left").withColumn("extraction", F.when(change, rolled).otherwise(e)).select(*own.columns, "depth")
-            level = materialize(level, "rollup")
-        below = level
-        out.append(level.where("kind = 'namespace'").select("id", "extraction"))
+    e = F.col("extraction")
+    members = own.select(F.col("parent_id").alias("__p")).where("__p is not null").distinct()
+    open_ = own.where((F.col("kind") == "namespace") & (e == REGULAR) & ~F.col("has_doc")).join(members, F.col("id") == F.col("__p"), "left_semi")
+    waiting = materialize(paths(open_, F.lit(0)).select("id", "depth").join(own.select("id", "parent_id"), "id"), "waiting")
+    settled = own.join(waiting.select(F.col("id").alias("__w")), F.col("id") == F.col("__w"), "left_anti")
+    deepest = waiting.agg(F.max("depth")).first()[0]
+    rest = settled.where("kind = 'namespace'").select("id", "extraction")
+    if deepest is None:
+        return rest
+
+    def said(rows: DataFrame) -> DataFrame:
+        flags = [F.bool_or(e == REGULAR).alias("reg"), F.bool_and(e == DEPENDENCY).alias("dep"), F.bool_and(e == IMPLEMENTATION).alias("imp"), F.bool_or(e == SEE_BELOW).alias("see")]
+        return rows.groupBy(F.col("parent_id").alias("__p")).agg(*flags)
+
+    known = materialize(said(settled.join(waiting.select(F.col("id").alias("__w")), F.col("parent_id") == F.col("__w"), "left_semi")), "said")
+    out, below = [rest], None
+    for depth in range(deepest, -1, -1):
+        heard = known if below is None else known.union(said(below))
+        heard = heard.groupBy("__p").agg(F.bool_or("reg").alias("reg"), F.bool_and("dep").alias("dep"), F.bool_and("imp").alias("imp"), F.bool_or("see").alias("see"))
+        mode = F.when(F.col("reg"), REGULAR).when(F.col("dep"), DEPENDENCY).when(F.col("imp"), IMPLEMENTATION).when(F.col("see"), SEE_BELOW).otherwise(REGULAR)
+        level = waiting.where(F.col("depth") == depth).join(heard, F.col("id") == F.col("__p"))
+        below = materialize(level.select("id", "parent_id", mode.alias("extraction")), "rolled")
+        out.append(below.select("id", "extraction"))
     return reduce(DataFrame.union, out)
 
 

@@ -95,6 +95,17 @@ def xml_symbol_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.symbols_from_xml(readers.xml_nodes(spark, folder))["symbols"].select("id", "parent_id", "kind", "name")
 
 
+@query("""
+SELECT 'k' || c_custkey AS scope_id, 'name' AS tag, c_name AS text FROM customer
+UNION ALL SELECT 'k' || c_custkey, 'nation', c_nationkey::VARCHAR FROM customer""")
+def xml_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dump of all customers, read tag by tag in byte ranges."""
+    path = fresh_path(spark, "xml")
+    c = table(spark, sf_dir, "customer")
+    writers.write_xml(c.select(F.concat(F.lit("k"), "c_custkey").alias("_id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation")), path)
+    return readers.xml_nodes_split(spark, path).where("tag in ('name', 'nation')").select("scope_id", "tag", "text")
+
+
 @query("SELECT c_name AS value FROM customer UNION ALL SELECT 'head' UNION ALL SELECT 'foot'")
 def single_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One page in traversal order between header and footer."""
