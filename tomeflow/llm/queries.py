@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomeflow.llm import exact_dedup, line_dedup, mixing, near_dedup, neighbours, packing, pii, quality, sharding, spelling, suffix_dedup, vector_codes, warc
+from tomeflow.llm import exact_dedup, line_dedup, mixing, near_dedup, neighbours, oracles, packing, pii, quality, sharding, spelling, suffix_dedup, vector_codes, warc
 from tomeflow.llm.common import read_table
 
 #: Fixed by the contract of op8: labels are learnt where this remainder is not 0.
@@ -88,12 +88,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
-    "op3_exact_dedup": """
-        WITH d AS (
-            SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
-        )
-        SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
-               doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
-        FROM d
-    """,
+    "op3_exact_dedup": oracles.EXACT, "op5_near_dedup": oracles.NEAR, "op7_warc": oracles.ARCHIVE, "op9_suffix_dedup": oracles.REPEATS,
+    "op11_spelling_variants": oracles.SPELLING, "op13_vector_codes": oracles.codes(),
 }
