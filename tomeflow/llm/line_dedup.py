@@ -83,16 +83,15 @@ def signatures(lines: list[str], width: int) -> np.ndarray:
     np.minimum.at(out, np.repeat(np.arange(len(lines)) * VALUES, counts) + place.astype(np.int64), hashes.astype(np.uint32))
     out = out.reshape(len(lines), VALUES)
     # an empty range takes the value of the first in its own draw of ranges that has one
-    left = np.flatnonzero((out == _NONE).any(1))
-    given = out[left]
-    have = given != _NONE
-    filled = given.copy()
+    given = out.copy()
+    row, place = np.nonzero((out == _NONE) & (out != _NONE).any(1, keepdims=True))
     for draw in DONORS:
-        take = (filled == _NONE) & have[:, draw]
-        filled[take] = given[:, draw][take]
-        if not (filled == _NONE).any():
+        value = given[row, draw[place]]
+        have = value != _NONE
+        out[row[have], place[have]] = value[have]
+        row, place = row[~have], place[~have]
+        if not row.size:
             break
-    out[left] = filled
     return out
 
 
@@ -108,7 +107,24 @@ def bands(lines: list[str], width: int) -> np.ndarray:
 def sets(lines: list[str], width: int) -> list[np.ndarray]:
     """Sorted distinct hashes of each line."""
     hashes, counts = shingles(lines, width)
-    return [np.unique(h) for h in np.split(hashes, np.cumsum(counts)[:-1])] if lines else []
+    out, end = [], 0
+    for n in counts.tolist():
+        h = np.sort(hashes[end : end + n])
+        fresh = np.empty(n, bool)
+        fresh[:1] = True
+        np.not_equal(h[1:], h[:-1], out=fresh[1:])
+        out.append(h[fresh])
+        end += n
+    return out
+
+
+def shared(x: np.ndarray, y: np.ndarray) -> int:
+    """How many elements two sorted sets have in common."""
+    if len(x) < len(y):
+        x, y = y, x
+    at = x.searchsorted(y)
+    at[at == len(x)] = 0
+    return int(np.count_nonzero(x[at] == y)) if len(x) else 0
 
 
 def bitmap(found: np.ndarray) -> np.ndarray:
@@ -214,7 +230,7 @@ def line_dedup(docs: DataFrame, threshold: float = 0.8, width: int = 8, id_col:
         for k, (x, y) in enumerate(zip(a, b)):
             x, y = of[x], of[y]
             if q * min(len(x), len(y)) >= p * max(len(x), len(y)):
-                both = len(x) + len(y) - len(np.unique(np.concatenate((x, y))))
+                both = shared(x, y)
                 out[k] = q * both >= p * (len(x) + len(y) - both)
         return pd.Series(out)
 
