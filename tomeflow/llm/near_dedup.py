@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tomeflow.llm.common import discard, materialize, mix, only, small_batches
 from tomeflow.llm.exact_dedup import LOWER
+from tomeflow.llm.line_dedup import WORD_NAMES, bitmap, total
 from tomeflow.llm.linking import link
 
 #: Stands for a null id.
@@ -124,26 +125,31 @@ def sketches(docs: DataFrame, k: int, width: int, id_col: str, text_col: str) ->
     return _rows(docs, id_col, text_col).mapInArrow(of, "id long, n long, f1 long, f2 long, sketch array<long>")
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, n, set) of the classes ``wanted`` (node, min_id, f1, f2, n)."""
+def full_sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_col: str, most: int | None = None) -> DataFrame:
+    """(node, set) of the classes ``wanted`` (node, min_id, f1, f2, n). With ``most``:
+    (node, set, bits), a bitmap of each set, and no set of more elements than that."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
         for ids, bodies in _chunks(batches):
             sets = shingler(bodies)
             prints = [fingerprint(s) for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), _lists(sets)],
-                names=["id", "f1", "f2", "set"],
-            )
+            own = [pa.array(ids, pa.int64()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64())]
+            if most is None:
+                own += [_lists(sets)]
+            else:
+                own += [pa.array([x if len(x) <= most else None for x in sets], pa.list_(pa.int64())), _lists([bitmap(x.view(np.uint64)) for x in sets])]
+            yield pa.RecordBatch.from_arrays(own, names=["id", "f1", "f2", *kept])
+
+    kept = ["set"] if most is None else ["set", "bits"]
 
     # a null id never is the least of a class that has another, so it is coded
     named = wanted.select(F.coalesce("min_id", F.lit(NULL)).alias("id"))
     rows = _rows(docs, id_col, text_col).withColumn("id", F.coalesce("id", F.lit(NULL)))
-    rows = only(rows, named, ["id"]).select("id", "body").mapInArrow(of, "id long, f1 long, f2 long, set array<long>")
+    rows = only(rows, named, ["id"]).select("id", "body").mapInArrow(of, "id long, f1 long, f2 long, " + ", ".join(f"{c} array<long>" for c in kept))
     # an id can be repeated with other texts: the fingerprint tells which is meant
     found = rows.join(wanted.select("node", F.col("f1").alias("w1"), F.col("f2").alias("w2")), (F.col("f1") == F.col("w1")) & (F.col("f2") == F.col("w2")))
-    return found.dropDuplicates(["node"]).select("node", "set")
+    return found.dropDuplicates(["node"]).select("node", *kept)
 
 
 def _estimate(a: Column, b: Column, k: int) -> Column:
@@ -189,10 +195,11 @@ def near_dedup(docs: DataFrame, threshold: int = 80, width: int = 5, k: int = 64
     sizes = classes.select("node", "n", "sketch")
 
     def payload(nodes: DataFrame) -> DataFrame:
-        """Keys and sketch of nodes that are still apart; whole sets of the shorter
-        ones, so that those pairs are settled where they meet."""
+        """Keys, sketch and bitmap of nodes that are still apart; whole sets of the
+        shorter ones, so that those pairs are settled where they meet."""
         asked = materialize(classes.drop("sketch").join(nodes, "node", "left_semi"), "apart")
-        short = full_sets(docs, asked.where(F.col("n") <= whole), width, id_col, text_col)
+        short = full_sets(docs, asked, width, id_col, text_col, whole)
+        short = short.select("node", "set", *[F.get("bits", F.lit(w)).alias(name) for w, name in enumerate(WORD_NAMES)])
         return prefix.join(sizes, "node").join(nodes, "node", "left_semi").join(short, "node", "left")
 
     def likely(a: Column, b: Column, na: Column, nb: Column) -> Column:
@@ -216,7 +223,10 @@ def near_dedup(docs: DataFrame, threshold: int = 80, width: int = 5, k: int = 64
         allowed = likely(a("sketch"), b("sketch"), a("n"), b("n"))
         # of short sets the exact test is the cheaper one, so it is asked first
         settled = F.when(a("set").isNotNull() & b("set").isNotNull(), exact & allowed).otherwise(allowed)
-        return near(a("n"), b("n")) & first & settled
+        # bitmaps differ in no more bits than sets in elements, and are told apart fastest
+        apart = total([F.bit_count(a(w).bitwiseXOR(b(w))) for w in WORD_NAMES])
+        alike = F.coalesce(apart * (100 + threshold) <= (a("n") + b("n")) * (100 - threshold), F.lit(True))
+        return near(a("n"), b("n")) & alike & first & settled
 
     def verify(pairs: DataFrame) -> DataFrame:
         s = lambda x: sizes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
