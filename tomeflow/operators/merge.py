@@ -1,7 +1,8 @@
 """Merging rows of one id from many units.
 
-"First wins" needs an order: every operator takes a sequence column. Aggregates
-are partial on the map side, so a hot id moves one row per task.
+"First wins" needs an order: every operator takes a sequence column, which has to
+tell the rows of an id apart (``core.placed`` gives rows their place in the input).
+Aggregates are partial on the map side, so a hot id moves one row per task.
 """
 
 from __future__ import annotations
@@ -30,11 +31,13 @@ def last_of(value: Column, seq: Column) -> Column:
     return F.max_by(v, F.when(v.isNotNull(), seq))
 
 
-def merge_symbols(units: DataFrame, seq: str, first: list[str] = [], last: list[str] = [], flags: list[str] = [], mode: str | None = None, id_col: str = "id") -> DataFrame:
+def merge_symbols(units: DataFrame, seq: str, first: list[str] = [], last: list[str] = [], flags: list[str] = [], mode: str | None = None, id_col: str = "id", back: str | None = None) -> DataFrame:
     """One row per id: ``first`` and ``last`` columns by sequence,
-    ``flags`` or-ed, ``mode`` the least specific (smallest)."""
+    ``flags`` or-ed, ``mode`` the least specific (smallest). ``back`` is the reverse
+    order, where one is needed: the last is the row with the smallest ``back``."""
     s = F.col(seq)
-    aggs = [first_of(F.col(c), s).alias(c) for c in first] + [last_of(F.col(c), s).alias(c) for c in last]
+    end = (lambda v: first_of(v, F.col(back))) if back else (lambda v: last_of(v, s))
+    aggs = [first_of(F.col(c), s).alias(c) for c in first] + [end(F.col(c)).alias(c) for c in last]
     aggs += [F.bool_or(c).alias(c) for c in flags] + ([F.min(mode).alias(mode)] if mode else [])
     return units.groupBy(id_col).agg(*aggs)
 
