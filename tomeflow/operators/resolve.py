@@ -106,9 +106,9 @@ MATCH_RANKS = ["name", "targ-count", "targs", "param-count", "documented", "para
 def best_match(candidates: DataFrame, keys: list[str], pos: str = "pos") -> DataFrame:
     """Of candidates with boolean columns m_targ_count, m_targs, m_param_count,
     m_documented, m_params, m_qualifiers and m_noexcept_definition, m_noexcept_kind and
-    m_noexcept_operand, the one of the highest rank; of equal ranks the first. A rank counts only if those below it hold, but
+    m_noexcept_operand, the one of the highest rank; of equal ranks the first. A criterion without a column holds for none. A rank counts only if those below it hold, but
     for ``documented``: it prefers one of those whose parameters do not match."""
-    holds = {c: F.coalesce(F.col("m_" + c), F.lit(False)) for c in ("targ_count", "targs", "param_count", "documented", "params", "qualifiers", "noexcept_definition", "noexcept_kind", "noexcept_operand")}
+    holds = {c: F.coalesce(F.col("m_" + c), F.lit(False)) if "m_" + c in candidates.columns else F.lit(False) for c in ("targ_count", "targs", "param_count", "documented", "params", "qualifiers", "noexcept_definition", "noexcept_kind", "noexcept_operand")}
     rank, chain = F.lit(0), F.lit(True)
     for k, (c, ok) in enumerate(holds.items(), 1):
         rank = F.when(chain & ok, k).otherwise(rank)
