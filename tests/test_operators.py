@@ -420,3 +420,17 @@ def test_ranks_of_a_hot_group_equal_one_window(spark):
     keys = [F.col("v") % 10, F.col("k"), F.col("id")]
     one = lambda hot: rows(order.number_members(df, keys, ["g"], hot=hot), "g", "id", "idx")
     assert one(10_000) == one(1500) == one(10)
+
+
+def test_param_rules_deal_rows_over_counted_partitions(spark, monkeypatch):
+    monkeypatch.setattr(core, "SPREAD_ROWS", 5)
+    p = spark.createDataFrame([(k, f"p{k % 3}") for k in range(60)] + [(None, "p"), (7, None), (8, "")], "func_id long, name string")
+    d = spark.createDataFrame([(None, "p"), (7, None), (1, "p1"), (1, "p1"), (2, "x")], "func_id long, name string")
+    both = lint.documented_params(p, d)
+    assert both.rdd.getNumPartitions() >= 13
+    assert rows(lint.unknown_params(p, d)) == [(2, "x")]  # nulls are equal, as for EXCEPT
+    missing = rows(lint.missing_params(p, d))
+    assert len(missing) == 59 and (1, "p1") not in missing and not any(r[0] is None for r in missing)
+    assert sorted(rows(lint.param_faults(p, d))) == sorted([("missing", *r) for r in missing] + [("unknown", 2, "x")])
+    complete = dict(rows(lint.complete_params(p, d)))
+    assert complete[1] and not complete[2] and not complete[None] and 8 in complete
