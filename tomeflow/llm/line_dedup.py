@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tomeflow.llm.common import BROADCAST_KEYS, discard, materialize, mix, only, reclaim, small_batches
-from tomeflow.llm.linking import link
+from tomeflow.llm.linking import cross_pairs, link
 
 #: Values of a signature, and how many make a band.
 VALUES, ROWS = 80, 4
@@ -269,7 +269,13 @@ def line_dedup(docs: DataFrame, threshold: float = 0.8, width: int = 8, id_col:
         near = pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(match("x", "y"))
         return verify(near.select("a", "b"))
 
-    labels = link(lists, lambda nodes: maps[0], verify, match, rounds=1, split=split, settle=settle, small=SMALL)
+    def compare(mixed: DataFrame) -> DataFrame:
+        pairs = cross_pairs(mixed, lambda nodes: maps[0], match)
+        links = verify(pairs)
+        discard(pairs)
+        return links
+
+    labels = link(lists, verify, compare, rounds=1, split=split, settle=settle, small=SMALL)
     # lines that occur once and have no link stay as they are
     linked = classes.select("node", "h1", "h2", "rows", "first").join(labels, "node", "left").where("rows > 1 or root is not null")
     linked = materialize(linked.select("h1", "h2", "first", F.coalesce("root", "node").alias("root")), "linked")

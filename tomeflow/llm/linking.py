@@ -5,7 +5,7 @@ all their pairs; in longer ones round one compares each node with two pivots, so
 group of copies collapses by as many comparisons as it has rows. Later rounds look only at lists
 that still hold several components and compare their members with a pivot drawn
 anew. At the end the members outside a list's largest component are compared with
-the rest; pairs are tested inside that join. Every pair of a list thus is compared or already connected.
+the rest: by ``cross_pairs``, inside a join, or in blocks. Every pair of a list thus is compared or already connected.
 """
 
 from __future__ import annotations
@@ -93,11 +93,13 @@ def relabel(labels: DataFrame, links: DataFrame, native: bool = False) -> DataFr
 
 
 def link(
-    lists: DataFrame, payload: Payload, verify: Verify, match: Callable[[str, str], Column], rounds: int = 2, native: bool = False, split: Callable[[DataFrame], DataFrame] | None = None,
+    lists: DataFrame, verify: Verify, last_pass: Verify, rounds: int = 2, native: bool = False, split: Callable[[DataFrame], DataFrame] | None = None,
     settle: Verify | None = None, small: int = 2,
 ) -> DataFrame:
     """(node, root) of every node with a verified link. ``verify`` gets distinct
-    pairs (a, b) and returns a written table (a, b) of the true links among them.
+    pairs (a, b) and returns a written table (a, b) of the true links among them;
+    ``last_pass`` gets the lists (key, node, comp, major) that hold several components
+    in the end, and returns such a table too.
     ``rounds`` of drawn pivots only save comparisons in the last pass. ``native``
     keeps to DataFrame functions. ``split`` makes finer lists (key, node) of those
     that still hold several components; ``settle`` verifies drawn pairs, if they can
@@ -117,9 +119,8 @@ def link(
         labels = relabel(labels, links, native)
         last, mixed = mixed, mixed_lists(mixed, labels)
         discard(links, last)
-    pairs = cross_pairs(mixed, payload, match)
-    links = verify(pairs)
-    discard(mixed, pairs)
+    links = last_pass(mixed)
+    discard(mixed)
     if not links.isEmpty():
         labels = relabel(labels, links, native)
     discard(links)

@@ -15,9 +15,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tomeflow.llm.blocks import cells, compared
 from tomeflow.llm.common import discard, materialize, mix, only, small_batches
 from tomeflow.llm.exact_dedup import LOWER
-from tomeflow.llm.line_dedup import WORD_NAMES, bitmap, total
+from tomeflow.llm.line_dedup import bitmap
 from tomeflow.llm.linking import link
 
 #: Stands for a null id.
@@ -82,7 +83,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"))
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[tuple[list, list[bytes]]]:
+def _chunks(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[tuple[list, list[bytes]]]:
     """(ids, lower-cased bodies) of about ``most`` bytes."""
     for b in batches:
         ids, bodies, held = [], [], 0
@@ -194,14 +195,6 @@ def near_dedup(docs: DataFrame, threshold: int = 80, width: int = 5, k: int = 64
     lists = prefix.select(F.explode("keys").alias("key"), "node")
     sizes = classes.select("node", "n", "sketch")
 
-    def payload(nodes: DataFrame) -> DataFrame:
-        """Keys, sketch and bitmap of nodes that are still apart; whole sets of the
-        shorter ones, so that those pairs are settled where they meet."""
-        asked = materialize(classes.drop("sketch").join(nodes, "node", "left_semi"), "apart")
-        short = full_sets(docs, asked, width, id_col, text_col, whole)
-        short = short.select("node", "set", *[F.get("bits", F.lit(w)).alias(name) for w, name in enumerate(WORD_NAMES)])
-        return prefix.join(sizes, "node").join(nodes, "node", "left_semi").join(short, "node", "left")
-
     def likely(a: Column, b: Column, na: Column, nb: Column) -> Column:
         """Whether the union sketch allows the threshold: a sketch of the whole union
         is exact, else 4.5 standard deviations are granted."""
@@ -213,21 +206,6 @@ def near_dedup(docs: DataFrame, threshold: int = 80, width: int = 5, k: int = 64
     def near(na: Column, nb: Column) -> Column:
         return F.least(na, nb) * 100 >= F.greatest(na, nb) * threshold
 
-    def match(left: str, right: str) -> Column:
-        a, b = (lambda c, side=side: F.col(f"{side}.{c}") for side in (left, right))
-        # emitted for the first common key; mostly that is the first of both
-        other = (F.get(a("keys"), F.lit(0)) == F.get(b("keys"), F.lit(0))) & (F.get(a("keys"), F.lit(0)) != a("key"))
-        first = ~other & (F.array_min(F.array_intersect(a("keys"), b("keys"))) == a("key"))
-        both = F.size(F.array_intersect(a("set"), b("set")))
-        exact = both * 100 >= (a("n") + b("n") - both) * threshold
-        allowed = likely(a("sketch"), b("sketch"), a("n"), b("n"))
-        # of short sets the exact test is the cheaper one, so it is asked first
-        settled = F.when(a("set").isNotNull() & b("set").isNotNull(), exact & allowed).otherwise(allowed)
-        # bitmaps differ in no more bits than sets in elements, and are told apart fastest
-        apart = total([F.bit_count(a(w).bitwiseXOR(b(w))) for w in WORD_NAMES])
-        alike = F.coalesce(apart * (100 + threshold) <= (a("n") + b("n")) * (100 - threshold), F.lit(True))
-        return near(a("n"), b("n")) & alike & first & settled
-
     def verify(pairs: DataFrame) -> DataFrame:
         s = lambda x: sizes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
         joined = pairs.join(s("a"), "a").join(s("b"), "b").where(near(F.col("na"), F.col("nb")))
@@ -241,7 +219,21 @@ def near_dedup(docs: DataFrame, threshold: int = 80, width: int = 5, k: int = 64
         discard(close, sets)
         return links
 
-    labels = link(lists, payload, verify, match)
+    def compare(mixed: DataFrame) -> DataFrame:
+        """Links of nodes that are still apart: whole sets of the shorter ones are
+        compared where they meet, pairs of others that may be near are verified."""
+        asked = materialize(classes.drop("sketch").join(mixed.select("node").distinct(), "node", "left_semi"), "apart")
+        short = full_sets(docs, asked, width, id_col, text_col, whole)
+        # a set this short is near to no long one
+        sketch = F.when(F.col("n") * 100 >= whole * threshold, F.col("sketch")).alias("sketch")
+        about = prefix.join(sizes, "node").join(short, "node").select("node", "n", "keys", "bits", "set", sketch)
+        found = materialize(compared(cells(mixed).join(about, "node"), threshold, k), "compared")
+        more = verify(found.where("not sure").select("a", "b").distinct())
+        links = materialize(found.where("sure").select("a", "b").union(more).distinct(), "links")
+        discard(asked, found, more)
+        return links
+
+    labels = link(lists, verify, compare)
     named = classes.join(labels, "node", "left").select("f1", "f2", "n", "min_id", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("min_id").alias("component_id"))
     final = named.join(least, "root").select("f1", "f2", "n", "component_id")
