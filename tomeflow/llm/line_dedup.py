@@ -1,42 +1,45 @@
 """Fuzzy line dedup by MinHash.
 
-A line's set is its ``width``-character shingles. Its signature has one permutation:
-the smallest hash in each of ``VALUES`` ranges, empty ranges filled from drawn ones.
-Bands are groups of ``ROWS`` values: two lines of similarity 0.8 share none of the
-twenty with a chance of 3e-5. Equal lines are collapsed by a 128-bit hash first;
-candidates are verified by exact Jaccard similarity of the shingle sets, and joined
-by union-find over links.
+A line's set is its ``width``-character shingles. The hashes of a set, sorted, are one
+permutation of it, as a circle: a key is a run of ``RUN`` of its values that begins at
+the first of one of ``RANGES`` ranges. Two lines of similarity 0.8 or more have, of
+the elements of their union, at most one in five to themselves, so some run of four is
+common to them: sets of up to ``SHORT`` give all of their runs and miss no link,
+longer ones share none of their runs with a chance of 3e-5 at most. Equal lines are
+collapsed by a 128-bit hash first; candidates are verified by exact Jaccard
+similarity of the shingle sets, and joined by star contraction over links.
 
 Lines that stay apart in a list of more than ``SMALL`` get a bitmap of their set. Two
 bitmaps differ in no more bits than two sets in elements, so lists are split by set
 size, and their members told apart where they meet, without losing a link.
 
-Hashing is vectorised in Arrow batches: as column functions alone it did not fit the
-resource limits (README). Grouping, banding, joins and components are DataFrame
-operations.
+All of it is column functions and DataFrame operations. ``sets``, ``bitmap`` and
+``bands`` say parts of it for arrays.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from fractions import Fraction
 from functools import reduce
 
 import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tomeflow.llm.common import BROADCAST_KEYS, discard, materialize, mix, only, reclaim, small_batches
+from tomeflow.llm.common import BROADCAST_KEYS, discard, materialize, mix, reclaim
 from tomeflow.llm.linking import cross_pairs, link
 
 #: Values of a signature, and how many make a band.
 VALUES, ROWS = 80, 4
 BANDS = VALUES // ROWS
-#: 64-bit words of a bitmap.
-WORDS = 16
+#: Ranges of hash values in which a run of a line's sorted set begins, and elements of a run.
+RANGES, RUN = 20, 4
+#: Sets of up to so many shingles give the run at each of their elements.
+SHORT = 40
+#: Rounds of drawn pivots, and parts in which lists are made, so that the shuffle of one is gone before the next.
+ROUNDS, PARTS = 1, 2
+#: 64-bit words of a bitmap, and of one that is made in columns.
+WORDS, COLUMNS = 16, 32
 #: Lists of up to so many lines give all their pairs.
 SMALL = 8
 _BASE = 0x9E3779B97F4A7C15
@@ -140,57 +143,42 @@ def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return each.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), "line"))
 
 
-def _pieces(batch: pa.RecordBatch, most: int = 1 << 16) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch of about ``most`` characters of its last column."""
-    size = np.array([len(s) for s in batch.column(batch.num_columns - 1).to_pylist()], np.int64)
-    part = np.cumsum(size) // most
-    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(size)] if len(size) else []
-    for a, b in zip(cuts, cuts[1:]):
-        yield batch.slice(a, b - a)
+def shingle_hashes(line: str, width: int) -> Column:
+    """Hashes of a line's shingles, repeats included: its code points are laid out four
+    bytes each once (bound as ``b``), so that a shingle is cut without a walk over the
+    line. A line of fewer than ``width`` characters is one shingle."""
+    size = 4 * width
+    one = f"transform(sequence(0, greatest(octet_length(b) - {size}, 0), 4), i -> xxhash64(substring(b, i + 1, {size})))"
+    return F.expr(f"transform(array(encode({line}, 'UTF-32')), b -> {one})[0]")
 
 
-def banded(rows: DataFrame, width: int) -> DataFrame:
-    """``rows`` with ``keys``, the bands of their last column, ``line``, in its place."""
-    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("keys", T.ArrayType(T.LongType()))])
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in _pieces(batch):
-                keys = bands(b.column(b.num_columns - 1).to_pylist(), width)
-                listed = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], listed], names=[*b.schema.names[:-1], "keys"])
-
-    return rows.mapInArrow(of, schema)
-
-
-WORD_NAMES = [f"b{w}" for w in range(WORDS)]
+WORD_NAMES = [f"b{w}" for w in range(COLUMNS)]
 
 
 def bitmaps(rows: DataFrame, width: int) -> DataFrame:
-    """(node, n, b0, b1, ...) of rows (node, line): set size and bitmap."""
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in _pieces(batch):
-                found = sets(b.column(1).to_pylist(), width)
-                bits = np.stack([bitmap(f) for f in found])
-                columns = [pa.array(bits[:, w]) for w in range(WORDS)]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(f) for f in found], pa.int64()), *columns], names=["node", "n", *WORD_NAMES])
-
-    return rows.select("node", "line").mapInArrow(of, "node long, n long, " + ", ".join(f"{w} long" for w in WORD_NAMES))
+    """(node, n, b0, b1, ...) of rows (node, n, line): set size and bitmap."""
+    each = rows.select("node", "n", F.explode(shingle_hashes("line", width)).alias("x"))
+    word, bit = F.col("x").bitwiseAND(COLUMNS - 1), F.expr(f"shiftleft(1L, cast(shiftright(x, {COLUMNS.bit_length() - 1}) & 63 as int))")
+    each = each.select("node", "n", word.alias("word"), bit.alias("bit"))
+    return each.groupBy("node", "n").agg(*[F.bit_or(F.when(F.col("word") == w, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(x) for w, x in enumerate(WORD_NAMES)])
 
 
 def total(columns: list[Column]) -> Column:
     return reduce(lambda x, y: x + y, columns)
 
 
-def distinct_lines(full: DataFrame, width: int) -> DataFrame:
-    """(h1, h2, first, rows, keys, node): each distinct line with its first place, its
-    number of rows and its bands, written."""
-    marked = banded(full.select("doc_id", "line_no", "h1", "h2", "line"), width)
-    place = F.struct("doc_id", "line_no")
-    classes = marked.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("rows"), F.first("keys").alias("keys"))
-    return materialize(classes.withColumn("node", F.monotonically_increasing_id()), "lines")
+def keyed_lines(full: DataFrame, width: int) -> DataFrame:
+    """(node, h1, h2, first, rows, n, head, key), written: each distinct line with its
+    first place, number of rows and set size, once for each of its keys; ``head``
+    marks one of these rows."""
+    classes = full.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("rows"), F.first("line").alias("line"))
+    own = ["node", "h1", "h2", "first", "rows"]
+    classes = classes.select(F.monotonically_increasing_id().alias("node"), *own[1:], F.sort_array(F.array_distinct(shingle_hashes("line", width))).alias("set"))
+    each = classes.select(*own, "set", F.posexplode("set").alias("i", "x"))
+    place = lambda x: F.expr(f"shiftright(shiftright({x}, 32) * {RANGES}, 32)")
+    begins = (F.col("i") == 0) | (F.size("set") <= SHORT) | (place("x") != place("get(set, i - 1)"))
+    run = [F.expr(f"get(set, (i + {k}) % size(set))") for k in range(RUN)]
+    return materialize(each.where(begins).select(*own, F.size("set").cast("long").alias("n"), (F.col("i") == 0).alias("head"), F.xxhash64(*run).alias("key")), "lines")
 
 
 def line_dedup(docs: DataFrame, threshold: float = 0.8, width: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -204,52 +192,49 @@ def line_dedup(docs: DataFrame, threshold: float = 0.8, width: int = 8, id_col:
     repeated result rows. Empty tables give empty results; other columns are
     ignored.
     """
-    small_batches(docs.sparkSession, 5000)
     every = lines(docs, id_col, text_col)
     full = every.where(F.regexp_like("line", F.lit("(?U)\\S")))
     ratio = Fraction(threshold).limit_denominator(10_000)
     p, q = ratio.numerator, ratio.denominator
     place = F.struct("doc_id", "line_no")
-    classes = distinct_lines(full, width)
+    keyed = keyed_lines(full, width)
     reclaim(docs.sparkSession)
-    lists = classes.select("node", F.explode("keys").alias("key"))
+    classes = keyed.where("head").drop("head", "key")
+    texts: list[DataFrame] = []
+    maps: list[DataFrame] = []
 
     def whole(nodes: DataFrame) -> DataFrame:
-        """(node, line) of nodes."""
-        wanted = materialize(classes.select("node", "h1", "h2").join(nodes, "node", "left_semi"), "wanted")
-        found = only(full.select("h1", "h2", "line"), wanted, ["h1", "h2"]).dropDuplicates(["h1", "h2"])
-        out = materialize(found.join(wanted, ["h1", "h2"]).select("node", "line"), "texts")
+        """(node, n, line) of nodes, written."""
+        wanted = materialize(classes.select("node", "n", "h1", "h2").join(nodes, "node", "left_semi"), "wanted")
+        few = wanted.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+        found = full.select("h1", "h2", "line").join(F.broadcast(wanted) if few else wanted, ["h1", "h2"])
+        out = materialize(found.groupBy("node", "n").agg(F.first("line").alias("line")), "texts")
         discard(wanted)
         return out
 
-    @F.pandas_udf("boolean")
-    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
-        texts = pd.unique(pd.concat([a, b]))
-        of = dict(zip(texts, sets(texts.tolist(), width)))
-        out = np.zeros(len(a), bool)
-        for k, (x, y) in enumerate(zip(a, b)):
-            x, y = of[x], of[y]
-            if q * min(len(x), len(y)) >= p * max(len(x), len(y)):
-                both = shared(x, y)
-                out[k] = q * both >= p * (len(x) + len(y) - both)
-        return pd.Series(out)
+    def sized(pairs: DataFrame) -> DataFrame:
+        """The pairs whose set sizes allow the threshold."""
+        size = lambda x: classes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"))
+        return pairs.join(size("a"), "a").join(size("b"), "b").where(q * F.least("na", "nb") >= p * F.greatest("na", "nb")).select("a", "b")
 
-    def verify(pairs: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame) -> DataFrame:
         """The pairs whose whole sets are as similar as the threshold."""
+        t = lambda x: texts[0].select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("line").alias(f"t{x}"))
+        both = F.size(F.array_intersect(shingle_hashes("ta", width), shingle_hashes("tb", width)))
+        links = pairs.join(t("a"), "a").join(t("b"), "b").where((p + q) * both >= p * (F.col("na") + F.col("nb")))
+        return materialize(links.select("a", "b"), "links")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        """The links among the first pairs, which name every line that shares a list."""
         pairs = materialize(pairs, "pairs")
-        text = whole(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-        t = lambda x: text.select(F.col("node").alias(x), F.col("line").alias(f"t{x}"))
-        links = materialize(pairs.join(t("a"), "a").join(t("b"), "b").where(similar("ta", "tb")).select("a", "b"), "links")
-        discard(pairs, text)
+        texts.append(whole(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
+        links = verified(sized(pairs))
+        discard(pairs)
         return links
 
-    maps: list[DataFrame] = []
-
     def split(mixed: DataFrame) -> DataFrame:
         """Lists of members whose set sizes are near enough."""
-        text = whole(mixed.select("node").distinct())
-        maps.append(materialize(bitmaps(text, width), "bits"))
-        discard(text)
+        maps.append(materialize(bitmaps(texts[0].join(mixed.select("node").distinct(), "node", "left_semi"), width), "bits"))
         level = lambda x: F.floor(F.log(x) / F.log(F.lit(threshold**-2)))
         # a hair above the largest size, as its logarithm is rounded
         sizes = maps[0].select("node", F.sequence(level(F.col("n")), level(F.col("n") / threshold * (1 + 1e-9))).alias("levels"))
@@ -264,18 +249,18 @@ def line_dedup(docs: DataFrame, threshold: float = 0.8, width: int = 8, id_col:
         return (q * F.least(n, m) >= p * F.greatest(n, m)) & ((p + q) * apart <= (q - p) * (n + m))
 
     def settle(pairs: DataFrame) -> DataFrame:
-        """``verify`` of pairs whose bitmaps allow it."""
+        """The links among pairs, of which bitmaps tell most apart."""
         x, y = maps[0].alias("x"), maps[0].alias("y")
         near = pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(match("x", "y"))
-        return verify(near.select("a", "b"))
+        return verified(near.select("a", "b"))
 
     def compare(mixed: DataFrame) -> DataFrame:
-        pairs = cross_pairs(mixed, lambda nodes: maps[0], match)
-        links = verify(pairs)
+        pairs = cross_pairs(mixed, lambda keys: keys.join(maps[0], "node"), match)
+        links = verified(pairs)
         discard(pairs)
         return links
 
-    labels = link(lists, verify, compare, rounds=1, split=split, settle=settle, small=SMALL)
+    labels = link(keyed.select("key", "node"), verify, compare, rounds=ROUNDS, native=True, split=split, settle=settle, small=SMALL, parts=PARTS)
     # lines that occur once and have no link stay as they are
     linked = classes.select("node", "h1", "h2", "rows", "first").join(labels, "node", "left").where("rows > 1 or root is not null")
     linked = materialize(linked.select("h1", "h2", "first", F.coalesce("root", "node").alias("root")), "linked")

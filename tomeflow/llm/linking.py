@@ -11,24 +11,35 @@ the rest: by ``cross_pairs``, inside a join, or in blocks. Every pair of a list
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tomeflow.llm.common import BROADCAST_KEYS, components, discard, materialize
+from tomeflow.llm.common import BROADCAST_KEYS, components, discard, materialize, reclaim
 
 Verify = Callable[[DataFrame], DataFrame]
 #: From nodes to the columns by which pairs of them are tested.
 Payload = Callable[[DataFrame], DataFrame]
 
 
-def shared_lists(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+def shared_lists(lists: DataFrame, parts: int = 1) -> tuple[DataFrame, DataFrame]:
     """(pivots, members): (key, c, p0, p1) of lists of two nodes or more, with two
     pivots each, and (key, node, c, p0, p1) of those of more than two. Pivots are
     minima and maxima, so a hot key is combined before any shuffle, and most lists
-    need no look at their members."""
-    pivots = lists.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("p0"), F.max("node").alias("p1"))
-    pivots = materialize(pivots.where("p0 <> p1"), "pivots")
+    need no look at their members. They are made in ``parts`` of the keys."""
+    every = []
+    for k in range(parts):
+        own = lists.where(F.pmod("key", F.lit(parts)) == k) if parts > 1 else lists
+        found = own.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("p0"), F.max("node").alias("p1"))
+        every.append(materialize(found.where("p0 <> p1"), "pivots"))
+        if parts > 1:
+            del found
+            reclaim(lists.sparkSession)
+    pivots = every[0]
+    if parts > 1:
+        pivots = materialize(reduce(DataFrame.union, every), "pivots")
+        discard(*every)
     longer = pivots.where("c > 2")
     few = longer.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
     return pivots, materialize(lists.join(F.broadcast(longer) if few else longer, "key"), "lists")
@@ -66,13 +77,16 @@ def drawn_pairs(mixed: DataFrame, draw: int, pivots: int = 3, hands: int = 4) ->
 
 def cross_pairs(mixed: DataFrame, payload: Payload, match: Callable[[str, str], Column]) -> DataFrame:
     """Distinct (a, b) in one list but different components, for which ``match(l, r)`` holds
-    (columns of ``payload(nodes)`` under those aliases, and ``l.key``)."""
-    rows = materialize(mixed.join(payload(mixed.select("node").distinct()), "node"), "cross")
+    (columns of ``payload(nodes)`` under those aliases, and ``l.key``). A pair is given
+    in the first list that both are in only."""
+    keys = mixed.groupBy("node").agg(F.collect_list("key").alias("keys"))
+    rows = materialize(mixed.join(payload(keys), "node"), "cross")
     on = (
         (F.col("l.key") == F.col("r.key"))
         & (F.col("l.comp") != F.col("r.comp"))
         & ((F.col("r.comp") == F.col("r.major")) | (F.col("l.node") < F.col("r.node")))
         & match("l", "r")
+        & (F.array_min(F.array_intersect("l.keys", "r.keys")) == F.col("l.key"))
     )
     pairs = rows.where("comp <> major").alias("l").join(rows.alias("r"), on)
     pairs = materialize(pairs.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct(), "apart")
@@ -94,7 +108,7 @@ def relabel(labels: DataFrame, links: DataFrame, native: bool = False) -> DataFr
 
 def link(
     lists: DataFrame, verify: Verify, last_pass: Verify, rounds: int = 2, native: bool = False, split: Callable[[DataFrame], DataFrame] | None = None,
-    settle: Verify | None = None, small: int = 2,
+    settle: Verify | None = None, small: int = 2, parts: int = 1,
 ) -> DataFrame:
     """(node, root) of every node with a verified link. ``verify`` gets distinct
     pairs (a, b) and returns a written table (a, b) of the true links among them;
@@ -104,7 +118,7 @@ def link(
     keeps to DataFrame functions. ``split`` makes finer lists (key, node) of those
     that still hold several components; ``settle`` verifies drawn pairs, if they can
     be filtered better then (else ``verify`` does). Lists of up to ``small`` nodes are settled by round one."""
-    pivots, members = shared_lists(lists)
+    pivots, members = shared_lists(lists, parts)
     links = verify(star_pairs(pivots, members, small))
     labels = components(links, native=native)
     mixed = mixed_lists(members.where(F.col("c") > small), labels)
