@@ -2,7 +2,6 @@
 
 import numpy as np
 import pytest
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tomeflow.llm import line_dedup, linking
@@ -20,7 +19,7 @@ def test_lines_are_linked_without_python(spark, monkeypatch):
     def refuse(*_, **__):
         raise AssertionError("Python on the executors")
 
-    monkeypatch.setattr(DataFrame, "mapInArrow", refuse)
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", refuse)
     monkeypatch.setattr(F, "pandas_udf", refuse)
     stem = text(np.random.default_rng(3), 60)
     df = spark.createDataFrame([(k, stem + x) for k, x in enumerate(("", "a", "ab", "cdefghijklmnopqrstuvwxyz0123456789"))], "doc_id long, text string")
@@ -54,8 +53,9 @@ def test_sets_and_bitmaps_in_columns(spark):
 
 def test_a_pair_meets_in_one_of_its_lists(spark, monkeypatch):
     mixed = spark.createDataFrame([(key, node, node, 1) for key in range(20) for node in (1, 2, 3)], "key long, node long, comp long, major long")
-    seen, distinct = [], DataFrame.distinct
-    monkeypatch.setattr(DataFrame, "distinct", lambda df: seen.append(df) or distinct(df))
+    seen, frame = [], type(mixed)
+    distinct = frame.distinct
+    monkeypatch.setattr(frame, "distinct", lambda df: seen.append(df.count()) or distinct(df))
     n = spark.createDataFrame([(1,), (2,), (3,)], "node long").withColumn("n", F.lit(1))
     pairs = linking.cross_pairs(mixed, lambda keys: keys.join(n, "node"), lambda x, y: F.col(f"{x}.n") == F.col(f"{y}.n"))
-    assert sorted(tuple(r) for r in pairs.collect()) == [(1, 2), (1, 3), (2, 3)] and seen[-1].count() == 3
+    assert sorted(tuple(r) for r in pairs.collect()) == [(1, 2), (1, 3), (2, 3)] and seen[-1] == 3
