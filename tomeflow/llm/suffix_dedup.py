@@ -4,10 +4,12 @@ Every string of ``width`` bytes has an anchor: its least-hashed ``gram``. String
 that are equal have equal anchors at equal offsets, so suffixes need sorting only
 among those of one anchor hash and offset. A task finds the anchors of its texts
 (and settles runs it repeats itself); anchors seen once are dropped; the bytes
-around the others go to the anchor's bucket, where the suffixes are mergesorted.
-Two suffixes are compared by prefix polynomial hashes: a binary search finds
-their common extension, the byte after it their order. Neighbours with a common
-extension of ``width`` are compared byte by byte before anything is removed.
+around the others go to the anchor's bucket, where the suffixes whose hash occurs
+again are mergesorted. A frequent anchor's runs are cut in ranges of offsets, each
+dealt by the hash of the bytes that all its strings have in common. Two suffixes
+are compared by prefix polynomial hashes: a binary search finds their common
+extension, the byte after it their order. Neighbours with a common extension of
+``width`` are compared byte by byte before anything is removed.
 """
 
 from __future__ import annotations
@@ -26,6 +28,13 @@ from tomeflow.llm.near_dedup import _BASE, _BYTE, _INVERSE, NULL, _powers, mix
 
 BLOB = "kind int, bucket long, blob binary"
 _BLOB = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("blob", pa.binary())])
+#: Text bytes whose anchors a task holds before it deals them to the buckets.
+_HELD = 32 << 20
+#: Strings that are compared at once; a bucket with more takes its anchors in turns.
+_STRINGS = 4 << 20
+#: From so many buckets on, buckets grow with the table, up to so many times: each task
+#: writes to each bucket, and each bucket to each.
+_BUCKETS, _GROWN = 256, 8
 #: Least bits of a position in a part of a task's texts; longer texts take more.
 _POS = 23
 
@@ -183,14 +192,18 @@ def repeated(h: Hashes, key: np.ndarray, offset: np.ndarray, first: np.ndarray,
     x = first[run] + j
     _, group = np.unique(key, return_inverse=True)
     cls = group[run] * width + (offset[run] - j)
-    by_class = np.argsort(cls, kind="stable")
-    sorted_cls = cls[by_class]
-    again = sorted_cls[1:] == sorted_cls[:-1]
-    shared = np.concatenate((again, [False])) | np.concatenate(([False], again))
-    by_class, sorted_cls = by_class[shared], sorted_cls[shared]
     gone = np.zeros(total, bool)
+    # equal strings have one class and one hash: what is alone in both needs no sorting
+    both = mix(h.of(x, x + width) + mix(cls.astype(np.uint64)))
+    order = np.argsort(both)
+    again = both[order[1:]] == both[order[:-1]]
+    shared = np.zeros(total, bool)
+    shared[order[1:][again]] = shared[order[:-1][again]] = True
+    by_class = np.flatnonzero(shared)
     if not len(by_class):
         return gone
+    by_class = by_class[np.argsort(cls[by_class], kind="stable")]
+    sorted_cls = cls[by_class]
     at = x[by_class]
     order = mergesort(h, at, sorted_cls, width)
     a, b = order[:-1], order[1:]
@@ -231,6 +244,36 @@ def same_runs(h: Hashes, first: np.ndarray, count: np.ndarray, offset: np.ndarra
     return copy[np.array(true, bool)]
 
 
+def split_hot(fields: list[np.ndarray], times: np.ndarray, body: dict[tuple[int, int], bytes], width: int, gram: int, hot: int) -> list[np.ndarray]:
+    """Runs (hash, doc, tie, first string, offset, strings) with those of anchors of
+    more than ``hot`` runs cut in ranges of offsets, the narrower the more runs there
+    are. A range's hash is that of the bytes all its strings have in common, so equal
+    strings still meet, and strings with other bytes beside the anchor go elsewhere."""
+    often = times > hot
+    if not often.any():
+        return fields
+    offsets = width - gram + 1
+    cut: list[tuple[int, ...]] = []
+    for n, key, doc, tie, first, offset, count in zip(times[often].tolist(), *(f[often].tolist() for f in fields)):
+        text, at = body[doc, tie], first + offset
+        step = max(1, offsets * hot // n)
+        high = offset
+        while high > offset - count:
+            base = high // step * step
+            low = max(base, offset - count + 1)
+            common = text[at - base : at + width + 1 - min(base + step, offsets)]
+            own = hashlib.blake2b(common + bytes([base]), digest_size=8).digest()
+            cut.append((int.from_bytes(own, "little"), doc, tie, at - high, high, high - low + 1))
+            high = low - 1
+    return [np.concatenate((f[~often], np.array(c, f.dtype))) for f, c in zip(fields, zip(*cut))]
+
+
+def bucket_count(size: int, per_bucket: int) -> int:
+    """Buckets of ``per_bucket`` text bytes; of more, up to a bound, in large tables."""
+    n = -(-size // per_bucket)
+    return max(8, min(n, max(_BUCKETS, -(-size // (_GROWN * per_bucket)))))
+
+
 def doc_bucket(doc: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(doc.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
@@ -245,10 +288,11 @@ def _by_bucket(kind: int, bucket: np.ndarray, arrays: list[np.ndarray]) -> Itera
 
 
 _ANCHOR = [np.uint64, np.int64, np.uint64, np.int64, np.uint8, np.uint8]  # hash, doc, tie, first string, offset, strings
+_COUNTED = [*_ANCHOR, np.uint32]  # and runs of the anchor
 _SPAN = [np.int64, np.uint64, np.int64, np.int64]  # doc, tie, start, end
 
 
-def remove_repeats(docs: DataFrame, width: int = 100, gram: int = 24, per_bucket: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 100, gram: int = 24, per_bucket: int = 4 << 20, hot: int = 4096, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """Remove each byte covered by a ``width``-byte string that also starts earlier
     (smaller id, or same document, earlier start); strings are judged on the input.
 
@@ -257,20 +301,22 @@ def remove_repeats(docs: DataFrame, width: int = 100, gram: int = 24, per_bucket
     null id comes first. Rows of one id are documents of their own, ordered by
     64-bit hashes of their texts; rows equal in id and text count as one document. Empty
     tables give empty results; other columns are ignored. ``width`` is 32 to 255
-    and over ``gram``. Work is dealt in buckets of about ``per_bucket`` text bytes.
+    and over ``gram``. Work is dealt in buckets of about ``per_bucket`` text bytes (up
+    to eight times that in large tables); the runs of an anchor with more than ``hot``
+    are dealt over many.
     """
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"))
     known = rows.agg(F.sum(F.octet_length("body")).alias("b"), F.count(F.lit(1)).alias("n"), F.countDistinct("doc").alias("d")).first()
-    buckets = max(8, -(-(known["b"] or 0) // per_bucket))
+    buckets = bucket_count(known["b"] or 0, per_bucket)
     tied = known["n"] != known["d"]
 
     def tie(body: bytes) -> int:
         return int.from_bytes(hashlib.blake2b(body, digest_size=8).digest(), "little") if tied else 0
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def chunk(part: list[tuple[int, int, bytes]]) -> Iterator[dict]:
+        def chunk(part: list[tuple[int, int, bytes]]) -> None:
             part = sorted(part, key=lambda r: r[:2])
             h, doc, at, anchor, first, count = anchors([r[2] for r in part], width, gram)
             ids, ties = np.array([r[0] for r in part], np.int64), np.array([r[1] for r in part], np.uint64)
@@ -279,33 +325,48 @@ def remove_repeats(docs: DataFrame, width: int = 100, gram: int = 24, per_bucket
             # settled here: runs equal to an earlier run of this task
             copy = same_runs(h, first, count, anchor - first, width)
             d = doc[copy]
-            yield from _by_bucket(1, doc_bucket(ids[d], buckets), [ids[d], ties[d], first[copy] - at[copy], end[copy] - at[copy]])
+            held[1].append([ids[d], ties[d], first[copy] - at[copy], end[copy] - at[copy]])
             left = np.ones(len(first), bool)
             left[copy] = False
             d = doc[left]
-            fields = [key[left], ids[d], ties[d], (first - at)[left], (anchor - first)[left].astype(np.uint8), count[left].astype(np.uint8)]
-            yield from _by_bucket(0, (key[left] % np.uint64(buckets)).astype(np.int64), fields)
-
+            held[0].append([key[left], ids[d], ties[d], (first - at)[left], (anchor - first)[left].astype(np.uint8), count[left].astype(np.uint8)])
+
+        def dealt() -> Iterator[pa.RecordBatch]:
+            for kind, parts in held.items():
+                fields = [np.concatenate(c) for c in zip(*parts)]
+                bucket = doc_bucket(fields[0], buckets) if kind else (fields[0] % np.uint64(buckets)).astype(np.int64)
+                if found := list(_by_bucket(kind, bucket, fields)):
+                    yield pa.RecordBatch.from_pylist(found, _BLOB)
+                parts.clear()
+
+        held: dict[int, list[list[np.ndarray]]] = {0: [], 1: []}
+        size = 0
         for batch in _parts(batches, tie):
-            if found := list(chunk(batch)):
-                yield pa.RecordBatch.from_pylist(found, _BLOB)
+            chunk(batch)
+            size += sum(len(r[2]) for r in batch)
+            if size >= _HELD:
+                yield from dealt()
+                size = 0
+        if held[0]:
+            yield from dealt()
 
     def twice(table: pa.Table) -> pa.Table:
-        """Anchors of a bucket whose hash occurs again, by document bucket."""
+        """Anchors of a bucket whose hash occurs again, counted, by document bucket."""
         parts = [unpack_arrays(b.as_py(), _ANCHOR) for b in table.column("blob")]
         fields = [np.concatenate(c) for c in zip(*parts)]
         _, back, n = np.unique(fields[0], return_inverse=True, return_counts=True)
         keep = n[back] > 1
-        fields = [f[keep] for f in fields]
+        fields = [f[keep] for f in fields] + [n[back][keep].astype(np.uint32)]
         return pa.Table.from_pylist(list(_by_bucket(2, doc_bucket(fields[1], buckets), fields)), _BLOB)
 
     def contexts(texts: pa.Table, wanted: pa.Table) -> pa.Table:
         """The bytes of the runs of wanted anchors, by anchor bucket."""
-        parts = [unpack_arrays(b.as_py(), _ANCHOR) for b in wanted.column("blob")]
+        parts = [unpack_arrays(b.as_py(), _COUNTED) for b in wanted.column("blob")]
         if not parts:
             return pa.Table.from_pylist([], _BLOB)
-        key, doc, ties, first, offset, count = (np.concatenate(c) for c in zip(*parts))
+        *fields, times = (np.concatenate(c) for c in zip(*parts))
         body = {(i, tie(b)): b for i, b in zip(texts.column("doc").to_pylist(), (x.as_py() for x in texts.column("body")))}
+        key, doc, ties, first, offset, count = split_hot(fields, times, body, width, gram, hot)
         order = np.argsort(key % np.uint64(buckets), kind="stable")
         at = (key % np.uint64(buckets)).astype(np.int64)[order]
         out = []
@@ -330,18 +391,28 @@ def remove_repeats(docs: DataFrame, width: int = 100, gram: int = 24, per_bucket
         count, offset = count.astype(np.int64), offset.astype(np.int64)
         size = count - 1 + width
         place = np.cumsum(size) - size
-        h = Hashes(np.frombuffer(b"".join(raws) + b"\0" * width, np.uint8))
-        order = np.lexsort((first, ties, doc))
-        key, offset, place, runs = key[order], offset[order], place[order], count[order]
-        # whole runs that came earlier need no sorting
-        copy = same_runs(h, place, runs, offset, width)
-        left = np.ones(len(runs), bool)
-        left[copy] = False
-        gone = np.ones(int(runs.sum()), bool)
-        gone[np.repeat(left, runs)] = repeated(h, key[left], offset[left], place[left], runs[left], width)
-        run, start, end = _spans(first[order], count[order], gone, width)
-        who = order[run]
-        return pa.Table.from_pylist(list(_by_bucket(1, doc_bucket(doc[who], buckets), [doc[who], ties[who], start, end])), _BLOB)
+        raw = b"".join(raws)
+        del raws
+        turns = max(1, -(-int(count.sum()) // _STRINGS))
+        turn = (key // np.uint64(buckets) % np.uint64(turns)).astype(np.int64)
+        found = []
+        for t in range(turns):
+            mine = np.flatnonzero(turn == t)
+            order = mine[np.lexsort((first[mine], ties[mine], doc[mine]))]
+            runs, near = count[order], size[order]
+            h = Hashes(np.frombuffer(b"".join([raw[a:b] for a, b in zip(place[order].tolist(), (place + size)[order].tolist())]) + b"\0" * width, np.uint8))
+            spot = np.cumsum(near) - near
+            # whole runs that came earlier need no sorting
+            copy = same_runs(h, spot, runs, offset[order], width)
+            left = np.ones(len(runs), bool)
+            left[copy] = False
+            gone = np.ones(int(runs.sum()), bool)
+            gone[np.repeat(left, runs)] = repeated(h, key[order][left], offset[order][left], spot[left], runs[left], width)
+            run, start, end = _spans(first[order], runs, gone, width)
+            who = order[run]
+            found.append([doc[who], ties[who], start, end])
+        spans = [np.concatenate(c) for c in zip(*found)]
+        return pa.Table.from_pylist(list(_by_bucket(1, doc_bucket(spans[0], buckets), spans)), _BLOB)
 
     def cut(texts: pa.Table, spans: pa.Table) -> pa.Table:
         parts = [unpack_arrays(b.as_py(), _SPAN) for b in spans.column("blob")]
