@@ -31,6 +31,16 @@ def last_of(value: Column, seq: Column) -> Column:
     return F.max_by(v, F.when(v.isNotNull(), seq))
 
 
+def rising(*keys: str) -> list[Column]:
+    """Fields of a sequence in which ``keys`` rise, nulls after all values, as in a row of SQL."""
+    return [x for k in keys for x in (F.col(k).isNull(), F.col(k))]
+
+
+def falling(*keys: str) -> list[Column]:
+    """Fields of the reverse of ``rising`` for whole numbers, the least one too."""
+    return [x for k in keys for x in (F.col(k).isNotNull(), -1 - F.col(k))]
+
+
 def merge_symbols(units: DataFrame, seq: str, first: list[str] = [], last: list[str] = [], flags: list[str] = [], mode: str | None = None, id_col: str = "id", back: str | None = None) -> DataFrame:
     """One row per id: ``first`` and ``last`` columns by sequence,
     ``flags`` or-ed, ``mode`` the least specific (smallest). ``back`` is the reverse
