@@ -31,7 +31,7 @@ _BLOB = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("blob", pa.bin
 #: Text bytes whose anchors a task holds before it deals them to the buckets.
 _HELD = 32 << 20
 #: Strings that are compared at once; a bucket with more takes its anchors in turns.
-_STRINGS = 4 << 20
+_STRINGS = 1 << 20
 #: From so many buckets on, buckets grow with the table, up to so many times: each task
 #: writes to each bucket, and each bucket to each.
 _BUCKETS, _GROWN = 256, 8
